@@ -1,0 +1,53 @@
+"""Reproducible score tables for given students: a key always gives the same scores."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.scalar import clamp
+from ..schema import CATEGORY, ENTITY, PERIOD, SCORE, SUBJECTS
+
+# --- fixed values: range of first-period scores and of the later change --------
+BASE_RANGE = (50, 95)
+CHANGE_RANGE = (-8, 12)
+
+# multiplier and modulus of a multiplicative hash; the product stays below 2^63
+MULTIPLIER = 2654435761
+MODULUS = 2147483648
+
+
+def _draw(index: Column, salt: int, low: int, high: int) -> Column:
+    """Whole number in [low, high] from the key and a salt."""
+    mixed = F.pmod(F.pmod(index + F.lit(salt), F.lit(MODULUS)) * F.lit(MULTIPLIER), F.lit(MODULUS))
+    mixed = F.pmod((mixed + F.lit(salt)) * F.lit(MULTIPLIER), F.lit(MODULUS))
+    return F.lit(low) + F.pmod((mixed / F.lit(65536)).cast("bigint"), F.lit(high - low + 1))
+
+
+def synthetic_scores(students: DataFrame, number: str, periods: Sequence[int],
+                     subjects: Sequence[str] = SUBJECTS, seed: int = 42,
+                     missing: dict[int, Sequence[tuple[int, int]]] | None = None) -> DataFrame:
+    """(student_id, year, subject, mark): a base score, then base plus change, clipped.
+
+    ``number`` is a whole-number column that identifies the student. ``missing`` lists
+    (student number, subject position) cells per period that become NULL. Rows are
+    made per student, so nothing is shuffled.
+    """
+    missing = missing or {}
+    index = F.col(number).cast("bigint")
+    cells = []
+    for s, subject in enumerate(subjects):
+        base = _draw(index * F.lit(len(subjects)) + F.lit(s), seed, *BASE_RANGE)
+        for p, period in enumerate(periods):
+            score = base
+            if p:
+                score = base + _draw(index * F.lit(len(subjects)) + F.lit(s), seed + 57 * p, *CHANGE_RANGE)
+            score = clamp(score.cast("double"))
+            holes = [student for student, position in missing.get(period, ()) if position == s]
+            if holes:
+                score = F.when(~index.isin(holes), score)
+            cells.append(F.struct(
+                F.lit(period).alias(PERIOD), F.lit(subject).alias(CATEGORY), score.alias(SCORE)
+            ))
+    return students.select(ENTITY, F.inline(F.array(*cells)))
