@@ -54,7 +54,7 @@ def logistic_regression(n_rows: int, **params) -> LogisticRegression:
 
 
 def forest_classifier(n_rows: int, **params) -> RandomForestClassifier:
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "sqrt", "maxDepth": 10, "maxBins": 256, "seed": 42}
+    defaults = {"numTrees": 100, "featureSubsetStrategy": "sqrt", "maxDepth": 10, "maxBins": 64, "seed": 42}
     return RandomForestClassifier(**{**defaults, **params})
 
 

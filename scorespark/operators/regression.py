@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -18,7 +19,8 @@ from ..schema import ENTITY, SCORE_MAX, SCORE_MIN, SUBJECTS, require_columns
 from .metrics import regression_metrics
 
 CENTRE = (SCORE_MIN + SCORE_MAX) / 2
-PARALLEL_FITS = 8
+PARALLEL_FITS = 4
+ROWS_PER_FIT_TASK = 20_000
 
 
 # --- least squares ---------------------------------------------------------------
@@ -133,7 +135,7 @@ def decision_tree(**params) -> DecisionTreeRegressor:
 
 def random_forest(**params) -> RandomForestRegressor:
     """100 trees on all features. Depth is bounded: a tree of depth d has up to 2^d nodes."""
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 10, "maxBins": 256, "seed": 42}
+    defaults = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 10, "maxBins": 64, "seed": 42}
     return RandomForestRegressor(**{**defaults, **params})
 
 
@@ -155,8 +157,12 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
 
 
 def fixed_layout(df: DataFrame, key: str) -> DataFrame:
-    """Rows placed and sorted by key: a seed then gives the same trees for any input layout."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows placed and sorted by key: a seed then gives the same trees for any input layout.
+
+    Small tables get few tasks, because every tree level is a job over all of them.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(most, math.ceil(df.count() / ROWS_PER_FIT_TASK)))
     return df.repartition(partitions, ref(key)).sortWithinPartitions(ref(key))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -83,31 +82,31 @@ def numeric_features(df: DataFrame, drop: Sequence[str] = ("id", LABEL)) -> list
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair over the rows where both are present.
 
-    One aggregation, no shuffle beyond its single row. A constant column gives NULL.
+    Every row is read once and its column pairs are folded map-side, so the shuffle
+    carries one partial result per pair and task. A constant column gives NULL.
     """
-    values = df.select(*[ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    pairs = list(combinations(range(len(columns)), 2))
-    sums = []
-    for i, j in pairs:
-        a, b = F.col(f"x{i}"), F.col(f"x{j}")
-        sums += [
-            F.covar_pop(a, b).alias(f"c{i}_{j}"),
-            F.stddev_pop(F.when(b.isNotNull(), a)).alias(f"a{i}_{j}"),
-            F.stddev_pop(F.when(a.isNotNull(), b)).alias(f"b{i}_{j}"),
-        ]
-    sums += [F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(len(columns))]
-    rows = []
-    for i in range(len(columns)):
-        one = F.when(F.col(f"s{i}") > 0, F.lit(1.0))
-        rows.append(_pair(columns[i], columns[i], one))
-    for i, j in pairs:
-        r = F.try_divide(F.col(f"c{i}_{j}"), F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}"))
-        rows += [_pair(columns[i], columns[j], r), _pair(columns[j], columns[i], r)]
-    return _as_rows(values.agg(*sums), rows)
-
-
-def _pair(a: str, b: str, r: Column) -> Column:
-    return F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r.alias("correlation"))
+    k = len(columns)
+    values = df.select(F.array(*[ref(c).cast("double") for c in columns]).alias("v"))
+    column_pairs = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(k) for j in range(i, k)
+    ])
+    pairs = values.select("v", F.inline(column_pairs)).select(
+        "i", "j", F.get("v", F.col("i")).alias("x"), F.get("v", F.col("j")).alias("y")
+    )
+    moments = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("i", "j").agg(
+        F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    r = F.when(F.col("i") != F.col("j"), F.try_divide("c", F.col("sx") * F.col("sy"))).when(
+        F.col("sx") > 0, F.lit(1.0)
+    )
+    found = moments.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
+    one_way = [
+        F.struct(F.col(x).alias("feature_a"), F.col(y).alias("feature_b"), F.col("r").alias("correlation"))
+        for x, y in (("a", "b"), ("b", "a"))
+    ]
+    both_ways = F.array_distinct(F.array(*one_way))
+    return found.select(F.inline(both_ways))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = SUBJECTS) -> DataFrame:

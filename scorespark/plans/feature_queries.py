@@ -175,15 +175,15 @@ def classifier_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.roc_auc(_scored(spark, sf)), 6)
+    return rounded(metrics.roc_auc(_scored(spark, sf)))
 
 
 def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.roc_curve(_scored(spark, sf)), 6)
+    return rounded(metrics.roc_curve(_scored(spark, sf)))
 
 
 def classifier_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.evaluate_classifier(_scored(spark, sf)), 6)
+    return rounded(metrics.evaluate_classifier(_scored(spark, sf)))
 
 
 def quality_gates(spark: SparkSession, sf: str) -> DataFrame:

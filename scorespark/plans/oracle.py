@@ -53,9 +53,9 @@ text_features AS (
          {_share(DIGITS)} AS digit_ratio, {_share(CAPITALS)} AS upper_ratio,
          {_share(PUNCTUATION)} AS punct_ratio,
          CAST(len(list_distinct(w)) AS DOUBLE) / len(w) AS distinct_ratio,
-         CAST(substr(source, 4) AS DOUBLE) AS source_no,
+         CAST(substr(source, 6) AS DOUBLE) AS source_no,
          CAST(1 - quality AS INTEGER) AS label,
-         CASE WHEN CAST(substr(source, 4) AS INTEGER) >= 16 THEN 'test' ELSE 'original' END AS split
+         CASE WHEN CAST(substr(source, 6) AS INTEGER) >= 16 THEN 'test' ELSE 'original' END AS split
   FROM words d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 LABELLED = TEXT + ", labelled AS (SELECT * FROM text_features WHERE label IS NOT NULL)"
 ENGAGEMENT = """per AS (
@@ -64,7 +64,7 @@ ENGAGEMENT = """per AS (
   FROM orders GROUP BY o_custkey),
 raw AS (
   SELECT id, c_nationkey % 2 AS gender, 18 + 2 * c_nationkey AS age, 10 * n AS logins,
-         spent / 50000 AS total_hours, spent / 400000 AS pct_avg_hours, present AS presence_count,
+         spent / 70000 AS total_hours, spent / 350000 AS pct_avg_hours, present AS presence_count,
          n - present AS absence_count, CAST(100 * present AS DOUBLE) / n AS pct_attended,
          CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 ELSE 0 END AS attending_from_home,
          abs(c_acctbal) / 40 AS distance_to_uni_km,
@@ -85,7 +85,7 @@ SCORED = LABELLED + """, scored AS (
          - 0.01 * source_no + 6.0 * upper_ratio))), 3) AS score
   FROM labelled),
 predicted AS (SELECT *, CASE WHEN score >= 0.4 THEN 1 ELSE 0 END AS prediction FROM scored)"""
-ROUND_S = cols("round({s}, 4) AS {s}")
+ROUND_S = cols("round({s}, 6) AS {s}")
 WIDE_ROWS = f"student_id, name, year, {ROUND_S}"
 
 
@@ -148,8 +148,8 @@ AHEAD = FITTED + f""", ahead AS (
   SELECT r.student_id, {", ".join(clip(linear(s)) + f" AS {s}" for s in S)}
   FROM clean r, coef c WHERE r.year = {NEXT})"""
 COEFFICIENTS = " UNION ALL ".join(
-    [f"SELECT '{t}' AS subject, 'intercept' AS feature, round(a_{t}, 4) AS coefficient FROM coef" for t in S]
-    + [f"SELECT '{t}', '{f}', round(b_{t}_{f}, 4) FROM coef" for t in S for f in S]
+    [f"SELECT '{t}' AS subject, 'intercept' AS feature, round(a_{t}, 6) AS coefficient FROM coef" for t in S]
+    + [f"SELECT '{t}', '{f}', round(b_{t}_{f}, 6) FROM coef" for t in S for f in S]
 )
 POOLED = CLEAN + f""", pooled AS (
   SELECT b.student_id, b.year, {cols("b.{s} AS {s}")}, {cols("n.{s} AS {s}_next")}
@@ -169,7 +169,7 @@ def correlation(a: str, b: str, source: str) -> str:
     return (
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, "
         f"CASE WHEN count(*) > 0 AND stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 "
-        f"THEN round(corr({a}, {b}), 4) END AS correlation FROM {source} "
+        f"THEN round(corr({a}, {b}), 6) + 0.0 END AS correlation FROM {source} "
         f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
     )
 
@@ -195,7 +195,7 @@ def draw(index: str, salt: int, low: int, high: int) -> str:
 
 def synthetic() -> str:
     subjects = ["Math", "Physics", "CS", "English", "Statistics"]
-    missing = {2024: [(2, 1), (5, 3)], 2025: [(9, 4)]}
+    missing = {2024: [(2, 1), (5, 3)], 2025: [(9, 6)]}
     parts = []
     for i, subject in enumerate(subjects):
         index = f"c_custkey * 5 + {i}"
@@ -250,12 +250,12 @@ NUMBERED = ENGAGEMENT + f""", distinct_rows AS (
 numbered AS (
   SELECT row_number() OVER (ORDER BY split, {cols("{s} NULLS FIRST", FEATURES)}, label) AS id, *
   FROM distinct_rows)"""
-ROUND_F = cols("round({s}, 4) AS {s}", FEATURES)
-ROUND_T = cols("round({s}, 4) AS {s}", TEXT_FEATURES)
+ROUND_F = cols("round({s}, 6) AS {s}", FEATURES)
+ROUND_T = cols("round({s}, 6) AS {s}", TEXT_FEATURES)
 
 ORACLE: dict[str, str] = {
     # scans and joins
-    "marks_joined": f"WITH {MARKS} SELECT student_id, c_name AS name, year, subject, round(mark, 4) AS mark "
+    "marks_joined": f"WITH {MARKS} SELECT student_id, c_name AS name, year, subject, round(mark, 6) AS mark "
                     "FROM marks JOIN customer ON c_custkey = student_id ORDER BY student_id, year, subject",
     "marks_wide": f"WITH {WIDE} SELECT {WIDE_ROWS} FROM wide",
     "entity_marks": f"WITH {WIDE} SELECT {WIDE_ROWS} FROM wide WHERE student_id = {STUDENT}",
@@ -266,12 +266,12 @@ ORACLE: dict[str, str] = {
     "distinct_keys": "SELECT DISTINCT o_custkey AS student_id FROM orders ORDER BY 1",
     "distinct_periods": "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders ORDER BY 1",
     "next_period_pairs": f"WITH {PAIRS} SELECT student_id, year_encoded, {ROUND_S}, "
-                         f"{cols('round({s}_next, 4) AS {s}_next')} FROM pairs",
+                         f"{cols('round({s}_next, 6) AS {s}_next')} FROM pairs",
     "pooled_pairs": f"WITH {POOLED} SELECT student_id, year, {ROUND_S}, "
-                    f"{cols('round({s}_next, 4) AS {s}_next')} FROM pooled",
+                    f"{cols('round({s}_next, 6) AS {s}_next')} FROM pooled",
     "fk_violations": f"WITH {MARKS} SELECT student_id, count(*) AS n_rows FROM marks WHERE student_id NOT IN "
                      "(SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY student_id",
-    "insert_or_ignore": f"WITH {MARKS} SELECT student_id, subject, id, round(mark, 4) AS mark FROM marks m "
+    "insert_or_ignore": f"WITH {MARKS} SELECT student_id, subject, id, round(mark, 6) AS mark FROM marks m "
                         "WHERE year = 1996 AND NOT EXISTS (SELECT 1 FROM marks k WHERE k.year = 1995 "
                         "AND k.student_id = m.student_id AND k.subject = m.subject) "
                         "QUALIFY row_number() OVER (PARTITION BY student_id, subject ORDER BY id) = 1",
@@ -283,76 +283,76 @@ ORACLE: dict[str, str] = {
     # cleaning
     "clean_marks": f"WITH {CLEAN} SELECT {WIDE_ROWS}, CAST(year_encoded AS INTEGER) AS year_encoded FROM clean",
     "impute_by_period": f"WITH {WIDE} SELECT student_id, name, year, "
-                        f"{cols('round(coalesce({s}, avg({s}) OVER (PARTITION BY year)), 4) AS {s}')} FROM wide",
+                        f"{cols('round(coalesce({s}, avg({s}) OVER (PARTITION BY year)), 6) AS {s}')} FROM wide",
     "imputation_log": f"WITH {WIDE}, filled AS (SELECT student_id, year, "
                       f"{cols('CASE WHEN {s} IS NULL THEN avg({s}) OVER (PARTITION BY year) END AS {s}')} FROM wide), "
                       f"cells AS ({long('filled', 'student_id, year', 'v')}) "
-                      "SELECT student_id, year, subject, round(v, 4) AS imputed_value FROM cells WHERE v IS NOT NULL",
+                      "SELECT student_id, year, subject, round(v, 6) AS imputed_value FROM cells WHERE v IS NOT NULL",
     "minmax_norm": f"WITH {WIDE} SELECT student_id, year, {ROUND_S}, "
-                   f"{cols('round(({s} - min({s}) OVER ()) / (max({s}) OVER () - min({s}) OVER ()), 4) AS {s}_norm')} "
+                   f"{cols('round(({s} - min({s}) OVER ()) / (max({s}) OVER () - min({s}) OVER ()), 6) AS {s}_norm')} "
                    "FROM wide",
     "nan_null": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, "
                 "count(*) FILTER (o_totalprice < 50000) AS n_missing, "
-                "round(avg(o_totalprice) FILTER (o_totalprice >= 50000), 4) AS mean, "
-                "round(max(o_totalprice) FILTER (o_totalprice >= 50000), 4) AS top FROM orders GROUP BY 1",
+                "round(avg(o_totalprice) FILTER (o_totalprice >= 50000), 6) AS mean, "
+                "round(max(o_totalprice) FILTER (o_totalprice >= 50000), 6) AS top FROM orders GROUP BY 1",
     "ensure_wide": f"WITH {MARKS} SELECT student_id, year, "
-                   f"""{cols("round(avg(CASE WHEN subject = '{s}' THEN mark END), 4) AS {s}")} """
+                   f"""{cols("round(avg(CASE WHEN subject = '{s}' THEN mark END), 6) AS {s}")} """
                    "FROM marks GROUP BY student_id, year HAVING count(mark) > 0",
     "unpivot_load": f"WITH {WIDE}, cells AS ({long('wide', 'student_id, year')}) "
-                    "SELECT student_id, year, subject, round(mark, 4) AS mark FROM cells",
+                    "SELECT student_id, year, subject, round(mark, 6) AS mark FROM cells",
     "csv_round_trip": f"WITH {CLEAN} SELECT {WIDE_ROWS}, CAST(year_encoded AS INTEGER) AS year_encoded FROM clean",
     "cohort_upload": f"WITH {WIDE}, cells AS ({long('wide', 'student_id, year')}) "
-                     f"SELECT student_id, year, subject, round(mark, 4) AS mark FROM cells WHERE year > {BASE}",
+                     f"SELECT student_id, year, subject, round(mark, 6) AS mark FROM cells WHERE year > {BASE}",
     "cohort_students": f"WITH {WIDE} SELECT DISTINCT student_id, name FROM wide w WHERE year >= {BASE} "
                        f"AND NOT EXISTS (SELECT 1 FROM wide o WHERE o.student_id = w.student_id AND o.year <= {BASE})",
     "synthetic_scores": synthetic(),
     # descriptive statistics
     "subject_averages": f"WITH {CLEAN}, cells AS ({long('clean', 'student_id')}) "
-                        "SELECT subject, round(avg(mark), 4) AS average FROM cells GROUP BY subject ORDER BY 2 DESC",
-    "entity_averages": f"WITH {WIDE} SELECT student_id, round({row_mean()}, 4) AS average FROM wide "
+                        "SELECT subject, round(avg(mark), 6) AS average FROM cells GROUP BY subject ORDER BY 2 DESC",
+    "entity_averages": f"WITH {WIDE} SELECT student_id, round({row_mean()}, 6) AS average FROM wide "
                        f"WHERE year = {NEXT} ORDER BY 2",
-    "class_progress": f"WITH {CLEAN} SELECT year, {cols('round(avg({s}), 4) AS {s}')} FROM clean GROUP BY year ORDER BY year",
+    "class_progress": f"WITH {CLEAN} SELECT year, {cols('round(avg({s}), 6) AS {s}')} FROM clean GROUP BY year ORDER BY year",
     "entity_progress": f"WITH {WIDE}, cells AS ({long('wide', 'student_id, year')}) SELECT student_id, year, subject, "
-                       "round(mark, 4) AS mark FROM cells ORDER BY student_id, subject, year",
+                       "round(mark, 6) AS mark FROM cells ORDER BY student_id, subject, year",
     "entity_comparison": f"WITH {WIDE}, cells AS ({long('wide', 'student_id, year')}) SELECT student_id, subject, "
-                         f"round(avg(mark) FILTER (year = {BASE}), 4) AS y{BASE}, "
-                         f"round(avg(mark) FILTER (year = {NEXT}), 4) AS y{NEXT} FROM cells "
+                         f"round(avg(mark) FILTER (year = {BASE}), 6) AS y{BASE}, "
+                         f"round(avg(mark) FILTER (year = {NEXT}), 6) AS y{NEXT} FROM cells "
                          f"WHERE year IN ({BASE}, {NEXT}) GROUP BY student_id, subject",
     "subject_summary": f"WITH {CLEAN}, cells AS ({long('clean', 'student_id')}) SELECT subject, "
-                       "round(avg(mark), 4) AS mean, round(median(mark), 4) AS median, "
-                       "round(stddev_samp(mark), 4) AS std FROM cells GROUP BY subject",
+                       "round(avg(mark), 6) AS mean, round(median(mark), 6) AS median, "
+                       "round(stddev_samp(mark), 6) AS std FROM cells GROUP BY subject",
     "subject_summary_raw": f"WITH {WIDE}, cells AS ({long('wide', 'student_id')}) SELECT subject, "
-                           "round(avg(mark), 4) AS mean, round(median(mark), 4) AS median, "
-                           "round(stddev_samp(mark), 4) AS std FROM cells GROUP BY subject",
-    "entity_summary": f"WITH {WIDE} SELECT student_id, name, year, round({row_mean()}, 4) AS overall_mean, "
+                           "round(avg(mark), 6) AS mean, round(median(mark), 6) AS median, "
+                           "round(stddev_samp(mark), 6) AS std FROM cells GROUP BY subject",
+    "entity_summary": f"WITH {WIDE} SELECT student_id, name, year, round({row_mean()}, 6) AS overall_mean, "
                       f"{extreme('greatest')} AS best_subject, {extreme('least')} AS worst_subject FROM wide",
     "corr_matrix": f"WITH {WIDE}, r AS ({' UNION ALL '.join(correlation(a, b, 'wide') for a in S for b in S)}) "
                    f"""SELECT feature_a AS feature, {cols("max(CASE WHEN feature_b = '{s}' THEN correlation END) AS {s}")} """
                    "FROM r GROUP BY feature_a",
-    "top_performers": f"WITH {OVERALL} SELECT student_id, name, round(overall_mean, 4) AS overall_mean FROM overall "
+    "top_performers": f"WITH {OVERALL} SELECT student_id, name, round(overall_mean, 6) AS overall_mean FROM overall "
                       "ORDER BY overall.overall_mean DESC, student_id LIMIT 3",
     "failing_entities": f"WITH {BY_STUDENT}, cells AS ({long('by_student', 'student_id, name', 'v')}) "
-                        "SELECT student_id, name, subject, round(v, 4) AS subject_avg FROM cells WHERE v < 50",
+                        "SELECT student_id, name, subject, round(v, 6) AS subject_avg FROM cells WHERE v < 50",
     "period_change": f"WITH {WIDE}, {change('wide')} SELECT student_id, name, "
-                     f"{cols('round({s}_delta, 4) AS {s}_delta')}, round(overall_delta, 4) AS overall_delta FROM change",
+                     f"{cols('round({s}_delta, 6) AS {s}_delta')}, round(overall_delta, 6) AS overall_delta FROM change",
     "overview_kpis": f"WITH {OVERALL}, {change('wide')}, top AS (SELECT * FROM overall ORDER BY overall_mean DESC, "
                      "student_id LIMIT 1), improved AS (SELECT * FROM change "
                      "ORDER BY overall_delta DESC NULLS LAST, student_id LIMIT 1) "
-                     f"SELECT (SELECT round(avg({row_mean()}), 4) FROM wide) AS class_average, "
-                     "top.student_id AS top_student, round(top.overall_mean, 4) AS top_mean, "
-                     "improved.student_id AS most_improved, round(improved.overall_delta, 4) AS best_delta "
+                     f"SELECT (SELECT round(avg({row_mean()}), 6) FROM wide) AS class_average, "
+                     "top.student_id AS top_student, round(top.overall_mean, 6) AS top_mean, "
+                     "improved.student_id AS most_improved, round(improved.overall_delta, 6) AS best_delta "
                      "FROM top, improved",
-    "entity_alerts": f"WITH {BY_STUDENT} SELECT student_id, name, round({row_mean()}, 4) AS overall_mean, "
+    "entity_alerts": f"WITH {BY_STUDENT} SELECT student_id, name, round({row_mean()}, 6) AS overall_mean, "
                      f"{extreme('greatest')} AS best_subject, {extreme('least')} AS worst_subject, "
                      f"{cols('coalesce({s} < 50, false)', sep=' OR ')} AS alert FROM by_student",
     "grade_bins": f"WITH {MARKS}, clipped AS (SELECT subject, CASE WHEN mark IS NOT NULL THEN {clip('mark')} END AS v "
                   f"FROM marks) SELECT subject, {grade_case('v')} AS grade, count(*) AS n_rows FROM clipped GROUP BY 1, 2",
     "formatted_ids": "SELECT c_custkey AS student_id, printf('S%03d', c_custkey) AS display_id, c_name AS name FROM customer",
     "prediction_log": f"WITH {MARKS} SELECT student_id, subject, CASE WHEN mark IS NOT NULL THEN "
-                      f"round({clip('mark')}, 4) END AS predicted_mark, o_orderstatus AS model_used, "
+                      f"round({clip('mark')}, 6) END AS predicted_mark, o_orderstatus AS model_used, "
                       "CAST(o_orderdate AS DATE) AS created_at FROM marks",
     "prediction_log_latest": f"WITH {MARKS} SELECT student_id, subject, CASE WHEN mark IS NOT NULL THEN "
-                             f"round({clip('mark')}, 4) END AS predicted_mark, o_orderstatus AS model_used, "
+                             f"round({clip('mark')}, 6) END AS predicted_mark, o_orderstatus AS model_used, "
                              "CAST(o_orderdate AS DATE) AS created_at FROM marks "
                              f"WHERE student_id = {STUDENT} ORDER BY o_orderdate DESC",
     # feature tables
@@ -363,8 +363,8 @@ ORACLE: dict[str, str] = {
                             "FROM (SELECT DISTINCT * EXCLUDE (id, split) FROM numbered)",
     "split_scan": f"WITH {NUMBERED} SELECT id, {ROUND_F}, label, split FROM numbered WHERE split = 'test' ORDER BY id",
     "train_test_pair": f"WITH {ENGAGEMENT} SELECT CASE split WHEN 'test' THEN 'test' ELSE 'train' END AS part, label, "
-                       "count(*) AS n_rows, round(avg(pct_attended), 4) AS mean_attended, "
-                       "round(max(pct_attended), 4) AS top_attended FROM loaded GROUP BY 1, 2",
+                       "count(*) AS n_rows, round(avg(pct_attended), 6) AS mean_attended, "
+                       "round(max(pct_attended), 6) AS top_attended FROM loaded GROUP BY 1, 2",
     "drop_null_label": f"WITH {TEXT} SELECT count(label) AS kept, count(*) FILTER (label IS NULL) AS dropped, "
                        "count(*) FILTER (label = 0) AS passes, count(*) FILTER (label = 1) AS fails FROM text_features",
     "feature_label_split": f"WITH {ENGAGEMENT} SELECT {ROUND_F} FROM engagement",
@@ -372,12 +372,12 @@ ORACLE: dict[str, str] = {
     "class_distribution": f"WITH {LABELLED} SELECT label, count(*) AS n_rows, "
                           "CASE label WHEN 0 THEN 'Pass' ELSE 'Fail' END AS class FROM labelled GROUP BY label ORDER BY label",
     "label_kpis": f"WITH {LABELLED}, k AS (SELECT count(*) AS total, count(*) FILTER (label = 0) AS passes, "
-                  "count(*) FILTER (label = 1) AS fails FROM labelled) SELECT *, round(fails / greatest(1, total), 4) "
+                  "count(*) FILTER (label = 1) AS fails FROM labelled) SELECT *, round(fails / greatest(1, total), 6) "
                   "AS fail_rate, printf('%.1f%%', 100.0 * fails / greatest(1, total)) AS fail_rate_text FROM k",
     "labelled_names": f"WITH {LABELLED} SELECT id, CASE label WHEN 0 THEN 'Pass' ELSE 'Fail' END AS class FROM labelled",
     "sentinel_null": f"WITH {ENGAGEMENT} SELECT id, {cols('nullif({s}, 0) AS {s}', QUINTILES)} FROM engagement",
     "standard_scale": f"WITH {LABELLED} SELECT id, " + cols(
-        "round(({s} - avg({s}) OVER ()) / coalesce(nullif(stddev_pop({s}) OVER (), 0), 1), 4) AS {s}", TEXT_FEATURES
+        "round(({s} - avg({s}) OVER ()) / coalesce(nullif(stddev_pop({s}) OVER (), 0), 1), 6) AS {s}", TEXT_FEATURES
     ) + " FROM labelled",
     "feature_corr_matrix": f"WITH {ENGAGEMENT} " + " UNION ALL ".join(
         correlation(a, b, "engagement") for a in FEATURES for b in FEATURES
@@ -392,13 +392,13 @@ ORACLE: dict[str, str] = {
                        "count(*) FILTER (want AND NOT got) AS flag_absent, "
                        "count(*) FILTER (NOT want AND got) AS flag_unexpected FROM r",
     # metrics
-    "logistic_squash": f"WITH {SCORED} SELECT id, label, round(score, 4) AS score, prediction FROM predicted",
+    "logistic_squash": f"WITH {SCORED} SELECT id, label, round(score, 6) AS score, prediction FROM predicted",
     "confusion_matrix": f"WITH {SCORED}, cells AS (SELECT {CELLS} FROM predicted) "
                         "SELECT 0 AS actual, 0 AS predicted, tn AS n_rows FROM cells "
                         "UNION ALL SELECT 0, 1, fp FROM cells UNION ALL SELECT 1, 0, fn FROM cells "
                         "UNION ALL SELECT 1, 1, tp FROM cells",
-    "classifier_metrics": f"WITH {CLASSIFIER} SELECT round(accuracy, 4) AS accuracy, round(f1_macro, 4) AS f1_macro, "
-                          "round(recall_fail, 4) AS recall_fail FROM bundle",
+    "classifier_metrics": f"WITH {CLASSIFIER} SELECT round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, "
+                          "round(recall_fail, 6) AS recall_fail FROM bundle",
     "roc_auc": f"WITH {CLASSIFIER} SELECT round(roc_auc, 6) AS roc_auc FROM bundle",
     "roc_curve": f"WITH {PER_SCORE} SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr "
                  "UNION ALL SELECT round(threshold, 6), round(fp / all_n, 6), round(tp / all_p, 6) FROM running "
@@ -411,26 +411,26 @@ ORACLE: dict[str, str] = {
     # regressions
     "ols_coefficients": f"WITH {FITTED} {COEFFICIENTS}",
     "ols_predictions": f"WITH {AHEAD}, cells AS ({long('ahead', 'student_id', 'v')}) SELECT student_id, subject, "
-                       "round(v, 4) AS predicted_mark, 'LinearRegression' AS model_used FROM cells",
+                       "round(v, 6) AS predicted_mark, 'LinearRegression' AS model_used FROM cells",
     "predictions_long": f"WITH {AHEAD}, cells AS ({long('ahead', 'student_id', 'v')}) SELECT student_id, subject, "
-                        "round(v, 4) AS predicted_mark FROM cells ORDER BY student_id, v",
-    "ols_cv": f"WITH {CV} SELECT 'LinearRegression' AS model, subject, round(max(rmse) FILTER (g = -1), 4) AS RMSE, "
-              "round(max(mae) FILTER (g = -1), 4) AS MAE, round(avg(rmse) FILTER (g >= 0), 4) AS mean, "
-              "round(stddev_pop(rmse) FILTER (g >= 0), 4) AS std FROM fold_rmse GROUP BY subject",
+                        "round(v, 6) AS predicted_mark FROM cells ORDER BY student_id, v",
+    "ols_cv": f"WITH {CV} SELECT 'LinearRegression' AS model, subject, round(max(rmse) FILTER (g = -1), 6) AS RMSE, "
+              "round(max(mae) FILTER (g = -1), 6) AS MAE, round(avg(rmse) FILTER (g >= 0), 6) AS mean, "
+              "round(stddev_pop(rmse) FILTER (g >= 0), 6) AS std FROM fold_rmse GROUP BY subject",
     "fold_sizes": f"WITH {FOLDED} SELECT fold, count(*) AS n_rows, min(student_id) AS first_id, "
                   "max(student_id) AS last_id FROM folded GROUP BY fold",
     "rmse_mae": f"WITH {PAIRS} " + " UNION ALL ".join(
-        f"SELECT '{s}' AS subject, round(sqrt(avg(({s}_next - {s}) ** 2)), 4) AS RMSE, "
-        f"round(avg(abs({s}_next - {s})), 4) AS MAE, round(least(min({s}), min({s}_next)), 4) AS low, "
-        f"round(greatest(max({s}), max({s}_next)), 4) AS high FROM pairs" for s in S
+        f"SELECT '{s}' AS subject, round(sqrt(avg(({s}_next - {s}) ** 2)), 6) AS RMSE, "
+        f"round(avg(abs({s}_next - {s})), 6) AS MAE, round(least(min({s}), min({s}_next)), 6) AS low, "
+        f"round(greatest(max({s}), max({s}_next)), 6) AS high FROM pairs" for s in S
     ),
     "actual_vs_predicted": f"WITH {FITTED} " + " UNION ALL ".join(
-        f"SELECT r.student_id, 'LinearRegression' AS model, '{s}' AS subject, round(r.{s}_next, 4) AS y_true, "
-        f"round({linear(s)}, 4) AS y_pred FROM pairs r, coef c" for s in S
+        f"SELECT r.student_id, 'LinearRegression' AS model, '{s}' AS subject, round(r.{s}_next, 6) AS y_true, "
+        f"round({linear(s)}, 6) AS y_pred FROM pairs r, coef c" for s in S
     ),
     "entity_report": f"WITH {AHEAD}, {change('clean')} SELECT g.student_id, g.name, "
-                     f"{cols('round({s}_1997, 4) AS {s}_1997')}, {cols('round({s}_1998, 4) AS {s}_1998')}, "
-                     f"{cols('round({s}_delta, 4) AS {s}_delta')}, round(overall_delta, 4) AS overall_delta, "
-                     f"{cols('round(a.{s}, 4) AS {s}_predicted')} FROM change g JOIN ahead a ON a.student_id = g.student_id",
+                     f"{cols('round({s}_1997, 6) AS {s}_1997')}, {cols('round({s}_1998, 6) AS {s}_1998')}, "
+                     f"{cols('round({s}_delta, 6) AS {s}_delta')}, round(overall_delta, 6) AS overall_delta, "
+                     f"{cols('round(a.{s}, 6) AS {s}_predicted')} FROM change g JOIN ahead a ON a.student_id = g.student_id",
     "pooled_pairs_model": f"WITH {POOLED}, one AS (SELECT 1 AS g, * FROM pooled), {solve('one')} {COEFFICIENTS}",
 }

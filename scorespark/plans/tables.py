@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double column rounded, so that summation order does not show."""
     return df.withColumns({
         f.name: F.round(F.col(f"`{f.name}`"), digits)
@@ -120,8 +120,8 @@ def engagement(spark: SparkSession, sf: str) -> DataFrame:
         "gender": nation % 2,
         "age": 18 + 2 * nation,
         "logins": 10 * F.col("n"),
-        "total_hours": F.col("spent") / 50000,
-        "pct_avg_hours": F.col("spent") / 400000,
+        "total_hours": F.col("spent") / 70000,
+        "pct_avg_hours": F.col("spent") / 350000,
         "presence_count": F.col("present"),
         "absence_count": F.col("n") - F.col("present"),
         "pct_attended": 100 * F.col("present") / F.col("n"),
