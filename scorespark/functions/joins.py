@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
+
 BROADCAST_ROWS = 100_000
 
 
@@ -13,7 +15,9 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``small`` when it has at most ``max_rows`` rows, else join by shuffle.
 
-    The check stops reading after ``max_rows`` + 1 rows.
+    ``small`` is an aggregate of something large, so it is staged: computed once for
+    both the count and the join.
     """
-    few = small.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(small) if few else small, list(on), how)
+    staged = stage(small, "small")
+    few = staged.count() <= max_rows
+    return big.join(F.broadcast(staged) if few else staged, list(on), how)

@@ -27,8 +27,10 @@ def get_vle_feature_columns(df: DataFrame, features: Sequence[str] = FEATURES) -
     return [c for c in df.columns if c not in (LABEL, "id", SPLIT)]
 
 
-def features_and_labels(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
-    """(features without id, label and split; the label column)."""
+def features_and_labels(df: DataFrame, split: str = "all", label: str = LABEL) -> tuple[DataFrame, DataFrame]:
+    """(features without id, label and split; the label column) of one split, or of all rows."""
+    if split != "all":
+        df = df.where(F.col(SPLIT) == split)
     return df.drop("id", label, SPLIT), df.select(ref(label))
 
 

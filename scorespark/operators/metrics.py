@@ -120,7 +120,8 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = (), label: str = "label", s
         F.try_divide("n_running", "_neg").alias("fpr"),
         F.try_divide("p_running", "_pos").alias("tpr"),
     )
-    start = totals.select(
+    groups = totals.select(*by) if by else scored.sparkSession.range(1)
+    start = groups.select(
         *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return start.unionByName(curve)
@@ -141,6 +142,13 @@ def evaluate_classifier(scored: DataFrame, by: Sequence[str] = (), label: str =
     return metrics.select(*by, "accuracy", "f1_macro", "roc_auc", "recall_fail")
 
 
+def best_classifier(metrics: DataFrame) -> DataFrame:
+    """The classifier row with the highest recall of failures, then the highest ROC area."""
+    return metrics.orderBy(
+        F.col("recall_fail").desc_nulls_last(), F.col("roc_auc").desc_nulls_last(), "model"
+    ).limit(1)
+
+
 def best_by(metrics: DataFrame, task: str = "subject", metric: str = "RMSE", name: str = "model") -> DataFrame:
     """The row with the lowest metric per task; a tie goes to the smaller name."""
     rest = [c for c in metrics.columns if c not in (task, metric, name)]

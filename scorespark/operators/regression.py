@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import fold_number, fold_starts
 from ..functions.scalar import clamp, ref
-from ..schema import ENTITY, SCORE_MAX, SCORE_MIN, SUBJECTS, require_columns
-from .metrics import regression_metrics
+from ..schema import ENTITY, PERIOD, SCORE_MAX, SCORE_MIN, SUBJECTS, require_columns
+from .metrics import best_by, regression_metrics
+from .stats import year_on_year
 
 CENTRE = (SCORE_MIN + SCORE_MAX) / 2
 PARALLEL_FITS = 4
@@ -331,6 +332,24 @@ def evaluate_all_models(pairs: DataFrame, fitted: Mapping[tuple[str, str], objec
     return in_sample.join(parts, ["model", "subject"])
 
 
+def student_report(clean: DataFrame, fitted: Mapping[tuple[str, str], object], errors: DataFrame,
+                   base: int, following: int, subjects: Sequence[str] = SUBJECTS) -> DataFrame:
+    """Per student: both years, the changes, and ``{s}_predicted`` from the subject's best model.
+
+    ``errors`` holds (model, subject, RMSE); the model with the lowest RMSE predicts.
+    """
+    best = {r["subject"]: r["model"] for r in best_by(errors).collect()}  # one row per subject
+    chosen = {(best[s], s): fitted[best[s], s] for s in subjects}
+    current = clean.where(F.col(PERIOD) == following)
+    base_row = current.select(
+        ENTITY, F.lit(1).alias("year_encoded"), *[ref(s).cast("double").alias(s) for s in subjects]
+    )
+    ahead = predict_columns(base_row, chosen, subjects).select(
+        ENTITY, *[clamp(ref(f"{best[s]}|{s}")).alias(f"{s}_predicted") for s in subjects]
+    )
+    return year_on_year(clean, base, following, subjects).join(ahead, ENTITY)
+
+
 def prediction_intervals(rows: DataFrame, forest, subjects: Sequence[str] = SUBJECTS,
                          keys: Sequence[str] = (ENTITY,), z: float = 1.96) -> DataFrame:
     """Forest mean with a 95% band from the spread of its trees; map-only per row."""

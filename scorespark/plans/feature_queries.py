@@ -99,12 +99,12 @@ def drop_null_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_label_split(spark: SparkSession, sf: str) -> DataFrame:
-    x, _ = classify.features_and_labels(engagement(spark, sf))
+    x, _ = classify.features_and_labels(engagement(spark, sf), "original")
     return rounded(x)
 
 
 def label_column(spark: SparkSession, sf: str) -> DataFrame:
-    _, y = classify.features_and_labels(engagement(spark, sf))
+    _, y = classify.features_and_labels(engagement(spark, sf), "original")
     return y
 
 
@@ -233,6 +233,11 @@ def classifier_eval(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(result)
 
 
+def best_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _split(spark, sf)
+    return rounded(metrics.best_classifier(classify.evaluate_classifiers(test, _fit(train))))
+
+
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _split(spark, sf)
     risk = classify.RiskModels(TEXT_FEATURES, cleaning.fit_standard(train, TEXT_FEATURES), {})
@@ -245,5 +250,5 @@ QUERIES = {f.__name__: f for f in [
     standard_scale, feature_corr_matrix, domain_violations, within_domain, flag_rule_check,
     logistic_squash, confusion_matrix, classifier_metrics, roc_auc, roc_curve, classifier_bundle,
     quality_gates, label_log, logistic_scores, forest_scores, feature_importance, classifier_eval,
-    grid_search,
+    best_classifier, grid_search,
 ]}

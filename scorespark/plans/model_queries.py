@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ordering import fold_number, fold_starts
 from ..functions.scalar import ref
-from ..operators import metrics, regression, reshape, stats, tables as ops
+from ..operators import metrics, quality, regression, reshape, stats, tables as ops
 from ..session import scratch_path, stage
 from ..sources import models as store
 from .tables import BASE, NEXT, SUBJECTS, clean, rounded, staged_pairs
@@ -15,7 +15,8 @@ FOLDS = 5
 
 
 def _clean_and_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    c = stage(clean(spark, sf), "clean")
+    """The clean table, a projection of one staged table, and its pairs."""
+    c = clean(spark, sf)
     return c, ops.build_regression_dataset(c, SUBJECTS, BASE, NEXT)
 
 
@@ -80,13 +81,33 @@ def actual_vs_predicted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(regression.actual_vs_predicted(p, fitted, SUBJECTS))
 
 
+def _report(spark: SparkSession, sf: str, models: list[str]) -> DataFrame:
+    c, p = _clean_and_pairs(spark, sf)
+    p = stage(p, "pairs")
+    fitted = regression.train_regressors(p, SUBJECTS, models)
+    errors = metrics.regression_metrics(
+        regression.actual_vs_predicted(p, fitted, SUBJECTS), ("model", "subject")
+    )
+    return rounded(regression.student_report(c, fitted, errors, BASE, NEXT, SUBJECTS))
+
+
 def entity_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per student: both years, the changes and the linear model's prediction."""
-    c, p = _clean_and_pairs(spark, sf)
+    return _report(spark, sf, ["LinearRegression"])
+
+
+def entity_report_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The report with the better of the linear and the tree model per subject."""
+    return _report(spark, sf, ["LinearRegression", "DecisionTree"])
+
+
+def regression_gates(spark: SparkSession, sf: str) -> DataFrame:
+    p = staged_pairs(spark, sf)
     fitted = regression.train_regressors(p, SUBJECTS, ["LinearRegression"])
-    ahead = regression.predict_next_wide(_current(c), fitted, "LinearRegression", SUBJECTS)
-    ahead = ahead.withColumnsRenamed({s: f"{s}_predicted" for s in SUBJECTS})
-    return rounded(stats.year_on_year(c, BASE, NEXT, SUBJECTS).join(ahead, "student_id"))
+    errors = metrics.regression_metrics(
+        regression.actual_vs_predicted(p, fitted, SUBJECTS), ("model", "subject")
+    )
+    return quality.regression_gates(errors)
 
 
 # --- trees -----------------------------------------------------------------------------
@@ -140,13 +161,13 @@ def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def pooled_pairs_model(spark: SparkSession, sf: str) -> DataFrame:
     """The linear model fitted on every consecutive pair of years."""
-    c = stage(clean(spark, sf), "clean")
+    c = clean(spark, sf)
     fit = regression.fit_linear(ops.consecutive_pairs(c, SUBJECTS), SUBJECTS)
     return rounded(spark.createDataFrame(fit.rows(), "subject string, feature string, coefficient double"))
 
 
 QUERIES = {f.__name__: f for f in [
     ols_coefficients, ols_predictions, predictions_long, ols_cv, fold_sizes, rmse_mae,
-    actual_vs_predicted, entity_report, tree_predictions, forest_predictions, prediction_intervals,
+    actual_vs_predicted, entity_report, entity_report_best, regression_gates, tree_predictions, forest_predictions, prediction_intervals,
     regression_evaluation, best_model, model_round_trip, pooled_pairs_model,
 ]}

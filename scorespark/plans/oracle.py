@@ -19,7 +19,7 @@ def cols(template: str, names=S, sep: str = ", ") -> str:
 MARKS = """marks AS (
   SELECT o_orderkey AS id, o_custkey AS student_id, CAST(year(o_orderdate) AS INTEGER) AS year,
          lower(replace(substr(o_orderpriority, 3), ' ', '_')) AS subject,
-         CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 4500.0 END AS mark,
+         CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 4507.0 END AS mark,
          o_orderdate, o_orderstatus
   FROM orders)"""
 WIDE = MARKS + f""", wide AS (
@@ -53,9 +53,9 @@ text_features AS (
          {_share(DIGITS)} AS digit_ratio, {_share(CAPITALS)} AS upper_ratio,
          {_share(PUNCTUATION)} AS punct_ratio,
          CAST(len(list_distinct(w)) AS DOUBLE) / len(w) AS distinct_ratio,
-         CAST(substr(source, 6) AS DOUBLE) AS source_no,
+         CAST(substr(source, 4) AS DOUBLE) AS source_no,
          CAST(1 - quality AS INTEGER) AS label,
-         CASE WHEN CAST(substr(source, 6) AS INTEGER) >= 16 THEN 'test' ELSE 'original' END AS split
+         CASE WHEN CAST(substr(source, 4) AS INTEGER) >= 16 THEN 'test' ELSE 'original' END AS split
   FROM words d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 LABELLED = TEXT + ", labelled AS (SELECT * FROM text_features WHERE label IS NOT NULL)"
 ENGAGEMENT = """per AS (
@@ -195,7 +195,7 @@ def draw(index: str, salt: int, low: int, high: int) -> str:
 
 def synthetic() -> str:
     subjects = ["Math", "Physics", "CS", "English", "Statistics"]
-    missing = {2024: [(2, 1), (5, 3)], 2025: [(9, 6)]}
+    missing = {2024: [(2, 1), (5, 3)], 2025: [(9, 4)]}
     parts = []
     for i, subject in enumerate(subjects):
         index = f"c_custkey * 5 + {i}"
@@ -367,8 +367,8 @@ ORACLE: dict[str, str] = {
                        "round(max(pct_attended), 6) AS top_attended FROM loaded GROUP BY 1, 2",
     "drop_null_label": f"WITH {TEXT} SELECT count(label) AS kept, count(*) FILTER (label IS NULL) AS dropped, "
                        "count(*) FILTER (label = 0) AS passes, count(*) FILTER (label = 1) AS fails FROM text_features",
-    "feature_label_split": f"WITH {ENGAGEMENT} SELECT {ROUND_F} FROM engagement",
-    "label_column": f"WITH {ENGAGEMENT} SELECT label FROM engagement",
+    "feature_label_split": f"WITH {ENGAGEMENT} SELECT {ROUND_F} FROM engagement WHERE split = 'original'",
+    "label_column": f"WITH {ENGAGEMENT} SELECT label FROM engagement WHERE split = 'original'",
     "class_distribution": f"WITH {LABELLED} SELECT label, count(*) AS n_rows, "
                           "CASE label WHEN 0 THEN 'Pass' ELSE 'Fail' END AS class FROM labelled GROUP BY label ORDER BY label",
     "label_kpis": f"WITH {LABELLED}, k AS (SELECT count(*) AS total, count(*) FILTER (label = 0) AS passes, "
@@ -432,5 +432,6 @@ ORACLE: dict[str, str] = {
                      f"{cols('round({s}_1997, 6) AS {s}_1997')}, {cols('round({s}_1998, 6) AS {s}_1998')}, "
                      f"{cols('round({s}_delta, 6) AS {s}_delta')}, round(overall_delta, 6) AS overall_delta, "
                      f"{cols('round(a.{s}, 6) AS {s}_predicted')} FROM change g JOIN ahead a ON a.student_id = g.student_id",
+    "regression_gates": f"WITH {CV} SELECT bool_and(rmse < 20) AS rmse_ok FROM fold_rmse WHERE g = -1",
     "pooled_pairs_model": f"WITH {POOLED}, one AS (SELECT 1 AS g, * FROM pooled), {solve('one')} {COEFFICIENTS}",
 }

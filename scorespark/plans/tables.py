@@ -1,7 +1,7 @@
 """The given tables seen as scores, students and feature tables.
 
 * an order is a mark: customer = student, order year = year, priority = subject,
-  price / 4500 = mark; an order in status P has no mark yet
+  price / 4507 = mark; an order in status P has no mark yet
 * a labelled document is a row of text features with label 1 = not of good quality
 * a customer is a row of the nineteen engagement features, label 1 = balance below 0
 """
@@ -45,7 +45,7 @@ def marks(spark: SparkSession, sf: str, *extra: Column) -> DataFrame:
         F.col("o_custkey").alias("student_id"),
         F.year("o_orderdate").alias("year"),
         F.lower(F.replace(F.substring("o_orderpriority", 3, 20), F.lit(" "), F.lit("_"))).alias("subject"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 4500.0).alias("mark"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 4507.0).alias("mark"),
         *extra,
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.headers import drop_padding, keep_known, rename_exact, rename_loose
 from ..functions.ordering import row_numbers
 from ..functions.scalar import parse_number, ref
-from ..operators.tables import drop_missing_label, keep_first, label_load_report, union_sources
+from ..operators.tables import drop_missing_label, label_load_report, union_sources
 from ..schema import FEATURE_SCHEMA, FEATURES, LABEL, SOURCE_HEADERS, SPLIT
 from ..session import path_exists, stage
 from .marks import read_text_csv
@@ -62,15 +62,19 @@ def load_or_empty(spark: SparkSession, path: str) -> DataFrame:
 def combine_sources(frames: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """Union of tagged tables without duplicates; the earlier source keeps a shared row.
 
-    Rows without a label stay, so that they can be counted.
+    Rows without a label stay, so that they can be counted. Copies differ in their
+    source only, so the smallest source number per row is all there is to keep: one
+    hash aggregation that combines map-side.
     """
     tagged = [
-        df.withColumns({SPLIT: F.lit(split), "_rank": F.lit(rank)})
-        for rank, (df, split) in enumerate(frames)
+        df.drop(SPLIT).withColumn("_rank", F.lit(rank)) for rank, (df, _) in enumerate(frames)
     ]
     union = union_sources(*tagged)
-    subset = [c for c in union.columns if c not in (SPLIT, "_rank")]
-    return keep_first(union, subset, ["_rank"]).drop("_rank")
+    columns = [c for c in union.columns if c != "_rank"]
+    splits = F.array(*[F.lit(split) for _, split in frames])
+    return union.groupBy(*[ref(c) for c in columns]).agg(F.min("_rank").alias("_rank")).select(
+        *[ref(c) for c in columns], F.get(splits, F.col("_rank")).alias(SPLIT)
+    )
 
 
 def build_feature_table(spark: SparkSession, sources: Sequence[tuple[str, str]], target: str) -> DataFrame:
