@@ -15,7 +15,7 @@ from ..functions.scalar import ref
 from ..schema import FEATURES, LABEL, SPLIT
 from .cleaning import fit_standard, standard_scale
 from .metrics import evaluate_classifier
-from .regression import assemble, fixed_layout, run_parallel
+from .regression import assemble, fixed_layout, kept, run_parallel
 
 Scaler = Mapping[str, tuple[float, float]]
 
@@ -104,7 +104,8 @@ def train_classifiers(train: DataFrame, features: Sequence[str] = FEATURES, labe
         )
         return lambda: estimator.fit(ready)
 
-    fitted = run_parallel(train.sparkSession, [job(m) for m in models])
+    with kept(ready):
+        fitted = run_parallel(train.sparkSession, [job(m) for m in models])
     return RiskModels(list(features), scaler, dict(zip(models, fitted)))
 
 
@@ -166,7 +167,8 @@ def grid_search(train: DataFrame, risk: RiskModels, grid: Mapping[str, Sequence]
         estimator=estimator, estimatorParamMaps=maps, numFolds=folds, seed=42, parallelism=parallelism,
         evaluator=BinaryClassificationEvaluator(labelCol="_label"),
     )
-    averages = search.fit(ready).avgMetrics
+    with kept(ready):
+        averages = search.fit(ready).avgMetrics
     rows = [
         (*[float(m[estimator.getParam(name)]) for name in grid], float(a)) for m, a in zip(maps, averages)
     ]

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
@@ -167,6 +168,16 @@ def fixed_layout(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(partitions, ref(key)).sortWithinPartitions(ref(key))
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """Cache ``df`` while several fits read it; a lost block is computed again from the input."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def run_parallel(spark, jobs: Sequence[Callable]) -> list:
     """Run independent fits side by side; each is its own set of Spark jobs."""
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
@@ -195,7 +206,8 @@ def train_regressors(pairs: DataFrame, subjects: Sequence[str] = SUBJECTS,
             estimator = REGRESSORS[m](featuresCol="features", labelCol=f"{s}_next", **params.get(m, {}))
             return lambda: estimator.fit(ready.select("features", ref(f"{s}_next")))
 
-        fitted.update(zip(keys, run_parallel(pairs.sparkSession, [job(m, s) for m, s in keys])))
+        with kept(ready):
+            fitted.update(zip(keys, run_parallel(pairs.sparkSession, [job(m, s) for m, s in keys])))
     return fitted
 
 
@@ -300,7 +312,8 @@ def cross_validate(pairs: DataFrame, starts: Sequence, model: str, subjects: Seq
             estimator = REGRESSORS[model](featuresCol="features", labelCol=f"{s}_next", **(params or {}))
             return lambda: estimator.fit(numbered.where(F.col("_fold") != f))
 
-        fitted = dict(zip(tasks, run_parallel(pairs.sparkSession, [job(s, f) for s, f in tasks])))
+        with kept(numbered):
+            fitted = dict(zip(tasks, run_parallel(pairs.sparkSession, [job(s, f) for s, f in tasks])))
         frames = None
         for f in range(len(starts) + 1):
             held_out = pairs.where(fold == f)

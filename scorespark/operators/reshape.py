@@ -54,9 +54,15 @@ def require_rows(df: DataFrame, what) -> DataFrame:
     return df
 
 
+def _rows_of(wide: DataFrame, student_id) -> DataFrame:
+    if student_id is None:
+        return wide
+    return require_rows(wide.where(F.col(ENTITY) == F.lit(student_id)), student_id)
+
+
 def progress_series(wide: DataFrame, student_id=None, subjects: Sequence[str] = SUBJECTS) -> DataFrame:
-    """Year-ordered series per subject of one student, or of all students."""
-    rows = wide if student_id is None else wide.where(F.col(ENTITY) == F.lit(student_id))
+    """Year-ordered series per subject of one student, or of all; an unknown student is a ``ValueError``."""
+    rows = _rows_of(wide, student_id)
     return melt_scores(rows, (ENTITY, PERIOD), subjects).orderBy(ENTITY, CATEGORY, PERIOD)
 
 
@@ -65,10 +71,9 @@ def subject_by_year(wide: DataFrame, years: Sequence[int], student_id=None,
     """One row per student and subject, one column ``y{year}`` per year.
 
     The years are folded per student before the subjects become rows, so the
-    shuffle carries one row per student and year.
+    shuffle carries one row per student and year. An unknown student is a ``ValueError``.
     """
-    rows = wide if student_id is None else wide.where(F.col(ENTITY) == F.lit(student_id))
-    rows = rows.where(F.col(PERIOD).isin(list(years)))
+    rows = _rows_of(wide, student_id).where(F.col(PERIOD).isin(list(years)))
     folded = rows.groupBy(ENTITY).agg(*[
         F.struct(*[
             F.avg(F.when(F.col(PERIOD) == y, ref(s))).alias(f"y{y}") for y in years

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.scalar import clamp
-from ..schema import CATEGORY, ENTITY, PERIOD, SCORE, SUBJECTS
+from ..functions.scalar import clamp, format_entity_id
+from ..schema import BASE_YEAR, CATEGORY, ENTITY, NAME, NEXT_YEAR, PERIOD, SCORE, SUBJECTS
 
 # --- fixed values: range of first-period scores and of the later change --------
 BASE_RANGE = (50, 95)
@@ -51,3 +51,12 @@ def synthetic_scores(students: DataFrame, number: str, periods: Sequence[int],
                 F.lit(period).alias(PERIOD), F.lit(subject).alias(CATEGORY), score.alias(SCORE)
             ))
     return students.select(ENTITY, F.inline(F.array(*cells)))
+
+
+def generate_cohort(spark: SparkSession, n: int, periods: Sequence[int] = (BASE_YEAR, NEXT_YEAR),
+                    subjects: Sequence[str] = SUBJECTS, seed: int = 42,
+                    missing: dict[int, Sequence[tuple[int, int]]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(students, marks) of n new students S001, S002, ...; made in parallel from a range."""
+    numbered = spark.range(n).select("id", format_entity_id(F.col("id") + 1).alias(ENTITY))
+    students = numbered.select(ENTITY, F.concat(F.lit("Student "), F.col("id") + 1).alias(NAME))
+    return students, synthetic_scores(numbered, "id", periods, subjects, seed, missing)

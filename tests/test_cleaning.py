@@ -108,4 +108,8 @@ def test_wide_and_long(spark):
     assert sorted(tuple(r) for r in back) == [("a", 2024, "CS", 5.0), ("a", 2024, "Math", 15.0)]
     assert reshape.student_rows(wide, "a", 2024).count() == 1
     with pytest.raises(ValueError):
-        reshape.require_rows(reshape.student_rows(wide, "zz"), "zz")
+        reshape.progress_series(wide, "zz", ["Math", "CS"])
+    assert reshape.progress_series(wide, "a", ["Math", "CS"]).count() == 2
+    with pytest.raises(ValueError):
+        reshape.subject_by_year(wide, [2024], "zz", ["Math", "CS"])
+    assert reshape.subject_by_year(wide, [2024], "a", ["Math"]).collect()[0]["y2024"] == 15.0

@@ -167,5 +167,7 @@ def test_synthetic_scores(spark):
     assert a.count() == 2000 and a.where("mark IS NULL").count() == 1
     low, high = a.where("year = 2024").agg(F.min("mark"), F.max("mark")).first()
     assert 50 <= low and high <= 95
+    made, marks = synthetic.generate_cohort(spark, 15)
+    assert marks.count() == 150 and made.where("student_id = 'S015'").count() == 1
     low, high = a.where("year = 2025").agg(F.min("mark"), F.max("mark")).first()
     assert 0 <= low and high <= 100
