@@ -50,13 +50,13 @@ def logistic_regression(n_rows: int, **params) -> LogisticRegression:
     """L2 penalty of strength C = 1: the loss is averaged here, so the weight is 1 / rows."""
     defaults = {
         "maxIter": 1000, "regParam": 1.0 / n_rows, "elasticNetParam": 0.0,
-        "standardization": False, "tol": 1e-8,
+        "standardization": False,
     }
     return LogisticRegression(**{**defaults, **params})
 
 
 def forest_classifier(n_rows: int, **params) -> RandomForestClassifier:
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "sqrt", "maxDepth": 10, "maxBins": 64, "seed": 42}
+    defaults = {"numTrees": 100, "featureSubsetStrategy": "sqrt", "maxDepth": 10, "seed": 42}
     return RandomForestClassifier(**{**defaults, **params})
 
 

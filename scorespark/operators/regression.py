@@ -22,7 +22,7 @@ from .stats import year_on_year
 
 CENTRE = (SCORE_MIN + SCORE_MAX) / 2
 PARALLEL_FITS = 4
-ROWS_PER_FIT_TASK = 20_000
+ROWS_PER_FIT_TASK = 1_000
 
 
 # --- least squares ---------------------------------------------------------------
@@ -93,11 +93,17 @@ def _moments(df: DataFrame, names: Sequence[str], group: Column, centre: float)
         *[(ref(c).cast("double") - F.lit(centre)).alias(f"x{i}") for i, c in enumerate(names)],
     )
     k = len(names)
+    missing = F.col("x0").isNull()
+    for i in range(1, k):
+        missing = missing | F.col(f"x{i}").isNull()
     rows = shifted.groupBy("_group").agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_if(missing).alias("missing"),
         *[F.sum(f"x{i}").alias(f"s{i}") for i in range(k)],
         *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)],
     ).collect()  # one row per fold
+    if any(r["missing"] for r in rows):
+        raise ValueError("scores to fit on are missing; fill them first")
     return {r["_group"]: _Moments(names, r) for r in rows}
 
 
@@ -137,7 +143,7 @@ def decision_tree(**params) -> DecisionTreeRegressor:
 
 def random_forest(**params) -> RandomForestRegressor:
     """100 trees on all features. Depth is bounded: a tree of depth d has up to 2^d nodes."""
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 10, "maxBins": 64, "seed": 42}
+    defaults = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 10, "seed": 42}
     return RandomForestRegressor(**{**defaults, **params})
 
 

@@ -65,11 +65,10 @@ def feature_table_report(spark: SparkSession, sf: str) -> DataFrame:
 def split_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The stored table read back by split; ids number the rows in a fixed order."""
     target = scratch_path(spark, "features")
-    test_only = engagement(spark, sf).where(F.col(SPLIT) == "test")
-    rest = engagement(spark, sf).where(F.col(SPLIT) != "test")
+    rows = stage(engagement(spark, sf), "engagement")
     a, b = scratch_path(spark, "a-csv"), scratch_path(spark, "b-csv")
-    _write_messy(rest, a)
-    _write_messy(test_only, b)
+    _write_messy(rows.where(F.col(SPLIT) != "test"), a)
+    _write_messy(rows.where(F.col(SPLIT) == "test"), b)
     files.build_feature_table(spark, [(a, "original"), (b, "test")], target)
     stored = spark.read.parquet(target)
     return rounded(logs.get_vle_data(stored, "test").select("id", *FEATURES, LABEL, SPLIT))

@@ -48,6 +48,8 @@ def test_dependent_features_give_finite_fit(spark, pairs):
     assert fit.weights["Math"]["CS"] == 0.0 and math.isfinite(fit.intercepts["Math"])
     with pytest.raises(ValueError):
         regression.fit_linear(pairs.where("false"), SUBJ)
+    with pytest.raises(ValueError, match="missing"):
+        regression.fit_linear(pairs.withColumn("CS", F.expr("CASE WHEN Math > 60 THEN CS END")), SUBJ)
 
 
 def test_cross_validation_equals_contiguous_folds(pairs):
