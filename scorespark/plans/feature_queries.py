@@ -18,7 +18,7 @@ from .tables import TEXT_FEATURES, engagement, rounded, text_features
 def _messy_headers() -> dict[str, str]:
     """Canonical name -> header as sources spell it: byte-order mark, blanks, notes, case."""
     headers = dict(SOURCE_HEADERS)
-    headers["gender"] = "﻿" + headers["gender"]
+    headers["gender"] = "\ufeff" + headers["gender"]
     headers["gaps_gcse_quintile"] += " "
     headers["age"] = headers["age"].lower()
     headers["attending_from_home"] += " (yes=1, no=0)"

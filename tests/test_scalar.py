@@ -52,7 +52,7 @@ def test_period_labels_formats_grades(spark):
 def test_headers_match_three_spellings():
     table = headers.alias_table()
     for name, source in SOURCE_HEADERS.items():
-        for spelling in (source, f" {source.upper()} ", f"{source} (yes=1, no=0)", "﻿" + source):
+        for spelling in (source, f" {source.upper()} ", f"{source} (yes=1, no=0)", "\ufeff" + source):
             assert table[headers.header_key(spelling)] == name
 
 

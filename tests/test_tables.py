@@ -120,7 +120,7 @@ def test_quality(spark):
 
 
 def test_feature_table_from_files(spark):
-    head = "﻿Gender, age ,Count of Module Area Logins,Percent Attended,\"label (fail=1, pass=0)\",,"
+    head = "\ufeffGender, age ,Count of Module Area Logins,Percent Attended,\"label (fail=1, pass=0)\",,"
     full, test, target = (scratch_path(spark, n) for n in ("full", "test", "table"))
     write_text(spark, full, [head, "0,20,5,50,1,,", "1,21,x,60,0,,", ",,,,,,", ",,,,,,"])
     write_text(spark, test, [head, "0,20,5,50,1,,", "1,30,7,70,0,,"])
