@@ -24,6 +24,58 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM q
 """
 
+# shingles by list slices; links from shared shingles; the smallest id reachable by a recursive walk
+OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), walk AS (
+  SELECT doc_id AS r, doc_id AS d FROM documents
+  UNION
+  SELECT r, b FROM walk JOIN links ON a = d WHERE b > r
+), low AS (
+  SELECT d, min(r) AS r FROM walk GROUP BY 1
+), walk2 AS (
+  SELECT d, r FROM low
+  UNION
+  SELECT b, r FROM walk2 JOIN links ON a = d
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(r) AS component_id FROM walk2 GROUP BY 1) c ON c.d = w.doc_id
+"""
+
+# hexadecimal texts: byte i is characters 2i+1 and 2i+2
+OP4 = """
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) > 1 AS again
+  FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)
+), gone AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM win WHERE again
+), runs AS (
+  SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (
+    SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone
+  ) GROUP BY doc_id, g
+), cut AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM runs
+), left_over AS (
+  SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS k, sum(e - s)::BIGINT AS gone, count(*) AS spans, max(e) AS e
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k || substr(h, 2 * e + 1), h))) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
 ORACLE = {
+    "op1_tensored_minhash": OP1,
+    "op4_cover_suffix_dedup": OP4,
     "op3_prefix_sum_shards": OP3,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorespark.llm import sharding
+from scorespark.llm import minhash, repeats, sharding
 from scorespark.llm.common import table
 
 
@@ -16,6 +16,20 @@ def op3_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: four words, similarity 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op4_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a 100-byte string covers which also starts earlier."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op1_tensored_minhash": op1_tensored_minhash,
+    "op4_cover_suffix_dedup": op4_cover_suffix_dedup,
     "op3_prefix_sum_shards": op3_prefix_sum_shards,
 }
