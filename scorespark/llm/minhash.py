@@ -90,22 +90,31 @@ def _confirm_class(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with 100 * intersection >= percent * union of their full sets."""
+    """Pairs with 100 * intersection >= percent * union of their full sets, and what b has that a has not."""
     last, left = None, None
     for batch in batches:
-        linked = []
+        linked, extra = [], []
         for a, text_a, text_b in zip(*(batch.column(i) for i in (0, 2, 3))):
             if a.as_py() != last:
                 last, left = a.as_py(), shingles(text_a.as_py(), k)
             right = shingles(text_b.as_py(), k)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            linked.append(100 * both >= percent * (len(left) + len(right) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
-                                         names=["a", "b", "linked"])
+            more = np.setdiff1d(right, left, assume_unique=True)
+            both = len(right) - len(more)
+            linked.append(100 * both >= percent * (len(left) + len(more)))
+            extra.append(more.view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(extra, pa.list_(pa.int64()))],
+            names=["a", "b", "linked", "extra"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t.as_py(), k).view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "hs"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
-                    m: int = 12, half: int = 3, seed: int = 1) -> DataFrame:
+                    m: int = 12, half: int = 3, seed: int = 1, rare: int = 64) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents are linked if their sets of k-word shingles have a Jaccard
@@ -114,11 +123,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose id it is. With the defaults a pair at exactly 0.8 that nothing else
     connects is missed with probability 0.0004, at 0.9 with 4e-7.
 
-    Equal sets are one class from the start, so copies cost one row. A table
-    bucket compares one pivot with its members, then closes if they all are in
-    one component; otherwise the next pivots (1, 8, 64, ...) are compared with
-    members of other components until each pair across components is tested.
-    Nothing is capped, and pairs inside a component are never made.
+    Equal sets are one class from the start, so copies cost one row. A class is
+    first compared with the smallest pivot of its buckets. Buckets whose
+    members then are in one component are closed. In the others two classes
+    share at most their shingles of ``rare`` or fewer classes, which are joined
+    and counted, and the smaller number of their other shingles; where that
+    bound is below the threshold, no pair is made. Pairs that could link by
+    the other shingles alone are tested in rounds: 1, 8, 64, ... pivots a
+    bucket with its members of other components. So each pair of a bucket that
+    lies in two components is tested or bounded; ``rare`` moves pairs from one
+    way to the other and drops none.
 
     Rows with a null id are returned with a null component, kept. Texts that
     are null, empty or without words have no shingles and link with nothing.
@@ -128,9 +142,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     keep = Staged(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = keep(source.mapInArrow(partial(_sketch, k=k, m=m, half=half, seed=seed),
+    sketch = keep(source.mapInArrow(partial(_sketch, k=k, m=m, half=half, seed=seed),
                                   "id long, n long, cls long, halves array<long>"), "sketch")
-    sets = rows.where("cls is not null and id is not null").select("id", "cls", "halves")
+    sets = sketch.where("cls is not null and id is not null").select("id", "n", "cls", "halves")
 
     small = sets.select("cls", F.posexplode("halves").alias("p", "h"))
     shared = small.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("h")
@@ -156,56 +170,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
         full = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return full.mapInArrow(partial(_verify, k=k, percent=percent), "a long, b long, linked boolean")
+        return full.mapInArrow(partial(_verify, k=k, percent=percent), "a long, b long, linked boolean, extra array<long>")
+
+    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Buckets with members of several components, and of equal buckets one."""
+        named = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+            "label", F.coalesce("label", "cls"))
+        wide = lambda c: F.sum(c.cast("decimal(20,0)"))
+        buckets = named.groupBy("key").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows"),
+            wide(F.xxhash64("cls")).alias("s1"), wide(F.xxhash64("cls", F.lit(7))).alias("s2")).where("lo <> hi")
+        return named.join(buckets.groupBy("rows", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key")
+
+    def merge(labels: DataFrame, links: DataFrame, what: str) -> DataFrame:
+        """Labels after new links: components of the links between the old labels."""
+        if links.isEmpty():
+            return labels
+        ends = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(
+            F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        merged = components(ends)
+        nodes = (labels.union(links.select(F.col("a").alias("node"), F.col("a").alias("label")))
+                 .union(links.select(F.col("b").alias("node"), F.col("b").alias("label"))))
+        nodes = nodes.groupBy("node").agg(F.min("label").alias("old"))
+        return keep(nodes.join(merged.toDF("old", "new"), "old", "left")
+                    .select("node", F.coalesce("new", "old").alias("label")), f"labels-{what}")
 
     # one pair a class first: with the smallest pivot of all its buckets
     pairs = (members.where("pivot <> cls").groupBy("cls").agg(F.min("pivot").alias("a"))
              .select("a", F.col("cls").alias("b")))
     tested = keep(confirm(pairs), "tested-0")
     labels = keep(components(tested.where("linked")), "labels-0")
-    open_rows, pivots, step = members.select("key", "cls"), 1, 0
+    opened = keep(still_open(members.select("key", "cls"), labels), "opened")
+
+    # Heavily edited copies share buckets with their whole group but link with few. Shingles that no pivot has and
+    # few open classes share are joined by themselves; the others bound what any two classes can share besides.
+    classes = opened.select("cls").distinct()
+    against = tested.join(classes.withColumnRenamed("cls", "b"), "b").select("a", "b", "extra")
+    whole = classes.join(against.select(F.col("b").alias("cls")), "cls", "left_anti").union(
+        against.select(F.col("a").alias("cls"))).distinct()
+    seen = texts.join(whole, "cls").select("cls", "text").mapInArrow(partial(_sets, k=k), "cls long, hs array<long>")
+    seen = seen.select("cls", F.explode("hs").alias("h"), F.lit(1).alias("whole")).union(
+        against.join(whole.withColumnRenamed("cls", "b"), "b", "left_anti")
+        .select(F.col("b").alias("cls"), F.explode("extra").alias("h"), F.lit(0)))
+    few = keep(seen.groupBy("h").agg(F.max("whole").alias("whole"), F.count("*").alias("df"),
+                                     F.when(F.count("*") <= rare, F.collect_list("cls")).alias("all"))
+               .where(f"whole = 0 and df <= {rare}").select("h", "all"), "few")
+    size = sets.groupBy("cls").agg(F.first("n").alias("n"))  # the same in all rows of a class
+    own = few.select(F.explode("all").alias("cls")).groupBy("cls").agg(F.count("*").alias("own"))
+    size = keep(classes.join(size, "cls").join(own, "cls", "left").select(
+        "cls", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "size")
+
+    def reaches(common, n) -> str:
+        return f"{100 + percent} * ({common}) >= {percent} * ({n})"
+
+    def new_pairs(pairs: DataFrame) -> DataFrame:
+        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return pairs.join(known, ["a", "b"], "left_anti")
+
+    ends = few.where("size(all) > 1").select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    pairs = ends.where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    for x in "ab":
+        pairs = pairs.join(size.toDF(x, f"n{x}", f"c{x}"), x)
+    named = labels.toDF("a", "la")
+    pairs = (pairs.where(reaches("both + least(ca, cb)", "na + nb")).join(named, "a", "left")
+             .join(named.toDF("b", "lb"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b"))
+    found = keep(confirm(new_pairs(pairs)).drop("extra"), "tested-few")
+    labels = merge(labels, found.where("linked"), "few")
+    tested = tested.drop("extra").union(found)
+
+    rows = opened.drop("label").join(size, "cls").where(f"100 * common >= {percent} * n")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "key").where(  # a partner has percent / 100 of the shingles at least
+        reaches("common", f"n + greatest(least, n * {percent} / 100)")).drop("least")
+    open_rows, pivots, step = rows, 1, 0
     while True:
         step += 1
-        named = open_rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-            "key", "cls", F.coalesce("label", "cls").alias("label"))
-        unsettled = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        named = keep(named.join(unsettled.select("key"), "key"), f"members-{step}")
-        keep.drop(f"members-{step - 1}")
+        named = keep(still_open(open_rows, labels), f"members-{step}")
         if named.isEmpty():
             break
         chosen = (named.groupBy("key", F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(pivots)).alias("s"))
-                  .agg(F.min(F.struct("cls", "label")).alias("p")).select("key", F.col("p.cls").alias("pivot"),
-                                                                          F.col("p.label").alias("pl")))
-        pairs = (named.join(chosen, "key").where("label <> pl")
+                  .agg(F.min(F.struct("cls", "label", "n", "common")).alias("p"))
+                  .select("key", F.col("p.cls").alias("pivot"), F.col("p.label").alias("pl"), F.col("p.n").alias("pn"),
+                          F.col("p.common").alias("pc")))
+        pairs = (named.join(chosen, "key")
+                 .where("label <> pl").where(reaches("least(common, pc)", "n + pn"))
                  .select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct())
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = keep(confirm(pairs.join(known, ["a", "b"], "left_anti")), f"tested-{step}")
-        links = found.where("linked")
-        if not links.isEmpty():
-            # contract: links between the components found so far
-            old = labels
-            ends = links.join(old.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
-                old.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(
-                F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-            merged = components(ends)
-            nodes = (old.union(links.select(F.col("a").alias("node"), F.col("a").alias("label")))
-                     .union(links.select(F.col("b").alias("node"), F.col("b").alias("label"))))
-            nodes = nodes.groupBy("node").agg(F.min("label").alias("old"))
-            labels = keep(nodes.join(merged.select(F.col("node").alias("old"), F.col("label").alias("new")), "old", "left")
-                          .select("node", F.coalesce("new", "old").alias("label")), f"labels-{step}")
-            keep.drop(f"labels-{step - 1}")
-        else:
-            keep.paths[f"labels-{step}"] = keep.paths.pop(f"labels-{step - 1}")
+        found = keep(confirm(new_pairs(pairs)).drop("extra"), f"tested-{step}")
+        labels = merge(labels, found.where("linked"), str(step))
         tested = tested.union(found)
-        open_rows = named.join(chosen.select("key", F.col("pivot").alias("cls")), ["key", "cls"], "left_anti").select(
-            "key", "cls")
+        open_rows = named.join(chosen.select("key", F.col("pivot").alias("cls")), ["key", "cls"], "left_anti").drop("label")
         pivots *= 8
 
     named = first.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "id", F.coalesce("label", "cls").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of_class = named.join(smallest, "label").select("cls", "component_id")
-    out = rows.select("id", "n", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(of_class, "cls", "left")
+    out = sketch.select("id", "n", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(of_class, "cls", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -287,7 +287,7 @@ def _spread(block: _Block, place: np.ndarray, doc: np.ndarray, par: _Params) ->
     """Starts of all passages that hold the cover suffix at ``place`` among the first bytes: a mask over the block."""
     lo = np.maximum(place - PERIOD + 1, block.starts[doc])
     hi = np.minimum(place, block.ends[doc] - par.w)
-    size = len(block.data) + 1
+    lo, hi, size = lo[lo <= hi], hi[lo <= hi], len(block.data) + 1  # a text may be shorter than a passage
     return np.cumsum(np.bincount(lo, minlength=size) - np.bincount(hi + 1, minlength=size))[:-1] > 0
 
 
