@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share at most their shingles of ``rare`` or fewer classes, which are joined
     and counted, and the smaller number of their other shingles; where that
     bound is below the threshold, no pair is made. Pairs that could link by
-    the other shingles alone are tested in rounds: 1, 8, 64, ... pivots a
+    the other shingles alone are tested in rounds: 1, 16, 256, ... pivots a
     bucket with its members of other components. So each pair of a bucket that
     lies in two components is tested or bounded; ``rare`` moves pairs from one
     way to the other and drops none.
@@ -158,7 +158,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = (keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("hi"))
              .where("pivot <> hi").select("key", "pivot"))
     members = keep(keys.join(heads, "key"), "members-0")
-    keep.drop("halves")
 
     first = sets.groupBy("cls").agg(F.min("id").alias("id"))
     involved = members.select("cls").distinct().join(first, "cls")
@@ -173,14 +172,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return full.mapInArrow(partial(_verify, k=k, percent=percent), "a long, b long, linked boolean, extra array<long>")
 
     def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Buckets with members of several components, and of equal buckets one."""
+        """Rows of the buckets with members of several components, with their labels."""
         named = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "label", F.coalesce("label", "cls"))
-        wide = lambda c: F.sum(c.cast("decimal(20,0)"))
-        buckets = named.groupBy("key").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows"),
-            wide(F.xxhash64("cls")).alias("s1"), wide(F.xxhash64("cls", F.lit(7))).alias("s2")).where("lo <> hi")
-        return named.join(buckets.groupBy("rows", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key")
+        buckets = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        return named.join(buckets.select("key"), "key")
 
     def merge(labels: DataFrame, links: DataFrame, what: str) -> DataFrame:
         """Labels after new links: components of the links between the old labels."""
@@ -200,11 +196,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("a", F.col("cls").alias("b")))
     tested = keep(confirm(pairs), "tested-0")
     labels = keep(components(tested.where("linked")), "labels-0")
-    opened = keep(still_open(members.select("key", "cls"), labels), "opened")
+    classes = keep(still_open(members.select("key", "cls"), labels).select("cls").distinct(), "opened")
+    keep.drop("members-0")
 
     # Heavily edited copies share buckets with their whole group but link with few. Shingles that no pivot has and
     # few open classes share are joined by themselves; the others bound what any two classes can share besides.
-    classes = opened.select("cls").distinct()
     against = tested.join(classes.withColumnRenamed("cls", "b"), "b").select("a", "b", "extra")
     whole = classes.join(against.select(F.col("b").alias("cls")), "cls", "left_anti").union(
         against.select(F.col("a").alias("cls"))).distinct()
@@ -238,28 +234,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = merge(labels, found.where("linked"), "few")
     tested = tested.drop("extra").union(found)
 
-    rows = opened.drop("label").join(size, "cls").where(f"100 * common >= {percent} * n")
+    # two classes share a table if they share a left half and a right half: the pair is made at its smallest left half
+    rows = mine.join(size, "cls").where(f"100 * common >= {percent} * n").withColumn("key", F.explode("left"))
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
-    rows = rows.join(least, "key").where(  # a partner has percent / 100 of the shingles at least
+    open_rows = rows.join(least, "key").where(  # a partner has percent / 100 of the shingles at least
         reaches("common", f"n + greatest(least, n * {percent} / 100)")).drop("least")
-    open_rows, pivots, step = rows, 1, 0
+    pivots, step = 1, 0
     while True:
         step += 1
         named = keep(still_open(open_rows, labels), f"members-{step}")
+        keep.drop(f"members-{step - 1}")
         if named.isEmpty():
             break
+        fields = ["cls", "label", "n", "common", "left", "right"]
         chosen = (named.groupBy("key", F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(pivots)).alias("s"))
-                  .agg(F.min(F.struct("cls", "label", "n", "common")).alias("p"))
-                  .select("key", F.col("p.cls").alias("pivot"), F.col("p.label").alias("pl"), F.col("p.n").alias("pn"),
-                          F.col("p.common").alias("pc")))
+                  .agg(F.min(F.struct(*fields)).alias("p")).select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in fields]))
         pairs = (named.join(chosen, "key")
-                 .where("label <> pl").where(reaches("least(common, pc)", "n + pn"))
-                 .select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct())
+                 .where("label <> p_label").where(reaches("least(common, p_common)", "n + p_n"))
+                 .where(F.arrays_overlap("right", "p_right"))
+                 .where(F.array_min(F.array_intersect("left", "p_left")) == F.col("key"))
+                 .select(F.least("p_cls", "cls").alias("a"), F.greatest("p_cls", "cls").alias("b")).distinct())
         found = keep(confirm(new_pairs(pairs)).drop("extra"), f"tested-{step}")
         labels = merge(labels, found.where("linked"), str(step))
         tested = tested.union(found)
-        open_rows = named.join(chosen.select("key", F.col("pivot").alias("cls")), ["key", "cls"], "left_anti").drop("label")
-        pivots *= 8
+        open_rows = named.join(chosen.select("key", F.col("p_cls").alias("cls")), ["key", "cls"], "left_anti").drop("label")
+        pivots *= 16
 
     named = first.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "id", F.coalesce("label", "cls").alias("label"))
