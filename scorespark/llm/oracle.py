@@ -74,7 +74,56 @@ SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0)
 FROM d LEFT JOIN left_over USING (doc_id)
 """
 
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+r AS (SELECT page_id, t, CASE WHEN strlen(t) >= 1000 THEN max(page_id) OVER (PARTITION BY t) ELSE page_id END AS last FROM p)
+SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM r
+"""
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1 AS again
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), rep AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM win WHERE again) GROUP BY 1
+), dup AS (
+  SELECT doc_id, sum(c - 1)::BIGINT AS n FROM (
+    SELECT doc_id, l, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+    WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1
+), m AS (
+  SELECT w.doc_id, source, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
+    len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)
+), rules AS (
+  SELECT source, r, count(*) AS docs, sum(f::INT) AS fails FROM (
+    SELECT source, unnest(['a', 'b', 'c', 'd', 'e']) AS r, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words,
+      10 * n_symbols > n_words, 20 * n_dup_lines > n_words, word_chars < 2 * n_words OR word_chars > 20 * n_words]) AS f
+    FROM m WHERE source IS NOT NULL) GROUP BY 1, 2
+), moments AS (
+  SELECT r, sum(docs) AS n, count(*) AS k, sum(fails) / sum(docs) AS mean, sum(docs) - sum(docs * docs) / sum(docs) AS scale,
+    sum(fails::DOUBLE * fails / docs) AS q FROM rules GROUP BY 1
+), prior AS (
+  SELECT *, (q - n * mean * mean - (k - 1) * mean * (1 - mean)) / (scale - (k - 1)) AS v FROM moments
+), verdict AS (
+  SELECT source, bool_or(coalesce((fails + mean * s) / (docs + s), mean) > 0.5) AS host_failed FROM (
+    SELECT rules.*, mean, CASE WHEN k > 1 AND scale > k - 1 AND v > 0 THEN greatest(mean * (1 - mean) / v - 1, 0) END AS s
+    FROM rules JOIN prior USING (r)) GROUP BY 1
+), f AS (
+  SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(host_failed, false) AS host_failed
+  FROM m LEFT JOIN verdict USING (source)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
+  NOT base_failed AND NOT host_failed AS kept FROM f
+"""
+
 ORACLE = {
+    "op8_splittable_warc": OP8,
+    "op9_host_quality": OP9,
     "op1_tensored_minhash": OP1,
     "op4_cover_suffix_dedup": OP4,
     "op3_prefix_sum_shards": OP3,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorespark.llm import minhash, repeats, sharding
-from scorespark.llm.common import table
+from scorespark.llm import bpe, minhash, quality, repeats, sharding, token_files, warc
+from scorespark.llm.common import scratch_path, table
 
 
 def op3_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,38 @@ def op4_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the bytes they decode to, as digests."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op6_patched_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to patched frame-of-reference files and read back."""
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read_token_files(token_files.write_token_files(docs, scratch_path(spark, "op6")))
+
+
+def op8_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by byte ranges."""
+    planned = warc.plan_records(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(warc.write_archives(planned, scratch_path(spark, "op8")))
+    # a response's digest is made anew from the payload that was read
+    digest = F.when(F.col("payload").isNotNull(), F.sha1("payload")).otherwise(F.col("payload_digest"))
+    return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of all documents and the verdicts on them and their hosts."""
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality.MEASURES, "base_failed", "host_failed", "kept")
+
+
 QUERIES = {
     "op1_tensored_minhash": op1_tensored_minhash,
+    "op2_recursive_bpe": op2_recursive_bpe,
+    "op6_patched_token_files": op6_patched_token_files,
+    "op8_splittable_warc": op8_splittable_warc,
+    "op9_host_quality": op9_host_quality,
     "op4_cover_suffix_dedup": op4_cover_suffix_dedup,
     "op3_prefix_sum_shards": op3_prefix_sum_shards,
 }
