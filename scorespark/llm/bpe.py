@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.pieces import PieceCache, chunks, split
+from scorespark.llm.pieces import PieceEncoder, chunks
 
 _DEPTH = 64  # steps of one recursive query; it starts again from its last state until the fixpoint
 _LONG = 96  # tokens of a word from which on all places of its best pair are contracted at a time
-_CHUNK = 4 << 20  # characters of text, or ids, handled by one query
+_CHUNK = 8 << 20  # characters of text, or ids, handled by one query
 
 # every step of a word is a row set with its number n; positions have no gaps, so the neighbour is at p + 1
 _CONTRACT = """
@@ -79,7 +79,7 @@ class Bpe:
         self.pattern, self.ranks = pattern, ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = {i: str(i) for i in ranks.values()}
-        self.cache = PieceCache(self._learn)
+        self.cache = PieceEncoder(pattern, self._learn)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))
                   if t[:i] in ranks and t[i:] in ranks]
@@ -129,7 +129,7 @@ class Bpe:
                     yield pieces[i], ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.cache.encode([split(t, self.pattern) for t in texts])
+        return self.cache.encode(texts)
 
     def decimals(self, ids: np.ndarray) -> bytes:
         return " ".join(map(self.names.__getitem__, ids.tolist())).encode()

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 
@@ -33,27 +35,72 @@ def chunks(rows: list, size, limit: int) -> Iterator[list]:
         yield held
 
 
-class PieceCache:
-    """Ids of pieces as little-endian 32-bit bytes, learned once and forgotten when long unused.
+# a space beside other white space may belong to a longer piece
+_ODD = r"[\s\x0B\x1C-\x1F\x85\p{Z}] | [\s\x0B\x1C-\x1F\x85\p{Z}]|^ | \z"
 
-    Two generations of at most ``limit`` pieces bound the memory; no result depends on what is held.
-    """
 
-    def __init__(self, learn, limit: int = 300_000):
-        self.learn, self.limit, self.young, self.old = learn, limit, {}, {}
+class _Generations:
+    """A bounded store: when the young half is full it becomes the old one, and what is asked for again returns."""
 
-    def encode(self, cut: list[list[str]]) -> list[np.ndarray]:
-        """The ids of texts given as pieces; ``learn`` yields (piece, bytes) of pieces not held."""
-        wanted = set(chain.from_iterable(cut))
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
         if len(self.young) + len(wanted) > self.limit:
             self.old, self.young = self.young, {}
-        new = []
-        for piece in wanted.difference(self.young):
-            found = self.old.get(piece)
+        out = []
+        for key in wanted.difference(self.young):
+            found = self.old.get(key)
             if found is None:
-                new.append(piece)
+                out.append(key)
             else:
-                self.young[piece] = found
-        self.young.update(self.learn(new))
-        get = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), "<i4") for pieces in cut]
+                self.young[key] = found
+        return out
+
+
+class PieceEncoder:
+    """Ids of texts from the ids of their pieces; what came lately is not encoded again.
+
+    A space between two other characters always starts a piece, so a text is
+    first cut at its spaces, by Arrow, and equal words of a batch are one
+    value. Only words that are not held are split into pieces, and only pieces
+    that are not held are learnt: ``learn`` yields (piece, little-endian 32-bit
+    ids as bytes). The stores are bounded and no result depends on them.
+    """
+
+    def __init__(self, pattern: str, learn, limit: int = 300_000):
+        self.pattern, self.learn = pattern, learn
+        self.words, self.pieces = _Generations(limit), _Generations(limit)
+
+    def _of_pieces(self, cut: list[list[str]]) -> list[bytes]:
+        wanted = set(chain.from_iterable(cut))
+        new = self.pieces.missing(wanted)
+        self.pieces.young.update(self.learn(new))
+        get = self.pieces.young.__getitem__
+        return [b"".join(map(get, x)) for x in cut]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD)).to_pylist()
+        # a text's first word has no space before it
+        whole = [split(t.partition(" ")[0] if ok else t, self.pattern) for t, ok in zip(texts, plain)]
+        heads = self._of_pieces(whole)
+        rest = pa.array([t.partition(" ")[2] if ok and " " in t else None for t, ok in zip(texts, plain)], pa.large_string())
+        lists = pc.split_pattern(rest, " ")
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        words = lists.flatten().dictionary_encode()
+        keys = words.dictionary.to_pylist()
+        new = self.words.missing(set(keys))
+        self.words.young.update(zip(new, self._of_pieces([split(" " + w, self.pattern) for w in new])))
+        ids = [self.words.young[k] for k in keys]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        code = words.indices.to_numpy()
+        count = size[code]
+        stop = np.cumsum(count)
+        at = np.repeat((np.cumsum(size) - size)[code] - (stop - count), count) + np.arange(len(code) and stop[-1])
+        tail, stop = flat[at], np.concatenate([[0], stop])
+        out = []
+        for head, a, b in zip(heads, stop[ends[:-1]].tolist(), stop[ends[1:]].tolist()):
+            first = np.frombuffer(head, "<i4")
+            out.append(np.concatenate([first, tail[a:b]]) if b > a else first)
+        return out

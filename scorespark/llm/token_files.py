@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from scorespark.llm.common import Staged, scratch_path, shuffle_partitions
 from scorespark.llm.files import create, open_input
-from scorespark.llm.pieces import PieceCache, chunks, split
+from scorespark.llm.pieces import PieceEncoder, chunks
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 1024
 _HEAD = struct.Struct("<IHBBH")
 _FOOT = struct.Struct("<QQQQ")
 _PERCENTILES = (90, 95, 99, 100)
-_CHUNK = 4 << 20
+_CHUNK = 8 << 20
 _GROUP = 256  # blocks that are packed or read at a time
 
 
@@ -60,21 +60,20 @@ def _pack_group(rows: np.ndarray) -> list[bytes]:
     count = rows.shape[1]
     low = rows.min(axis=1)
     diff = rows - low[:, None]
-    ordered = np.sort(diff, axis=1)
-    widths = []
-    for q in _PERCENTILES:
-        top = ordered[:, -(-q * count // 100) - 1].astype(np.float64)
-        widths.append(np.ceil(np.log2(top + 1)).astype(np.int64))
-    widths = np.array(widths)
-    size = np.array([(w * count + 7) // 8 + 6 * (diff >= (1 << w)[:, None]).sum(axis=1) for w in widths])
+    bits = np.frexp(diff.astype(np.float64))[1]  # binary digits of each difference
+    line = np.arange(len(rows))[:, None] * 33
+    up_to = np.cumsum(np.bincount((line + bits).ravel(), minlength=33 * len(rows)).reshape(-1, 33), axis=1)
+    widths = np.array([(up_to < -(-q * count // 100)).sum(axis=1) for q in _PERCENTILES])
+    size = np.array([(w * count + 7) // 8 + 6 * (count - up_to[np.arange(len(rows)), w]) for w in widths])
     width = widths[size.argmin(axis=0), np.arange(len(rows))]
     out: list[bytes] = [b""] * len(rows)
     for w in np.unique(width):
         these = np.flatnonzero(width == w)
         d = diff[these]
-        over = d >= (1 << w)
-        bits = ((d[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(these), -1), axis=1, bitorder="little")
+        over = bits[these] > w
+        kind = np.dtype("<u2" if w <= 16 else "<u4")
+        each = np.unpackbits(d.astype(kind).view(np.uint8).ravel(), bitorder="little").reshape(-1, 8 * kind.itemsize)
+        packed = np.packbits(each[:, :w].reshape(len(these), -1), axis=1, bitorder="little")
         for k, i in enumerate(these):
             place = np.flatnonzero(over[k])
             out[i] = b"".join((_HEAD.pack(int(low[i]), count, int(w), 0, len(place)), packed[k].tobytes(),
@@ -93,10 +92,10 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     for (count, width), these in kinds.items():
         size = (count * width + 7) // 8
         packed = np.stack([np.frombuffer(data, np.uint8, size, starts[i] + _HEAD.size) for i in these])
-        bits = np.unpackbits(packed, axis=1, count=count * width, bitorder="little").reshape(len(these), count, width)
-        diff = np.zeros((len(these), count), np.uint32)
-        for b in range(width):
-            diff |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
+        kind = np.dtype("<u2" if width <= 16 else "<u4")
+        each = np.zeros((len(these) * count, 8 * kind.itemsize), np.uint8)
+        each[:, :width] = np.unpackbits(packed, axis=1, count=count * width, bitorder="little").reshape(len(each), width)
+        diff = np.packbits(each.ravel(), bitorder="little").view(kind).reshape(len(these), count).astype(np.uint32)
         for k, i in enumerate(these):
             low, _, _, _, n = heads[i]
             at = starts[i] + _HEAD.size + size
@@ -177,7 +176,7 @@ class _Tokenizer:
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.lib, self.pattern, self.cache = Tokenizer.from_file(path), pattern, PieceCache(self._learn)
+        self.lib, self.pattern, self.cache = Tokenizer.from_file(path), pattern, PieceEncoder(pattern, self._learn)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.line = self._ids("\n")
 
@@ -204,7 +203,7 @@ class _Tokenizer:
                 yield piece, data[a:b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.cache.encode([split(t, self.pattern) for t in texts])
+        return self.cache.encode(texts)
 
 
 @functools.cache
