@@ -121,7 +121,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT host_failed AS kept FROM f
 """
 
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_words,
+    coalesce('s:' || source, 'null') AS s, ('0x' || substr(md5('0|block|' || doc_id), 1, 15))::BIGINT % 1024 AS b,
+    ('0x' || substr(md5('0|key|' || doc_id), 1, 15))::BIGINT AS k FROM documents
+), o AS (SELECT *, ('0x' || substr(md5('0|order|' || s || '|' || b), 1, 15))::BIGINT AS o FROM d),
+t AS (SELECT s, sum(n_words)::BIGINT AS t FROM o GROUP BY 1),
+a AS (SELECT greatest(0, round(1 - ln(2.0) / ln(max(t)::DOUBLE / min(t)), 6)) AS a, max(t) AS top FROM t WHERE t > 0),
+q AS (SELECT s, t, CASE WHEN t > 0 THEN floor(top * pow(t::DOUBLE / top, a) + 1e-6)::BIGINT ELSE 0 END AS q FROM t, a),
+p AS (SELECT s, CASE WHEN t > 0 THEN q // t ELSE 1 END AS passes, CASE WHEN t > 0 THEN q % t ELSE 0 END AS rest FROM q),
+c AS (
+  SELECT doc_id, sum(n_words) OVER (PARTITION BY s ORDER BY o, k RANGE UNBOUNDED PRECEDING) AS e, s FROM o
+)
+SELECT o.doc_id, source, n_words, (passes + CASE WHEN e <= rest AND rest > 0 THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM o JOIN c USING (doc_id) JOIN p ON p.s = o.s
+"""
+
+OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), walk AS (
+  SELECT vec_id AS d, vec_id AS r FROM embeddings
+  UNION
+  SELECT b, r FROM walk JOIN links ON a = d WHERE r < b
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) ON a = e.vec_id
+JOIN (
+  WITH RECURSIVE w2 AS (
+    SELECT d, min(r) AS r FROM walk GROUP BY 1 UNION SELECT b, r FROM w2 JOIN links ON a = d
+  ) SELECT d, min(r) AS component_id FROM w2 GROUP BY 1
+) c ON c.d = e.vec_id
+"""
+
 ORACLE = {
+    "op7_temperature_mixing": OP7,
+    "op10_collision_counting": OP10,
     "op8_splittable_warc": OP8,
     "op9_host_quality": OP9,
     "op1_tensored_minhash": OP1,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorespark.llm import bpe, minhash, quality, repeats, sharding, token_files, warc
+from scorespark.llm import bpe, embeddings, minhash, mixing, quality, repeats, sharding, token_files, toxicity, warc
 from scorespark.llm.common import scratch_path, table
 
 
@@ -33,12 +33,27 @@ def op2_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_clause_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("_score").alias("score"),
+                      (F.col("_score") >= model.threshold).cast("int").alias("predicted"))
+
+
 def op6_patched_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written to patched frame-of-reference files and read back."""
     docs = table(spark, sf_dir, "documents")
     return token_files.read_token_files(token_files.write_token_files(docs, scratch_path(spark, "op6")))
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is read when no source is repeated more than twice as often as another."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
+    return out.select("doc_id", "source", F.col("_tokens").alias("n_words"), F.col("_copies").alias("copies"))
+
+
 def op8_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back by byte ranges."""
     planned = warc.plan_records(table(spark, sf_dir, "pages"))
@@ -54,12 +69,20 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.MEASURES, "base_failed", "host_failed", "kept")
 
 
+def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings of equal label: cosine 0.93."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_tensored_minhash": op1_tensored_minhash,
     "op2_recursive_bpe": op2_recursive_bpe,
+    "op5_clause_grammar_toxicity": op5_clause_grammar_toxicity,
     "op6_patched_token_files": op6_patched_token_files,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op8_splittable_warc": op8_splittable_warc,
     "op9_host_quality": op9_host_quality,
+    "op10_collision_counting": op10_collision_counting,
     "op4_cover_suffix_dedup": op4_cover_suffix_dedup,
     "op3_prefix_sum_shards": op3_prefix_sum_shards,
 }

@@ -26,6 +26,7 @@ one entry a block, and no task holds more than a bucket.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,7 +43,7 @@ from scorespark.llm.common import Staged, mix64, shuffle_partitions
 PERIOD, COVER = 50, np.array([0, 1, 3, 8, 17, 28, 32, 38])
 _P = 0x9E3779B97F4A7C15 | 1
 _SEGMENT = 1 << 20
-_BLOCK_SCHEMA = "block long, ids binary, ends binary, data binary"
+_BLOCK_SCHEMA = "block long, ids binary, ends binary, data binary, carried binary"
 _REPLY = "block long, bucket int, bits binary"
 
 
@@ -74,24 +75,25 @@ def _unpack_sorted(b: bytes, dtype) -> np.ndarray:
 # ---- blocks of texts ------------------------------------------------------------------------------------------------
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Pack (part, id, text) rows into blocks, in id order inside a block (null ids first)."""
+    """Pack (part, id, text, carried) rows into blocks, in id order inside a block (null ids first)."""
     held, size, seq = [], 0, 0
 
     def flush(part):
         nonlocal held, size, seq
         held.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        ids = np.array([np.iinfo(np.int64).min if i is None else i for i, _ in held], np.int64)
-        ends = np.cumsum([len(t) for _, t in held], dtype=np.int64)
-        row = [(part << 32) | seq], [ids.tobytes()], [ends.tobytes()], [_pack(np.frombuffer(b"".join(t for _, t in held), np.uint8))]
+        ids = np.array([np.iinfo(np.int64).min if x[0] is None else x[0] for x in held], np.int64)
+        ends = np.cumsum([len(x[1]) for x in held], dtype=np.int64)
+        data, carried = (np.frombuffer(x, np.uint8) for x in (b"".join(x[1] for x in held), json.dumps([x[2] for x in held]).encode()))
+        row = [(part << 32) | seq], [ids.tobytes()], [ends.tobytes()], [_pack(data)], [_pack(carried)]
         held, size, seq = [], 0, seq + 1
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])],
-                                          names=["block", "ids", "ends", "data"])
+                                          names=["block", "ids", "ends", "data", "carried"])
 
     part = 0
     for batch in batches:
-        for p, i, text in zip(*batch.columns):
+        for p, i, text, more in zip(*batch.columns):
             part, data = p.as_py(), (text.as_py() or "").encode()
-            held.append((i.as_py(), data))
+            held.append((i.as_py(), data, more.as_py()))
             size += len(data)
             if size >= block_bytes:
                 yield flush(part)
@@ -350,12 +352,13 @@ def _cut(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.DataFrame
         mark[starts + par.w] -= 1
         gone = np.cumsum(mark[:len(block.data)]) > 0
         out = []
-        for i, s, e in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist()):
+        carried = json.loads(_unpack(row.carried, np.uint8).tobytes())
+        for i, s, e, more in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist(), carried):
             g = gone[s:e]
             edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
             out.append((None if i == np.iinfo(np.int64).min else i, e - s, int(g.sum()), edge.reshape(-1, 2).tolist(),
-                        block.data[s:e][~g].tobytes()))
-        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "spans", "kept"])
+                        block.data[s:e][~g].tobytes(), more))
+        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "spans", "kept", "carried"])
         yield frame.astype({"id": "Int64"})
 
 
@@ -372,9 +375,12 @@ def _joined(batches: Iterator[pd.DataFrame], n: int = 1):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100,
-                   block_bytes: int = 2 << 20, bucket_bytes: int = 32 << 20, rank_bytes: int | None = None) -> DataFrame:
+                   carry: tuple[str, ...] = (), block_bytes: int = 2 << 20, bucket_bytes: int = 32 << 20,
+                   rank_bytes: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) for every row; spans are [start, end) byte ranges, kept the other bytes.
 
+    The columns in ``carry`` (of types that JSON can hold) come along.
+
     A byte goes if it is covered by a ``min_bytes`` long string that also
     starts earlier: in a smaller id, or earlier in the same text. Matches stay
     inside a text, and the input is judged, not what is left. Null texts count
@@ -392,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     keep = Staged(spark, "repeats")
     source = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col(id_col).cast("long").alias("id"),
-                         F.col(text_col).alias("text"))
+                         F.col(text_col).alias("text"), F.to_json(F.struct(*carry)).alias("carried") if carry else F.lit(None).cast("string"))
     blocks = keep(source.mapInArrow(partial(_blocks, block_bytes=block_bytes), _BLOCK_SCHEMA), "blocks")
     total = blocks.select(F.sum(F.expr("octet_length(data)"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), 4 * total // bucket_bytes)
@@ -403,14 +409,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def by_bucket(sent: DataFrame, sort) -> DataFrame:
         return sent.groupBy("bucket").applyInPandas(sort, _REPLY)
 
-    def answered(*replies: DataFrame) -> DataFrame:
-        out = blocks
+    def answered(*replies: DataFrame, last: bool = False) -> DataFrame:
+        out = blocks if last else blocks.drop("carried")
         for k, r in enumerate(replies):
             rows = r.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"r{k}"))  # a row a bucket
             out = out.join(rows, "block", "left")
         return out
 
-    sent = blocks.mapInPandas(partial(_send_ranks, par=par), "block long, bucket int, ranks binary, twice binary")
+    sent = blocks.drop("carried").mapInPandas(partial(_send_ranks, par=par), "block long, bucket int, ranks binary, twice binary")
     dtype = par.rank_type
     ranks = keep(by_bucket(sent, lambda pdf: _sort_ranks(pdf, dtype)), "ranks")
     sent = answered(ranks).mapInPandas(partial(_send_contexts, par=par),
@@ -418,6 +424,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ties = keep(by_bucket(sent, _sort_contexts), "ties")
     sent = answered(ranks, ties).mapInPandas(partial(_send_open, par=par), "block long, bucket int, ranks binary, ids binary")
     opens = keep(by_bucket(sent, _sort_open), "open")
-    out = answered(ranks, ties, opens).mapInPandas(
-        partial(_cut, par=par), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = answered(ranks, ties, opens, last=True).mapInPandas(
+        partial(_cut, par=par), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried string")
+    kinds = dict(docs.dtypes)
+    fields = F.from_json("carried", ", ".join(f"`{c}` {kinds[c]}" for c in carry)) if carry else F.lit(None)
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept",
+                      *[fields.getField(c).alias(c) for c in carry])
