@@ -26,7 +26,8 @@ from scorespark.llm.pieces import PieceEncoder, chunks
 
 _DEPTH = 64  # steps of one recursive query; it starts again from its last state until the fixpoint
 _LONG = 96  # tokens of a word from which on all places of its best pair are contracted at a time
-_CHUNK = 8 << 20  # characters of text, or ids, handled by one query
+_CHUNK = 2 << 20  # characters of text, or ids, handled at a time
+_STATE = 1 << 18  # tokens in one recursive query
 
 # every step of a word is a row set with its number n; positions have no gaps, so the neighbour is at p + 1
 _CONTRACT = """
@@ -80,7 +81,7 @@ class Bpe:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = {i: str(i) for i in ranks.values()}
         self.cache = PieceEncoder(pattern, self._learn)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))
                   if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", dict(zip("lrk", np.array(merges, np.int32).reshape(-1, 3).T)))
@@ -124,7 +125,7 @@ class Bpe:
             else:
                 (short if len(data) < _LONG else long)[i] = self.byte[np.frombuffer(data, np.uint8)]
         for words, query in ((short, _CONTRACT), (long, _CONTRACT_LONG)):
-            for part in chunks(list(words.items()), lambda x: len(x[1]), _CHUNK // 8):
+            for part in chunks(list(words.items()), lambda x: len(x[1]), _STATE):
                 for i, ids in self._fixpoint(dict(part), query):
                     yield pieces[i], ids
 
@@ -176,7 +177,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, wha
             else:
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-                decoded = [b for some in chunks(ids, len, _CHUNK) for b in bpe.decode(some)]
+                decoded = [b for some in chunks(ids, len, 2 * _STATE) for b in bpe.decode(some)]
                 made = [counts, sha(map(bpe.decimals, ids)), sha(decoded)]
             yield pa.RecordBatch.from_arrays([*carried, *made], names=[*batch.schema.names[1:], *names])
 

@@ -68,9 +68,9 @@ class PieceEncoder:
     ids as bytes). The stores are bounded and no result depends on them.
     """
 
-    def __init__(self, pattern: str, learn, limit: int = 300_000):
+    def __init__(self, pattern: str, learn, limit: int = 250_000):
         self.pattern, self.learn = pattern, learn
-        self.words, self.pieces = _Generations(limit), _Generations(limit)
+        self.words, self.pieces = _Generations(limit), _Generations(limit // 2)
 
     def _of_pieces(self, cut: list[list[str]]) -> list[bytes]:
         wanted = set(chain.from_iterable(cut))

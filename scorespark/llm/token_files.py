@@ -37,7 +37,7 @@ BLOCK = 1024
 _HEAD = struct.Struct("<IHBBH")
 _FOOT = struct.Struct("<QQQQ")
 _PERCENTILES = (90, 95, 99, 100)
-_CHUNK = 8 << 20
+_CHUNK = 2 << 20
 _GROUP = 256  # blocks that are packed or read at a time
 
 

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorespark.llm.common import stage
+
 WORD = re.compile(r"[^\W\d_]+")
 OTHER, ATTACK, TARGET, NEGATION, REPORT = range(5)
 # fixed values: short closed-class words of English, German, French and Spanish
@@ -238,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if rows > max_rows:
         truth = truth.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(max_rows / rows * (1 << 20)))
     truth = truth.dropDuplicates(["i"])
-    sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(truth, "i").select("t", "y")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    sample = stage(texts.join(F.broadcast(truth), "i").select("t", "y"), "toxicity-sample")  # max_rows bounds both
 
     def counts(y: int, only: frozenset | None, least: int) -> dict[str, int]:
         pairs = sample.where(F.col("y") == y).select("t").mapInArrow(partial(_count, only=only), "f string, g long")
