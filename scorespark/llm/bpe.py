@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorespark.llm.common import claim
 from scorespark.llm.pieces import PieceEncoder, chunks
 
 _DEPTH = 64  # steps of one recursive query; it starts again from its last state until the fixpoint
@@ -156,6 +157,7 @@ _OPEN: dict[tuple[str, str], Bpe] = {}
 
 def _bpe(path: str, pattern: str) -> Bpe:
     """This worker's database, opened once."""
+    claim(__name__, _OPEN.clear)
     if (path, pattern) not in _OPEN:
         _OPEN[path, pattern] = Bpe(read_ranks(path), pattern)
     return _OPEN[path, pattern]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -46,6 +47,22 @@ class Staged:
                 drop_path(self.spark, self.paths.pop(x))
 
 
+_HELD: list = [None, None]
+
+
+def claim(owner: str, release=None) -> None:
+    """Say that this Python worker now works for ``owner``: what the last one left in the process is released.
+
+    Spark hands one worker to one operator after another, and stores that help
+    between the tasks of one would else fill the memory of the next.
+    """
+    if _HELD[0] != owner:
+        if _HELD[1]:
+            _HELD[1]()
+            gc.collect()
+        _HELD[:] = owner, release
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -87,4 +104,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-__all__ = ["SPACE", "table", "shuffle_partitions", "drop_path", "Staged", "mix64", "components", "stage", "scratch_path"]
+__all__ = ["SPACE", "table", "shuffle_partitions", "drop_path", "Staged", "claim", "mix64", "components", "stage", "scratch_path"]

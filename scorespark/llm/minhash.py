@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import Staged, components, mix64
+from scorespark.llm.common import Staged, claim, components, mix64
 
 _P = 0x9E3779B97F4A7C15 | 1
 _BLOCK = 4096
@@ -69,6 +69,7 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, m: int, half: int, seed: int) -> Iterator[pa.RecordBatch]:
+    claim(__name__)
     for batch in batches:
         ids, counts, sets, keys = [], [], [], []
         for i, text in zip(batch.column(0), batch.column(1)):
@@ -84,6 +85,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, m: int, half: int, seed:
 
 def _confirm_class(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Texts whose set is the class they were fetched for (an id may stand on several rows)."""
+    claim(__name__)
     for batch in batches:
         same = [_set_id(shingles(t.as_py(), k)) == c.as_py() for c, t in zip(batch.column(0), batch.column(1))]
         yield batch.filter(pa.array(same))
@@ -91,6 +93,7 @@ def _confirm_class(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs with 100 * intersection >= percent * union of their full sets, and what b has that a has not."""
+    claim(__name__)
     last, left = None, None
     for batch in batches:
         linked, extra = [], []
@@ -108,6 +111,7 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    claim(__name__)
     for batch in batches:
         sets = [shingles(t.as_py(), k).view(np.int64) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "hs"])

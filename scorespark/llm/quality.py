@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import Staged
+from scorespark.llm.common import Staged, claim
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -46,6 +46,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(__name__)
     for batch in batches:
         made = list(zip(*(measure(t.as_py()) for t in batch.column(2)))) or [()] * len(MEASURES)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in made)],

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import Staged, mix64, shuffle_partitions
+from scorespark.llm.common import Staged, claim, mix64, shuffle_partitions
 
 #: a difference cover modulo 50: every residue is a difference of two members
 PERIOD, COVER = 50, np.array([0, 1, 3, 8, 17, 28, 32, 38])
@@ -76,6 +76,7 @@ def _unpack_sorted(b: bytes, dtype) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Pack (part, id, text, carried) rows into blocks, in id order inside a block (null ids first)."""
+    claim(__name__, _CACHE.clear)
     held, size, seq = [], 0, 0
 
     def flush(part):
@@ -190,6 +191,7 @@ def _entries(block: _Block, par: _Params):
 
 
 def _send_ranks(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.DataFrame]:
+    claim(__name__, _CACHE.clear)
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
@@ -203,6 +205,7 @@ def _send_ranks(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.Da
 
 def _sort_ranks(pdf: pd.DataFrame, dtype) -> pd.DataFrame:
     """One bucket: which entries' ranks occur in another block too, or twice in their own."""
+    claim(__name__, _CACHE.clear)
     parts = [_unpack_sorted(x, dtype) for x in pdf.ranks]
     merged = np.sort(np.concatenate(parts))
     again = np.unique(merged[1:][merged[1:] == merged[:-1]])
@@ -253,6 +256,7 @@ def _contexts(block: _Block, par: _Params, replies: pd.DataFrame):
 
 
 def _send_contexts(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.DataFrame]:
+    claim(__name__, _CACHE.clear)
     for row, replies in _joined(batches):
         block = _Block(row.ids, row.ends, row.data)
         _, doc, _, _, first, rank, context = _contexts(block, par, replies)
@@ -265,6 +269,7 @@ def _send_contexts(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd
 
 def _sort_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: which contexts occur in an earlier document, and which ranks have several contexts."""
+    claim(__name__, _CACHE.clear)
     ranks = [_unpack_sorted(x, np.uint64) for x in pdf.ranks]
     size = [len(x) for x in ranks]
     rank, context = np.concatenate(ranks), np.concatenate([_unpack(x, np.uint64) for x in pdf.contexts])
@@ -312,6 +317,7 @@ def _settled(block: _Block, par: _Params, ranks: pd.DataFrame, ties: pd.DataFram
 
 
 def _send_open(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.DataFrame]:
+    claim(__name__, _CACHE.clear)
     for row, ranks, ties in _joined(batches, 2):
         block = _Block(row.ids, row.ends, row.data)
         _, still, values, at, _ = _settled(block, par, ranks, ties)
@@ -325,6 +331,7 @@ def _send_open(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.Dat
 
 def _sort_open(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket of whole passages: all but the earliest of each value are repeated."""
+    claim(__name__, _CACHE.clear)
     prints = [_unpack_sorted(x, np.uint64) for x in pdf.ranks]
     size = [len(x) for x in prints]
     value, ids = np.concatenate(prints), np.concatenate([_unpack(x, np.int64) for x in pdf.ids])
@@ -340,6 +347,7 @@ def _sort_open(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _cut(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.DataFrame]:
     """Pass 4: remove the covered bytes of each text."""
+    claim(__name__, _CACHE.clear)
     for row, ranks, ties, opens in _joined(batches, 3):
         block = _Block(row.ids, row.ends, row.data)
         repeated, still, values, _, inverse = _settled(block, par, ranks, ties)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import Staged, scratch_path, shuffle_partitions
+from scorespark.llm.common import Staged, claim, scratch_path, shuffle_partitions
 from scorespark.llm.files import create, open_input
 from scorespark.llm.pieces import PieceEncoder, chunks
 
@@ -212,6 +212,7 @@ def _tokenizer(path: str, pattern: str) -> _Tokenizer:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, pattern: str, end_id: int, file_ids: int) -> Iterator[pa.RecordBatch]:
+    claim(__name__, _tokenizer.cache_clear)
     part, seq, writer = TaskContext.get().partitionId(), 0, None
     lib = _tokenizer(path, pattern)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import stage
+from scorespark.llm.common import claim, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 OTHER, ATTACK, TARGET, NEGATION, REPORT = range(5)
@@ -113,6 +113,7 @@ def _group(text: str) -> int:
 
 def _count(batches: Iterator[pa.RecordBatch], only: frozenset | None) -> Iterator[pa.RecordBatch]:
     """(feature, group) pairs of the batch's texts, each once."""
+    claim(__name__)
     for batch in batches:
         pairs = set()
         for text in batch.column(0):
@@ -198,6 +199,7 @@ class _Scorer:
 
 def _raw_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """(rounded feature, label, rows) of the batch."""
+    claim(__name__)
     scorer = _Scorer(model)
     for batch in batches:
         n = Counter((round(math.log1p(scorer.raw(t.as_py())), 2), y.as_py()) for t, y in zip(*batch.columns))
@@ -260,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model, text_at: int) -> Iterator[pa.RecordBatch]:
+    claim(__name__)
     scorer = _Scorer(model)
     for batch in batches:
         scores = pa.array([scorer.score(t.as_py()) for t in batch.column(text_at)], pa.float64())
