@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorespark.llm.common import claim
-from scorespark.llm.pieces import PieceEncoder, chunks
+from scorespark.llm.pieces import PieceEncoder, chunks, text_chunks
 
 _DEPTH = 64  # steps of one recursive query; it starts again from its last state until the fixpoint
 _LONG = 96  # tokens of a word from which on all places of its best pair are contracted at a time
 _CHUNK = 2 << 20  # characters of text, or ids, handled at a time
-_STATE = 1 << 18  # tokens in one recursive query
+_STATE = 1 << 17  # tokens in one recursive query
 
 # every step of a word is a row set with its number n; positions have no gaps, so the neighbour is at p + 1
 _CONTRACT = """
@@ -166,10 +166,9 @@ def _bpe(path: str, pattern: str) -> Bpe:
 def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, what: str) -> Iterator[pa.RecordBatch]:
     bpe = _bpe(path, pattern)
     for batch in batches:
-        rows = list(enumerate(t.as_py() or "" for t in batch.column(0)))
-        for part in chunks(rows, lambda r: len(r[1]), _CHUNK):
-            ids = bpe.encode([t for _, t in part])
-            carried = batch.slice(part[0][0], len(part)).columns[1:]
+        for first, texts in text_chunks(batch.column(0), _CHUNK):
+            ids = bpe.encode(texts)
+            carried = batch.slice(first, len(texts)).columns[1:]
             counts = pa.array([len(x) for x in ids], pa.int64())
             if what == "ids":
                 ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
@@ -179,7 +178,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, wha
             else:
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-                decoded = [b for some in chunks(ids, len, 2 * _STATE) for b in bpe.decode(some)]
+                decoded = [b for some in chunks(ids, len, 4 * _STATE) for b in bpe.decode(some)]
                 made = [counts, sha(map(bpe.decimals, ids)), sha(decoded)]
             yield pa.RecordBatch.from_arrays([*carried, *made], names=[*batch.schema.names[1:], *names])
 

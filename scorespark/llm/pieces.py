@@ -39,6 +39,13 @@ def chunks(rows: list, size, limit: int) -> Iterator[list]:
 _ODD = r"[\s\x0B\x1C-\x1F\x85\p{Z}] | [\s\x0B\x1C-\x1F\x85\p{Z}]|^ | \z"
 
 
+def text_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of a column of about ``limit`` bytes; only one run is held as Python strings."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for rows in chunks(list(range(len(size))), size.__getitem__, limit):
+        yield rows[0], [t or "" for t in column.slice(rows[0], len(rows)).to_pylist()]
+
+
 class _Generations:
     """A bounded store: when the young half is full it becomes the old one, and what is asked for again returns."""
 
@@ -68,7 +75,7 @@ class PieceEncoder:
     ids as bytes). The stores are bounded and no result depends on them.
     """
 
-    def __init__(self, pattern: str, learn, limit: int = 250_000):
+    def __init__(self, pattern: str, learn, limit: int = 220_000):
         self.pattern, self.learn = pattern, learn
         self.words, self.pieces = _Generations(limit), _Generations(limit // 2)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scorespark.llm.common import Staged, claim, scratch_path, shuffle_partitions
 from scorespark.llm.files import create, open_input
-from scorespark.llm.pieces import PieceEncoder, chunks
+from scorespark.llm.pieces import PieceEncoder, chunks, text_chunks
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 1024
@@ -221,11 +221,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, pattern: s
         return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": name, "docs": docs, "tokens": tokens}])
 
     for batch in batches:
-        rows = [(i.as_py(), t.as_py() or "") for i, t in zip(batch.column(0), batch.column(1))]
-        for some in chunks(rows, lambda r: len(r[1]), _CHUNK):
+        for first, texts in text_chunks(batch.column(1), _CHUNK):
             writer = writer or _Writer(folder)
-            ids = lib.encode([t for _, t in some])
-            writer.add([(i, np.append(x.view(np.uint32), np.uint32(end_id))) for (i, _), x in zip(some, ids)])
+            names = batch.column(0).slice(first, len(texts)).to_pylist()
+            writer.add([(i, np.append(x.view(np.uint32), np.uint32(end_id))) for i, x in zip(names, lib.encode(texts))])
             if writer.tokens >= file_ids:
                 yield close()
                 writer, seq = None, seq + 1
