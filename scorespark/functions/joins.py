@@ -1,4 +1,4 @@
-"""Join helper that broadcasts only after a size check."""
+"""Joins on group columns that may be NULL."""
 
 from __future__ import annotations
 
@@ -6,18 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stage
 
-BROADCAST_ROWS = 100_000
+def join_groups(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Add the columns of ``small``, one row a group, to ``big``; NULL groups match each other.
 
-
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` when it has at most ``max_rows`` rows, else join by shuffle.
-
-    ``small`` is an aggregate of something large, so it is staged: computed once for
-    both the count and the join.
+    Spark broadcasts ``small`` if its measured size allows, and else splits hot groups.
     """
-    staged = stage(small, "small")
-    few = staged.count() <= max_rows
-    return big.join(F.broadcast(staged) if few else staged, list(on), how)
+    named = small.select(*[F.col(f"`{c}`").alias(f"_on_{c}" if c in on else c) for c in small.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & big[f"`{c}`"].eqNullSafe(F.col(f"`_on_{c}`"))
+    return big.join(named, same, how).drop(*[f"_on_{c}" for c in on])

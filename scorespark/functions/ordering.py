@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
-from .scalar import ref
+from .joins import join_groups
+from .scalar import finite_or_null, ref
 
 BINS = 1024
 
@@ -73,16 +74,20 @@ def order_statistics(df: DataFrame, targets: Sequence[tuple[str, int]],
         bins = _count_bins(df, open_intervals)
         for s in searches:
             if s.low < s.high:
+                before = (s.low, s.high, s.rank)
                 for _, n, low, high in bins[s.interval]:
                     if s.rank < n:
                         s.low, s.high = low, high
                         break
                     s.rank -= n
+                if (s.low, s.high, s.rank) == before:
+                    raise ValueError(f"the range {before[:2]} cannot be narrowed; values must be finite and unchanging")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5) -> dict[str, float | None]:
-    """Exact quantile per column with linear interpolation; NULL column -> None."""
+    """Exact quantile per column with linear interpolation; NaN and infinities count as NULL; NULL column -> None."""
     columns = list(columns)
+    df = df.withColumns({c: finite_or_null(ref(c).cast("double")) for c in columns})
     summary = df.agg(
         *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.min(ref(c)).alias(f"low{i}") for i, c in enumerate(columns)],
@@ -137,7 +142,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     inside = Window.partitionBy(*by, "_slice").orderBy(*columns)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        staged.join(F.broadcast(edges), [*by, "_slice"])
+        join_groups(staged, edges, [*by, "_slice"])
         .withColumns({
             **{f"{c}_running": F.col(f"{c}_before") + F.sum(c).over(so_far) for c in sums},
             **{f"{c}_ahead": F.coalesce(F.lead(c).over(inside), F.col(f"{c}_after")) for c in ahead},

@@ -18,13 +18,18 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def finite_or_null(value: Column) -> Column:
+    """NaN and infinities of a double become NULL."""
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+
+
 def parse_number(text: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes NULL.
+    """Text to double; anything that is not a plain finite number becomes NULL.
 
     The pattern guards the cast: Spark also accepts ``1d`` and ``NaN`` as doubles.
     """
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
+    return F.when(trimmed.rlike(NUMBER_PATTERN), finite_or_null(trimmed.try_cast("double")))
 
 
 def numeric_or_null(df: DataFrame, name: str) -> Column:
@@ -33,7 +38,7 @@ def numeric_or_null(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.StringType):
         return parse_number(ref(name))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return nan_to_null(ref(name)).cast("double")
+        return finite_or_null(ref(name).cast("double"))
     return ref(name).cast("double")
 
 

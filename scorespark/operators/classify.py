@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import ref
-from ..schema import FEATURES, LABEL, SPLIT
+from ..schema import FEATURES, LABEL, SPLIT, require_columns
 from .cleaning import fit_standard, standard_scale
 from .metrics import evaluate_classifier
 from .regression import assemble, fixed_layout, kept, run_parallel
@@ -21,14 +21,13 @@ Scaler = Mapping[str, tuple[float, float]]
 
 
 def get_vle_feature_columns(df: DataFrame, features: Sequence[str] = FEATURES) -> list[str]:
-    """The canonical features if all exist, else every column that is no key, in file order."""
-    if all(f in df.columns for f in features):
-        return list(features)
-    return [c for c in df.columns if c not in (LABEL, "id", SPLIT)]
+    """The model's features by name and in its order; one that ``df`` lacks is an error, never replaced by position."""
+    require_columns(df, features, "features")
+    return list(features)
 
 
-def features_and_labels(df: DataFrame, split: str = "all", label: str = LABEL) -> tuple[DataFrame, DataFrame]:
-    """(features without id, label and split; the label column) of one split, or of all rows."""
+def features_and_labels(df: DataFrame, split: str = "original", label: str = LABEL) -> tuple[DataFrame, DataFrame]:
+    """(features without id, label and split; the label column) of one split, or with "all" of all rows."""
     if split != "all":
         df = df.where(F.col(SPLIT) == split)
     return df.drop("id", label, SPLIT), df.select(ref(label))
@@ -56,7 +55,7 @@ def logistic_regression(n_rows: int, **params) -> LogisticRegression:
 
 
 def forest_classifier(n_rows: int, **params) -> RandomForestClassifier:
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "sqrt", "maxDepth": 10, "seed": 42}
+    defaults = {"numTrees": 100, "featureSubsetStrategy": "sqrt", "maxDepth": 12, "maxBins": 64, "seed": 42}
     return RandomForestClassifier(**{**defaults, **params})
 
 

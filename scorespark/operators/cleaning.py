@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.joins import join_small
+from ..functions.joins import join_groups
 from ..functions.scalar import clamp, encode_period, numeric_or_null, ref
 from ..schema import BASE_YEAR, PERIOD, SCORE_MAX, SCORE_MIN, SUBJECTS
 
@@ -61,7 +61,7 @@ def imputation_log(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (PERI
 def _with_group_means(df: DataFrame, by: Sequence[str], subjects: Sequence[str]):
     names = {s: f"_mean_{i}" for i, s in enumerate(subjects)}
     means = df.groupBy(*by).agg(*[F.avg(ref(s)).alias(m) for s, m in names.items()])
-    return join_small(df, means, by, "left"), names
+    return join_groups(df, means, by, "left"), names
 
 
 def clip_outliers(df: DataFrame, subjects: Sequence[str] = SUBJECTS,

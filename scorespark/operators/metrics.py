@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.joins import join_small
+from ..functions.joins import join_groups
 from ..functions.ordering import running_totals
 from ..functions.scalar import ref
 
@@ -26,51 +26,59 @@ def regression_metrics(scored: DataFrame, by: Sequence[str] = (), y: str = "y_tr
     )
 
 
-def confusion_matrix(scored: DataFrame, by: Sequence[str] = (), label: str = "label",
-                     predicted: str = "prediction", labels: Sequence[int] = (0, 1)) -> DataFrame:
-    """(actual, predicted, n_rows) for every pair of labels that occur, zero cells included."""
-    counts = _cell_counts(scored, by, label, predicted, labels)
+def _cells(scored: DataFrame, by: Sequence[str], label: str, predicted: str) -> DataFrame:
+    """How often every (actual, predicted) pair occurs in a group; NULL where a row has no label or prediction."""
+    return scored.groupBy(
+        *by, ref(label).cast("int").alias("actual"), ref(predicted).cast("int").alias("predicted")
+    ).agg(F.count(F.lit(1)).alias("n_rows"))
+
 
-    def used(v):
-        return sum((ref(f"n{v}_{o}") + ref(f"n{o}_{v}") for o in labels), F.lit(0)) > 0
+def confusion_matrix(scored: DataFrame, by: Sequence[str] = (), label: str = "label",
+                     predicted: str = "prediction") -> DataFrame:
+    """(actual, predicted, n_rows) for every pair of the classes that occur in a group, zero cells included.
 
-    cells = [
-        F.when(used(a) & used(p), F.struct(
-            F.lit(a).alias("actual"), F.lit(p).alias("predicted"), ref(f"n{a}_{p}").alias("n_rows"),
-        ))
-        for a in labels for p in labels
-    ]
-    kept = F.filter(F.array(*cells), lambda c: c.isNotNull())
-    return counts.select(*by, F.inline(kept))
+    Rows without a label or a prediction are counted in cells of their own, with NULL.
+    """
+    # as many cells as pairs of classes
+    groups = _cells(scored, by, label, predicted).groupBy(*by).agg(
+        F.collect_list(F.struct("actual", "predicted", "n_rows")).alias("cells"))
+    classes = F.array_compact(F.array_sort(F.array_distinct(F.concat(F.col("cells.actual"), F.col("cells.predicted")))))
 
+    def cell(a, p):
+        found = F.filter("cells", lambda c: (c["actual"] == a) & (c["predicted"] == p))
+        return F.struct(a.alias("actual"), p.alias("predicted"),
+                        F.aggregate(found, F.lit(0).cast("long"), lambda n, c: n + c["n_rows"]).alias("n_rows"))
 
-def _cell_counts(scored, by, label, predicted, labels):
-    """One row per group: how often every (actual, predicted) pair occurs."""
-    return scored.groupBy(*by).agg(*[
-        F.count_if((ref(label) == a) & (ref(predicted) == p)).alias(f"n{a}_{p}")
-        for a in labels for p in labels
-    ])
+    grid = F.flatten(F.transform("classes", lambda a: F.transform("classes", lambda p: cell(a, p))))
+    unscored = F.filter("cells", lambda c: c["actual"].isNull() | c["predicted"].isNull())
+    return groups.withColumn("classes", classes).select(*by, F.inline(F.concat(grid, unscored)))
 
 
 def classifier_metrics(scored: DataFrame, by: Sequence[str] = (), label: str = "label",
-                       predicted: str = "prediction", labels: Sequence[int] = (0, 1)) -> DataFrame:
-    """accuracy, f1_macro over the classes that occur, and recall_fail, from one pass."""
-    counts = _cell_counts(scored, by, label, predicted, labels)
-    total = sum((ref(f"n{a}_{p}") for a in labels for p in labels), F.lit(0))
-    right = sum((ref(f"n{a}_{a}") for a in labels), F.lit(0))
-    f1 = []
-    for c in labels:
-        wrong = sum((ref(f"n{c}_{o}") + ref(f"n{o}_{c}") for o in labels if o != c), F.lit(0))
-        # NULL when the class occurs on neither side, and then not part of the mean
-        f1.append(F.try_divide(2.0 * ref(f"n{c}_{c}"), 2 * ref(f"n{c}_{c}") + wrong))
-    present = sum((f.isNotNull().cast("int") for f in f1), F.lit(0))
-    f1_sum = sum((F.coalesce(f, F.lit(0.0)) for f in f1), F.lit(0.0))
-    positives = sum((ref(f"n1_{p}") for p in labels), F.lit(0))
-    return counts.select(
-        *by,
-        F.try_divide(right, total).alias("accuracy"),
-        F.try_divide(f1_sum, present).alias("f1_macro"),
-        F.coalesce(F.try_divide(ref("n1_1"), positives), F.lit(0.0)).alias("recall_fail"),
+                       predicted: str = "prediction") -> DataFrame:
+    """accuracy, f1_macro over the classes that occur, and recall_fail (class 1).
+
+    A row without a prediction is wrong: it lowers the accuracy and the recall of its class.
+    Rows without a label are left out.
+    """
+    right = F.col("actual").eqNullSafe(F.col("predicted"))
+    n = F.col("n_rows")
+    sides = F.when(right, F.array(F.struct(F.col("actual").alias("class"), n.alias("tp"), F.lit(0).cast("long").alias("fp"),
+                                           F.lit(0).cast("long").alias("fn")))).otherwise(F.array(
+        F.struct(F.col("actual").alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), n.alias("fn")),
+        F.struct(F.col("predicted").alias("class"), F.lit(0).cast("long").alias("tp"), n.alias("fp"), F.lit(0).cast("long").alias("fn"))))
+    per_class = (
+        _cells(scored, by, label, predicted).where("actual IS NOT NULL").select(*by, F.inline(sides))
+        .groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    )
+    known = F.col("class").isNotNull()
+    f1 = F.when(known, F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    failing = F.col("class") == 1
+    return per_class.groupBy(*by).agg(
+        F.try_divide(F.sum("tp"), F.sum(F.when(known, F.col("tp") + F.col("fn")))).alias("accuracy"),
+        F.avg(f1).alias("f1_macro"),
+        F.coalesce(F.try_divide(F.sum(F.when(failing, F.col("tp"))), F.sum(F.when(failing, F.col("tp") + F.col("fn")))),
+                   F.lit(0.0)).alias("recall_fail"),
     )
 
 
@@ -111,7 +119,7 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = (), label: str = "label", s
         turns = (F.col("p") != F.col("p_ahead")) | (F.col("n") != F.col("n_ahead"))
         points = points.where(first | last | turns)
     if by:
-        points = join_small(points, totals, by)
+        points = join_groups(points, totals, by)
     else:
         total = totals.first()
         points = points.withColumns({"_pos": F.lit(total["_pos"]), "_neg": F.lit(total["_neg"])})
@@ -136,7 +144,7 @@ def evaluate_classifier(scored: DataFrame, by: Sequence[str] = (), label: str =
     else:
         area = roc_auc(scored, by, label, score)
         if by:
-            metrics = metrics.join(area, list(by))
+            metrics = join_groups(metrics, area, by, "left")
         else:
             metrics = metrics.withColumn("roc_auc", area.scalar())
     return metrics.select(*by, "accuracy", "f1_macro", "roc_auc", "recall_fail")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -13,6 +12,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import AtomicType
 
 from ..functions.ordering import fold_number, fold_starts
 from ..functions.scalar import clamp, ref
@@ -22,7 +22,8 @@ from .stats import year_on_year
 
 CENTRE = (SCORE_MIN + SCORE_MAX) / 2
 PARALLEL_FITS = 4
-ROWS_PER_FIT_TASK = 1_000
+FIT_PARTITIONS = 16
+"""Tasks of a tree fit. Bootstrap draws follow partitions, so the number is fixed and part of the model."""
 
 
 # --- least squares ---------------------------------------------------------------
@@ -142,8 +143,11 @@ def decision_tree(**params) -> DecisionTreeRegressor:
 
 
 def random_forest(**params) -> RandomForestRegressor:
-    """100 trees on all features. Depth is bounded: a tree of depth d has up to 2^d nodes."""
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 10, "seed": 42}
+    """100 trees on all features, as deep as 12 levels with 64 split candidates a feature.
+
+    Depth and candidates are parameters, because a tree of depth d has up to 2^d nodes.
+    """
+    defaults = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 12, "maxBins": 64, "seed": 42}
     return RandomForestRegressor(**{**defaults, **params})
 
 
@@ -164,14 +168,14 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
     return VectorAssembler(inputCols=list(features), outputCol=output).transform(df)
 
 
-def fixed_layout(df: DataFrame, key: str) -> DataFrame:
-    """Rows placed and sorted by key: a seed then gives the same trees for any input layout.
+def fixed_layout(df: DataFrame, key: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Rows placed by key and sorted: a seed then gives the same trees for any input layout and session.
 
-    Small tables get few tasks, because every tree level is a job over all of them.
+    ``partitions`` is a parameter of the model: raise it for tables whose sixteenth does not fit a task.
+    Rows that repeat a key are ordered by their other columns that can be ordered.
     """
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(1, min(most, math.ceil(df.count() / ROWS_PER_FIT_TASK)))
-    return df.repartition(partitions, ref(key)).sortWithinPartitions(ref(key))
+    rest = [ref(f.name) for f in df.schema if f.name != key and isinstance(f.dataType, AtomicType)]
+    return df.repartition(partitions, ref(key)).sortWithinPartitions(ref(key), *rest)
 
 
 @contextmanager

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scalar import clamp, format_entity_id, grade, nan_to_null, ref
 from ..operators import cleaning, reshape, stats, tables as ops
 from ..session import scratch_path
-from ..sources import marks as mark_files, synthetic, tables as logs
+from ..sources import marks as mark_files, tables as logs
 from .tables import (
     BASE, NEXT, SUBJECTS, clean, marks, pairs, rounded, staged_wide, students, table, wide,
 )
@@ -59,14 +59,16 @@ def pooled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fk_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks of customers in debt; the tables have no orphans, so these stand in for missing parents."""
     active = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("student_id"))
     return ops.orphan_keys(marks(spark, sf), active, "student_id")
 
 
 def insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks after 1995 of student and subject pairs that no mark up to 1995 has, the first of each pair."""
     m = marks(spark, sf)
-    known = m.where(F.col("year") == 1995).select("student_id", "subject")
-    new = m.where(F.col("year") == 1996).select("student_id", "subject", "id", "mark")
+    known = m.where(F.col("year") <= 1995).select("student_id", "subject")
+    new = m.where(F.col("year") > 1995).select("student_id", "subject", "id", "mark")
     return rounded(ops.insert_or_ignore(known, new, ["student_id", "subject"], ["id"]))
 
 
@@ -156,12 +158,6 @@ def cohort_students(spark: SparkSession, sf: str) -> DataFrame:
     return new_students
 
 
-def synthetic_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.synthetic_scores(
-        students(spark, sf), "student_id", [2024, 2025], missing={2024: [(2, 1), (5, 3)], 2025: [(9, 4)]}
-    )
-
-
 # --- descriptive statistics ----------------------------------------------------------
 
 def subject_averages(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +257,7 @@ QUERIES = {f.__name__: f for f in [
     marks_joined, marks_wide, entity_marks, entity_period_row, ordered_history, dimension_scan,
     distinct_keys, distinct_periods, next_period_pairs, pooled_pairs, fk_violations, insert_or_ignore,
     union_sources, dedup_first, clean_marks, impute_by_period, imputation_log, minmax_norm, nan_null,
-    ensure_wide, unpivot_load, csv_round_trip, cohort_upload, cohort_students, synthetic_scores,
+    ensure_wide, unpivot_load, csv_round_trip, cohort_upload, cohort_students,
     subject_averages, entity_averages, class_progress, entity_progress, entity_comparison,
     subject_summary, subject_summary_raw, entity_summary, corr_matrix, top_performers, failing_entities,
     period_change, overview_kpis, entity_alerts, grade_bins, formatted_ids, prediction_log,

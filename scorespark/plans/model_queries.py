@@ -97,8 +97,8 @@ def entity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_report_best(spark: SparkSession, sf: str) -> DataFrame:
-    """The report with the better of the linear and the tree model per subject."""
-    return _report(spark, sf, ["LinearRegression", "DecisionTree"])
+    """The report with the best of the three models per subject."""
+    return _report(spark, sf, list(regression.REGRESSORS))
 
 
 def regression_gates(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,11 +125,16 @@ def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prediction_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    """95% band of the forest for the first subject."""
+    """95% band of the forest for every subject."""
     c, p = _clean_and_pairs(spark, sf)
     ready = regression.assemble(regression.fixed_layout(p, "student_id"), regression.feature_names(SUBJECTS))
-    forest = regression.random_forest(featuresCol="features", labelCol=f"{SUBJECTS[0]}_next").fit(ready)
-    return rounded(regression.prediction_intervals(_current(c), forest, SUBJECTS))
+    parts = None
+    with regression.kept(ready):
+        for s in SUBJECTS:
+            forest = regression.random_forest(featuresCol="features", labelCol=f"{s}_next").fit(ready)
+            part = regression.prediction_intervals(_current(c), forest, SUBJECTS).withColumn("subject", F.lit(s))
+            parts = part if parts is None else parts.unionByName(part)
+    return rounded(parts)
 
 
 def regression_evaluation(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +147,7 @@ def regression_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
     """The model with the lowest in-sample RMSE per subject."""
     p = staged_pairs(spark, sf)
-    fitted = regression.train_regressors(p, SUBJECTS, ["LinearRegression", "DecisionTree"])
+    fitted = regression.train_regressors(p, SUBJECTS)
     errors = metrics.regression_metrics(
         regression.actual_vs_predicted(p, fitted, SUBJECTS), ("model", "subject")
     )
@@ -150,10 +155,10 @@ def best_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Save, reload and apply the linear and the tree models."""
+    """Save, reload and apply the linear, tree and forest models."""
     c, p = _clean_and_pairs(spark, sf)
     folder = scratch_path(spark, "models")
-    names = ["LinearRegression", "DecisionTree"]
+    names = list(regression.REGRESSORS)
     store.save_regressors(spark, regression.train_regressors(p, SUBJECTS, names), folder)
     loaded = {(m, s): store.load_regressor(spark, folder, m, s) for m in names for s in SUBJECTS}
     return rounded(regression.predict_next(_current(c), loaded, SUBJECTS))

@@ -187,32 +187,6 @@ def out_of_range(feature: str) -> str:
     return f"{test} OR {feature} <> floor({feature})" if feature in WHOLE_FEATURES else test
 
 
-def draw(index: str, salt: int, low: int, high: int) -> str:
-    mixed = f"(((({index}) + {salt}) % 2147483648 * 2654435761) % 2147483648)"
-    mixed = f"((({mixed} + {salt}) * 2654435761) % 2147483648)"
-    return f"({low} + ({mixed} // 65536) % {high - low + 1})"
-
-
-def synthetic() -> str:
-    subjects = ["Math", "Physics", "CS", "English", "Statistics"]
-    missing = {2024: [(2, 1), (5, 3)], 2025: [(9, 4)]}
-    parts = []
-    for i, subject in enumerate(subjects):
-        index = f"c_custkey * 5 + {i}"
-        for year, mark in (
-            (2024, draw(index, 42, 50, 95)),
-            (2025, f"{draw(index, 42, 50, 95)} + {draw(index, 99, -8, 12)}"),
-        ):
-            holes = " OR ".join(f"c_custkey = {n}" for n, position in missing[year] if position == i)
-            value = f"CAST(least(100, greatest(0, {mark})) AS DOUBLE)"
-            if holes:
-                value = f"CASE WHEN NOT ({holes}) THEN {value} END"
-            parts.append(
-                f"SELECT c_custkey AS student_id, {year} AS year, '{subject}' AS subject, {value} AS mark FROM customer"
-            )
-    return " UNION ALL ".join(parts)
-
-
 BY_STUDENT = WIDE + f""", by_student AS (
   SELECT student_id, name, {cols("avg({s}) AS {s}")} FROM wide GROUP BY student_id, name)"""
 OVERALL = WIDE + f""", overall AS (
@@ -272,7 +246,7 @@ ORACLE: dict[str, str] = {
     "fk_violations": f"WITH {MARKS} SELECT student_id, count(*) AS n_rows FROM marks WHERE student_id NOT IN "
                      "(SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY student_id",
     "insert_or_ignore": f"WITH {MARKS} SELECT student_id, subject, id, round(mark, 6) AS mark FROM marks m "
-                        "WHERE year = 1996 AND NOT EXISTS (SELECT 1 FROM marks k WHERE k.year = 1995 "
+                        "WHERE year > 1995 AND NOT EXISTS (SELECT 1 FROM marks k WHERE k.year <= 1995 "
                         "AND k.student_id = m.student_id AND k.subject = m.subject) "
                         "QUALIFY row_number() OVER (PARTITION BY student_id, subject ORDER BY id) = 1",
     "union_sources": "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, 'customer' AS split "
@@ -305,7 +279,6 @@ ORACLE: dict[str, str] = {
                      f"SELECT student_id, year, subject, round(mark, 6) AS mark FROM cells WHERE year > {BASE}",
     "cohort_students": f"WITH {WIDE} SELECT DISTINCT student_id, name FROM wide w WHERE year >= {BASE} "
                        f"AND NOT EXISTS (SELECT 1 FROM wide o WHERE o.student_id = w.student_id AND o.year <= {BASE})",
-    "synthetic_scores": synthetic(),
     # descriptive statistics
     "subject_averages": f"WITH {CLEAN}, cells AS ({long('clean', 'student_id')}) "
                         "SELECT subject, round(avg(mark), 6) AS average FROM cells GROUP BY subject ORDER BY 2 DESC",

@@ -33,6 +33,8 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="scorespark-")
         spark.sparkContext.setCheckpointDir(root)
+    if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must be a folder every executor can reach, not a file: path")
     return f"{root.rstrip('/')}/scorespark-{spark.sparkContext.applicationId}"
 
 

@@ -11,13 +11,16 @@ from ..functions.scalar import parse_number, ref
 from ..operators.cleaning import clean_marks, clean_missing, clip_outliers
 from ..operators.reshape import melt_scores
 from ..operators.tables import check_keys, insert_or_ignore
-from ..schema import CATEGORY, ENTITY, NAME, PERIOD, SCORE, SUBJECTS, require_columns
+from ..schema import CATEGORY, ENTITY, NAME, PERIOD, SUBJECTS, require_columns
 from ..session import path_exists
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header row, every value as text; a byte-order mark is skipped."""
-    return spark.read.option("header", True).csv(path)
+    """A CSV with a header row, every value as text; a byte-order mark is skipped.
+
+    In a folder all files must have the first one's header: another order fails when its rows are read.
+    """
+    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -66,13 +69,12 @@ def add_cohort(students: DataFrame, marks: DataFrame, wide: DataFrame,
     """(new student rows, new mark rows) of an uploaded wide table.
 
     Students and marks that exist already are left out, so loading a file twice
-    adds nothing the second time.
+    adds nothing the second time. Marks that a file repeats all stay, to be averaged.
     """
     require_columns(wide, [ENTITY, NAME, PERIOD, *subjects], "cohort")
     new_students = insert_or_ignore(students, wide.select(ENTITY, NAME), [ENTITY], [NAME])
-    new_marks = insert_or_ignore(
-        marks.select(ENTITY, PERIOD, CATEGORY), to_marks(wide, subjects), [ENTITY, PERIOD, CATEGORY], [SCORE]
-    )
+    keys = [ENTITY, PERIOD, CATEGORY]
+    new_marks = to_marks(wide, subjects).join(marks.select(*keys), keys, "left_anti")
     known = students.select(ENTITY).unionByName(new_students.select(ENTITY))
     return new_students, check_keys(new_marks, known, ENTITY)
 

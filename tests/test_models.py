@@ -211,9 +211,9 @@ def test_classifier_store(spark, rows, risk):
 
 
 def test_feature_columns(rows):
-    assert classify.get_vle_feature_columns(rows) == FEATS
+    assert classify.get_vle_feature_columns(rows, FEATS) == FEATS
     assert classify.get_vle_feature_columns(rows, ["y", "x"]) == ["y", "x"]
-    x, y = classify.features_and_labels(rows)
+    x, y = classify.features_and_labels(rows, "all")
     assert x.columns == FEATS and y.columns == ["label"]
 
 

@@ -7,8 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from scorespark.plans import feature_queries, marks_queries, model_queries, oracle
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {**marks_queries.QUERIES, **feature_queries.QUERIES, **model_queries.QUERIES}
+ORACLE = oracle.ORACLE
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

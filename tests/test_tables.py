@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from scorespark.operators import quality, stats, tables as ops
 from scorespark.schema import FEATURES, FEATURE_RANGES
 from scorespark.session import scratch_path
-from scorespark.sources import features as files, marks as mark_files, synthetic, tables as logs
+from scorespark.sources import features as files, marks as mark_files, tables as logs
 
 SUBJ = ["Math", "CS"]
 N = None
@@ -157,17 +157,3 @@ def test_logs(spark):
         logs.save_predictions(rows.drop("model_used"), path)
     with pytest.raises(ValueError):
         logs.save_vle_predictions(rows, path)
-
-
-def test_synthetic_scores(spark):
-    students = spark.range(200).select(F.col("id").alias("student_id"))
-    a = synthetic.synthetic_scores(students, "student_id", [2024, 2025], missing={2024: [(3, 0)]})
-    b = synthetic.synthetic_scores(students.repartition(7), "student_id", [2024, 2025], missing={2024: [(3, 0)]})
-    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
-    assert a.count() == 2000 and a.where("mark IS NULL").count() == 1
-    low, high = a.where("year = 2024").agg(F.min("mark"), F.max("mark")).first()
-    assert 50 <= low and high <= 95
-    made, marks = synthetic.generate_cohort(spark, 15)
-    assert marks.count() == 150 and made.where("student_id = 'S015'").count() == 1
-    low, high = a.where("year = 2025").agg(F.min("mark"), F.max("mark")).first()
-    assert 0 <= low and high <= 100
