@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorespark.llm.common import claim
-from scorespark.llm.pieces import PieceEncoder, chunks, text_chunks
+from scorespark.llm.pieces import HELD, PieceEncoder, chunks, text_chunks
 
 _DEPTH = 64  # steps of one recursive query; it starts again from its last state until the fixpoint
 _LONG = 96  # tokens of a word from which on all places of its best pair are contracted at a time
@@ -77,11 +77,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """The merge table and vocabulary of a rank file in a DuckDB database of this process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = HELD):
         self.pattern, self.ranks = pattern, ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = {i: str(i) for i in ranks.values()}
-        self.cache = PieceEncoder(pattern, self._learn)
+        self.cache = PieceEncoder(pattern, self._learn, held)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))
                   if t[:i] in ranks and t[i:] in ranks]
@@ -152,19 +152,20 @@ class Bpe:
         return out
 
 
-_OPEN: dict[tuple[str, str], Bpe] = {}
+_OPEN: dict[tuple, Bpe] = {}
 
 
-def _bpe(path: str, pattern: str) -> Bpe:
+def _bpe(path: str, pattern: str, held: int = HELD) -> Bpe:
     """This worker's database, opened once."""
     claim(__name__, _OPEN.clear)
-    if (path, pattern) not in _OPEN:
-        _OPEN[path, pattern] = Bpe(read_ranks(path), pattern)
-    return _OPEN[path, pattern]
+    key = path, pattern, held
+    if key not in _OPEN:
+        _OPEN[key] = Bpe(read_ranks(path), pattern, held)
+    return _OPEN[key]
 
 
-def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, what: str) -> Iterator[pa.RecordBatch]:
-    bpe = _bpe(path, pattern)
+def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, what: str, held: int) -> Iterator[pa.RecordBatch]:
+    bpe = _bpe(path, pattern, held)
     for batch in batches:
         for first, texts in text_chunks(batch.column(0), _CHUNK):
             ids = bpe.encode(texts)
@@ -199,14 +200,16 @@ def _schema(df: DataFrame, names: list[str], more: str) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                     text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
+                     text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), digests: bool = False,
+                     held: int = HELD) -> DataFrame:
     """The columns in ``carry``, ids (array of int) and n_tokens, a row for every row of ``docs``.
 
     The ids are those of the byte-level BPE whose rank file is at ``path``
     (a file every executor can read), each match of ``pattern`` merged by
     itself, without special tokens. With ``digests`` the ids are decoded again
     on the spot and only the SHA-256 of the ids in decimals and of the decoded
-    bytes come back (ids_sha256, decoded_sha256) instead of the ids.
+    bytes come back (ids_sha256, decoded_sha256) instead of the ids. ``held``
+    bounds the words a worker remembers (see ``PieceEncoder``).
 
     Null and empty texts have no ids. Very long texts are handled by
     themselves. Repeated rows give repeated rows, an empty table none. Columns
@@ -216,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     source = docs.select(F.col(text_col).alias("_text"), *carry)
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, n_tokens long"
-    return source.mapInArrow(partial(_encode_rows, path=path, pattern=pattern, what="digests" if digests else "ids"),
+    return source.mapInArrow(partial(_encode_rows, path=path, pattern=pattern, what="digests" if digests else "ids", held=held),
                              _schema(docs, list(carry), more))
 
 

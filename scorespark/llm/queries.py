@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scorespark.llm import bpe, embeddings, minhash, mixing, quality, repeats, sharding, token_files, toxicity, warc
 from scorespark.llm.common import scratch_path, table
+from scorespark.llm.pieces import HELD
+
+HELD_ALONE = 2 * HELD  # a query's workers have an executor's memory to themselves; the pipeline's do not
 
 
 def op3_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def op4_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and the bytes they decode to, as digests."""
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True, held=HELD_ALONE)
 
 
 def op5_clause_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def op5_clause_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_patched_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written to patched frame-of-reference files and read back."""
     docs = table(spark, sf_dir, "documents")
-    return token_files.read_token_files(token_files.write_token_files(docs, scratch_path(spark, "op6")))
+    return token_files.read_token_files(token_files.write_token_files(docs, scratch_path(spark, "op6"), held=HELD_ALONE))
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scorespark.llm.common import Staged, claim, scratch_path, shuffle_partitions
 from scorespark.llm.files import create, open_input
-from scorespark.llm.pieces import PieceEncoder, chunks, text_chunks
+from scorespark.llm.pieces import HELD, PieceEncoder, chunks, text_chunks
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 1024
@@ -173,10 +173,10 @@ def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
 class _Tokenizer:
     """A tokenizers-library file; pieces that came lately are not encoded again."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, held: int = HELD):
         from tokenizers import Tokenizer
 
-        self.lib, self.pattern, self.cache = Tokenizer.from_file(path), pattern, PieceEncoder(pattern, self._learn)
+        self.lib, self.pattern, self.cache = Tokenizer.from_file(path), pattern, PieceEncoder(pattern, self._learn, held)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.line = self._ids("\n")
 
@@ -187,7 +187,8 @@ class _Tokenizer:
         """New pieces go through the library in one text, a line each; those with inner white space by themselves."""
         plain = []
         for piece in pieces:
-            if len(piece.split()) == 1 and not piece[-1].isspace() and (piece[0] == " " or not piece[0].isspace()):
+            solid = piece[1:].isalnum() or len(piece.split()) == 1 and not piece[-1].isspace()
+            if solid and (piece[0] == " " or not piece[0].isspace()):
                 plain.append(piece)
             else:
                 yield piece, self._ids(piece).tobytes()
@@ -207,14 +208,15 @@ class _Tokenizer:
 
 
 @functools.cache
-def _tokenizer(path: str, pattern: str) -> _Tokenizer:
-    return _Tokenizer(path, pattern)
+def _tokenizer(path: str, pattern: str, held: int) -> _Tokenizer:
+    return _Tokenizer(path, pattern, held)
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, pattern: str, end_id: int, file_ids: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, pattern: str, end_id: int, file_ids: int,
+           held: int) -> Iterator[pa.RecordBatch]:
     claim(__name__, _tokenizer.cache_clear)
     part, seq, writer = TaskContext.get().partitionId(), 0, None
-    lib = _tokenizer(path, pattern)
+    lib = _tokenizer(path, pattern, held)
 
     def close():
         name, docs, tokens = writer.close()
@@ -253,13 +255,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
                       id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_ids: int = 64 << 20,
-                      slices: int | None = None) -> DataFrame:
+                      slices: int | None = None, held: int = HELD) -> DataFrame:
     """Write all documents' ids in ascending id order below ``folder``; the manifest of the files comes back.
 
     Manifest: file (its place in the order), path, docs, tokens, start (ids in
     all files before it). The documents are range-partitioned by id, so each
     task tokenizes and writes one run of the order, as one or more files of
-    about ``file_ids`` ids. ``end_id`` is appended to each document.
+    about ``file_ids`` ids. ``end_id`` is appended to each document. ``held``
+    bounds the words a worker remembers (see ``PieceEncoder``).
 
     Null ids come first; rows with equal ids are ordered by checksum of their
     text; null texts are empty and hold the end id alone; very long texts may
@@ -271,7 +274,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, pat
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = source.repartitionByRange(slices or shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     files = source.mapInArrow(
-        partial(_write, folder=folder, path=path, pattern=pattern, end_id=end_id, file_ids=file_ids),
+        partial(_write, folder=folder, path=path, pattern=pattern, end_id=end_id, file_ids=file_ids, held=held),
         "part long, seq long, path string, docs long, tokens long")
     files = Staged(spark, "token-files")(files, "manifest")
     order = Window.orderBy("part", "seq")  # a row a file
