@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -30,16 +30,27 @@ def drop_padding(df: DataFrame) -> DataFrame:
     return df.select(*[ref(c) for c in df.columns if not PADDING.fullmatch(c)])
 
 
+def resolve(headers: Sequence[str], name_of: Callable[[str], str | None]) -> dict[str, str]:
+    """Header -> name, blanks around unknown headers removed; two headers of one name are a ``ValueError``."""
+    names, taken = {}, {}
+    for header in headers:
+        name = name_of(header) or header.strip()
+        if name in taken:
+            raise ValueError(f"headers {taken[name]!r} and {header!r} both mean {name}")
+        names[header], taken[name] = name, header
+    return names
+
+
 def rename_exact(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Rename by header, ignoring blanks around headers and mapping keys."""
     trimmed = {k.strip(): v for k, v in mapping.items()}
-    return df.withColumnsRenamed({c: trimmed.get(c.strip(), c.strip()) for c in df.columns})
+    return df.withColumnsRenamed(resolve(df.columns, lambda header: trimmed.get(header.strip())))
 
 
 def rename_loose(df: DataFrame, source_headers: Mapping[str, str] = SOURCE_HEADERS) -> DataFrame:
     """Rename by header key, so case, punctuation and notes do not matter."""
     table = alias_table(source_headers)
-    return df.withColumnsRenamed({c: table.get(header_key(c), c.strip()) for c in df.columns})
+    return df.withColumnsRenamed(resolve(df.columns, lambda header: table.get(header_key(header))))
 
 
 def keep_known(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -57,8 +57,8 @@ def build_regression_dataset(wide: DataFrame, subjects: Sequence[str] = SUBJECTS
 
 
 def consecutive_pairs(wide: DataFrame, subjects: Sequence[str] = SUBJECTS) -> DataFrame:
-    """Every (year, year + 1) pair of every student."""
-    features = wide.select(ENTITY, PERIOD, *[ref(s) for s in subjects])
+    """Every (year, year + 1) pair of every student; the first year of a pair is encoded as 0."""
+    features = wide.select(ENTITY, PERIOD, F.lit(0).alias("year_encoded"), *[ref(s) for s in subjects])
     targets = wide.select(
         ENTITY, (F.col(PERIOD) - 1).alias(PERIOD), *[ref(s).alias(f"{s}_next") for s in subjects]
     )

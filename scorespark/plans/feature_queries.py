@@ -8,7 +8,7 @@ from ..functions.scalar import label_name, logistic, ref, sentinel_to_null
 from ..operators import classify, cleaning, metrics, quality, stats, tables as ops
 from ..schema import FEATURES, LABEL, QUINTILES, SOURCE_HEADERS, SPLIT
 from ..session import scratch_path, stage
-from ..sources import features as files, tables as logs
+from ..sources import features as files, models as store, tables as logs
 from ..sources.marks import write_csv
 from .tables import TEXT_FEATURES, engagement, rounded, text_features
 
@@ -189,14 +189,24 @@ def quality_gates(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classifier_gates(metrics.classifier_metrics(_scored(spark, sf)))
 
 
-def label_log(spark: SparkSession, sf: str) -> DataFrame:
+def _write_label_log(spark: SparkSession, sf: str) -> str:
     path = scratch_path(spark, "label-log")
     rows = _scored(spark, sf).select(
         F.col("id").alias("vle_student_id"), F.col("prediction").alias("predicted_label"),
         F.col("score").alias("predicted_proba"), F.lit("fixed").alias("model_used"),
     )
     logs.save_vle_predictions(rows, path)
-    return logs.get_vle_predictions(spark, path).drop("created_at")
+    return path
+
+
+def label_log(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.get_vle_predictions(spark, _write_label_log(spark, sf)).drop("created_at")
+
+
+def label_log_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of the student with the lowest id."""
+    first = _scored(spark, sf).agg(F.min("id")).first()[0]
+    return logs.get_vle_predictions(spark, _write_label_log(spark, sf), first).drop("created_at")
 
 
 # --- fitted classifiers ----------------------------------------------------------------------
@@ -243,11 +253,39 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(classify.grid_search(train, risk, {"maxDepth": [3, 6], "numTrees": [20, 50]}))
 
 
+def classifier_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per classifier, rows of the held-out table and those that break a rule.
+
+    Rules: a label is 0 or 1 and that of the likelier class, a probability is in 0..1, a model that is fitted
+    again or loaded from its files scores alike, and importances add up to 1.
+    """
+    train, test = _split(spark, sf)
+    risk, folder = _fit(train), scratch_path(spark, "classifiers")
+    store.save_classifiers(spark, risk, folder)
+    others = {"again": _fit(train), "stored": store.load_classifiers(spark, folder, *risk.models)}
+    parts = None
+    for m in risk.models:
+        rows = classify.predict_pass_fail(test, risk, m)
+        for name, other in others.items():
+            scores = classify.predict_pass_fail(test, other, m).select("id", F.col("predicted_proba").alias(name))
+            rows = rows.join(scores, "id")
+        p, label = F.col("predicted_proba"), F.col("predicted_label")
+        total = sum(v for _, v in risk.importance(m)) if m == "RandomForest" else 1.0
+        part = rows.groupBy(F.col("model_used").alias("model")).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(~label.isin(0, 1) | (label != (p > 0.5).cast("int"))).alias("wrong_labels"),
+            F.count_if(~p.between(0, 1)).alias("outside"),
+            *[F.count_if(F.abs(p - F.col(name)) > 1e-6).alias(f"{name}_differs") for name in others],
+        ).withColumn("importances", F.round(F.lit(total), 6))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 QUERIES = {f.__name__: f for f in [
     messy_csv_load, feature_table_report, split_scan, train_test_pair, drop_null_label,
     feature_label_split, label_column, class_distribution, label_kpis, labelled_names, sentinel_null,
     standard_scale, feature_corr_matrix, domain_violations, within_domain, flag_rule_check,
     logistic_squash, confusion_matrix, classifier_metrics, roc_auc, roc_curve, classifier_bundle,
-    quality_gates, label_log, logistic_scores, forest_scores, feature_importance, classifier_eval,
+    quality_gates, label_log, label_log_latest, classifier_checks, logistic_scores, forest_scores, feature_importance, classifier_eval,
     best_classifier, grid_search,
 ]}

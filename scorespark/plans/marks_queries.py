@@ -55,7 +55,7 @@ def next_period_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pooled_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ops.consecutive_pairs(clean(spark, sf), SUBJECTS))
+    return rounded(ops.consecutive_pairs(clean(spark, sf), SUBJECTS).drop("year_encoded"))
 
 
 def fk_violations(spark: SparkSession, sf: str) -> DataFrame:

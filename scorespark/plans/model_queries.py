@@ -171,8 +171,50 @@ def pooled_pairs_model(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(fit.rows(), "subject string, feature string, coefficient double"))
 
 
+def _tree_checks(spark: SparkSession, c: DataFrame, p: DataFrame, names: list[str]) -> DataFrame:
+    """Per tree model and subject, forecasts and those that break a rule.
+
+    Rules: a forecast is inside the range of the marks it was learned from, a model that is fitted again or
+    loaded from its files forecasts alike, and the in-sample RMSE is at most that of the mean.
+    """
+    p, folder = stage(p, "pairs"), scratch_path(spark, "models")
+    fitted = regression.train_regressors(p, SUBJECTS, names)
+    store.save_regressors(spark, fitted, folder)
+    again = regression.train_regressors(p, SUBJECTS, names)
+    every = dict(fitted)
+    every |= {(f"{m} again", s): fit for (m, s), fit in again.items()}
+    every |= {(f"{m} stored", s): store.load_regressor(spark, folder, m, s) for m, s in fitted}
+    current = _current(c).select("student_id", F.lit(1).alias("year_encoded"), *[ref(s).cast("double").alias(s) for s in SUBJECTS])
+    cells = F.array(*[F.struct(
+        F.lit(m).alias("model"), F.lit(s).alias("subject"), ref(f"{m}|{s}").alias("mark"),
+        ref(f"{m} again|{s}").alias("again"), ref(f"{m} stored|{s}").alias("stored")) for m, s in fitted])
+    marks = F.array(*[F.struct(F.lit(s).alias("subject"), ref(f"{s}_next").alias("y")) for s in SUBJECTS])
+    known = p.select(F.inline(marks)).groupBy("subject").agg(
+        F.min("y").alias("low"), F.max("y").alias("high"), F.stddev_pop("y").alias("spread"))
+    errors = metrics.regression_metrics(regression.actual_vs_predicted(p, fitted, SUBJECTS), ("model", "subject"))
+    rows = regression.predict_columns(current, every, SUBJECTS).select(F.inline(cells)).join(known, "subject")
+    checks = rows.groupBy("model", "subject", "spread").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("mark").between(F.col("low") - 1e-9, F.col("high") + 1e-9)).alias("outside"),
+        *[F.count_if(F.abs(F.col("mark") - F.col(o)) > 1e-6).alias(f"{o}_differs") for o in ("again", "stored")])
+    return checks.join(errors.select("model", "subject", "RMSE"), ["model", "subject"]).select(
+        "model", "subject", "n_rows", "outside", "again_differs", "stored_differs",
+        (F.col("RMSE") <= F.col("spread")).alias("beats_mean"))
+
+
+def regressor_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree_checks(spark, *_clean_and_pairs(spark, sf), ["DecisionTree", "RandomForest"])
+
+
+def pooled_tree_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of trees fitted on every consecutive pair of years."""
+    c = clean(spark, sf)
+    return _tree_checks(spark, c, ops.consecutive_pairs(c, SUBJECTS), ["DecisionTree"])
+
+
 QUERIES = {f.__name__: f for f in [
     ols_coefficients, ols_predictions, predictions_long, ols_cv, fold_sizes, rmse_mae,
     actual_vs_predicted, entity_report, entity_report_best, regression_gates, tree_predictions, forest_predictions, prediction_intervals,
     regression_evaluation, best_model, model_round_trip, pooled_pairs_model,
+    regressor_checks, pooled_tree_checks,
 ]}

@@ -151,6 +151,10 @@ COEFFICIENTS = " UNION ALL ".join(
     [f"SELECT '{t}' AS subject, 'intercept' AS feature, round(a_{t}, 6) AS coefficient FROM coef" for t in S]
     + [f"SELECT '{t}', '{f}', round(b_{t}_{f}, 6) FROM coef" for t in S for f in S]
 )
+TREE_CHECKS = f"""WITH {CLEAN} SELECT model, subject, count(*) AS n_rows, 0::BIGINT AS outside,
+  0::BIGINT AS again_differs, 0::BIGINT AS stored_differs, true AS beats_mean
+  FROM clean, (VALUES ('DecisionTree'), ('RandomForest')) m(model), (VALUES {", ".join(f"('{s}')" for s in S)}) s(subject)
+  WHERE year = {NEXT} GROUP BY model, subject"""
 POOLED = CLEAN + f""", pooled AS (
   SELECT b.student_id, b.year, {cols("b.{s} AS {s}")}, {cols("n.{s} AS {s}_next")}
   FROM clean b JOIN clean n ON n.student_id = b.student_id AND n.year = b.year + 1)"""
@@ -381,6 +385,11 @@ ORACLE: dict[str, str] = {
     "quality_gates": f"WITH {CLASSIFIER} SELECT accuracy >= 0.7 AS accuracy_ok, recall_fail > 0 AS recall_ok FROM bundle",
     "label_log": f"WITH {SCORED} SELECT id AS vle_student_id, prediction AS predicted_label, score AS predicted_proba, "
                  "'fixed' AS model_used FROM predicted",
+    "label_log_latest": f"WITH {SCORED} SELECT id AS vle_student_id, prediction AS predicted_label, score AS predicted_proba, "
+                        "'fixed' AS model_used FROM predicted WHERE id = (SELECT min(id) FROM predicted)",
+    "classifier_checks": f"WITH {LABELLED} SELECT model, count(*) AS n_rows, 0::BIGINT AS wrong_labels, 0::BIGINT AS outside, "
+                         "0::BIGINT AS again_differs, 0::BIGINT AS stored_differs, 1.0::DOUBLE AS importances FROM labelled, "
+                         "(VALUES ('LogisticRegression'), ('RandomForest')) m(model) WHERE split = 'test' GROUP BY model",
     # regressions
     "ols_coefficients": f"WITH {FITTED} {COEFFICIENTS}",
     "ols_predictions": f"WITH {AHEAD}, cells AS ({long('ahead', 'student_id', 'v')}) SELECT student_id, subject, "
@@ -407,4 +416,6 @@ ORACLE: dict[str, str] = {
                      f"{cols('round(a.{s}, 6) AS {s}_predicted')} FROM change g JOIN ahead a ON a.student_id = g.student_id",
     "regression_gates": f"WITH {CV} SELECT bool_and(rmse < 20) AS rmse_ok FROM fold_rmse WHERE g = -1",
     "pooled_pairs_model": f"WITH {POOLED}, one AS (SELECT 1 AS g, * FROM pooled), {solve('one')} {COEFFICIENTS}",
+    "regressor_checks": TREE_CHECKS,
+    "pooled_tree_checks": f"SELECT * FROM ({TREE_CHECKS}) WHERE model = 'DecisionTree'",
 }

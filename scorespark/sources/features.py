@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.headers import drop_padding, keep_known, rename_exact, rename_loose
 from ..functions.ordering import row_numbers
 from ..functions.scalar import parse_number, ref
+from ..operators.quality import unit_overlap
 from ..operators.tables import drop_missing_label, label_load_report, union_sources
 from ..schema import FEATURE_SCHEMA, FEATURES, LABEL, SOURCE_HEADERS, SPLIT
 from ..session import path_exists, stage
@@ -44,11 +45,15 @@ def load_feature_csv(spark: SparkSession, path: str, split: str | None = None,
 
 def load_train_test(spark: SparkSession, train_path: str, test_path: str,
                     train_attendance_fraction: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(oversampled training table, held-out table), attendance in percent in both."""
-    return (
-        load_feature_csv(spark, train_path, attendance_fraction=train_attendance_fraction),
-        load_feature_csv(spark, test_path),
-    )
+    """(oversampled training table, held-out table), attendance in percent in both.
+
+    Attendance whose ranges hardly overlap is in two units, which is a ``ValueError``.
+    """
+    train = load_feature_csv(spark, train_path, attendance_fraction=train_attendance_fraction)
+    test = load_feature_csv(spark, test_path)
+    if "pct_attended" in train.columns and "pct_attended" in test.columns and not unit_overlap(train, test, "pct_attended"):
+        raise ValueError(f"attendance in {train_path} and {test_path} is not in one unit")
+    return train, test
 
 
 def load_or_empty(spark: SparkSession, path: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import ref
 from ..schema import ENTITY, LABEL_LOG_COLUMNS, MARK_LOG_COLUMNS, SPLIT, require_columns
 
+LOG_BUCKETS = 64
+"""Folders of a log; part of its format, as a lookup computes the folder from the key."""
+
 
 def get_all_students(students: DataFrame) -> DataFrame:
     return students.orderBy(ENTITY)
@@ -20,25 +23,34 @@ def get_vle_data(features: DataFrame, split: str = "all") -> DataFrame:
     return rows.orderBy("id")
 
 
-def append_log(df: DataFrame, path: str, required: Sequence[str]) -> None:
-    """Append the required columns and ``created_at``, which defaults to now."""
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.hash(key), F.lit(LOG_BUCKETS))
+
+
+def append_log(df: DataFrame, path: str, required: Sequence[str], key: str) -> None:
+    """Append the required columns and ``created_at``, which defaults to now, in folders by hash of the key.
+
+    Rows are rebalanced by folder, so a load writes few files and a key with very many rows is split.
+    """
     require_columns(df, required, "predictions")
     stamp = F.col("created_at") if "created_at" in df.columns else F.current_timestamp()
-    df.select(*[ref(c) for c in required], stamp.cast("timestamp").alias("created_at")).write.mode(
-        "append"
-    ).parquet(path)
+    rows = df.select(*[ref(c) for c in required], stamp.cast("timestamp").alias("created_at"),
+                     _bucket(ref(key)).alias("_bucket"))
+    rows.hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, key: str, value=None) -> DataFrame:
-    """Log rows of one key, or all, newest first."""
+    """Log rows of one key, or all, newest first; one key reads one of the folders."""
     rows = spark.read.parquet(path)
     if value is not None:
-        rows = rows.where(ref(key) == F.lit(value))
+        wanted = F.lit(value).cast(rows.schema[key].dataType)
+        rows = rows.where((F.col("_bucket") == _bucket(wanted)) & (ref(key) == wanted))
+    rows = rows.drop("_bucket")
     return rows.orderBy(F.col("created_at").desc(), *[c for c in rows.columns if c != "created_at"])
 
 
 def save_predictions(df: DataFrame, path: str) -> None:
-    append_log(df, path, MARK_LOG_COLUMNS)
+    append_log(df, path, MARK_LOG_COLUMNS, ENTITY)
 
 
 def get_predictions(spark: SparkSession, path: str, student_id=None) -> DataFrame:
@@ -46,7 +58,7 @@ def get_predictions(spark: SparkSession, path: str, student_id=None) -> DataFram
 
 
 def save_vle_predictions(df: DataFrame, path: str) -> None:
-    append_log(df, path, LABEL_LOG_COLUMNS)
+    append_log(df, path, LABEL_LOG_COLUMNS, "vle_student_id")
 
 
 def get_vle_predictions(spark: SparkSession, path: str, vle_student_id=None) -> DataFrame:

@@ -35,6 +35,17 @@ def test_split_filter_prunes_folders(spark, sf):
     assert re.search(r"PartitionFilters: \[[^\]]*split[^\]]*= test", plan(logs.get_vle_data(spark.read.parquet(path), "test")))
 
 
+def test_one_key_reads_one_folder_of_a_log(spark):
+    path = scratch_path(spark, "log")
+    rows = spark.range(200).selectExpr(
+        "id AS vle_student_id", "1 AS predicted_label", "0.5D AS predicted_proba", "'m' AS model_used")
+    logs.save_vle_predictions(rows, path)
+    logs.save_vle_predictions(rows.where("vle_student_id = 7"), path)
+    one = logs.get_vle_predictions(spark, path, 7)
+    assert re.search(r"PartitionFilters: \[[^\]]*_bucket", plan(one)) and one.count() == 2
+    assert logs.get_vle_predictions(spark, path).count() == 201 and "_bucket" not in one.columns
+
+
 def test_top_n_needs_no_sort_of_all_rows(spark, sf):
     top = plan(stats.top_performers(given.wide(spark, sf), 3, given.SUBJECTS))
     assert "TakeOrderedAndProject" in top and "rangepartitioning" not in top

@@ -62,6 +62,9 @@ def test_rename_and_padding(spark):
     assert kept.columns == ["Age ", "x"]
     assert headers.rename_exact(kept, {"Age": "age"}).columns == ["age", "x"]
     assert headers.keep_known(headers.rename_loose(kept), FEATURES).columns == ["age"]
+    twice = kept.withColumnRenamed(kept.columns[-1], "AGE (years)")
+    with pytest.raises(ValueError, match="both mean age"):
+        headers.rename_loose(twice)
 
 
 def test_required_columns_are_named(spark):

@@ -157,3 +157,12 @@ def test_logs(spark):
         logs.save_predictions(rows.drop("model_used"), path)
     with pytest.raises(ValueError):
         logs.save_vle_predictions(rows, path)
+
+
+def test_attendance_in_two_units_is_refused(spark):
+    train, test = (scratch_path(spark, n) for n in ("train", "held-out"))
+    write_text(spark, train, ["Percent Attended,label", "10,1", "90,0"])
+    write_text(spark, test, ["Percent Attended,label", "20,1", "95,0"])
+    assert [t.count() for t in files.load_train_test(spark, train, test, train_attendance_fraction=False)] == [2, 2]
+    with pytest.raises(ValueError, match="one unit"):
+        files.load_train_test(spark, train, test)
