@@ -16,15 +16,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8); rows that repeat an id and text stay once.
+    """One row of each group of near duplicates (five words, 0.8).
 
-    Null ids are in no group. If an id stands on rows of several texts, it goes if any of them is a duplicate.
+    Null ids are in no group. Where an id stands on several rows, each goes or
+    stays by its own text; rows that repeat an id and a text without words stay once.
     """
-    groups = minhash.near_duplicates(docs, k=5, percent=80)
+    groups = stage(minhash.near_duplicates(docs, k=5, percent=80, classes=True), "near-duplicate-groups")
     gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = left.groupBy("doc_id", "text").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").isEmpty()
-    return left if again else left.where("doc_id is null").union(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    several = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_several")).count().where("count > 1").drop("count")
+    if several.isEmpty():
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # sets of such an id: of those that are kept, the smallest of each group stays
+    ids = F.col("doc_id") == F.col("_several")
+    pairs = groups.join(several, ids, "left_semi").where("kept and set_id is not null").select("doc_id", "set_id", "group_id").distinct()
+    stays = pairs.groupBy("doc_id", "group_id").agg(F.min("set_id").alias("set_id")).select(F.col("doc_id").alias("_id"), "set_id")
+    repeated = minhash.with_set_ids(docs.join(several, ids, "left_semi"), k=5)
+    by_set = repeated.join(stays, (F.col("doc_id") == F.col("_id")) & (F.col("_set_id") == F.col("set_id")), "left_semi")
+    single = docs.join(gone.union(several).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return (single.union(by_set.dropDuplicates(["doc_id", "_set_id"]).drop("_set_id"))
+            .union(repeated.where("_set_id is null").drop("_set_id").dropDuplicates(["doc_id", "text"])))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

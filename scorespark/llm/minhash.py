@@ -83,6 +83,20 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, m: int, half: int, seed:
              pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "cls", "halves"])
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch], k: int, text_at: int) -> Iterator[pa.RecordBatch]:
+    claim(__name__)
+    for batch in batches:
+        sets = (shingles(t.as_py(), k) for t in batch.column(text_at))
+        ids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "_set_id"])
+
+
+def with_set_ids(docs: DataFrame, text_col: str = "text", k: int = 5) -> DataFrame:
+    """``docs`` with all its columns and ``_set_id``: equal for texts of equal shingles, null for texts without words."""
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_set_id long"])
+    return docs.mapInArrow(partial(_set_rows, k=k, text_at=docs.columns.index(text_col)), schema)
+
+
 def _confirm_class(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Texts whose set is the class they were fetched for (an id may stand on several rows)."""
     claim(__name__)
@@ -118,7 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
-                    m: int = 12, half: int = 3, seed: int = 1, rare: int = 64) -> DataFrame:
+                    m: int = 12, half: int = 3, seed: int = 1, rare: int = 64, classes: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents are linked if their sets of k-word shingles have a Jaccard
@@ -142,6 +156,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are null, empty or without words have no shingles and link with nothing.
     Rows that repeat an id stand for one document with several texts: each is
     linked by its own text and all are returned. Other columns are ignored.
+
+    With ``classes`` each row also tells set_id, the id of its set of shingles
+    (see ``with_set_ids``), and group_id, the same for all rows whose sets are
+    connected by links; both are null where a row is in no group.
     """
     spark = docs.sparkSession
     keep = Staged(spark, "minhash")
@@ -267,8 +285,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = first.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "id", F.coalesce("label", "cls").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_class = named.join(smallest, "label").select("cls", "component_id")
+    of_class = named.join(smallest, "label").select("cls", "component_id", "label")
     out = sketch.select("id", "n", F.when(F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(of_class, "cls", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+                      *([F.col("cls").alias("set_id"), F.col("label").alias("group_id")] if classes else []))

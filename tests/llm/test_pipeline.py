@@ -58,6 +58,21 @@ def test_stages_take_empty_tables(spark, tmp_path):
         assert docs.count() == 0
 
 
+def test_an_id_on_several_texts_loses_only_the_copies(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    first, unique, other, near = text(60), text(60), text(60), text(60)
+    edited = " ".join([*near.split()[:30], "edit", *near.split()[31:]])
+    rows = [(1, first), (7, first), (7, unique), (7, other), (7, other.upper()), (7, near), (7, edited), (7, None), (7, ""), (7, ""),
+            (8, unique), (9, text(60)), (None, first), (None, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert (7, first) not in out and (8, unique) not in out and (7, unique) in out
+    assert sum(t in (other, other.upper()) for _, t in out) == sum(t in (near, edited) for _, t in out) == 1
+    assert {(1, first), (7, None), (7, ""), rows[11]} <= set(out) and out.count((None, first)) == 2
+    assert len(out) == 9
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_equals_sql(spark, sf, name):
     got = entry.queries()[name](spark, sf).toPandas()
