@@ -127,28 +127,27 @@ class _Window:
 def _member(window: _Window, at: int) -> tuple[bytes, bytes, int] | None:
     """Header, block and end of the record whose member starts at ``at``; None if none does."""
     inflate, made, fed, header, need = zlib.decompressobj(31), [], at - window.at, None, 0
-    have = 0
+    have, start = 0, bytearray()  # a header may be as long as its URL
     try:
         while not inflate.eof:
             if fed >= len(window.data) and not window.more():
                 return None
-            part = window.data[fed:fed + (_READ if header else 512)]
+            part = window.data[fed:fed + (_READ if header or have > 1 << 16 else 512)]
             fed += len(part)
             got = inflate.decompress(part)
             made.append(got)
             have += len(got)
             if header is None:
-                start = b"".join(made)
+                start += got
                 if not start[:5] == b"WARC/"[:len(start[:5])]:
                     return None
-                if b"\r\n\r\n" in start:
-                    header = start[:start.index(b"\r\n\r\n")]
+                stop = start.find(b"\r\n\r\n", max(0, len(start) - len(got) - 3))
+                if stop >= 0:
+                    header = bytes(start[:stop])
                     length = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", header)
                     if not length or not re.search(rb"(?im)^warc-type:[ \t]*\S+", header):
                         return None
                     need = len(header) + 4 + int(length[1]) + 4
-                elif have > 1 << 16:
-                    return None
             if header is not None and have > need:
                 return None
     except zlib.error:
@@ -210,14 +209,27 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [-sum(1 for _ in read_range(*r)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["path", "n"])
+
+
 def read_archives(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """All records of the archives in ``files`` (path, bytes), a range of ``split_bytes`` at a time.
 
     Rows: page_id, url, record_type, payload_bytes, payload_digest, refers_to,
     payload (null in revisits). payload_bytes is the size of the full payload.
+    Where ``files`` tells the number of records (as a manifest does), they are
+    counted first, and a file with more or fewer stops the job.
     """
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = files.select("path", "bytes", start.alias("start")).select(
         "path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
     spread = ranges.repartition(shuffle_partitions(files.sparkSession), "path", "start")
+    if "records" in files.columns:
+        counts = files.select("path", F.col("records").alias("n")).union(spread.mapInArrow(_count, "path string, n long"))
+        wrong = counts.groupBy("path").agg(F.sum("n").alias("n")).where("n <> 0").first()
+        if wrong:
+            raise ValueError(f"{wrong.path}: the records read and the manifest differ by {-wrong.n}")
     return spread.mapInArrow(_read, RECORD)

@@ -319,6 +319,18 @@ def test_warc_round_trip_at_any_split(spark):
     assert warc.write_archives(warc.plan_records(pages.limit(0)), scratch_path(spark, "w")).count() == 0
 
 
+def test_warc_headers_of_any_length_and_lost_records(spark):
+    rng = random.Random(6)
+    long = ["http://a/" + "字" * 8000, "data:" + "".join(rng.choice("abcdefgh0123") for _ in range(3 << 20)), "u" * (1 << 17)]
+    rows = [(i, u, f"page {i}") for i, u in enumerate([*long, "short"])]
+    pages = frame(spark, rows, "page_id long, url string, html string")
+    files = warc.write_archives(warc.plan_records(pages).coalesce(1), scratch_path(spark, "w"))
+    got = {r.page_id: (r.url, bytes(r.payload)) for r in warc.read_archives(files, split_bytes=1 << 18).collect()}
+    assert got == {i: ("http://a/" + "%E5%AD%97" * 8000 if i == 0 else u, t.encode()) for i, u, t in rows}
+    with pytest.raises(ValueError):
+        warc.read_archives(files.withColumn("records", F.col("records") + 1))
+
+
 def test_false_members_are_passed_over(tmp_path):
     good = warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, "2024-01-01T00:00:00Z")
     fake = gzip.compress(b"not a record") + b"\x1f\x8b\x08\0garbage"
