@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from scorespark.llm.common import claim
 from scorespark.llm.pieces import HELD, PieceEncoder, chunks, text_chunks
 
-_DEPTH = 64  # steps of one recursive query; it starts again from its last state until the fixpoint
+_DEPTH = 64  # most steps of one recursive query; it starts again from its last state until the fixpoint
+_KEPT = 1 << 22  # tokens times steps that one query keeps: with more tokens it takes fewer steps
 _LONG = 96  # tokens of a word from which on all places of its best pair are contracted at a time
 _CHUNK = 2 << 20  # characters of text, or ids, handled at a time
 _STATE = 1 << 17  # tokens in one recursive query
+_CUT = 1024  # bytes of a word from which on it is merged in windows
+_SPAN, _OVERLAP = 128, 64  # bytes by which windows are apart, and that a window shares with the next one
 
 # every step of a word is a row set with its number n; positions have no gaps, so the neighbour is at p + 1
 _CONTRACT = """
@@ -81,6 +84,8 @@ class Bpe:
         self.pattern, self.ranks = pattern, ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = {i: str(i) for i in ranks.values()}
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.cache = PieceEncoder(pattern, self._learn, held)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))
@@ -101,20 +106,65 @@ class Bpe:
     def _fixpoint(self, words: dict[int, np.ndarray], query: str) -> Iterator[tuple[int, bytes]]:
         while words:
             size = [len(x) for x in words.values()]
+            depth = max(1, min(_DEPTH, _KEPT // sum(size)))
             self._table("state", {
                 "w": np.repeat(np.fromiter(words, np.int32, len(words)), size),
                 "p": np.arange(sum(size), dtype=np.int32), "t": np.concatenate(list(words.values())).astype(np.int32)})
-            got = self.con.sql(query.format(depth=_DEPTH) + _LAST).to_arrow_table().combine_chunks()
+            got = self.con.sql(query.format(depth=depth) + _LAST).to_arrow_table().combine_chunks()
             words = {}
             ids = got.column("ids").combine_chunks()
             flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
             data = flat.astype("<i4").tobytes()
             for w, n, a, b in zip(got.column("w").to_pylist(), got.column("n").to_pylist(), ends[:-1], ends[1:]):
-                if n < _DEPTH:
+                if n < depth:
                     yield w, data[4 * a:4 * b]
                 else:
                     words[w] = flat[a:b]
 
+    def _windows(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, end, ids) of overlapping windows of a word, each merged by itself."""
+        starts = list(range(0, max(1, len(x) - _OVERLAP), _SPAN))
+        for part in chunks(starts, lambda s: _SPAN + _OVERLAP, _STATE):
+            got = dict(self._fixpoint({s: x[s:s + _SPAN + _OVERLAP] for s in part}, _CONTRACT_LONG))
+            for s in part:
+                yield s, min(len(x), s + _SPAN + _OVERLAP), np.frombuffer(got.pop(s), "<i4")
+
+    def _joint(self, left: np.ndarray, end: int, right: np.ndarray, start: int) -> tuple[int, int] | None:
+        """How many ids stay of ``left``, which end at ``end``, and go of ``right``, which begin at ``start``: up to a shared token."""
+        tail, head = left[-(end - start):], right[:end - start]  # a token has a byte or more
+        a = end - np.cumsum(self.size[tail][::-1])[::-1]
+        b = start + np.cumsum(self.size[head]) - self.size[head]
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        same = np.flatnonzero(tail[i] == head[j])
+        return (len(left) - len(tail) + int(i[same[0]]) + 1, int(j[same[0]]) + 1) if len(same) else None
+
+    def _merge_long(self, x: np.ndarray) -> bytes:
+        """The encoding of a long word, from those of its windows.
+
+        Let p + t be encoded as p's ids and the token t, and t + q as t and
+        q's ids. Then p + t + q is encoded as p's ids, t and q's ids: up to the
+        first merge across an edge of t, its merges on either side come in the
+        order they have in p + t and in t + q, where that merge would be made
+        too. So two windows are joined at a token both have at one place. Where
+        they have none, the next window starts at a token of what is encoded.
+        """
+        out, n, end, reach = np.empty(len(x), np.int32), 0, 0, _SPAN
+        for start, stop, ids in self._windows(x):
+            if stop <= end:
+                continue
+            at = (0, 0) if end == 0 else self._joint(out[:n], end, ids, start)
+            back = _OVERLAP // 2
+            reach = _SPAN if at else min(2 * reach, _STATE // 2)  # what repeats at another phase goes on doing so
+            while at is None:
+                start = end - int(self.size[out[max(0, n - back):n]].sum())
+                stop = max(stop, min(len(x), end + reach))
+                ids = np.frombuffer(dict(self._fixpoint({0: x[start:stop]}, _CONTRACT_LONG))[0], "<i4")
+                at = (0, 0) if start == 0 else self._joint(out[:n], end, ids, start)
+                back *= 2
+            n = at[0] + len(ids) - at[1]
+            out[at[0]:n], end = ids[at[1]:], stop
+        return out[:n].astype("<i4").tobytes()
+
     def _learn(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """The encodings of pieces that are not in the cache."""
         short, long = {}, {}
@@ -123,6 +173,8 @@ class Bpe:
             whole = self.ranks.get(data)
             if whole is not None:  # a piece that is a token is that token
                 yield piece, whole.to_bytes(4, "little")
+            elif len(data) > _CUT:
+                yield piece, self._merge_long(self.byte[np.frombuffer(data, np.uint8)])
             else:
                 (short if len(data) < _LONG else long)[i] = self.byte[np.frombuffer(data, np.uint8)]
         for words, query in ((short, _CONTRACT), (long, _CONTRACT_LONG)):
@@ -138,6 +190,8 @@ class Bpe:
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id list; an id without a token raises."""
+        if any(len(x) > 4 * _STATE for x in docs):  # a very long list goes in parts
+            return [b"".join(self.decode([x[i:i + 4 * _STATE]])[0] for i in range(0, len(x), 4 * _STATE)) for x in docs]
         out = [b""] * len(docs)
         size = [len(x) for x in docs]
         flat = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int32)

@@ -103,6 +103,33 @@ def library():
     return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def heap_merge(ranks, data):
+    """Ids of a word: of the mergeable neighbours, those of least rank, the leftmost first, until there are none."""
+    import heapq
+
+    n = len(data)
+    end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = []
+
+    def offer(i):
+        j = end[i]
+        if j < n and (r := ranks.get(data[i:end[j]])) is not None:
+            heapq.heappush(heap, (r, i, j, end[j]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, j, e = heapq.heappop(heap)
+        if alive[i] and j < n and alive[j] and end[i] == j and end[j] == e:
+            alive[j], end[i] = False, e
+            if e < n:
+                prev[e] = i
+            offer(i)
+            if prev[i] >= 0:
+                offer(prev[i])
+    return [ranks[data[i:end[i]]] for i in range(n) if alive[i]]
+
+
 def hard_texts():
     rng = random.Random(3)
     odd = " \n\t ab'sé1. 　x中\r😀"
@@ -123,6 +150,25 @@ def test_bpe_equals_the_library_and_decodes(library):
         own.decode([np.array([1, 50256], np.int32)])
 
 
+@pytest.mark.parametrize("kind", ["digits", "letters", "cjk", "letters of a long text", "period", "one letter", "two letters"])
+def test_words_of_any_length_equal_the_library(library, kind):
+    ranks, enc = library
+    rng = random.Random(8)
+    text = {"digits": lambda: "".join(rng.choices("0123456789", k=1 << 18)),
+            "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 18)),
+            "cjk": lambda: "".join(rng.choices("中文字符测试的一是在不了有和人这大为上个国我以要他时来用们", k=50_000)),
+            "letters of a long text": lambda: " ".join("".join(rng.choices("etaoinshr", k=4000)) for _ in range(30)),
+            "period": lambda: "abcde" * 20_000, "one letter": lambda: "a" * 200_001,
+            "two letters": lambda: "".join(rng.choices("ab", k=100_000))}[kind]()
+    own = bpe.Bpe(ranks, public_tokenizers.PATTERN)
+    ids = own.encode([text])
+    # the library's own merging takes the square of a word's length, so long words are held against a heap
+    assert ids[0].tolist() == [i for piece in pieces.split(text, public_tokenizers.PATTERN) for i in heap_merge(ranks, piece.encode())]
+    assert own.decode(ids) == [text.encode()]
+    part = text[:20_000]
+    assert own.encode([part])[0].tolist() == enc.encode_ordinary(part)
+
+
 def test_encode_and_decode_frames(spark, texts, library):
     _, enc = library
     data = docs(spark, texts)
