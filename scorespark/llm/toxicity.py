@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -41,7 +41,6 @@ CLASSES = {
 }
 _CLASS_OF = {w: c for c, words in CLASSES.items() for w in words.split()}
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
-_SPAN = 400  # characters on either side of an attack within which its clause is looked for
 
 
 # ---- transducers ----------------------------------------------------------------------------------------------------
@@ -67,9 +66,10 @@ class Transducer:
                 moves[names[a, b], c] = names[x, y], f * g
         return Transducer(0, moves)
 
-    def run(self, classes: list[int], weights: list[float]) -> float:
+    def run(self, steps: Iterable[tuple[int, float]]) -> float:
+        """The score of one clause's (class, weight) pairs; only a state is held."""
         state, total = self.start, 0.0
-        for c, w in zip(classes, weights):
+        for c, w in steps:
             state, factor = self.moves[state, c]
             if c == ATTACK:
                 total += w * factor
@@ -177,21 +177,23 @@ class _Scorer:
             if start and low[start - 1].isalpha() or whole and low[end + 1:end + 2].isalpha():
                 continue
             attacks[start] = max(weight, attacks.get(start, 0.0))
-        total, done = 0.0, -1
+        total, done = 0.0, 0
         for at in sorted(attacks):
             if at < done:
                 continue
-            first = max([done, at - _SPAN, 0, *(m.end() for m in _CLAUSE_END.finditer(low, max(0, at - _SPAN), at))])
-            stop = _CLAUSE_END.search(low, at, at + _SPAN)
-            done = stop.end() if stop else min(len(low), at + _SPAN)
-            classes, weights = [], []
-            for m in WORD.finditer(low, first, done):
-                hit = attacks.get(m.start())
-                classes.append(ATTACK if hit else _CLASS_OF.get(m[0], OTHER))
-                weights.append(hit or 0.0)
-            total += self.fst.run(classes, weights)
+            # a clause is read whole, from the last clause end to the next
+            for m in _CLAUSE_END.finditer(low, done, at):
+                done = m.end()
+            first, stop = done, _CLAUSE_END.search(low, at)
+            done = stop.end() if stop else len(low)
+            total += self.fst.run(self._steps(low, first, done, attacks))
         return total
 
+    def _steps(self, low: str, first: int, end: int, attacks: dict[int, float]) -> Iterator[tuple[int, float]]:
+        for m in WORD.finditer(low, first, end):
+            hit = attacks.get(m.start())
+            yield (ATTACK, hit) if hit else (_CLASS_OF.get(m[0], OTHER), 0.0)
+
     def score(self, text: str | None) -> float:
         z = self.model.intercept + self.model.slope * math.log1p(self.raw(text))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))

@@ -308,6 +308,15 @@ def test_grammar_weighs_clauses():
     assert s.raw("idiot " * 3) == 6.0 and s.raw(None) == s.raw("") == 0
 
 
+def test_long_clauses_are_read_whole():
+    s = toxicity._Scorer(toxicity.Model({"idiot$": 2.0}, -3.0, 2.0))
+    filler = "word " * 1000
+    assert s.raw(f"they said {filler} idiot") == s.raw("they said a b c d idiot") < s.raw(f"they met {filler} idiot")
+    near = s.raw("an idiot of no great account, not an idiot")
+    assert s.raw("idiot " + "x" * 391 + " not an idiot") == near  # no cut between the negation and the attack
+    assert s.raw(f"said. {filler} idiot") == 2.0
+
+
 # ---- mixing ---------------------------------------------------------------------------------------------------------
 
 def test_mixing_meets_the_limit_and_keeps_documents(spark):
