@@ -1,10 +1,11 @@
 """Toxicity by a weighted grammar of clauses: composed finite-state transducers over word classes.
 
-A text's words fall into classes: insults and threats (learned from labels),
-second-person and other targets, negations, words of reported speech, and the
-rest. Small transducers read a clause's classes: one emits an attack's weight,
-one raises it next to a target, one lowers it after a negation, one lowers it
-in reported speech. Their composition is one automaton whose path weight is
+A text's words fall into classes: insults (words) and threats (sequences of
+ordinary words), both learned from labels, words of intent, second-person and
+other targets, negations, words of reported speech, and the rest. Small
+transducers read a clause's classes: one emits an insult's weight, one a
+threat's, more after a word of intent, one raises either next to a target, one
+lowers it after a negation, one lowers it in reported speech. Their composition is one automaton whose path weight is
 the clause's score, so a word counts by the clause it stands in. A logistic
 curve, fitted on the same labels, turns the sum over clauses into a score.
 """
@@ -13,9 +14,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 
 import ahocorasick
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from scorespark.llm.common import claim, stage
 
 WORD = re.compile(r"[^\W\d_]+")
-OTHER, ATTACK, TARGET, NEGATION, REPORT = range(5)
+OTHER, INSULT, TARGET, NEGATION, REPORT, INTENT, THREAT = range(7)
+_KINDS = range(7)
+_GRAM = 4  # words of a threat at most
 # fixed values: short closed-class words of English, German, French and Spanish
 CLASSES = {
     TARGET: "you your yours yourself he she they them him her his their "
@@ -39,6 +42,8 @@ CLASSES = {
     REPORT: "said says say wrote writes called calls told asked quoted reported claimed allegedly "
             "sagte sagt schrieb nannte behauptete dit disait écrit appelait dijo dice escribió llamó",
 }
+CLASSES[INTENT] = ("will shall would going gonna must want werde werden wird will wollen soll vais va vont allons veux "
+                   "voy va vamos van quiero")
 _CLASS_OF = {w: c for c, words in CLASSES.items() for w in words.split()}
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
@@ -58,7 +63,7 @@ class Transducer:
         moves, todo = {}, [(self.start, other.start)]
         while todo:
             a, b = todo.pop()
-            for c in range(5):
+            for c in _KINDS:
                 (x, f), (y, g) = self.moves[a, c], other.moves[b, c]
                 if (x, y) not in names:
                     names[x, y] = len(names)
@@ -71,27 +76,34 @@ class Transducer:
         state, total = self.start, 0.0
         for c, w in steps:
             state, factor = self.moves[state, c]
-            if c == ATTACK:
+            if c in (INSULT, THREAT):
                 total += w * factor
         return total
 
 
+def _weigh(kind: int, after: int | None = None, factor: float = 1.0) -> Transducer:
+    """Attacks of one ``kind`` have their weight, and ``factor`` times it once a word of class ``after`` stood in the clause."""
+    return Transducer(0, {(s, c): ((1 if c == after else s), factor if s and c == kind else 1.0)
+                          for s in range(2) for c in _KINDS})
+
+
 def _countdown(trigger: int, length: int, factor: float) -> Transducer:
-    """Attacks within ``length`` words after a ``trigger`` word are weighted by ``factor``."""
+    """Attacks within ``length`` words after a ``trigger`` word are weighted by ``factor``; a threat's end is no word."""
     moves = {}
     for s in range(length + 1):
-        for c in range(5):
-            moves[s, c] = (length if c == trigger else max(0, s - 1)), (factor if s > 0 else 1.0)
+        for c in _KINDS:
+            moves[s, c] = (length if c == trigger else s if c == THREAT else max(0, s - 1)), (factor if s > 0 else 1.0)
     return Transducer(0, moves)
 
 
 def _rest_of_clause(trigger: int, factor: float) -> Transducer:
-    return Transducer(0, {(s, c): ((1 if c == trigger else s), factor if s else 1.0) for s in range(2) for c in range(5)})
+    return Transducer(0, {(s, c): ((1 if c == trigger else s), factor if s else 1.0) for s in range(2) for c in _KINDS})
 
 
-def grammar(target: float = 1.5, negated: float = 0.5, reported: float = 0.7) -> Transducer:
-    """Target, negation and reported-speech transducers composed into one."""
-    return _countdown(TARGET, 4, target) * _countdown(NEGATION, 3, negated) * _rest_of_clause(REPORT, reported)
+def grammar(target: float = 1.5, negated: float = 0.5, reported: float = 0.7, intended: float = 1.5) -> Transducer:
+    """Insult, threat, target, negation and reported-speech transducers composed into one."""
+    insult, threat = _weigh(INSULT), _weigh(THREAT, after=INTENT, factor=intended)
+    return insult * threat * _countdown(TARGET, 4, target) * _countdown(NEGATION, 3, negated) * _rest_of_clause(REPORT, reported)
 
 
 # ---- lexicon --------------------------------------------------------------------------------------------------------
@@ -106,20 +118,39 @@ def _features(text: str) -> set[str]:
     return out
 
 
+def _sequences(text: str) -> set[str]:
+    """Runs of 2 to _GRAM words inside a clause."""
+    out = set()
+    for clause in _CLAUSE_END.split(text.lower()):
+        w = WORD.findall(clause)
+        out.update(" ".join(w[i:i + k]) for k in range(2, _GRAM + 1) for i in range(len(w) - k + 1))
+    return out
+
+
 def _group(text: str) -> int:
     """The least word hash: near copies nearly always agree in it."""
     return min((xxhash.xxh3_64_intdigest(w) & (2**62 - 1) for w in text.lower().split()), default=0)
 
 
-def _count(batches: Iterator[pa.RecordBatch], only: frozenset | None) -> Iterator[pa.RecordBatch]:
-    """(feature, group) pairs of the batch's texts, each once."""
+def _close_group(text: str) -> int:
+    """A hash of the four least word hashes: texts that only share a sentence seldom agree in it."""
+    least = sorted(xxhash.xxh3_64_intdigest(w) for w in set(text.lower().split()))[:4]
+    return xxhash.xxh3_64_intdigest(repr(least)) & (2**62 - 1)
+
+
+def _count(batches: Iterator[pa.RecordBatch], only: frozenset | None, features=_features,
+           missed: Model | None = None) -> Iterator[pa.RecordBatch]:
+    """(feature, group) pairs of the batch's texts, each once; of those alone in which ``missed`` finds no attack, if given."""
     claim(__name__)
+    scorer = _Scorer(missed) if missed else None
     for batch in batches:
         pairs = set()
         for text in batch.column(0):
             t = text.as_py() or ""
-            found = _features(t)
-            g = _group(t)
+            if scorer and scorer.raw(t):
+                continue
+            found = features(t)
+            g = _group(t) if features is _features else _close_group(t)
             pairs.update((f, g) for f in (found if only is None else found & only))
         f, g = zip(*pairs) if pairs else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(g, pa.int64())], names=["f", "g"])
@@ -147,14 +178,36 @@ def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return out
 
 
+def _inner(f: str) -> list[str]:
+    w = f.split()
+    return [" ".join(w[i:i + k]) for k in range(2, len(w)) for i in range(len(w) - k + 1)]
+
+
+def _choose_sequences(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, purity: float) -> dict[str, float]:
+    """Sequences that (nearly) only toxic texts hold, also as counted in the sample, each in a longer form of like support."""
+    good = {}
+    for f, n in toxic.items():
+        seen = clean.get(f, 0)
+        share = (n / n_toxic) / (n / n_toxic + (seen + 1) / n_clean)
+        if share >= purity and n >= purity * (n + seen):
+            good[f] = math.log(share / (1 - share))
+    covered = {x for f in good for x in _inner(f) if toxic[f] >= 0.9 * toxic.get(x, 0)}
+    out: dict[str, float] = {}
+    for f in sorted(good, key=lambda x: (x.count(" "), x)):
+        if f not in covered and not any(x in out for x in _inner(f)):
+            out[f] = good[f]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """Attack stems with weights, the curve's two numbers, and the threshold of a prediction."""
+    """Insult stems and threats with weights, the curve's two numbers, and the threshold of a prediction."""
 
     lexicon: dict[str, float]
     intercept: float
     slope: float
     threshold: float = 0.3
+    threats: dict[str, float] = field(default_factory=dict)
 
 
 class _Scorer:
@@ -164,12 +217,16 @@ class _Scorer:
         self.model, self.fst, self.find = model, grammar(), ahocorasick.Automaton()
         for f, w in model.lexicon.items():
             self.find.add_word(f.rstrip("$"), (len(f.rstrip("$")), f.endswith("$"), w))
-        if model.lexicon:
+        for f in model.threats:  # a clause is read for threats where the longest word of one stands
+            cue = max(f.split(), key=len)
+            if cue + "$" not in model.lexicon and cue not in model.lexicon:
+                self.find.add_word(cue, (len(cue), True, 0.0))
+        if model.lexicon or model.threats:
             self.find.make_automaton()
 
     def raw(self, text: str | None) -> float:
         """The sum of the clause scores of a whole text."""
-        if not text or not self.model.lexicon:
+        if not text or not (self.model.lexicon or self.model.threats):
             return 0.0
         low, attacks = text.lower(), {}
         for end, (size, whole, weight) in self.find.iter(low):
@@ -190,9 +247,18 @@ class _Scorer:
         return total
 
     def _steps(self, low: str, first: int, end: int, attacks: dict[int, float]) -> Iterator[tuple[int, float]]:
+        """A clause's words, and after the last word of a threat the threat."""
+        threats, last = self.model.threats, deque(maxlen=_GRAM)
         for m in WORD.finditer(low, first, end):
             hit = attacks.get(m.start())
-            yield (ATTACK, hit) if hit else (_CLASS_OF.get(m[0], OTHER), 0.0)
+            yield (INSULT, hit) if hit else (_CLASS_OF.get(m[0], OTHER), 0.0)
+            if threats:
+                last.append(m[0])
+                words = list(last)
+                found = max((threats.get(" ".join(words[i:]), 0.0) for i in range(len(words) - 1)), default=0.0)
+                if found:
+                    yield THREAT, found
+                    last.clear()
 
     def score(self, text: str | None) -> float:
         z = self.model.intercept + self.model.slope * math.log1p(self.raw(text))
@@ -234,7 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The training sample is bounded: about ``max_rows`` rows, those of the
     smallest id hashes, so the lexicon and the driver's share are bounded too.
-    A stem's support is counted in groups of near copies, not in texts. Rows
+    A stem's support is counted in groups of near copies, not in texts; threats
+    are sequences of 2 to 4 words of toxic texts without a stem. Rows
     with a null id, label or text are not learned from. Without toxic or clean
     rows the lexicon is empty and the curve gives the share of toxic rows.
     """
@@ -247,20 +314,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     sample = stage(texts.join(F.broadcast(truth), "i").select("t", "y"), "toxicity-sample")  # max_rows bounds both
 
-    def counts(y: int, only: frozenset | None, least: int) -> dict[str, int]:
-        pairs = sample.where(F.col("y") == y).select("t").mapInArrow(partial(_count, only=only), "f string, g long")
+    def counts(y: int, only: frozenset | None, least: int, **how) -> dict[str, int]:
+        pairs = sample.where(F.col("y") == y).select("t").mapInArrow(partial(_count, only=only, **how), "f string, g long")
         return {f: n for f, n in pairs.groupBy("f").agg(F.countDistinct("g").alias("n")).where(F.col("n") >= least).collect()}
 
     n = dict(sample.groupBy("y").count().collect())
     lexicon: dict[str, float] = {}
+    threats: dict[str, float] = {}
     if n.get(1) and n.get(0):
         toxic = counts(1, None, min_groups)  # bounded by the sample
         lexicon = _choose(toxic, counts(0, frozenset(toxic), 1), n[1], n[0], min_groups, purity)
-    model = Model(lexicon, 0.0, 1.0, threshold)
+        # threats are learned where no insult tells a toxic text
+        insults = Model(lexicon, 0.0, 1.0, threshold)
+        toxic = counts(1, None, min_groups, features=_sequences, missed=insults)
+        if toxic:
+            threats = _choose_sequences(toxic, counts(0, frozenset(toxic), 1, features=_sequences), n[1], n[0], purity)
+    model = Model(lexicon, 0.0, 1.0, threshold, threats)
     seen = sample.select("t", "y").mapInArrow(partial(_raw_rows, model=model), "x double, y long, n long")
     seen = seen.groupBy("x", "y").agg(F.sum("n")).collect()  # a row for each hundredth of the feature
     intercept, slope = _curve([(r[0], r[1], r[2]) for r in seen]) if seen else (-2.0, 1.0)
-    return Model(lexicon, intercept, slope, threshold)
+    return Model(lexicon, intercept, slope, threshold, threats)
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model, text_at: int) -> Iterator[pa.RecordBatch]:

@@ -308,6 +308,30 @@ def test_grammar_weighs_clauses():
     assert s.raw("idiot " * 3) == 6.0 and s.raw(None) == s.raw("") == 0
 
 
+def test_threats_of_ordinary_words(spark):
+    rng, rows, labels = random.Random(9), [], []
+    ordinary = "i will find you and hurt your family she will hurt them".split()
+    for i in range(900):
+        w, y = ["q" + "abcdefghijklmnopqrst"[rng.randrange(20)] + "abcdefghijklmnopqrst"[rng.randrange(20)] for _ in range(60)], int(i % 4 == 0)
+        if y:
+            w[30:30] = (["i", "will", "find", "you", "and", "hurt", "your", "family"] if i % 8 else ["grumblefool"])
+        else:
+            for x in rng.sample(ordinary, 6):  # each word is as common in clean texts
+                w.insert(rng.randrange(len(w)), x)
+        rows.append((i, " ".join(w)))
+        labels.append((i, y))
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), truth)
+    assert set(model.lexicon) == {"grumblefool$"} and model.threats
+    out = {r.doc_id: r._score >= model.threshold for r in toxicity.score(docs(spark, rows), model).collect()}
+    assert out == {i: bool(y) for i, y in labels}
+    s = toxicity._Scorer(toxicity.Model({}, -3.0, 2.0, threats={"hurt your": 2.0}))
+    assert s.raw("hurt your family") == 3.0 < s.raw("i will hurt your family")
+    assert s.raw("they will not hurt your family") < s.raw("they will hurt your family")
+    assert s.raw("he said they will hurt your family") < s.raw("he met they will hurt your family")
+    assert s.raw("hurt. your family") == s.raw("your hurt") == 0
+
+
 def test_long_clauses_are_read_whole():
     s = toxicity._Scorer(toxicity.Model({"idiot$": 2.0}, -3.0, 2.0))
     filler = "word " * 1000
