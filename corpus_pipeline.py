@@ -43,10 +43,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A document that is left without text stays, empty; n_chars is counted anew.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = repeats.remove_repeats(docs, carry=others)
-    # bytes that no longer make a character are marked by the conversion, and the mark is taken out
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    clean = out.withColumn("text", F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text))
+    out = repeats.remove_repeats(docs, carry=others, whole_chars=True)
+    clean = out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
     clean = clean.withColumn("n_chars", F.char_length("text").cast("long"))
     return clean.select(*docs.columns)
 

@@ -345,7 +345,23 @@ def _sort_open(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket.astype("int32"), "bits": bits})
 
 
-def _cut(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.DataFrame]:
+def _whole_chars(data: np.ndarray, gone: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """``gone`` and the other bytes of UTF-8 characters that its runs [start, end) cut in two."""
+    gone = gone.copy()
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    for a, b in edges.tolist():
+        for at in range(a, max(a - 3, 0), -1):  # a character has four bytes at most
+            if not inside(at):
+                break
+            gone[at - 1] = True
+        for at in range(b, b + 3):
+            if not inside(at):
+                break
+            gone[at] = True
+    return gone
+
+
+def _cut(batches: Iterator[pd.DataFrame], par: _Params, whole_chars: bool = False) -> Iterator[pd.DataFrame]:
     """Pass 4: remove the covered bytes of each text."""
     claim(__name__, _CACHE.clear)
     for row, ranks, ties, opens in _joined(batches, 3):
@@ -363,9 +379,10 @@ def _cut(batches: Iterator[pd.DataFrame], par: _Params) -> Iterator[pd.DataFrame
         carried = json.loads(_unpack(row.carried, np.uint8).tobytes())
         for i, s, e, more in zip(block.ids.tolist(), block.starts.tolist(), block.ends.tolist(), carried):
             g = gone[s:e]
-            edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
-            out.append((None if i == np.iinfo(np.int64).min else i, e - s, int(g.sum()), edge.reshape(-1, 2).tolist(),
-                        block.data[s:e][~g].tobytes(), more))
+            edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+            cut = _whole_chars(block.data[s:e], g, edge) if whole_chars and len(edge) else g
+            out.append((None if i == np.iinfo(np.int64).min else i, e - s, int(g.sum()), edge.tolist(),
+                        block.data[s:e][~cut].tobytes(), more))
         frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "spans", "kept", "carried"])
         yield frame.astype({"id": "Int64"})
 
@@ -384,10 +401,11 @@ def _joined(batches: Iterator[pd.DataFrame], n: int = 1):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100,
                    carry: tuple[str, ...] = (), block_bytes: int = 2 << 20, bucket_bytes: int = 32 << 20,
-                   rank_bytes: int | None = None) -> DataFrame:
+                   rank_bytes: int | None = None, whole_chars: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) for every row; spans are [start, end) byte ranges, kept the other bytes.
 
-    The columns in ``carry`` (of types that JSON can hold) come along.
+    The columns in ``carry`` (of types that JSON can hold) come along. With
+    ``whole_chars`` kept also lacks the rest of characters that a span cuts in two.
 
     A byte goes if it is covered by a ``min_bytes`` long string that also
     starts earlier: in a smaller id, or earlier in the same text. Matches stay
@@ -433,7 +451,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = answered(ranks, ties).mapInPandas(partial(_send_open, par=par), "block long, bucket int, ranks binary, ids binary")
     opens = keep(by_bucket(sent, _sort_open), "open")
     out = answered(ranks, ties, opens, last=True).mapInPandas(
-        partial(_cut, par=par), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried string")
+        partial(_cut, par=par, whole_chars=whole_chars), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried string")
     kinds = dict(docs.dtypes)
     fields = F.from_json("carried", ", ".join(f"`{c}` {kinds[c]}" for c in carry)) if carry else F.lit(None)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept",

@@ -73,6 +73,19 @@ def test_an_id_on_several_texts_loses_only_the_copies(spark):
     assert len(out) == 9
 
 
+def test_cut_characters_go_and_a_texts_own_marks_stay(spark):
+    rng = random.Random(13)
+    passage = " ".join(f"v{rng.randrange(10**6)}" for _ in range(30))
+    # é and è, and 😀 and 😁, share first bytes; ć and ĉ and others share last ones: spans begin and end inside characters
+    first, second = f"a\ufffd é{passage}\u0107 x", f"b\ufffd c\u0129{passage}\u0109\ufffd y"
+    faces = "😀" + passage[::-1] + "😀", "ab😁" + passage[::-1] + "😁z\ufffd"
+    rows = list(enumerate([first, second, *faces]))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()}
+    assert [left[i].text for i in range(4)] == [first, "b\ufffd c\ufffd y", faces[0], "ab😁z\ufffd"]
+    assert all(r.n_chars == len(r.text) for r in left.values())
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_equals_sql(spark, sf, name):
     got = entry.queries()[name](spark, sf).toPandas()
