@@ -31,6 +31,7 @@ from scorespark.llm.common import claim, stage
 WORD = re.compile(r"[^\W\d_]+")
 OTHER, INSULT, TARGET, NEGATION, REPORT, INTENT, THREAT = range(7)
 _KINDS = range(7)
+_PAIRS = 1 << 16  # (feature, group) pairs that a task holds
 _GRAM = 4  # words of a threat at most
 # fixed values: short closed-class words of English, German, French and Spanish
 CLASSES = {
@@ -138,9 +139,14 @@ def _close_group(text: str) -> int:
     return xxhash.xxh3_64_intdigest(repr(least)) & (2**62 - 1)
 
 
+def _pair_rows(pairs: set[tuple[str, int]]) -> pa.RecordBatch:
+    f, g = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(g, pa.int64())], names=["f", "g"])
+
+
 def _count(batches: Iterator[pa.RecordBatch], only: frozenset | None, features=_features,
            missed: Model | None = None) -> Iterator[pa.RecordBatch]:
-    """(feature, group) pairs of the batch's texts, each once; of those alone in which ``missed`` finds no attack, if given."""
+    """(feature, group) pairs of the batch's texts, some more than once; of those alone in which ``missed`` finds no attack, if given."""
     claim(__name__)
     scorer = _Scorer(missed) if missed else None
     for batch in batches:
@@ -152,8 +158,10 @@ def _count(batches: Iterator[pa.RecordBatch], only: frozenset | None, features=_
             found = features(t)
             g = _group(t) if features is _features else _close_group(t)
             pairs.update((f, g) for f in (found if only is None else found & only))
-        f, g = zip(*pairs) if pairs else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(g, pa.int64())], names=["f", "g"])
+            if len(pairs) > _PAIRS:
+                yield _pair_rows(pairs)
+                pairs = set()
+        yield _pair_rows(pairs)
 
 
 def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, min_groups: int,
