@@ -21,7 +21,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null ids are in no group. Where an id stands on several rows, each goes or
     stays by its own text; rows that repeat an id and a text without words stay once.
     """
-    groups = stage(minhash.near_duplicates(docs, k=5, percent=80, classes=True), "near-duplicate-groups")
+    groups = stage(minhash.near_duplicates(docs, k=5, percent=80, tell_sets=True), "near-duplicate-groups")
     gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     several = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_several")).count().where("count > 1").drop("count")
     if several.isEmpty():

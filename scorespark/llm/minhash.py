@@ -132,7 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
-                    m: int = 12, half: int = 3, seed: int = 1, rare: int = 64, classes: bool = False) -> DataFrame:
+                    m: int = 12, half: int = 3, seed: int = 1, rare: int = 64, tell_sets: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents are linked if their sets of k-word shingles have a Jaccard
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id stand for one document with several texts: each is
     linked by its own text and all are returned. Other columns are ignored.
 
-    With ``classes`` each row also tells set_id, the id of its set of shingles
+    With ``tell_sets`` each row also tells set_id, the id of its set of shingles
     (see ``with_set_ids``), and group_id, the same for all rows whose sets are
     connected by links; both are null where a row is in no group.
     """
@@ -290,4 +290,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-                      *([F.col("cls").alias("set_id"), F.col("label").alias("group_id")] if classes else []))
+                      *([F.col("cls").alias("set_id"), F.col("label").alias("group_id")] if tell_sets else []))
