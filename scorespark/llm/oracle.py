@@ -160,6 +160,67 @@ JOIN (
 ) c ON c.d = e.vec_id
 """
 
+# vectors as whole numbers; inner products of whole doubles are exact here
+OP11 = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, d.r, d.vec_id, a.label = d.label AS same, list_inner_product(a.e, d.e)::BIGINT AS score
+  FROM v a JOIN v d ON a.r <> d.r AND len(a.e) = len(d.e) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, r) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id NULLS LAST, s.r)
+QUALIFY row_number() OVER w <= 5
+"""
+
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents
+), w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM p),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws, i, unnest(range(1, least(len(ws) - i + 1, 5) + 1)) AS m FROM spots),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp JOIN n ON n.lang = cuts.lang
+), low AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, a, array_to_string(ws[s:s + q - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, m - q + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS q FROM c))
+), covered AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY 1, 2)
+SELECT low.lang, row_number() OVER w AS rank, low.phrase, a, l, r, n, score
+FROM low LEFT JOIN covered ON covered.lang = low.lang AND covered.phrase = low.phrase
+WHERE longer IS NULL OR 100 * longer < 100 * a
+WINDOW w AS (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase)
+QUALIFY row_number() OVER w <= 2000
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.r AS qr, q.vec_id AS query_id, d.vec_id, d.r, list_inner_product(q.e, d.e)::BIGINT AS score
+  FROM v q JOIN v d ON q.r <> d.r AND len(q.e) = len(d.e) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) QUALIFY row_number() OVER w <= 10
+"""
+
 ORACLE = {
     "op7_temperature_mixing": OP7,
     "op10_collision_counting": OP10,
@@ -168,4 +229,7 @@ ORACLE = {
     "op1_tensored_minhash": OP1,
     "op4_cover_suffix_dedup": OP4,
     "op3_prefix_sum_shards": OP3,
+    "op11_norm_bounded_negatives": OP11,
+    "op12_burst_trie_phrases": OP12,
+    "op13_block_top_k": OP13,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorespark.llm import bpe, embeddings, minhash, mixing, quality, repeats, sharding, token_files, toxicity, warc
+from scorespark.llm import (bpe, collocations, embeddings, minhash, mixing, negatives, quality, repeats, sharding, token_files,
+                            top_k, toxicity, warc)
 from scorespark.llm.common import scratch_path, table
 from scorespark.llm.pieces import HELD
 
@@ -77,6 +78,22 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_norm_bounded_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding among all embeddings."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_burst_trie_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words occur together most beyond chance."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, top=2000, percent=100)
+
+
+def op13_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth embedding with all others."""
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_tensored_minhash": op1_tensored_minhash,
     "op2_recursive_bpe": op2_recursive_bpe,
@@ -88,4 +105,7 @@ QUERIES = {
     "op10_collision_counting": op10_collision_counting,
     "op4_cover_suffix_dedup": op4_cover_suffix_dedup,
     "op3_prefix_sum_shards": op3_prefix_sum_shards,
+    "op11_norm_bounded_negatives": op11_norm_bounded_negatives,
+    "op12_burst_trie_phrases": op12_burst_trie_phrases,
+    "op13_block_top_k": op13_block_top_k,
 }
