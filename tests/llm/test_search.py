@@ -3,8 +3,11 @@
 import collections
 import random
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,14 +174,16 @@ def test_phrases_equal_brute_force(spark, texts, small, monkeypatch):
     # tiny bounds: chunks, spills, bursts and hot trigrams everywhere; run by hand, as workers do not see the patches
     for name, value in dict(_BURST=3, _WIDE=2, _ENTRIES=50, _WORDS=40, _CHUNK=64).items():
         monkeypatch.setattr(collocations, name, value)
-    import pyarrow as pa
     table = pa.table({"lang": pa.array([l or "und" for t, l in texts if t]), "text": pa.array([t for t, _ in texts if t])})
-    runs = pa.Table.from_batches([b for half in (table[:200], table[200:]) for b in collocations._count(iter(half.to_batches()), 7)])
     counts = collections.Counter()
-    for lang, part in {(r["lang"], r["part"]) for r in runs.select(["lang", "part"]).to_pylist()}:
-        here = runs.filter(pa.compute.and_(pa.compute.equal(runs["lang"], lang), pa.compute.equal(runs["part"], part)))
-        for r in collocations._merge(here, 6).to_pylist():
-            counts[r["lang"], r["size"], r["phrase"]] += r["n"]
+    everything = types.SimpleNamespace(value=b"\xff" * 128)  # a filter that lets all pairs through changes nothing
+    for width, pairs in ((2, None), (5, everything)):
+        runs = pa.Table.from_batches([b for half in (table[:200], table[200:])
+                                      for b in collocations._count(iter(half.to_batches()), 7, width, pairs)])
+        for lang, part in {(r["lang"], r["part"]) for r in runs.select(["lang", "part"]).to_pylist()}:
+            here = runs.filter(pc.and_(pc.equal(runs["lang"], lang), pc.equal(runs["part"], part)))
+            for r in collocations._merge(here, 6, width).to_pylist():
+                counts[r["lang"], r["size"], r["phrase"]] += r["n"]
     f = collections.Counter()
     for text, lang in texts:
         for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate({i: i + 32 for i in range(65, 91)})):
