@@ -108,23 +108,24 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float = 0.5) -> di
     return result
 
 
-def _sliced(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Range slices of ``df``, staged so that every later pass sees the same slices."""
+def range_slices(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` cut into range slices, numbered in ``_slice`` and staged so that every later pass sees the same slices."""
     cut = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
     return stage(cut, "slices")
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str],
-                   ahead: Sequence[str] = (), descending: bool = False) -> DataFrame:
+                   ahead: Sequence[str] = (), descending: bool = False, staged: DataFrame | None = None) -> DataFrame:
     """Add ``{c}_running`` per column in ``sums``: its inclusive running total in the group.
 
     ``{c}_ahead`` per column in ``ahead`` is the following row's value, NULL on the last row.
     ``df`` must hold one row per (by, order) value: aggregate first, so that a hot
-    value is a single row.
+    value is a single row. What ``range_slices`` has staged in this very order is
+    passed as ``staged`` and not written again.
     """
     by = list(by)
     columns = [ref(c).desc() if descending else ref(c).asc() for c in order]
-    staged = _sliced(df, [*[ref(b) for b in by], *columns])
+    staged = range_slices(df, [*[ref(b) for b in by], *columns]) if staged is None else staged
     place = F.struct(*[ref(c) for c in order])
     first_row = F.max_by if descending else F.min_by
     # one row per slice and group: as many as shuffle partitions plus groups
@@ -151,9 +152,10 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     )
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Consecutive numbers from 1 in the order of columns that identify a row."""
-    counted = running_totals(df.withColumn("_one", F.lit(1).cast("long")), [], order, ["_one"])
+def row_numbers(df: DataFrame, order: Sequence[str], name: str = "id", staged: bool = False) -> DataFrame:
+    """Consecutive numbers from 1 in the order of columns that identify a row; ``staged``: ``df`` comes from ``range_slices``."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    counted = running_totals(one, [], order, ["_one"], staged=one if staged else None)
     return counted.withColumnRenamed("_one_running", name).drop("_one")
 
 
@@ -163,7 +165,7 @@ def fold_starts(keys: DataFrame, key: str, folds: int) -> list:
     The first ``n % k`` folds are one key longer. Only the slices that hold a
     boundary are sorted, and only k-1 keys come back.
     """
-    staged = _sliced(keys.select(ref(key)), [ref(key)])
+    staged = range_slices(keys.select(ref(key)), [ref(key)])
     sizes = {r["_slice"]: r["count"] for r in staged.groupBy("_slice").count().collect()}
     n = sum(sizes.values())
     starts = [i * (n // folds) + min(i, n % folds) for i in range(1, folds)]

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import ref
+from ..functions.ordering import fold_number, fold_starts
+from ..functions.scalar import logistic, ref
 from ..schema import FEATURES, LABEL, SPLIT, require_columns
+from ..session import stage
+from . import trees
 from .cleaning import fit_standard, standard_scale
-from .metrics import evaluate_classifier
-from .regression import assemble, fixed_layout, kept, run_parallel
+from .metrics import evaluate_classifier, roc_auc
+from .regression import DIGITS, add_scores
+from .trees import Fit, TreeParams, with_params
 
 Scaler = Mapping[str, tuple[float, float]]
 
@@ -45,26 +47,89 @@ def complete_features(df: DataFrame, features: Sequence[str] = FEATURES) -> Data
     })
 
 
-def logistic_regression(n_rows: int, **params) -> LogisticRegression:
-    """L2 penalty of strength C = 1: the loss is averaged here, so the weight is 1 / rows."""
-    defaults = {
-        "maxIter": 1000, "regParam": 1.0 / n_rows, "elasticNetParam": 0.0,
-        "standardization": False,
-    }
-    return LogisticRegression(**{**defaults, **params})
+# --- logistic regression by Newton steps ------------------------------------------------
 
+@dataclass
+class LogisticFit:
+    """Coefficients of scaled features and the intercept."""
+
+    features: list[str]
+    coefficients: list[float]
+    intercept: float
 
-def forest_classifier(n_rows: int, **params) -> RandomForestClassifier:
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "sqrt", "maxDepth": 12, "maxBins": 64, "seed": 42}
-    return RandomForestClassifier(**{**defaults, **params})
+    def probability(self) -> Column:
+        z = F.lit(self.intercept)
+        for name, weight in zip(self.features, self.coefficients):
+            z = z + F.lit(weight) * ref(name)
+        return logistic(z)
 
 
-CLASSIFIERS: dict[str, Callable] = {
-    "LogisticRegression": logistic_regression,
-    "RandomForest": forest_classifier,
+def fit_logistic(rows: DataFrame, features: Sequence[str], label: str = LABEL, strength: float = 1.0,
+                 maxIter: int = 1000, tol: float = 1e-10) -> LogisticFit:
+    """Minimum of the summed log loss plus |coefficients|^2 / (2 * strength); the intercept is free.
+
+    Each step is one aggregation of weighted cross-products, (k + 1)(k + 2) / 2
+    sums for k features, and a system of that width solved on the driver. A
+    step that does not lower the loss is halved. Rows of a single class give
+    zero coefficients and an infinite intercept. Pass a staged frame.
+    """
+    k = len(features) + 1
+    penalty = np.diag([0.0] + [1.0 / strength] * (k - 1))
+    x = ["_x0", *[f"_x{i + 1}" for i in range(k - 1)]]
+    shaped = rows.select(F.lit(1.0).alias("_x0"), *[ref(f).cast("double").alias(n) for f, n in zip(features, x[1:])],
+                         ref(label).cast("double").alias("_y"))
+
+    def step(w: np.ndarray):
+        z = F.lit(float(w[0]))
+        for name, weight in zip(x[1:], w[1:]):
+            z = z + F.lit(float(weight)) * F.col(name)
+        p = F.col("_p")
+        at = shaped.withColumn("_z", z).withColumn("_p", logistic(F.col("_z")))
+        loss = F.greatest(F.col("_z"), F.lit(0.0)) - F.col("_z") * F.col("_y") + F.log1p(F.exp(-F.abs("_z")))
+        row = at.agg(
+            F.count(F.lit(1)).alias("n"), F.sum("_y").alias("positive"), F.sum(loss).alias("loss"),
+            *[F.sum((p - F.col("_y")) * F.col(a)).alias(f"g{i}") for i, a in enumerate(x)],
+            *[F.sum(p * (1 - p) * F.col(x[i]) * F.col(x[j])).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)],
+        ).first()
+        if not row["n"]:
+            raise ValueError("no rows to fit")
+        if not 0 < row["positive"] < row["n"]:
+            return None, row["positive"], None
+        gradient = np.array([row[f"g{i}"] for i in range(k)]) + penalty @ w
+        hessian = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + penalty
+        return row["loss"] + 0.5 * w @ penalty @ w, gradient, hessian
+
+    w = np.zeros(k)
+    loss, gradient, hessian = step(w)
+    if loss is None:
+        return LogisticFit(list(features), [0.0] * (k - 1), math.inf if gradient else -math.inf)
+    for _ in range(maxIter):
+        move = -np.linalg.pinv(hessian, hermitian=True) @ gradient
+        scale = 1.0
+        while True:
+            new = w + scale * move
+            found = step(new)
+            if found[0] <= loss + 1e-9 * abs(loss) or scale < 1e-6:
+                break
+            scale /= 2
+        w, (loss, gradient, hessian) = new, found
+        if np.abs(scale * move).max() <= tol * max(1.0, np.abs(w).max()):
+            break
+    return LogisticFit(list(features), [float(v) for v in w[1:]], float(w[0]))
+
+
+# name -> how its trees are grown (the square root of the features is tried in a node); None marks the logistic fit
+CLASSIFIERS: dict[str, TreeParams | None] = {
+    "LogisticRegression": None,
+    "RandomForest": TreeParams(numTrees=100, bootstrap=True),
 }
 
 
+def forest_params(n_features: int, changes: Mapping | None = None) -> TreeParams:
+    base = replace(CLASSIFIERS["RandomForest"], tried=max(1, math.isqrt(n_features)))
+    return with_params(base, changes)
+
+
 @dataclass
 class RiskModels:
     """Fitted classifiers with the scaler and the feature order they were fitted on."""
@@ -74,13 +139,21 @@ class RiskModels:
     models: dict[str, object]
 
     def importance(self, model: str = "RandomForest") -> list[tuple[str, float]]:
-        values = self.models[model].featureImportances.toArray()
-        return sorted(zip(self.features, map(float, values)), key=lambda item: (item[1], item[0]))
+        return self.models[model].importance()
+
+
+def _scaled(df: DataFrame, features: Sequence[str], scaler: Scaler) -> DataFrame:
+    return standard_scale(fill_features(df, features), {f: scaler[f] for f in features})
 
 
-def _vectors(df: DataFrame, features: Sequence[str], scaler: Scaler) -> DataFrame:
-    scaled = standard_scale(fill_features(df, features), {f: scaler[f] for f in features})
-    return assemble(scaled, features)
+def _training_rows(train: DataFrame, features: Sequence[str], scaler: Scaler, label: str, key: str) -> DataFrame:
+    """Key, scaled features and label, staged; a missing label fails."""
+    rows = _scaled(train, features, scaler).select(ref(key).alias("_key"), *[ref(f) for f in features],
+                                                   ref(label).cast("int").alias("_label"))
+    rows = stage(rows, "training-rows")
+    if rows.where("_label IS NULL").limit(1).count():
+        raise ValueError("missing label")
+    return rows
 
 
 def train_classifiers(train: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL,
@@ -88,24 +161,20 @@ def train_classifiers(train: DataFrame, features: Sequence[str] = FEATURES, labe
                       params: Mapping[str, Mapping] | None = None) -> RiskModels:
     """Fill with 0, scale, fit every classifier. A missing label fails the job."""
     params = params or {}
-    filled = fill_features(train, features)
-    scaler = fit_standard(filled, features)
-    n_rows = train.count()
-    ready = _vectors(train, features, scaler).select(
-        ref(key), "features", F.assert_true(ref(label).isNotNull(), "missing label").alias("_checked"),
-        ref(label).cast("int").cast("double").alias("_label"),
-    ).where(F.col("_checked").isNull())
-    ready = fixed_layout(ready, key).select("features", "_label")
-
-    def job(name):
-        estimator = CLASSIFIERS[name](
-            n_rows, featuresCol="features", labelCol="_label", **params.get(name, {})
-        )
-        return lambda: estimator.fit(ready)
-
-    with kept(ready):
-        fitted = run_parallel(train.sparkSession, [job(m) for m in models])
-    return RiskModels(list(features), scaler, dict(zip(models, fitted)))
+    unknown = [m for m in models if m not in CLASSIFIERS]
+    if unknown:
+        raise ValueError(f"unknown models: {unknown}")
+    features = get_vle_feature_columns(train, features)
+    scaler = fit_standard(fill_features(train, features), features)
+    rows = _training_rows(train, features, scaler, label, key)
+    fitted = {}
+    for m in models:
+        if CLASSIFIERS[m] is None:
+            fitted[m] = fit_logistic(rows, features, "_label", **params.get(m, {}))
+        else:
+            fit = Fit(m, "label", "_label", forest_params(len(features), params.get(m)))
+            fitted[m] = trees.grow(rows, ["_key"], features, [fit])[0]
+    return RiskModels(list(features), scaler, fitted)
 
 
 def predict_pass_fail(rows: DataFrame, risk: RiskModels, model: str, keep: Sequence[str] = ("id",)) -> DataFrame:
@@ -118,12 +187,13 @@ def predict_pass_fail(rows: DataFrame, risk: RiskModels, model: str, keep: Seque
     kept = rows.select(*[ref(k).alias(f"_keep_{k}") for k in keep], *[
         ref(f) for f in risk.features if f in rows.columns
     ])
-    ready = _vectors(complete_features(kept, risk.features), risk.features, risk.scaler)
-    scored = risk.models[model].transform(ready)
+    ready = _scaled(complete_features(kept, risk.features), risk.features, risk.scaler)
+    fit = risk.models[model]
+    scored = (ready.withColumn("_p", fit.probability()) if isinstance(fit, LogisticFit) else add_scores(ready, [("_p", fit)]))
     return scored.select(
         *[F.col(f"_keep_{k}").alias(k) for k in keep],
-        F.col("prediction").cast("int").alias("predicted_label"),
-        vector_to_array(F.col("probability"))[1].alias("predicted_proba"),
+        (F.col("_p") > 0.5).cast("int").alias("predicted_label"),
+        F.col("_p").alias("predicted_proba"),
         F.lit(model).alias("model_used"),
     )
 
@@ -150,27 +220,33 @@ def importance_frame(spark, risk: RiskModels, model: str = "RandomForest") -> Da
     )
 
 
-def grid_search(train: DataFrame, risk: RiskModels, grid: Mapping[str, Sequence], label: str = LABEL,
-                folds: int = 3, model: str = "RandomForest", key: str = "id",
-                parallelism: int = 4) -> DataFrame:
-    """Mean cross-validated ROC area per parameter combination."""
-    ready = fixed_layout(_vectors(train, risk.features, risk.scaler).select(
-        ref(key), "features", ref(label).cast("double").alias("_label")
-    ), key)
-    estimator = CLASSIFIERS[model](max(1, train.count()), featuresCol="features", labelCol="_label")
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    maps = builder.build()
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, numFolds=folds, seed=42, parallelism=parallelism,
-        evaluator=BinaryClassificationEvaluator(labelCol="_label"),
-    )
-    with kept(ready):
-        averages = search.fit(ready).avgMetrics
-    rows = [
-        (*[float(m[estimator.getParam(name)]) for name in grid], float(a)) for m, a in zip(maps, averages)
-    ]
-    columns = ", ".join(f"`{name}` double" for name in grid)
-    return train.sparkSession.createDataFrame(rows, f"{columns}, roc_auc double")
+def grid_search(train: DataFrame, risk: RiskModels, grid: Mapping[str, Sequence[int]], label: str = LABEL,
+                folds: int = 3, key: str = "id", params: Mapping | None = None) -> DataFrame:
+    """(maxDepth, numTrees, roc_auc): ROC area of the forest, averaged over contiguous folds, for every combination.
 
+    One forest per fold serves the whole grid: a smaller depth is the same tree cut there, fewer trees are the first ones.
+    """
+    unknown = set(grid) - {"maxDepth", "numTrees"}
+    if unknown:
+        raise ValueError(f"only maxDepth and numTrees can be searched, not {sorted(unknown)}")
+    base = forest_params(len(risk.features), params)
+    depths = sorted(grid.get("maxDepth") or [base.maxDepth or trees.DEEPEST])
+    sizes = sorted(grid.get("numTrees") or [base.numTrees])
+    rows = _training_rows(train, risk.features, risk.scaler, label, key)
+    fold = fold_number(F.col("_key"), fold_starts(rows, "_key", folds))
+    deepest = replace(base, maxDepth=depths[-1], numTrees=sizes[-1])
+    fits = [Fit("RandomForest", "label", "_label", deepest, f) for f in range(folds)]
+    models = trees.grow(rows, ["_key"], risk.features, fits, fold)
+    asked = trees.numbered(rows.withColumn("_fold", fold))
+    sums = trees.score(asked, models, "_fold", range(folds), depths, sizes)
+    scored = sums.join(asked.select("_row", F.col("_label").alias("label")), "_row").select(
+        F.col("depth").alias("maxDepth"), F.col("size").alias("numTrees"), F.col("place").alias("fold"), "label",
+        F.round(F.col("total") / F.col("n"), DIGITS).alias("score"))
+    areas = roc_auc(scored, ("maxDepth", "numTrees", "fold"))
+    return areas.groupBy("maxDepth", "numTrees").agg(F.avg("roc_auc").alias("roc_auc"))
+
+
+def best_parameters(searched: DataFrame) -> dict[str, int]:
+    """The parameters with the largest ROC area; a tie goes to the shallower trees, then to fewer."""
+    r = searched.orderBy(F.desc_nulls_last("roc_auc"), "maxDepth", "numTrees").first()
+    return {"maxDepth": r["maxDepth"], "numTrees": r["numTrees"]}

@@ -1,29 +1,24 @@
-"""Next-period score regressions: least squares from one aggregation, trees from Spark ML."""
+"""Next-period score regressions: least squares from one aggregation, trees and forests by ``trees``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import AtomicType
 
 from ..functions.ordering import fold_number, fold_starts
 from ..functions.scalar import clamp, ref
 from ..schema import ENTITY, PERIOD, SCORE_MAX, SCORE_MIN, SUBJECTS, require_columns
+from . import trees
 from .metrics import best_by, regression_metrics
 from .stats import year_on_year
+from .trees import Fit, TreeModel, TreeParams, with_params
 
 CENTRE = (SCORE_MIN + SCORE_MAX) / 2
-PARALLEL_FITS = 4
-FIT_PARTITIONS = 16
-"""Tasks of a tree fit. Bootstrap draws follow partitions, so the number is fixed and part of the model."""
+DIGITS = 12
+"""Of a forest's mean: sums over trees in another order must not break ties between rows."""
 
 
 # --- least squares ---------------------------------------------------------------
@@ -87,8 +82,8 @@ class _Moments:
         return fit
 
 
-def _moments(df: DataFrame, names: Sequence[str], group: Column, centre: float) -> dict[int, _Moments]:
-    """Moments per fold from one grouped pass; the shift keeps the products well conditioned."""
+def moment_rows(df: DataFrame, names: Sequence[str], group: Column, centre: float) -> DataFrame:
+    """One row of count, sums and cross-products per group, from one pass; the shift keeps the products well conditioned."""
     shifted = df.select(
         group.alias("_group"),
         *[(ref(c).cast("double") - F.lit(centre)).alias(f"x{i}") for i, c in enumerate(names)],
@@ -97,17 +92,44 @@ def _moments(df: DataFrame, names: Sequence[str], group: Column, centre: float)
     missing = F.col("x0").isNull()
     for i in range(1, k):
         missing = missing | F.col(f"x{i}").isNull()
-    rows = shifted.groupBy("_group").agg(
+    return shifted.groupBy("_group").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(missing).alias("missing"),
         *[F.sum(f"x{i}").alias(f"s{i}") for i in range(k)],
         *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)],
-    ).collect()  # one row per fold
+    )
+
+
+def _moments(df: DataFrame, names: Sequence[str], group: Column, centre: float) -> dict[int, _Moments]:
+    """Moments per fold; one row a fold comes back."""
+    rows = moment_rows(df, names, group, centre).collect()
     if any(r["missing"] for r in rows):
         raise ValueError("scores to fit on are missing; fill them first")
     return {r["_group"]: _Moments(names, r) for r in rows}
 
 
+def _moment_names(subjects: Sequence[str]) -> list[str]:
+    return [*subjects, *[f"{s}_next" for s in subjects]]
+
+
+def year_moments(pairs: DataFrame, subjects: Sequence[str] = SUBJECTS, centre: float = CENTRE) -> DataFrame:
+    """The moments of each year's pairs, one row a year: what a refit needs of that year, for good."""
+    return moment_rows(pairs, _moment_names(subjects), F.col(PERIOD), centre).withColumnRenamed("_group", PERIOD)
+
+
+def fit_from_moments(moments: DataFrame, subjects: Sequence[str] = SUBJECTS, centre: float = CENTRE) -> LinearFit:
+    """The least-squares fit on all years whose moments are given; reads one row a year and no pair."""
+    names = _moment_names(subjects)
+    total = _Moments(names)
+    for r in moments.orderBy(PERIOD).collect():
+        if r["missing"]:
+            raise ValueError(f"scores of {r[PERIOD]} are missing; fill them first")
+        total = total.combine(_Moments(names, r), 1)
+    if not total.n:
+        raise ValueError("no rows to fit")
+    return total.solve(subjects, {s: f"{s}_next" for s in subjects}, centre)
+
+
 def fit_linear(pairs: DataFrame, subjects: Sequence[str] = SUBJECTS,
                centre: float = CENTRE) -> LinearFit:
     """One fit per target subject on the base-year scores, all from one aggregation.
@@ -121,8 +143,7 @@ def fit_linear(pairs: DataFrame, subjects: Sequence[str] = SUBJECTS,
 def fit_linear_folds(pairs: DataFrame, fold: Column, subjects: Sequence[str] = SUBJECTS,
                      centre: float = CENTRE) -> tuple[LinearFit, dict[int, LinearFit]]:
     """The fit on all rows and, per fold, the fit on the other folds, from one aggregation."""
-    targets = {s: f"{s}_next" for s in subjects}
-    names = [*subjects, *targets.values()]
+    targets, names = {s: f"{s}_next" for s in subjects}, _moment_names(subjects)
     per_fold = _moments(pairs, names, fold, centre)
     if not per_fold:
         raise ValueError("no rows to fit")
@@ -138,24 +159,11 @@ def fit_linear_folds(pairs: DataFrame, fold: Column, subjects: Sequence[str] = S
 
 # --- tree models -------------------------------------------------------------------
 
-def decision_tree(**params) -> DecisionTreeRegressor:
-    return DecisionTreeRegressor(**{"maxDepth": 4, "maxBins": 256, "seed": 42, **params})
-
-
-def random_forest(**params) -> RandomForestRegressor:
-    """100 trees on all features, as deep as 12 levels with 64 split candidates a feature.
-
-    Depth and candidates are parameters, because a tree of depth d has up to 2^d nodes.
-    """
-    defaults = {"numTrees": 100, "featureSubsetStrategy": "all", "maxDepth": 12, "maxBins": 64, "seed": 42}
-    return RandomForestRegressor(**{**defaults, **params})
-
-
-# name -> factory; None marks the least-squares fit
-REGRESSORS: dict[str, Callable | None] = {
+# name -> how its trees are grown; None marks the least-squares fit
+REGRESSORS: dict[str, TreeParams | None] = {
     "LinearRegression": None,
-    "DecisionTree": decision_tree,
-    "RandomForest": random_forest,
+    "DecisionTree": TreeParams(maxDepth=4),
+    "RandomForest": TreeParams(numTrees=100, bootstrap=True),
 }
 
 
@@ -163,78 +171,53 @@ def feature_names(subjects: Sequence[str] = SUBJECTS) -> list[str]:
     return ["year_encoded", *subjects]
 
 
-def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
-    """Feature vector in the given order, by name."""
-    return VectorAssembler(inputCols=list(features), outputCol=output).transform(df)
-
-
-def fixed_layout(df: DataFrame, key: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """Rows placed by key and sorted: a seed then gives the same trees for any input layout and session.
-
-    ``partitions`` is a parameter of the model: raise it for tables whose sixteenth does not fit a task.
-    Rows that repeat a key are ordered by their other columns that can be ordered.
-    """
-    rest = [ref(f.name) for f in df.schema if f.name != key and isinstance(f.dataType, AtomicType)]
-    return df.repartition(partitions, ref(key)).sortWithinPartitions(ref(key), *rest)
-
-
-@contextmanager
-def kept(df: DataFrame):
-    """Cache ``df`` while several fits read it; a lost block is computed again from the input."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
-def run_parallel(spark, jobs: Sequence[Callable]) -> list:
-    """Run independent fits side by side; each is its own set of Spark jobs."""
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
-
-
 def train_regressors(pairs: DataFrame, subjects: Sequence[str] = SUBJECTS,
                      models: Sequence[str] = tuple(REGRESSORS),
-                     params: Mapping[str, Mapping] | None = None) -> dict[tuple[str, str], object]:
-    """{(model, subject): fitted}; every model for every subject."""
+                     params: Mapping[str, Mapping] | None = None,
+                     key: Sequence[str] = (ENTITY,)) -> dict[tuple[str, str], object]:
+    """{(model, subject): fitted}; every model for every subject, all trees grown together.
+
+    ``key`` identifies a row: the draws of a forest depend on it and on nothing else.
+    """
     unknown = [m for m in models if m not in REGRESSORS]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
     params = params or {}
     fitted: dict[tuple[str, str], object] = {}
-    trees = [m for m in models if REGRESSORS[m]]
     for m in models:
         if not REGRESSORS[m]:
             fit = fit_linear(pairs, subjects)
             fitted.update({(m, s): fit for s in subjects})
-    if trees:
-        ready = assemble(fixed_layout(pairs, ENTITY), feature_names(subjects))
-        keys = [(m, s) for m in trees for s in subjects]
-
-        def job(m, s):
-            estimator = REGRESSORS[m](featuresCol="features", labelCol=f"{s}_next", **params.get(m, {}))
-            return lambda: estimator.fit(ready.select("features", ref(f"{s}_next")))
-
-        with kept(ready):
-            fitted.update(zip(keys, run_parallel(pairs.sparkSession, [job(m, s) for m, s in keys])))
+    fits = [Fit(m, s, f"{s}_next", with_params(REGRESSORS[m], params.get(m))) for m in models if REGRESSORS[m] for s in subjects]
+    if fits:
+        grown = trees.grow(pairs, key, feature_names(subjects), fits)
+        fitted.update({(f.model, f.target): model for f, model in zip(fits, grown)})
     return fitted
 
 
 def predict_columns(df: DataFrame, fitted: Mapping[tuple[str, str], object],
                     subjects: Sequence[str] = SUBJECTS) -> DataFrame:
-    """Add the unclipped prediction ``{model}|{subject}`` of every fitted model; map-only."""
-    out = df
-    if any(not isinstance(f, LinearFit) for f in fitted.values()):
-        out = assemble(out, feature_names(subjects), "_features")
+    """Add the unclipped prediction ``{model}|{subject}`` of every fitted model.
+
+    Linear models and small trees are expressions; forests are scored together, a row read past each group of trees.
+    """
+    out, forests = df, []
     for (model, subject), fit in fitted.items():
-        name = f"{model}|{subject}"
-        if isinstance(fit, LinearFit):
-            out = out.withColumn(name, fit.predict(subject))
+        predicted = fit.predict(subject) if isinstance(fit, LinearFit) else fit.predict()
+        if predicted is None:
+            forests.append((f"{model}|{subject}", fit))
         else:
-            fit = fit.copy({fit.featuresCol: "_features", fit.predictionCol: name})
-            out = fit.transform(out)
-    return out.drop("_features")
+            out = out.withColumn(f"{model}|{subject}", predicted)
+    return add_scores(out, forests) if forests else out
+
+
+def add_scores(df: DataFrame, named: Sequence[tuple[str, TreeModel]]) -> DataFrame:
+    """``df`` with a column for the mean over the trees of each model."""
+    rows = trees.numbered(df)
+    sums = trees.score(rows, [m for _, m in named])
+    mean = F.round(F.col("total") / F.col("n"), DIGITS)
+    wide = sums.groupBy("_row").agg(*[F.max(F.when(F.col("place") == i, mean)).alias(name) for i, (name, _) in enumerate(named)])
+    return rows.join(wide, "_row").drop("_row")
 
 
 def predict_next(rows: DataFrame, fitted: Mapping[tuple[str, str], object],
@@ -307,6 +290,23 @@ def linear_fold_errors(pairs: DataFrame, fold: Column, fits: Mapping[int, Linear
     return regression_metrics(rows, ("subject", "fold")).select("subject", "fold", "RMSE")
 
 
+def out_of_fold(pairs: DataFrame, fold: Column, folds: int, params: TreeParams, subjects: Sequence[str] = SUBJECTS,
+                key: Sequence[str] = (ENTITY,), depths: Sequence[int] = (), sizes: Sequence[int] = ()) -> DataFrame:
+    """(subject, fold, depth, size, y_true, y_pred): each row scored by the trees grown without its fold.
+
+    All folds and subjects are grown in one run and scored in one: a row meets only the trees of its fold.
+    """
+    fits = [Fit("fold", s, f"{s}_next", params, f) for s in subjects for f in range(folds)]
+    models = trees.grow(pairs, key, feature_names(subjects), fits, fold)
+    rows = trees.numbered(pairs.withColumn("_fold", fold))
+    sums = trees.score(rows, models, "_fold", [f.without for f in fits], depths, sizes)
+    of_place = F.array(*[F.struct(F.lit(f.target).alias("subject"), F.lit(f.without).alias("fold")) for f in fits])
+    known = rows.select("_row", F.create_map(*[x for s in subjects for x in (F.lit(s), ref(f"{s}_next"))]).alias("known"))
+    return (sums.withColumn("p", F.element_at(of_place, F.col("place") + 1)).join(known, "_row")
+            .select("p.subject", "p.fold", "depth", "size", F.element_at("known", F.col("p.subject")).alias("y_true"),
+                    F.round(F.col("total") / F.col("n"), DIGITS).alias("y_pred")))
+
+
 def cross_validate(pairs: DataFrame, starts: Sequence, model: str, subjects: Sequence[str] = SUBJECTS,
                    params: Mapping | None = None, key: str = ENTITY) -> DataFrame:
     """Mean and population deviation of the per-fold RMSE: (model, subject, mean, std)."""
@@ -315,27 +315,51 @@ def cross_validate(pairs: DataFrame, starts: Sequence, model: str, subjects: Seq
         _, fits = fit_linear_folds(pairs, fold, subjects)
         errors = linear_fold_errors(pairs, fold, fits, subjects)
     else:
-        numbered = assemble(fixed_layout(pairs.withColumn("_fold", fold), key), feature_names(subjects))
-        tasks = [(s, f) for s in subjects for f in range(len(starts) + 1)]
-
-        def job(s, f):
-            estimator = REGRESSORS[model](featuresCol="features", labelCol=f"{s}_next", **(params or {}))
-            return lambda: estimator.fit(numbered.where(F.col("_fold") != f))
-
-        with kept(numbered):
-            fitted = dict(zip(tasks, run_parallel(pairs.sparkSession, [job(s, f) for s, f in tasks])))
-        frames = None
-        for f in range(len(starts) + 1):
-            held_out = pairs.where(fold == f)
-            part = actual_vs_predicted(held_out, {(model, s): fitted[s, f] for s in subjects}, subjects)
-            part = part.withColumn("fold", F.lit(f))
-            frames = part if frames is None else frames.unionByName(part)
-        errors = regression_metrics(frames, ("subject", "fold"))
+        scored = out_of_fold(pairs, fold, len(starts) + 1, with_params(REGRESSORS[model], params), subjects, (key,))
+        errors = regression_metrics(scored, ("subject", "fold"))
     return errors.groupBy("subject").agg(
         F.avg("RMSE").alias("mean"), F.stddev_pop("RMSE").alias("std")
     ).withColumn("model", F.lit(model)).select("model", "subject", "mean", "std")
 
 
+def search_regressor(pairs: DataFrame, grid: Mapping[str, Sequence[int]], model: str = "RandomForest",
+                     subjects: Sequence[str] = SUBJECTS, folds: int = 5, params: Mapping | None = None,
+                     key: str = ENTITY) -> DataFrame:
+    """(subject, maxDepth, numTrees, mean, std) of the per-fold RMSE for every combination of the grid.
+
+    One set of trees per fold serves the whole grid: a smaller depth is the same tree cut
+    there, fewer trees are the first ones.
+    """
+    base = with_params(REGRESSORS[model], params)
+    unknown = set(grid) - {"maxDepth", "numTrees"}
+    if unknown:
+        raise ValueError(f"only maxDepth and numTrees can be searched, not {sorted(unknown)}")
+    depths = sorted(grid.get("maxDepth") or [base.maxDepth or trees.DEEPEST])
+    sizes = sorted(grid.get("numTrees") or [base.numTrees])
+    fold = fold_number(ref(key), fold_starts(pairs, key, folds))
+    scored = out_of_fold(pairs, fold, folds, replace(base, maxDepth=depths[-1], numTrees=sizes[-1]), subjects, (key,), depths, sizes)
+    errors = regression_metrics(scored, ("subject", "depth", "size", "fold"))
+    return errors.groupBy("subject", F.col("depth").alias("maxDepth"), F.col("size").alias("numTrees")).agg(
+        F.avg("RMSE").alias("mean"), F.stddev_pop("RMSE").alias("std"))
+
+
+def best_parameters(searched: DataFrame) -> dict[str, dict[str, int]]:
+    """Parameters with the lowest mean error per subject; a tie goes to the shallower trees, then to fewer."""
+    best = F.min(F.struct("mean", "maxDepth", "numTrees")).alias("b")
+    rows = searched.groupBy("subject").agg(best).select("subject", "b.maxDepth", "b.numTrees").collect()  # a row per subject
+    return {r["subject"]: {"maxDepth": r["maxDepth"], "numTrees": r["numTrees"]} for r in rows}
+
+
+def train_with_best(pairs: DataFrame, searched: DataFrame, model: str = "RandomForest", key: Sequence[str] = (ENTITY,),
+                    params: Mapping | None = None) -> dict[tuple[str, str], TreeModel]:
+    """The model of every subject with its own best parameters, which are stored with it."""
+    chosen = best_parameters(searched)
+    fits = [Fit(model, s, f"{s}_next", with_params(REGRESSORS[model], {**(params or {}), **p})) for s, p in sorted(chosen.items())]
+    subjects = [c.removesuffix("_next") for c in pairs.columns if c.endswith("_next")]
+    grown = trees.grow(pairs, key, feature_names(subjects), fits)
+    return {(model, f.target): m for f, m in zip(fits, grown)}
+
+
 def evaluate_all_models(pairs: DataFrame, fitted: Mapping[tuple[str, str], object],
                         subjects: Sequence[str] = SUBJECTS, folds: int = 5,
                         params: Mapping[str, Mapping] | None = None) -> DataFrame:
@@ -373,29 +397,14 @@ def student_report(clean: DataFrame, fitted: Mapping[tuple[str, str], object], e
     return year_on_year(clean, base, following, subjects).join(ahead, ENTITY)
 
 
-def prediction_intervals(rows: DataFrame, forest, subjects: Sequence[str] = SUBJECTS,
-                         keys: Sequence[str] = (ENTITY,), z: float = 1.96) -> DataFrame:
-    """Forest mean with a 95% band from the spread of its trees; map-only per row."""
-    base = assemble(rows.select(
-        *[ref(k) for k in keys], F.lit(1).alias("year_encoded"), *[ref(s) for s in subjects]
-    ), feature_names(subjects))
-    scored = base
-    names = []
-    for i, tree in enumerate(forest.trees):
-        name = f"_tree{i}"
-        scored = tree.copy({tree.featuresCol: "features", tree.predictionCol: name}).transform(scored)
-        names.append(name)
-    values = F.array(*names)
-    n = float(len(names))
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.lit(n)
-    spread = scored.select(*[ref(k) for k in keys], values.alias("_values"), mean.alias("predicted_mark"))
-    variance = F.aggregate(
-        "_values", F.lit(0.0), lambda a, v: a + (v - F.col("predicted_mark")) * (v - F.col("predicted_mark"))
-    ) / F.lit(n)
-    half = F.lit(z) * F.sqrt(variance)
-    return spread.select(
-        *[ref(k) for k in keys],
-        clamp(F.col("predicted_mark")).alias("predicted_mark"),
-        clamp(F.col("predicted_mark") - half).alias("low"),
-        clamp(F.col("predicted_mark") + half).alias("high"),
-    )
+def prediction_intervals(rows: DataFrame, forests: Mapping[str, TreeModel], keys: Sequence[str] = (ENTITY,),
+                         z: float = 1.96) -> DataFrame:
+    """(keys, subject, predicted_mark, low, high): a forest's mean with a 95% band from the spread of its trees."""
+    subjects = list(forests)
+    rows = trees.numbered(rows.withColumn("year_encoded", F.lit(1)))
+    scored = trees.score_spread(rows, [forests[s] for s in subjects])
+    mean, half = F.round("mean", DIGITS), F.lit(z) * F.col("deviation")
+    subject = F.element_at(F.array(*[F.lit(s) for s in subjects]), F.col("place") + 1)
+    return scored.join(rows.select("_row", *[ref(k) for k in keys]), "_row").select(
+        *[ref(k) for k in keys], subject.alias("subject"), clamp(mean).alias("predicted_mark"),
+        clamp(mean - half).alias("low"), clamp(mean + half).alias("high"))

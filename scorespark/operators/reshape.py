@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import ref
-from ..schema import CATEGORY, ENTITY, NAME, PERIOD, SCORE, SUBJECTS
+from ..schema import CATEGORY, ENTITY, NAME, PERIOD, SCORE, SUBJECTS, require_columns
 
 
 def pivot_scores(long: DataFrame, keys: Sequence[str] = (ENTITY, NAME, PERIOD),
@@ -23,14 +23,20 @@ def pivot_scores(long: DataFrame, keys: Sequence[str] = (ENTITY, NAME, PERIOD),
     return wide.where(F.coalesce(*[ref(s) for s in subjects]).isNotNull())
 
 
-def ensure_wide(df: DataFrame, subjects: Sequence[str] = SUBJECTS) -> DataFrame:
-    """Wide frames pass; long frames are pivoted on every other column; else ``ValueError``."""
-    if set(subjects).issubset(df.columns):
-        return df
-    if {CATEGORY, SCORE}.issubset(df.columns):
-        keys = [c for c in df.columns if c not in (CATEGORY, SCORE)]
+def ensure_wide(df: DataFrame, keys: Sequence[str] = (ENTITY, NAME, PERIOD),
+                subjects: Sequence[str] = SUBJECTS) -> DataFrame:
+    """Scores with one row per ``keys`` and one column per subject, from either form.
+
+    The schema decides: a frame with a category and a score column is long and is
+    averaged over the keys, whatever other columns it has (a surrogate id splits no
+    group); any other must hold the keys and every subject, and keeps its rows.
+    """
+    long = [c for c in (CATEGORY, SCORE) if c in df.columns]
+    if len(long) == 2:
+        require_columns(df, keys, "long scores")
         return pivot_scores(df, keys, subjects)
-    raise ValueError("need either the subject columns or the columns subject and mark")
+    require_columns(df, [*keys, *subjects], "wide scores")
+    return df
 
 
 def melt_scores(wide: DataFrame, keys: Sequence[str] = (ENTITY, PERIOD),

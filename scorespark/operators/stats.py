@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.ordering import exact_quantiles
-from ..functions.scalar import best_and_worst, format_percent, label_name, ref, row_mean
+from ..functions.scalar import best_and_worst, finite_or_null, format_percent, label_name, ref, row_mean
 from ..schema import BASE_YEAR, ENTITY, FAIL_MARK, LABEL, NAME, NEXT_YEAR, PERIOD, SUBJECTS
 
 
@@ -79,34 +82,57 @@ def numeric_features(df: DataFrame, drop: Sequence[str] = ("id", LABEL)) -> list
     ]
 
 
+_GRAM = "n array<double>, s array<double>, q array<double>, p array<double>"
+
+
+def _gram(batches: Iterator[pa.RecordBatch], centres: Sequence[float]) -> Iterator[pa.RecordBatch]:
+    """One row a task: for every column pair the rows where both are present, and their sums, squares and products.
+
+    Sums and squares are those of the pair's first column, so a pair's second is at its mirrored place.
+    """
+    k = len(centres)
+    total = np.zeros((4, k, k))
+    for batch in batches:
+        x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)], axis=1).astype(np.float64) - centres
+        there = ~np.isnan(x)
+        x, there = np.where(there, x, 0.0), there.astype(np.float64)
+        total += there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+    yield pa.RecordBatch.from_arrays([pa.array([t.ravel().tolist()], pa.list_(pa.float64())) for t in total], names=list("nsqp"))
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair over the rows where both are present.
 
-    Every row is read once and its column pairs are folded map-side, so the shuffle
-    carries one partial result per pair and task. A constant column gives NULL.
+    Every task folds its rows into dense arrays of counts, sums and products,
+    one row a task, and these are added up: no row is made per column pair and
+    input row. A column that is constant over a pair's rows gives NULL.
     """
     k = len(columns)
-    values = df.select(F.array(*[ref(c).cast("double") for c in columns]).alias("v"))
-    column_pairs = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(k) for j in range(i, k)
-    ])
-    pairs = values.select("v", F.inline(column_pairs)).select(
-        "i", "j", F.get("v", F.col("i")).alias("x"), F.get("v", F.col("j")).alias("y")
-    )
-    moments = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("i", "j").agg(
-        F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")
-    )
+    values = df.select(*[finite_or_null(ref(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()
+    centres = np.array([m or 0.0 for m in means])
+    parts = values.mapInArrow(partial(_gram, centres=centres), _GRAM)
+    cells = parts.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), lambda at: F.struct(
+        at.alias("at"), *[F.get(c, at).alias(c) for c in "nsqp"]))))
+    # k * k rows from here on
+    sums = cells.groupBy("at").agg(*[F.sum(c).alias(c) for c in "nsqp"])
+    i, j = F.floor(F.col("at") / k).cast("int"), (F.col("at") % k).cast("int")
+    one = sums.select(i.alias("i"), j.alias("j"), "n", "s", "q", "p")
+    other = sums.select(j.alias("i"), i.alias("j"), F.col("s").alias("t"), F.col("q").alias("u"))
+    both = one.join(other, ["i", "j"]).where("n > 0")
+    n, centre = F.col("n"), F.array(*[F.lit(float(c)) for c in centres])
+
+    def variance(at: str, s: str, q: str) -> Column:
+        """Exact zero where all that is left is rounding."""
+        v, c = F.col(q) / n - F.col(s) / n * F.col(s) / n, F.get(centre, F.col(at))
+        return F.when(v > F.lit(1e-20) * (c * c + F.col(q) / n), v).otherwise(0.0)
+
+    named = both.select("i", "j", variance("i", "s", "q").alias("vx"), variance("j", "t", "u").alias("vy"),
+                        (F.col("p") / n - F.col("s") / n * F.col("t") / n).alias("c"))
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("vx") > 0, F.lit(1.0))).otherwise(
+        F.try_divide("c", F.sqrt(F.col("vx")) * F.sqrt(F.col("vy"))))
     names = F.array(*[F.lit(c) for c in columns])
-    r = F.when(F.col("i") != F.col("j"), F.try_divide("c", F.col("sx") * F.col("sy"))).when(
-        F.col("sx") > 0, F.lit(1.0)
-    )
-    found = moments.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
-    one_way = [
-        F.struct(F.col(x).alias("feature_a"), F.col(y).alias("feature_b"), F.col("r").alias("correlation"))
-        for x, y in (("a", "b"), ("b", "a"))
-    ]
-    both_ways = F.array_distinct(F.array(*one_way))
-    return found.select(F.inline(both_ways))
+    return named.select(F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), r.alias("correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = SUBJECTS) -> DataFrame:

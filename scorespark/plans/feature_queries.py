@@ -48,6 +48,50 @@ def messy_csv_load(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ops.drop_missing_label(files.load_feature_csv(spark, path, "original")))
 
 
+def exact_csv_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A file whose trimmed headers are the sources' own; one in capitals is not known to the exact match."""
+    path = scratch_path(spark, "exact-csv")
+    headers = {**SOURCE_HEADERS, LABEL: LABEL, "age": SOURCE_HEADERS["age"].upper(), "logins": f" {SOURCE_HEADERS['logins']} "}
+    rows = engagement(spark, sf)
+    write_csv(rows.select(*[ref(c).cast("string").alias(headers[c]) for c in [*FEATURES, LABEL]]), path)
+    return rounded(files.load_feature_csv(spark, path, exact=True))
+
+
+def mixed_headers_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of three loads whose columns differ in order, spelling and number."""
+    path = scratch_path(spark, "mixed-csv")
+    rows, messy = stage(engagement(spark, sf), "engagement"), _messy_headers()
+    orders = [[*FEATURES, LABEL], [LABEL, *reversed(FEATURES)], [*FEATURES[:10], LABEL]]
+    for i, columns in enumerate(orders):
+        named = messy if i == 1 else {c: c.upper() for c in columns}
+        part = rows.where(F.col("id") % 3 == i).select(*[ref(c).cast("string").alias(named.get(c, c)) for c in columns])
+        part.write.mode("append").option("header", True).csv(path)
+    return rounded(files.load_feature_csv(spark, path))
+
+
+def completed_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of which some are NULL, one is text and some are absent, made ready for scoring; labels given as text."""
+    rows = engagement(spark, sf).withColumns({
+        "age": F.when(F.col("id") % 5 > 0, F.col("age")), "logins": F.col("logins").cast("string"),
+        "label": F.col("label").cast("string")}).drop("total_hours", "polar4_quintile")
+    ready = classify.fill_features(classify.complete_features(rows, FEATURES), FEATURES)
+    return rounded(ready.select("id", *FEATURES, F.col("label").cast("int").alias("label")))
+
+
+def loaded_or_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the feature file, of one that is absent, and of one without a label column."""
+    present, unusable = scratch_path(spark, "present-csv"), scratch_path(spark, "unlabelled-csv")
+    rows = engagement(spark, sf)
+    _write_messy(rows, present)
+    write_csv(rows.select("age", "logins"), unusable)
+    parts = None
+    for name, path in (("present", present), ("absent", scratch_path(spark, "absent")), ("unusable", unusable)):
+        loaded = files.load_or_empty(spark, path)
+        part = loaded.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("fails"))
+        parts = part if parts is None else parts.union(part)
+    return parts
+
+
 def _feature_sources(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
     """Two files that share rows: the first holds every row, the second the test rows again."""
     rows = stage(engagement(spark, sf), "engagement")
@@ -247,10 +291,13 @@ def best_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.best_classifier(classify.evaluate_classifiers(test, _fit(train))))
 
 
+GRID, GRID_FOLDS = {"maxDepth": [3, 6], "numTrees": [20, 50]}, 3
+
+
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _split(spark, sf)
     risk = classify.RiskModels(TEXT_FEATURES, cleaning.fit_standard(train, TEXT_FEATURES), {})
-    return rounded(classify.grid_search(train, risk, {"maxDepth": [3, 6], "numTrees": [20, 50]}))
+    return rounded(classify.grid_search(train, risk, GRID, folds=GRID_FOLDS))
 
 
 def classifier_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,7 +329,7 @@ def classifier_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [
-    messy_csv_load, feature_table_report, split_scan, train_test_pair, drop_null_label,
+    messy_csv_load, exact_csv_load, mixed_headers_load, completed_features, loaded_or_empty, feature_table_report, split_scan, train_test_pair, drop_null_label,
     feature_label_split, label_column, class_distribution, label_kpis, labelled_names, sentinel_null,
     standard_scale, feature_corr_matrix, domain_violations, within_domain, flag_rule_check,
     logistic_squash, confusion_matrix, classifier_metrics, roc_auc, roc_curve, classifier_bundle,

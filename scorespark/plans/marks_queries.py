@@ -121,8 +121,9 @@ def nan_null(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ensure_wide(spark: SparkSession, sf: str) -> DataFrame:
-    long = marks(spark, sf).drop("id")
-    return rounded(reshape.ensure_wide(reshape.ensure_wide(long, SUBJECTS), SUBJECTS))
+    keys = ["student_id", "year"]
+    wide_form = reshape.ensure_wide(marks(spark, sf), keys, SUBJECTS)
+    return rounded(reshape.ensure_wide(wide_form, keys, SUBJECTS))
 
 
 def unpivot_load(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,6 +254,19 @@ def prediction_log_latest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def compacted_log_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The history of one student in a log that was compacted and appended to again."""
+    path = scratch_path(spark, "compacted-log")
+    log = marks(
+        spark, sf, F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("model_used")
+    ).withColumn("predicted_mark", clamp(F.col("mark")))
+    logs.save_predictions(log.where("model_used = 'F'"), path)
+    logs.save_predictions(log.where("model_used = 'O'"), path)
+    logs.compact_log(spark, path, "student_id")
+    logs.save_predictions(log.where("model_used = 'P'"), path)
+    return rounded(logs.get_predictions(spark, path, STUDENT)).withColumn("created_at", F.col("created_at").cast("date"))
+
+
 QUERIES = {f.__name__: f for f in [
     marks_joined, marks_wide, entity_marks, entity_period_row, ordered_history, dimension_scan,
     distinct_keys, distinct_periods, next_period_pairs, pooled_pairs, fk_violations, insert_or_ignore,
@@ -261,5 +275,5 @@ QUERIES = {f.__name__: f for f in [
     subject_averages, entity_averages, class_progress, entity_progress, entity_comparison,
     subject_summary, subject_summary_raw, entity_summary, corr_matrix, top_performers, failing_entities,
     period_change, overview_kpis, entity_alerts, grade_bins, formatted_ids, prediction_log,
-    prediction_log_latest,
+    prediction_log_latest, compacted_log_latest,
 ]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.ordering import fold_number, fold_starts
 from ..functions.scalar import ref
-from ..operators import metrics, quality, regression, reshape, stats, tables as ops
+from ..operators import metrics, quality, regression, reshape, stats, tables as ops, trees
 from ..session import scratch_path, stage
 from ..sources import models as store
 from .tables import BASE, NEXT, SUBJECTS, clean, rounded, staged_pairs
@@ -127,14 +127,8 @@ def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def prediction_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """95% band of the forest for every subject."""
     c, p = _clean_and_pairs(spark, sf)
-    ready = regression.assemble(regression.fixed_layout(p, "student_id"), regression.feature_names(SUBJECTS))
-    parts = None
-    with regression.kept(ready):
-        for s in SUBJECTS:
-            forest = regression.random_forest(featuresCol="features", labelCol=f"{s}_next").fit(ready)
-            part = regression.prediction_intervals(_current(c), forest, SUBJECTS).withColumn("subject", F.lit(s))
-            parts = part if parts is None else parts.unionByName(part)
-    return rounded(parts)
+    fitted = regression.train_regressors(p, SUBJECTS, ["RandomForest"])
+    return rounded(regression.prediction_intervals(_current(c), {s: fitted["RandomForest", s] for s in SUBJECTS}))
 
 
 def regression_evaluation(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,6 +138,14 @@ def regression_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(regression.evaluate_all_models(p, fitted, SUBJECTS, FOLDS))
 
 
+SEARCH = {"maxDepth": [2, 4, 8], "numTrees": [10, 30]}
+
+
+def regressor_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The forest's out-of-fold error for every depth and number of trees."""
+    return rounded(regression.search_regressor(staged_pairs(spark, sf), SEARCH, "RandomForest", SUBJECTS, FOLDS))
+
+
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
     """The model with the lowest in-sample RMSE per subject."""
     p = staged_pairs(spark, sf)
@@ -171,16 +173,37 @@ def pooled_pairs_model(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(fit.rows(), "subject string, feature string, coefficient double"))
 
 
-def _tree_checks(spark: SparkSession, c: DataFrame, p: DataFrame, names: list[str]) -> DataFrame:
+def incremental_refit(spark: SparkSession, sf: str) -> DataFrame:
+    """The pooled linear model, its years taken in one by one from stored moments."""
+    c = stage(clean(spark, sf), "clean")
+    path = scratch_path(spark, "moments")
+    years = [r[0] for r in c.select("year").distinct().orderBy("year").collect()]  # one row a year
+    for year in years[1:]:
+        fit = store.refit_with_year(spark, c, year, path, SUBJECTS)
+    return rounded(spark.createDataFrame(fit.rows(), "subject string, feature string, coefficient double"))
+
+
+def pooled_forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts of the forest grown on every consecutive pair of years."""
+    c = clean(spark, sf)
+    fitted = regression.train_regressors(ops.consecutive_pairs(c, SUBJECTS), SUBJECTS, ["RandomForest"],
+                                         {"RandomForest": POOLED_PARAMS}, ("student_id", "year"))
+    return rounded(regression.predict_next(_current(c), fitted, SUBJECTS))
+
+
+POOLED_PARAMS = {"numTrees": 10}
+
+
+def _tree_checks(spark: SparkSession, c: DataFrame, p: DataFrame, names: list[str], key: tuple = ("student_id",)) -> DataFrame:
     """Per tree model and subject, forecasts and those that break a rule.
 
     Rules: a forecast is inside the range of the marks it was learned from, a model that is fitted again or
     loaded from its files forecasts alike, and the in-sample RMSE is at most that of the mean.
     """
     p, folder = stage(p, "pairs"), scratch_path(spark, "models")
-    fitted = regression.train_regressors(p, SUBJECTS, names)
+    fitted = regression.train_regressors(p, SUBJECTS, names, key=key)
     store.save_regressors(spark, fitted, folder)
-    again = regression.train_regressors(p, SUBJECTS, names)
+    again = regression.train_regressors(p, SUBJECTS, names, key=key)
     every = dict(fitted)
     every |= {(f"{m} again", s): fit for (m, s), fit in again.items()}
     every |= {(f"{m} stored", s): store.load_regressor(spark, folder, m, s) for m, s in fitted}
@@ -188,7 +211,9 @@ def _tree_checks(spark: SparkSession, c: DataFrame, p: DataFrame, names: list[st
     cells = F.array(*[F.struct(
         F.lit(m).alias("model"), F.lit(s).alias("subject"), ref(f"{m}|{s}").alias("mark"),
         ref(f"{m} again|{s}").alias("again"), ref(f"{m} stored|{s}").alias("stored")) for m, s in fitted])
-    marks = F.array(*[F.struct(F.lit(s).alias("subject"), ref(f"{s}_next").alias("y")) for s in SUBJECTS])
+    step = float(trees.STEP)  # trees see a mark in whole steps
+    seen = {s: F.floor(ref(f"{s}_next") * step + 0.5) / step for s in SUBJECTS}
+    marks = F.array(*[F.struct(F.lit(s).alias("subject"), y.alias("y")) for s, y in seen.items()])
     known = p.select(F.inline(marks)).groupBy("subject").agg(
         F.min("y").alias("low"), F.max("y").alias("high"), F.stddev_pop("y").alias("spread"))
     errors = metrics.regression_metrics(regression.actual_vs_predicted(p, fitted, SUBJECTS), ("model", "subject"))
@@ -209,12 +234,12 @@ def regressor_checks(spark: SparkSession, sf: str) -> DataFrame:
 def pooled_tree_checks(spark: SparkSession, sf: str) -> DataFrame:
     """The same of trees fitted on every consecutive pair of years."""
     c = clean(spark, sf)
-    return _tree_checks(spark, c, ops.consecutive_pairs(c, SUBJECTS), ["DecisionTree"])
+    return _tree_checks(spark, c, ops.consecutive_pairs(c, SUBJECTS), ["DecisionTree"], ("student_id", "year"))
 
 
 QUERIES = {f.__name__: f for f in [
     ols_coefficients, ols_predictions, predictions_long, ols_cv, fold_sizes, rmse_mae,
     actual_vs_predicted, entity_report, entity_report_best, regression_gates, tree_predictions, forest_predictions, prediction_intervals,
-    regression_evaluation, best_model, model_round_trip, pooled_pairs_model,
+    regression_evaluation, regressor_search, best_model, model_round_trip, pooled_pairs_model, incremental_refit, pooled_forest_predictions,
     regressor_checks, pooled_tree_checks,
 ]}

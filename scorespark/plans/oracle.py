@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from ..schema import FEATURE_RANGES, FEATURES, QUINTILES, WHOLE_FEATURES
+from ..operators.classify import forest_params
+from ..operators.regression import REGRESSORS, feature_names
+from .feature_queries import GRID, GRID_FOLDS
 from .marks_queries import GRADES, STUDENT
-from .model_queries import FOLDS
+from ..operators.trees import PRIME
+from .model_oracle import grown, importance, leaves, newton
+from .model_queries import FOLDS, POOLED_PARAMS, SEARCH
 from .tables import BASE, CAPITALS, DIGITS, NEXT, PUNCTUATION, SUBJECTS, TEXT_FEATURES
 
 S = SUBJECTS
@@ -109,6 +116,10 @@ def extreme(function: str) -> str:
 
 # --- least squares in SQL: moments, then one elimination step per feature ------------------
 
+CELLS_OF = """count(*) FILTER (label = 1 AND {0} = 1) AS tp, count(*) FILTER (label = 0 AND {0} = 1) AS fp,
+       count(*) FILTER (label = 1 AND {0} = 0) AS fn, count(*) FILTER (label = 0 AND {0} = 0) AS tn"""
+
+
 def solve(source: str, group: str = "g") -> str:
     """CTEs ending in ``coef``: one row per group with b_{subject}_{feature} and a_{subject}."""
     k = len(S)
@@ -169,6 +180,101 @@ errors AS ({" UNION ALL ".join(
 fold_rmse AS (SELECT subject, g, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM errors GROUP BY subject, g)"""
 
 
+# --- trees: grown again from the pairs, scored on them (odd r) and on the following year (even r) --------
+
+X = feature_names(S)
+Y = [f"{s}_next" for s in S]
+SUBJECT = f"[{', '.join(repr(s) for s in S)}][target + 1]"
+TREE, FOREST = REGRESSORS["DecisionTree"], REGRESSORS["RandomForest"]
+
+
+def tree_rows(source: str, key: str = "student_id", fold: str = "-2") -> str:
+    """CTE tree_rows: pairs to fit on, and the rows of the following year."""
+    return f"""tree_rows AS (
+  SELECT 2 * row_number() OVER (ORDER BY {key}) + 1 AS r, {key}, 1 AS train, {fold} AS fold, 0.0::DOUBLE AS year_encoded,
+         {cols("{s}")}, {cols("{s}_next")} FROM {source}
+  UNION ALL SELECT 2 * row_number() OVER (ORDER BY student_id), student_id{"" if key == "student_id" else ", 0"}, 0, -3, 1.0, {cols("{s}")}, {cols("NULL")}
+  FROM clean WHERE year = {NEXT})"""
+
+
+def scores(name: str, model: str) -> str:
+    """(model, subject, student_id, r, v): means over the trees."""
+    return (f"SELECT '{model}' AS model, {SUBJECT} AS subject, student_id, r, round(avg(value), 12) AS v "
+            f"FROM ({leaves(name)}) JOIN tree_rows USING (r) GROUP BY target, student_id, r")
+
+
+TRUTH = " UNION ALL ".join(f"SELECT r, '{s}' AS subject, {s}_next AS y FROM tree_rows WHERE train = 1" for s in S)
+TREES = f"""{PAIRS}, {tree_rows("pairs")}, {grown("one_tree", "tree_rows", X, Y, TREE, "student_id")}, {grown("forest", "tree_rows", X, Y, FOREST, "student_id")},
+predicted AS ({scores("one_tree", "DecisionTree")} UNION ALL {scores("forest", "RandomForest")}), truth AS ({TRUTH})"""
+FORECASTS = f"SELECT student_id, subject, round({clip('v')}, 6) AS predicted_mark, model AS model_used FROM predicted WHERE r % 2 = 0"
+LINEAR_ALL = f"""one AS (SELECT 1 AS g, * FROM pairs), {solve("one")},
+line AS ({" UNION ALL ".join(f"SELECT 'LinearRegression' AS model, '{s}' AS subject, r.student_id, r.r, {linear(s)} AS v FROM tree_rows r, coef c" for s in S)}),
+everything AS (SELECT * FROM predicted UNION ALL SELECT * FROM line),
+in_sample AS (SELECT model, subject, sqrt(avg((y - v) ** 2)) AS rmse, avg(abs(y - v)) AS mae
+              FROM everything JOIN truth USING (r, subject) GROUP BY model, subject),
+best AS (SELECT * FROM in_sample QUALIFY row_number() OVER (PARTITION BY subject ORDER BY rmse, model) = 1)"""
+
+
+def fold_errors(name: str, model: str) -> str:
+    """Out-of-fold RMSE per subject and fold."""
+    return (f"SELECT '{model}' AS model, subject, fold, sqrt(avg((y - v) ** 2)) AS rmse FROM ("
+            f"SELECT {SUBJECT} AS subject, fold, r, round(avg(value), 12) AS v FROM ({leaves(name, held_out=True)}) GROUP BY target, fold, r) "
+            "JOIN truth USING (r, subject) GROUP BY subject, fold")
+
+
+FOLD_ROWS = f"""fold_rows AS (SELECT t.* REPLACE (f.fold AS fold) FROM tree_rows t JOIN folded f USING (student_id) WHERE train = 1)"""
+EVALUATION = f"""{CV}, {tree_rows("pairs")}, {FOLD_ROWS}, truth AS ({TRUTH}),
+{grown("one_tree", "tree_rows", X, Y, TREE, "student_id")}, {grown("forest", "tree_rows", X, Y, FOREST, "student_id")},
+{grown("fold_tree", "fold_rows", X, Y, TREE, "student_id", FOLDS)}, {grown("fold_forest", "fold_rows", X, Y, FOREST, "student_id", FOLDS)},
+predicted AS ({scores("one_tree", "DecisionTree")} UNION ALL {scores("forest", "RandomForest")}),
+in_sample AS (SELECT model, subject, sqrt(avg((y - v) ** 2)) AS rmse, avg(abs(y - v)) AS mae
+              FROM predicted JOIN truth USING (r, subject) GROUP BY model, subject
+              UNION ALL SELECT 'LinearRegression', subject, rmse, mae FROM fold_rmse WHERE g = -1),
+held_out AS ({fold_errors("fold_tree", "DecisionTree")} UNION ALL {fold_errors("fold_forest", "RandomForest")}
+             UNION ALL SELECT 'LinearRegression', subject, g, rmse FROM fold_rmse WHERE g >= 0)"""
+
+
+def search(name: str, params, value: str, rows: str) -> str:
+    """One SELECT per combination of a grid over the same trees."""
+    out = []
+    for depth in params["maxDepth"]:
+        for size in params["numTrees"]:
+            cut = f"SELECT {value}, fold, r, round(avg(value), 12) AS v FROM ({leaves(name, depth, True)}) WHERE tree < {size} GROUP BY target, fold, r"
+            out.append(f"SELECT {depth} AS maxDepth, {size} AS numTrees, q.* FROM ({rows.format(cut=cut)}) q")
+    return " UNION ALL ".join(out)
+
+
+# --- classifiers: scaled features of the labelled documents ------------------------------------------------
+
+RISK = LABELLED + f""", scaler AS (
+  SELECT {cols("avg({s}) AS m_{s}, coalesce(nullif(stddev_pop({s}), 0), 1) AS s_{s}", TEXT_FEATURES)} FROM labelled WHERE split <> 'test'),
+risk_rows AS (
+  SELECT id AS r, id, CASE WHEN split = 'test' THEN 0 ELSE 1 END AS train, -2 AS fold,
+         {cols("({s} - m_{s}) / s_{s} AS {s}", TEXT_FEATURES)}, label::DOUBLE AS label FROM labelled, scaler),
+risk_train AS (SELECT * FROM risk_rows WHERE train = 1)"""
+RISK_FOREST = grown("forest", "risk_rows", TEXT_FEATURES, ["label"], forest_params(len(TEXT_FEATURES)))
+FOREST_SCORES = "SELECT r AS id, round(avg(value), 12) AS p FROM (" + leaves("forest") + ") JOIN risk_rows USING (r) WHERE train = 0 GROUP BY r"
+LOGISTIC = newton("newton", "risk_train", TEXT_FEATURES, "label")
+LOGISTIC_Z = " + ".join(["b0", *[f"b{i + 1} * {f}" for i, f in enumerate(TEXT_FEATURES)]])
+LOGISTIC_SCORES = f"SELECT id, 1 / (1 + exp(-({LOGISTIC_Z}))) AS p FROM risk_rows, newton WHERE train = 0"
+CLASSIFIED = f"""{RISK}, {RISK_FOREST}, {LOGISTIC},
+judged AS (SELECT 'RandomForest' AS model, * FROM ({FOREST_SCORES}) UNION ALL SELECT 'LogisticRegression', * FROM ({LOGISTIC_SCORES})),
+known AS (SELECT model, p, (p > 0.5)::INT AS got, label::INT AS label FROM judged JOIN risk_rows USING (id)),
+cells AS (SELECT model, {CELLS_OF.format("got")} FROM known GROUP BY model),
+ranked AS (SELECT model, label, rank() OVER w + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS rk
+           FROM known WINDOW w AS (PARTITION BY model ORDER BY p)),
+areas AS (SELECT model, CASE WHEN count(*) > sum(label) AND sum(label) > 0 THEN
+            (sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) END AS roc_auc
+          FROM ranked GROUP BY model),
+evaluated AS (
+  SELECT model, (tp + tn) / (tp + tn + fp + fn) AS accuracy,
+         (coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0 * tn / nullif(2 * tn + fp + fn, 0), 0))
+           / ((tp + fp + fn > 0)::INT + (tn + fp + fn > 0)::INT) AS f1_macro,
+         roc_auc, coalesce(tp / nullif(tp + fn, 0), 0) AS recall_fail FROM cells JOIN areas USING (model))"""
+EVALUATED = ("model, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, round(roc_auc, 6) AS roc_auc, "
+             "round(recall_fail, 6) AS recall_fail FROM evaluated")
+
+
 def correlation(a: str, b: str, source: str) -> str:
     return (
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, "
@@ -216,8 +322,7 @@ running AS (
          lead(p) OVER w AS next_p, lead(n) OVER w AS next_n, sum(p) OVER () AS all_p, sum(n) OVER () AS all_n
   FROM per_score WINDOW w AS (ORDER BY threshold DESC))"""
 AUC = "(SELECT sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)) FROM running)"
-CELLS = """count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
-       count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 0 AND prediction = 0) AS tn"""
+CELLS = CELLS_OF.format("prediction")
 CLASSIFIER = PER_SCORE + f""", cells AS (SELECT {CELLS} FROM predicted),
 bundle AS (
   SELECT (tp + tn) / (tp + tn + fp + fn) AS accuracy,
@@ -418,4 +523,67 @@ ORACLE: dict[str, str] = {
     "pooled_pairs_model": f"WITH {POOLED}, one AS (SELECT 1 AS g, * FROM pooled), {solve('one')} {COEFFICIENTS}",
     "regressor_checks": TREE_CHECKS,
     "pooled_tree_checks": f"SELECT * FROM ({TREE_CHECKS}) WHERE model = 'DecisionTree'",
+    "incremental_refit": f"WITH {POOLED}, one AS (SELECT 1 AS g, * FROM pooled), {solve('one')} {COEFFICIENTS}",
+    # trees and forests
+    "pooled_forest_predictions": f"WITH RECURSIVE {POOLED}, {tree_rows('pooled', 'student_id, year')}, "
+                                 + grown("forest", "tree_rows", X, Y, replace(FOREST, **POOLED_PARAMS), f"student_id % {PRIME} * 1000003 + year")
+                                 + f", predicted AS ({scores('forest', 'RandomForest')}) {FORECASTS}",
+    "tree_predictions": f"WITH RECURSIVE {TREES} {FORECASTS} AND model = 'DecisionTree'",
+    "forest_predictions": f"WITH RECURSIVE {TREES} {FORECASTS} AND model = 'RandomForest'",
+    "model_round_trip": f"WITH RECURSIVE {TREES}, {LINEAR_ALL} {FORECASTS.replace('FROM predicted', 'FROM everything')}",
+    "prediction_intervals": f"WITH RECURSIVE {PAIRS}, {tree_rows('pairs')}, {grown('forest', 'tree_rows', X, Y, FOREST, 'student_id')}, "
+                            f"band AS (SELECT {SUBJECT} AS subject, student_id, avg(value) AS v, "
+                            "1.96 * stddev_pop(value) AS half "
+                            f"FROM ({leaves('forest')}) JOIN tree_rows USING (r) WHERE train = 0 GROUP BY target, student_id) "
+                            f"SELECT student_id, subject, round({clip('v')}, 6) AS predicted_mark, round({clip('v - half')}, 6) AS low, "
+                            f"round({clip('v + half')}, 6) AS high FROM band",
+    "best_model": f"WITH RECURSIVE {TREES}, {LINEAR_ALL} SELECT subject, round(rmse, 6) AS RMSE, model, round(mae, 6) AS MAE FROM best",
+    "regression_evaluation": f"WITH RECURSIVE {EVALUATION} SELECT i.model, i.subject, round(any_value(i.rmse), 6) AS RMSE, "
+                             "round(any_value(mae), 6) AS MAE, round(avg(h.rmse), 6) AS mean, round(stddev_pop(h.rmse), 6) AS std "
+                             "FROM in_sample i JOIN held_out h ON h.model = i.model AND h.subject = i.subject GROUP BY i.model, i.subject",
+    "entity_report_best": f"WITH RECURSIVE {TREES}, {LINEAR_ALL}, {change('clean')}, chosen AS (SELECT student_id, subject, {clip('v')} AS v "
+                          "FROM everything JOIN best USING (model, subject) WHERE r % 2 = 0), "
+                          f"ahead AS (SELECT student_id, {cols(chr(32).join(['max(v) FILTER (subject =', chr(39) + '{s}' + chr(39) + ') AS {s}']))} "
+                          "FROM chosen GROUP BY student_id) SELECT g.student_id, g.name, "
+                          f"{cols('round({s}_1997, 6) AS {s}_1997')}, {cols('round({s}_1998, 6) AS {s}_1998')}, "
+                          f"{cols('round({s}_delta, 6) AS {s}_delta')}, round(overall_delta, 6) AS overall_delta, "
+                          f"{cols('round(a.{s}, 6) AS {s}_predicted')} FROM change g JOIN ahead a ON a.student_id = g.student_id",
+    "regressor_search": f"WITH RECURSIVE {FOLDED}, {tree_rows('pairs')}, {FOLD_ROWS}, truth AS ({TRUTH}), "
+                        + grown("forest", "fold_rows", X, Y, replace(FOREST, maxDepth=max(SEARCH['maxDepth']), numTrees=max(SEARCH['numTrees'])),
+                                "student_id", FOLDS) + ", folds AS ("
+                        + search("forest", SEARCH, f"{SUBJECT} AS subject", "SELECT subject, fold, sqrt(avg((y - v) ** 2)) AS rmse FROM "
+                                 "({cut}) JOIN truth USING (r, subject) GROUP BY subject, fold")
+                        + ") SELECT subject, maxDepth, numTrees, round(avg(rmse), 6) AS mean, round(stddev_pop(rmse), 6) AS std "
+                          "FROM folds GROUP BY ALL",
+    # fitted classifiers
+    "forest_scores": f"WITH RECURSIVE {RISK}, {RISK_FOREST} SELECT id, (p > 0.5)::INT AS predicted_label, round(p, 6) AS predicted_proba, "
+                     f"'RandomForest' AS model_used FROM ({FOREST_SCORES})",
+    "logistic_scores": f"WITH {RISK}, {LOGISTIC} SELECT id, (p > 0.5)::INT AS predicted_label, round(p, 6) AS predicted_proba, "
+                       f"'LogisticRegression' AS model_used FROM ({LOGISTIC_SCORES})",
+    "feature_importance": f"WITH RECURSIVE {RISK}, {RISK_FOREST} SELECT feature, round(importance, 6) AS importance "
+                          f"FROM ({importance('forest', TEXT_FEATURES)})",
+    "classifier_eval": f"WITH RECURSIVE {CLASSIFIED} SELECT {EVALUATED}",
+    "best_classifier": f"WITH RECURSIVE {CLASSIFIED} SELECT {EVALUATED} ORDER BY evaluated.recall_fail DESC, evaluated.roc_auc DESC, model LIMIT 1",
+    "grid_search": f"WITH RECURSIVE {RISK}, grid_rows AS (SELECT * REPLACE (ntile({GRID_FOLDS}) OVER (ORDER BY id) - 1 AS fold) FROM risk_train), "
+                   + grown("forest", "grid_rows", TEXT_FEATURES, ["label"], forest_params(len(TEXT_FEATURES), {k: max(v) for k, v in GRID.items()}),
+                           "id", GRID_FOLDS) + ", areas AS ("
+                   + search("forest", GRID, "target", "SELECT fold, (sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / "
+                            "(sum(label) * (count(*) - sum(label))) AS area FROM (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY v) + "
+                            "(count(*) OVER (PARTITION BY fold, v) - 1) / 2.0 AS rk FROM ({cut}) JOIN (SELECT r, label FROM grid_rows) USING (r)) "
+                            "GROUP BY fold HAVING count(*) > sum(label) AND sum(label) > 0")
+                   + ") SELECT maxDepth, numTrees, round(avg(area), 6) AS roc_auc FROM areas GROUP BY maxDepth, numTrees",
+    # files
+    "exact_csv_load": f"WITH {ENGAGEMENT} SELECT {cols('round({s}, 6) AS {s}', [f for f in FEATURES if f != 'age'])}, label FROM engagement",
+    "mixed_headers_load": f"WITH {ENGAGEMENT} SELECT " + ", ".join(
+        f"round({f if i < 10 else f'CASE WHEN id % 3 < 2 THEN {f} END'}, 6) AS {f}" for i, f in enumerate(FEATURES)) + ", label FROM engagement",
+    "completed_features": f"WITH {ENGAGEMENT} SELECT id, " + ", ".join(
+        "0.0::DOUBLE AS " + f if f in ("total_hours", "polar4_quintile") else
+        "CASE WHEN id % 5 > 0 THEN round(age, 6) ELSE 0 END AS age" if f == "age" else f"round({f}, 6) AS {f}" for f in FEATURES)
+        + ", label FROM engagement",
+    "loaded_or_empty": f"WITH {ENGAGEMENT} SELECT 'present' AS source, (count(*) + sum(label))::BIGINT AS n_rows, sum(label)::BIGINT AS fails "
+                       "FROM engagement UNION ALL SELECT 'absent', 0, NULL UNION ALL SELECT 'unusable', 0, NULL",
+    "compacted_log_latest": f"WITH {MARKS} SELECT student_id, subject, CASE WHEN mark IS NOT NULL THEN "
+                            f"round({clip('mark')}, 6) END AS predicted_mark, o_orderstatus AS model_used, "
+                            "CAST(o_orderdate AS DATE) AS created_at FROM marks "
+                            f"WHERE student_id = {STUDENT} ORDER BY o_orderdate DESC",
 }

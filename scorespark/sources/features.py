@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.headers import drop_padding, keep_known, rename_exact, rename_loose
-from ..functions.ordering import row_numbers
+from ..functions.ordering import range_slices, row_numbers
 from ..functions.scalar import parse_number, ref
 from ..operators.quality import unit_overlap
 from ..operators.tables import drop_missing_label, label_load_report, union_sources
 from ..schema import FEATURE_SCHEMA, FEATURES, LABEL, SOURCE_HEADERS, SPLIT
-from ..session import path_exists, stage
-from .marks import read_text_csv
+from ..session import path_exists
+from .marks import read_text_csv, union_of_files
 
 COLUMNS = [*FEATURES, LABEL]
 
@@ -24,18 +24,19 @@ def load_feature_csv(spark: SparkSession, path: str, split: str | None = None,
 
     ``exact`` matches trimmed headers as they are; the default ignores case,
     punctuation and parenthesised notes. ``attendance_fraction`` says that the file
-    gives attendance as 0..1, which becomes percent.
+    gives attendance as 0..1, which becomes percent. Files of a folder may have
+    different headers: each is matched by its own.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    raw = drop_padding(read_text_csv(spark, path))
-    if exact:
-        named = rename_exact(raw, {header: name for name, header in SOURCE_HEADERS.items()})
-    else:
-        named = rename_loose(raw)
-    if LABEL not in named.columns:
-        raise ValueError(f"{path} has no label column")
-    known = keep_known(named, COLUMNS)
+    parts = []
+    for raw in read_text_csv(spark, path):
+        raw = drop_padding(raw)
+        named = (rename_exact(raw, {header: name for name, header in SOURCE_HEADERS.items()}) if exact else rename_loose(raw))
+        if LABEL not in named.columns:
+            raise ValueError(f"{path} has no label column")
+        parts.append(keep_known(named, COLUMNS))
+    known = keep_known(union_of_files(parts), COLUMNS)
     numbers = known.select(*[parse_number(ref(c)).alias(c) for c in known.columns])
     numbers = numbers.withColumn(LABEL, F.col(LABEL).cast("int"))
     if attendance_fraction:
@@ -92,8 +93,9 @@ def build_feature_table(spark: SparkSession, sources: Sequence[tuple[str, str]],
     ]
     if not frames:
         raise FileNotFoundError(f"none of {[p for p, _ in sources]} exists")
-    combined = stage(combine_sources(frames), "features")
-    labelled = drop_missing_label(combined)
-    numbered = row_numbers(labelled, [SPLIT, *[c for c in labelled.columns if c != SPLIT]])
+    combined = combine_sources(frames)
+    order = [SPLIT, *[c for c in combined.columns if c != SPLIT]]
+    combined = range_slices(combined, [ref(c) for c in order])  # one write serves the report and the numbers
+    numbered = row_numbers(drop_missing_label(combined), order, staged=True)
     numbered.write.mode("overwrite").partitionBy(SPLIT).parquet(target)
     return label_load_report(combined)

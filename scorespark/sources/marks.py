@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,15 +13,30 @@ from ..operators.cleaning import clean_marks, clean_missing, clip_outliers
 from ..operators.reshape import melt_scores
 from ..operators.tables import check_keys, insert_or_ignore
 from ..schema import CATEGORY, ENTITY, NAME, PERIOD, SUBJECTS, require_columns
-from ..session import path_exists
+from ..session import data_files, first_line, path_exists, read_text, replace_text
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header row, every value as text; a byte-order mark is skipped.
+def read_text_csv(spark: SparkSession, path: str) -> list[DataFrame]:
+    """CSVs with a header row, every value as text, one frame for each header that a folder's files have.
 
-    In a folder all files must have the first one's header: another order fails when its rows are read.
+    The headers are read first, a line a file; files of the same header are read together. A byte-order mark is skipped.
     """
-    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    by_header: dict[str, list[str]] = {}
+    for file, length, _ in data_files(spark, path):
+        if length:
+            by_header.setdefault(first_line(spark, file), []).append(file)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    if len(by_header) < 2:
+        return [reader.csv(path)]
+    return [reader.csv(files) for files in by_header.values()]
+
+
+def union_of_files(frames: Sequence[DataFrame]) -> DataFrame:
+    """One frame of files whose columns are named alike by now; a column that a file lacks is NULL there."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -31,20 +47,35 @@ def load_raw_data(spark: SparkSession, path: str, subjects: Sequence[str] = SUBJ
     """Wide scores from CSV: whole-number year, double subjects, anything else NULL."""
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    raw = drop_padding(read_text_csv(spark, path))
-    raw = raw.withColumnsRenamed({c: c.strip() for c in raw.columns})
-    require_columns(raw, [ENTITY, PERIOD, *subjects], path)
-    return raw.withColumns({
+    parts = []
+    for raw in read_text_csv(spark, path):
+        raw = drop_padding(raw)
+        raw = raw.withColumnsRenamed({c: c.strip() for c in raw.columns})
+        require_columns(raw, [ENTITY, PERIOD, *subjects], path)
+        parts.append(raw)
+    return union_of_files(parts).withColumns({
         PERIOD: parse_number(F.col(PERIOD)).cast("int"), **{s: parse_number(ref(s)) for s in subjects}
     })
 
 
+MANIFEST = "_sources.json"
+
+
 def run_pipeline(spark: SparkSession, raw_path: str, clean_path: str,
                  subjects: Sequence[str] = SUBJECTS) -> DataFrame:
-    """Raw CSV -> filled and clipped scores, written as CSV and returned."""
-    df = clip_outliers(clean_missing(load_raw_data(spark, raw_path, subjects), subjects), subjects)
-    write_csv(df, clean_path)
-    return df
+    """Raw CSV -> filled and clipped scores, written as CSV; the stored scores are returned.
+
+    A manifest beside the result names the files it was made of, by path, length
+    and time. While they and the subjects are the same, nothing is read or written
+    again. A fill is the mean over all rows, so any change makes the whole table new.
+    """
+    if not path_exists(spark, raw_path):
+        raise FileNotFoundError(raw_path)
+    manifest = json.dumps({"subjects": list(subjects), "files": data_files(spark, raw_path)})
+    if read_text(spark, f"{clean_path}/{MANIFEST}") != manifest:
+        write_csv(clip_outliers(clean_missing(load_raw_data(spark, raw_path, subjects), subjects), subjects), clean_path)
+        replace_text(spark, f"{clean_path}/{MANIFEST}", manifest)  # last: without it the result counts as absent
+    return load_raw_data(spark, clean_path, subjects)
 
 
 def load_clean_marks(spark: SparkSession, clean_path: str, raw_path: str | None = None,

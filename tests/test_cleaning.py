@@ -99,11 +99,15 @@ def test_wide_and_long(spark):
     long = spark.createDataFrame([
         ("a", 2024, "Math", 10.0), ("a", 2024, "Math", 20.0), ("a", 2024, "CS", 5.0), ("b", 2024, "CS", N),
     ], "student_id string, year int, subject string, mark double")
-    wide = reshape.ensure_wide(long, ["Math", "CS"])
+    keys = ["student_id", "year"]
+    wide = reshape.ensure_wide(long, keys, ["Math", "CS"])
     assert [tuple(r) for r in wide.collect()] == [("a", 2024, 15.0, 5.0)]
-    assert reshape.ensure_wide(wide, ["Math", "CS"]) is wide
-    with pytest.raises(ValueError):
-        reshape.ensure_wide(long.drop("mark"), ["Math", "CS"])
+    assert reshape.ensure_wide(wide, keys, ["Math", "CS"]) is wide
+    numbered = long.withColumn("id", F.monotonically_increasing_id())
+    assert reshape.ensure_wide(numbered, keys, ["Math", "CS"]).collect() == wide.collect()  # an id splits no group
+    for bad in (long.drop("mark"), long.drop("year"), wide.drop("CS"), wide.drop("year")):
+        with pytest.raises(ValueError):
+            reshape.ensure_wide(bad, keys, ["Math", "CS"])
     back = reshape.melt_scores(wide, ("student_id", "year"), ["Math", "CS"]).collect()
     assert sorted(tuple(r) for r in back) == [("a", 2024, "CS", 5.0), ("a", 2024, "Math", 15.0)]
     assert reshape.student_rows(wide, "a", 2024).count() == 1

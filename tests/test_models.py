@@ -116,9 +116,11 @@ def test_forest_is_the_same_for_any_input_layout(pairs):
 
 
 def test_intervals_hold_the_mean(pairs):
-    ready = regression.assemble(pairs, regression.feature_names(SUBJ))
-    forest = regression.random_forest(numTrees=8, maxDepth=4, featuresCol="features", labelCol="Math_next").fit(ready)
-    for r in regression.prediction_intervals(pairs, forest, SUBJ).collect():
+    fitted = regression.train_regressors(pairs, SUBJ, ["RandomForest"], {"RandomForest": {"numTrees": 8, "maxDepth": 4}})
+    forests = {s: fitted["RandomForest", s] for s in SUBJ}
+    rows = regression.prediction_intervals(pairs, forests).collect()
+    assert len(rows) == 43 * 2
+    for r in rows:
         assert 0 <= r.low <= r.predicted_mark <= r.high <= 100
 
 
@@ -150,7 +152,7 @@ def test_logistic_matches_newton(rows, risk):
         p = 1 / (1 + np.exp(-a @ w))
         w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (p - y) + penalty @ w)
     model = risk.models["LogisticRegression"]
-    assert list(model.coefficients) + [model.intercept] == pytest.approx(list(w), abs=2e-4)
+    assert list(model.coefficients) + [model.intercept] == pytest.approx(list(w), abs=1e-9)
 
 
 def test_scores_and_evaluation(spark, rows, risk):
@@ -233,3 +235,18 @@ def test_metrics_on_small_tables(spark):
 def test_grid_search(rows, risk):
     table = classify.grid_search(rows, risk, {"maxDepth": [2, 3], "numTrees": [3]}, folds=2)
     assert table.columns == ["maxDepth", "numTrees", "roc_auc"] and table.count() == 2
+    best = max(table.collect(), key=lambda r: (r.roc_auc, -r.maxDepth))
+    assert classify.best_parameters(table) == {"maxDepth": best.maxDepth, "numTrees": 3}
+    with pytest.raises(ValueError, match="maxBins"):
+        classify.grid_search(rows, risk, {"maxBins": [8]})
+
+
+def test_logistic_of_one_class_and_dependent_features(spark, rows):
+    same = classify.train_classifiers(rows.withColumn("label", F.lit(1)), FEATS, models=["LogisticRegression"])
+    assert same.models["LogisticRegression"].intercept == math.inf
+    assert {r.predicted_proba for r in classify.predict_pass_fail(rows, same, "LogisticRegression").collect()} == {1.0}
+    copied = classify.train_classifiers(rows.withColumn("y", F.col("x")), FEATS, models=["LogisticRegression"])
+    w = copied.models["LogisticRegression"].coefficients
+    assert w[0] == pytest.approx(w[1]) and all(map(math.isfinite, w))
+    with pytest.raises(ValueError, match="no rows"):
+        classify.fit_logistic(rows.where("false"), FEATS)
