@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def refuse_columns(df: DataFrame, *names: str) -> None:
+    """A ``ValueError`` for columns of ``df`` that an operator would add itself."""
+    taken = [c for c in df.columns if c.lower() in names]
+    if taken:
+        raise ValueError(f"rename these columns first, the result has its own: {', '.join(taken)}")
+
+
 class Staged:
     """Parquet copies of intermediate frames; ``drop`` deletes those that are no longer read."""
 
@@ -50,6 +59,16 @@ class Staged:
 _HELD: list = [None, None]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool, and the C library's where it is glibc."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def claim(owner: str, release=None) -> None:
     """Say that this Python worker now works for ``owner``: what the last one left in the process is released.
 
@@ -59,7 +78,8 @@ def claim(owner: str, release=None) -> None:
     if _HELD[0] != owner:
         if _HELD[1]:
             _HELD[1]()
-            gc.collect()
+        if _HELD[0]:
+            give_back()
         _HELD[:] = owner, release
 
 
@@ -104,4 +124,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-__all__ = ["SPACE", "table", "shuffle_partitions", "drop_path", "Staged", "claim", "mix64", "components", "stage", "scratch_path"]
+__all__ = ["SPACE", "table", "shuffle_partitions", "drop_path", "refuse_columns", "Staged", "claim", "mix64", "components", "stage", "scratch_path"]

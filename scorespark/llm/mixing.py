@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import Staged
+from scorespark.llm.common import Staged, refuse_columns
 
 _SECTIONS, _PASSES = 16, 7  # each pass halves the exponent's interval four times
 
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, max_repeats: float | None = None, entropy: float | None
     name = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("null"))
     number = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     block = F.pmod(_hash(F.lit(seed), F.lit("block"), number), F.lit(blocks))
+    refuse_columns(docs, "_tokens", "_copies", "_order", "_source", "_key")
     marked = (docs.withColumn("_tokens", tokens).withColumn("_source", name)
               .withColumn("_order", _hash(F.lit(seed), F.lit("order"), name, block))
               .withColumn("_key", _hash(F.lit(seed), F.lit("key"), number)))

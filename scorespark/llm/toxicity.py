@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import claim, stage
+from scorespark.llm.common import claim, refuse_columns, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 OTHER, INSULT, TARGET, NEGATION, REPORT, INTENT, THREAT = range(7)
@@ -317,8 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.col(id_col).alias("i"), F.col(label_col).cast("long").alias("y"))
     rows = truth.count()
     if rows > max_rows:
-        truth = truth.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(max_rows / rows * (1 << 20)))
-    truth = truth.dropDuplicates(["i"])
+        truth = truth.where(F.pmod(F.xxhash64("i"), F.lit(1 << 62)) < (max_rows << 62) // rows)
+    truth = truth.groupBy("i").agg(F.max("y").alias("y"))  # an id that is labelled both ways counts as toxic
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     sample = stage(texts.join(F.broadcast(truth), "i").select("t", "y"), "toxicity-sample")  # max_rows bounds both
 
@@ -356,7 +356,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns and ``_score``, 0 to 1, higher for likelier toxic texts.
 
     Map-only; whole texts. Null and empty texts score the curve's intercept,
-    repeated rows score alike, an empty table stays empty.
+    repeated rows score alike, an empty table stays empty. An input column
+    ``_score`` is a ``ValueError``.
     """
+    refuse_columns(docs, "_score")
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_score double"])
     return docs.mapInArrow(partial(_score_rows, model=model, text_at=docs.columns.index(text_col)), schema)
