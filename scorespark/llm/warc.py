@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorespark.llm.common import Staged, shuffle_partitions
-from scorespark.llm.files import create, open_input
+from scorespark.llm.files import create, open_input, shared_folder
 
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
@@ -100,6 +100,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
     cannot hold are percent-encoded in URLs. No record gives no file.
     """
     source = records.select("page_id", "url", "payload", "digest", "refers_to")
+    folder = shared_folder(records.sparkSession, folder)
     files = source.mapInArrow(partial(_write, folder=folder, date=date, file_bytes=file_bytes), MANIFEST)
     return Staged(records.sparkSession, "warc")(files, "manifest")
 
