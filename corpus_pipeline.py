@@ -10,7 +10,10 @@ from scorespark.llm.common import stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the clause grammar does not call toxic, with their columns; learned from the labels table."""
+    """Documents that the clause grammar does not call toxic, with their columns; learned from the labels table.
+
+    Whole texts are scored. Null and empty texts stay, as do null ids; repeated rows go or stay alike.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("_score") < model.threshold).drop("_score")
 
@@ -43,7 +46,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A document that is left without text stays, empty; n_chars is counted anew.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = repeats.remove_repeats(docs, carry=others, whole_chars=True)
+    # smaller blocks and buckets than by itself: the workers' memory holds what earlier stages left too
+    out = repeats.remove_repeats(docs, carry=others, whole_chars=True, block_bytes=1 << 20, bucket_bytes=16 << 20)
     clean = out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
     clean = clean.withColumn("n_chars", F.char_length("text").cast("long"))
     return clean.select(*docs.columns)
@@ -53,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once or more: sources are mixed at the flattest temperature that repeats none over 1.25 times.
 
     The budget lets each source be read whole, so no document is left out; rows of a second pass are repeated.
+    A null source is one of its own; null, empty and repeated texts are mixed like others, a very long one counts by its words.
     """
     out = mixing.mix(docs, max_repeats=1.25)
     copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
@@ -60,7 +65,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts of every row of the mixture, and digests of its ids and of the bytes they decode to."""
+    """Token counts of every row of the mixture, and digests of its ids and of the bytes they decode to.
+
+    Null and empty texts have no token and the digests of nothing; texts of any length are read whole; a repeated row
+    gives a repeated row.
+    """
     return bpe.encode_documents(docs, carry=("doc_id", "source", "lang"), digests=True)
 
 
@@ -81,4 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-ORACLE_SQL = None  # SQL cannot express the stages' models and permutations; tests hold them against brute force
+# SQL cannot express the stages' models and permutations: each stage's operator is tested by itself against brute force,
+# a library or SQL, and the whole against planted cases
+ORACLE_SQL = None
