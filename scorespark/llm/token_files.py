@@ -24,12 +24,13 @@ from functools import partial
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorespark.llm.common import Staged, claim, scratch_path, shuffle_partitions
-from scorespark.llm.files import create, open_input
+from scorespark.llm.files import create, open_input, shared_folder
 from scorespark.llm.pieces import HELD, PieceEncoder, chunks, text_chunks
 
 MAGIC = b"PFOR1\0\0\0"
@@ -37,7 +38,7 @@ BLOCK = 1024
 _HEAD = struct.Struct("<IHBBH")
 _FOOT = struct.Struct("<QQQQ")
 _PERCENTILES = (90, 95, 99, 100)
-_CHUNK = 2 << 20
+_CHUNK = 4 << 20
 _GROUP = 256  # blocks that are packed or read at a time
 
 
@@ -170,15 +171,21 @@ def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
 
 # ---- tokenizing -----------------------------------------------------------------------------------------------------
 
+_MARKS = ".,;:!?"
+
+
 class _Tokenizer:
     """A tokenizers-library file; pieces that came lately are not encoded again."""
 
     def __init__(self, path: str, pattern: str, held: int = HELD):
         from tokenizers import Tokenizer
 
-        self.lib, self.pattern, self.cache = Tokenizer.from_file(path), pattern, PieceEncoder(pattern, self._learn, held)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lib, self.pattern, self.cache = Tokenizer.from_file(path), pattern, PieceEncoder(
+            pattern, self._learn, held, self._learn_words)
+        special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
         self.line = self._ids("\n")
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<i4")
@@ -194,17 +201,51 @@ class _Tokenizer:
                 yield piece, self._ids(piece).tobytes()
         parts = list(chunks(plain, len, 1 << 14))
         for part, e in zip(parts, self.lib.encode_batch_fast(["\n".join(x) for x in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, "<i4")
-            at = np.flatnonzero(ids == self.line[0])  # only a line end has this id
-            data, lo = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-            hi = [*(4 * at).tolist(), len(data)]
-            if len(lo) != len(part):
-                raise ValueError("the tokenizer does not keep lines apart")
-            for piece, a, b in zip(part, lo, hi):
-                yield piece, data[a:b]
+            yield from zip(part, self._lines(np.array(e.ids, "<i4"), len(part)))
+
+    def _learn_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words without white space, each behind a space, a line each in one text.
+
+        Latin letters before closing marks are a piece by themselves and so are the marks: only the letters are encoded.
+        """
+        ended: list[tuple[str, str]] = []
+        plain: dict[str, None] = {}
+        for w in words:
+            letters = w.rstrip(_MARKS)
+            if 0 < len(w) - len(letters) <= 4 and letters.isalpha() and (letters.isascii() or max(letters) < "\u0250"):
+                ended.append((w, letters))
+            else:
+                plain[w] = None
+        known = {x: self.cache.words.held(x) for _, x in ended}
+        plain.update((x, None) for x, ids in known.items() if ids is None)
+        parts = list(chunks(list(plain), len, 1 << 14))
+        for part, e in zip(parts, self.lib.encode_batch_fast(["\n".join([" " + w for w in x]) for x in parts], add_special_tokens=False)):
+            for w, ids in zip(part, self._lines(np.array(e.ids, "<i4"), len(part))):
+                if w in known:
+                    known[w] = ids
+                yield w, ids
+        for w, letters in ended:
+            marks = w[len(letters):]
+            if marks not in self.marks:
+                self.marks[marks] = self._ids(marks).tobytes()
+            yield w, known[letters] + self.marks[marks]
+
+    def _lines(self, ids: np.ndarray, count: int) -> list[bytes]:
+        at = np.flatnonzero(ids == self.line[0])  # only a line end has this id
+        data, lo = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        if len(lo) != count:
+            raise ValueError("the tokenizer does not keep lines apart")
+        return [data[a:b] for a, b in zip(lo, [*(4 * at).tolist(), len(data)])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.cache.encode(texts)
+        """The library's ids; texts with the string of an added token go through it whole."""
+        whole = [i for i, t in enumerate(texts) if self.special.search(t)]
+        if not whole:
+            return self.cache.encode(texts)
+        out = self.cache.encode(["" if i in set(whole) else t for i, t in enumerate(texts)])
+        for i in whole:
+            out[i] = self._ids(texts[i])
+        return out
 
 
 @functools.cache
@@ -270,6 +311,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, pat
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
+    folder = shared_folder(spark, folder)
     order = [F.col("id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = source.repartitionByRange(slices or shuffle_partitions(spark), *order).sortWithinPartitions(*order)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from scorespark.llm import (bpe, embeddings, minhash, mixing, pieces, quality, repeats, sharding, token_files, toxicity,
+from scorespark.llm import (bpe, embeddings, files, minhash, mixing, pieces, quality, repeats, sharding, token_files, toxicity,
                             warc)
 from scorespark.llm.common import components, scratch_path
 
@@ -196,7 +196,6 @@ def test_token_files_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     more = texts + [(1000 + i, t) for i, t in enumerate(hard_texts()[:300])]
     rows = sorted(((i, t or "") for i, t in more), key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
     want, at = [], 0
@@ -476,3 +475,47 @@ def test_calibration():
     p = math.erf(width / math.sqrt(2 - 2 * 0.93) / math.sqrt(2))
     missed = (1 - p) ** gates + sum(math.comb(24, k) * p**k * (1 - p) ** (24 - k) for k in range(count))
     assert missed <= 1e-5 and count > 0
+
+
+def test_clashing_names_are_refused(spark):
+    rows = docs(spark, [(1, "a b"), (2, None)])
+    for name in ("_tokens", "_copies", "_ORDER"):
+        with pytest.raises(ValueError, match=name):
+            mixing.mix(rows.withColumn(name, F.lit(1)), max_repeats=2.0)
+    with pytest.raises(ValueError, match="_score"):
+        toxicity.score(rows.withColumn("_score", F.lit(1)), toxicity.Model({}, 0.0, 1.0, 0.3))
+
+
+def test_files_go_where_both_sides_can_reach(spark):
+    assert files.shared_folder(spark, "/tmp/x/y") == "file:///tmp/x/y"
+    assert files.shared_folder(spark, "file:/tmp/x") == "file:///tmp/x"
+    with pytest.raises(ValueError, match="webhdfs"):
+        files.shared_folder(spark, "webhdfs://host/x")
+
+
+def test_words_cut_together_are_cut_as_by_themselves():
+    rng = random.Random(12)
+    marks = ["don't", "a.b", "x1y2", "...", "'s", "é中", "12", "\u00a0z", "n\nl", "t\tb", "\x1cq", "\x85", "😀!", "'ll-", "a\u3000b"]
+    words_ = [*marks, *["".join(rng.choice(marks) for _ in range(3)) for _ in range(300)]]
+    cut = pieces.compiled(public_tokenizers.PATTERN).findall
+    assert pieces.split_words(words_, public_tokenizers.PATTERN) == [cut(" " + w) for w in words_]
+    assert pieces.split_words([], public_tokenizers.PATTERN) == []
+
+
+def test_a_shingle_of_many_classes(spark):
+    rng = random.Random(13)
+    line = "this very line stands in a third of all the texts here"
+    many = [(i, (line + " " if i % 3 == 0 else "") + words(rng, 60, 60)) for i in range(240)]
+    near = [(1000 + i, many[i][1] + f" x{i % 2}") for i in range(40)]
+    sets = {i: set(minhash.shingles(t, 4).tolist()) for i, t in many + near}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = brute_components(sets, pairs)
+    for r in minhash.near_duplicates(docs(spark, many + near), k=4, rare=3).collect():
+        assert r.component_id == want[r.doc_id]
+
+
+def test_labels_both_ways_count_as_toxic(spark):
+    rows = [(i, "you are a vile blorg" if i % 3 == 0 else "a fine day") for i in range(90)]
+    both = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(i, 0) for i in range(0, 90, 3)], "doc_id long, toxic int")
+    once = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    assert toxicity.fit(docs(spark, rows), both) == toxicity.fit(docs(spark, rows), once)
