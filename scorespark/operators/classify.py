@@ -237,9 +237,9 @@ def grid_search(train: DataFrame, risk: RiskModels, grid: Mapping[str, Sequence[
     deepest = replace(base, maxDepth=depths[-1], numTrees=sizes[-1])
     fits = [Fit("RandomForest", "label", "_label", deepest, f) for f in range(folds)]
     models = trees.grow(rows, ["_key"], risk.features, fits, fold)
-    asked = trees.numbered(rows.withColumn("_fold", fold))
-    sums = trees.score(asked, models, "_fold", range(folds), depths, sizes)
-    scored = sums.join(asked.select("_row", F.col("_label").alias("label")), "_row").select(
+    keys, asked = trees.distinct_rows(trees.numbered(rows.withColumn("_fold", fold)), risk.features, "_fold")
+    sums = trees.score(keys, models, "_fold", range(folds), depths, sizes).withColumnRenamed("_row", "_key")
+    scored = sums.join(asked.select("_key", F.col("_label").alias("label")), "_key").select(
         F.col("depth").alias("maxDepth"), F.col("size").alias("numTrees"), F.col("place").alias("fold"), "label",
         F.round(F.col("total") / F.col("n"), DIGITS).alias("score"))
     areas = roc_auc(scored, ("maxDepth", "numTrees", "fold"))

@@ -213,11 +213,11 @@ def predict_columns(df: DataFrame, fitted: Mapping[tuple[str, str], object],
 
 def add_scores(df: DataFrame, named: Sequence[tuple[str, TreeModel]]) -> DataFrame:
     """``df`` with a column for the mean over the trees of each model."""
-    rows = trees.numbered(df)
-    sums = trees.score(rows, [m for _, m in named])
+    keys, rows = trees.distinct_rows(trees.numbered(df), named[0][1].features)
+    sums = trees.score(keys, [m for _, m in named]).withColumnRenamed("_row", "_key")
     mean = F.round(F.col("total") / F.col("n"), DIGITS)
-    wide = sums.groupBy("_row").agg(*[F.max(F.when(F.col("place") == i, mean)).alias(name) for i, (name, _) in enumerate(named)])
-    return rows.join(wide, "_row").drop("_row")
+    wide = sums.groupBy("_key").agg(*[F.max(F.when(F.col("place") == i, mean)).alias(name) for i, (name, _) in enumerate(named)])
+    return rows.join(wide, "_key").drop("_row", "_key")
 
 
 def predict_next(rows: DataFrame, fitted: Mapping[tuple[str, str], object],
@@ -298,11 +298,11 @@ def out_of_fold(pairs: DataFrame, fold: Column, folds: int, params: TreeParams,
     """
     fits = [Fit("fold", s, f"{s}_next", params, f) for s in subjects for f in range(folds)]
     models = trees.grow(pairs, key, feature_names(subjects), fits, fold)
-    rows = trees.numbered(pairs.withColumn("_fold", fold))
-    sums = trees.score(rows, models, "_fold", [f.without for f in fits], depths, sizes)
+    keys, rows = trees.distinct_rows(trees.numbered(pairs.withColumn("_fold", fold)), models[0].features, "_fold")
+    sums = trees.score(keys, models, "_fold", [f.without for f in fits], depths, sizes).withColumnRenamed("_row", "_key")
     of_place = F.array(*[F.struct(F.lit(f.target).alias("subject"), F.lit(f.without).alias("fold")) for f in fits])
-    known = rows.select("_row", F.create_map(*[x for s in subjects for x in (F.lit(s), ref(f"{s}_next"))]).alias("known"))
-    return (sums.withColumn("p", F.element_at(of_place, F.col("place") + 1)).join(known, "_row")
+    known = rows.select("_key", F.create_map(*[x for s in subjects for x in (F.lit(s), ref(f"{s}_next"))]).alias("known"))
+    return (sums.withColumn("p", F.element_at(of_place, F.col("place") + 1)).join(known, "_key")
             .select("p.subject", "p.fold", "depth", "size", F.element_at("known", F.col("p.subject")).alias("y_true"),
                     F.round(F.col("total") / F.col("n"), DIGITS).alias("y_pred")))
 
@@ -401,10 +401,11 @@ def prediction_intervals(rows: DataFrame, forests: Mapping[str, TreeModel], keys
                          z: float = 1.96) -> DataFrame:
     """(keys, subject, predicted_mark, low, high): a forest's mean with a 95% band from the spread of its trees."""
     subjects = list(forests)
-    rows = trees.numbered(rows.withColumn("year_encoded", F.lit(1)))
-    scored = trees.score_spread(rows, [forests[s] for s in subjects])
+    models = [forests[s] for s in subjects]
+    one_each, rows = trees.distinct_rows(trees.numbered(rows.withColumn("year_encoded", F.lit(1))), models[0].features)
+    scored = trees.score_spread(one_each, models).withColumnRenamed("_row", "_key")
     mean, half = F.round("mean", DIGITS), F.lit(z) * F.col("deviation")
     subject = F.element_at(F.array(*[F.lit(s) for s in subjects]), F.col("place") + 1)
-    return scored.join(rows.select("_row", *[ref(k) for k in keys]), "_row").select(
+    return scored.join(rows.select("_key", *[ref(k) for k in keys]), "_key").select(
         *[ref(k) for k in keys], subject.alias("subject"), clamp(mean).alias("predicted_mark"),
         clamp(mean - half).alias("low"), clamp(mean + half).alias("high"))

@@ -5,6 +5,9 @@
 * Split candidates are exact order statistics of a feature. Targets are counted
   in whole steps of 2^-20, so sums do not depend on their order and neither do
   ties: the smallest feature, then the smallest threshold wins.
+* Rows between the same candidates of every feature are one cell: a split never
+  parts them, so a tree is grown on their summed weights and targets. Draws do
+  not depend on the target, so the trees of all targets share their cells.
 * A node with more rows than a task holds is split by counts per candidate,
   added up over all rows; smaller ones are sent to one task each, which grows
   the rest of the subtree. Both give the same tree.
@@ -38,7 +41,11 @@ LARGEST = float(1 << 13)
 DEEPEST = 60  # node numbers are 64 bits wide
 LOCAL_ROWS = 1 << 18
 COMPILED = 128
-_ROWS_AT_A_TIME = 1 << 19
+_ROWS_AT_A_TIME = 1 << 17
+_CHUNK_ROWS = 1 << 17  # rows whose cells a task adds up before it sends them
+_SLICE_ROWS = 1 << 14  # rows that are worth a task of their own when trees score them
+_NODES_HELD = 1 << 20  # by a task that scores
+_FEW_ROWS = 1 << 10  # so few that a sample may be without any
 _CELLS_HELD = 1 << 13  # nodes times features that a task adds up before it sends them
 NODES = ("fit int, tree int, node long, depth int, feature int, threshold double, value double, weight long, gain double")
 _CELLS = "unit int, feature int, bin int, w long, s long, n long, low long, high long"
@@ -193,21 +200,18 @@ def grow(rows: DataFrame, key: Sequence[str], features: Sequence[str], fits: Seq
     wide = ready.select(*[F.col("x")[i].alias(f"x{i}") for i in range(len(features))])
     cuts = {b: candidates(wide, wide.columns, b, local_rows) for b in {f.params.maxBins for f in fits}}
     trees = [(i, t) for i, f in enumerate(fits) for t in range(f.params.numTrees)]
-    job = _Job(fits, columns, cuts, trees)
+    job = _Job(fits, columns, cuts, trees, n <= _FEW_ROWS)
     spark = rows.sparkSession
     parallel = spark.sparkContext.defaultParallelism
-    if n <= local_rows:
-        groups = max(1, min(len(trees), 4 * parallel))
-        units = {g: [(u, 1) for u in range(g, len(trees), groups)] for g in range(groups)}
-        dealt = ready.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-        top = None
+    if n <= local_rows or _count_distinct(ready, job) <= local_rows:
+        top, parts = None, ready.mapInArrow(partial(_cells_of_draws, job=job), _PARTS)
+        units = {d: [(u, 1) for u in alike] for d, alike in enumerate(job.draws.values())}
     else:
-        done, units, splits = _split_large(ready, job, n, local_rows)
-        dealt = ready.mapInArrow(partial(_route_to_units, job=job, splits=splits, units=units),
-                                 "number long, x array<double>, y array<long>, fold int, group int")
-        groups = max(1, len(units))
+        done, units, splits = _split_large(ready, job, local_rows)
+        parts = ready.mapInArrow(partial(_route_to_units, job=job, splits=splits, units=units), _PARTS)
         top = spark.createDataFrame(done, NODES)  # the nodes with more rows than a task holds
-    placed = dealt.repartition(min(groups, max(8 * parallel, 1)), "group").sortWithinPartitions("group")
+    groups = max(1, len(units))
+    placed = parts.repartition(min(groups, max(8 * parallel, 1)), "group").sortWithinPartitions("group")
     nodes = placed.mapInArrow(partial(_grow_groups, job=job, units=units), NODES)
     nodes = stage(nodes if top is None else nodes.union(top), "nodes")
     small = {f for f, p in enumerate(fits) if p.params.numTrees == 1}
@@ -228,6 +232,15 @@ class _Job:
     columns: list[str]
     cuts: Mapping[int, list[np.ndarray]]
     trees: list[tuple[int, int]]
+    few: bool = False
+    draws: dict[tuple, list[int]] = field(init=False)
+
+    def __post_init__(self):
+        """The units by their draws: those of one draw have the same weights and differ by target, fold left out or shape."""
+        self.draws = {}
+        for unit, (fit, tree) in enumerate(self.trees):
+            p = self.fits[fit].params
+            self.draws.setdefault((p.maxBins, p.bootstrap, *((p.seed, tree) if p.bootstrap else ())), []).append(unit)
 
     def arrays(self, rows: pa.RecordBatch | pa.Table):
         k = len(next(iter(self.cuts.values())))
@@ -236,13 +249,12 @@ class _Job:
         x = flat("x", k)
         bins = {b: np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cut)], axis=1).astype(np.int32)
                 for b, cut in self.cuts.items()}
-        number, fold = (np.concatenate([c.to_numpy(zero_copy_only=False) for c in _chunks(rows[n])]) for n in ("number", "fold"))
+        number = np.concatenate([c.to_numpy(zero_copy_only=False) for c in _chunks(rows["number"])])
+        fold = np.concatenate([c.fill_null(-3).to_numpy() for c in _chunks(rows["fold"])])  # no fold: left out nowhere
         return number, bins, flat("y", len(self.columns)), fold
 
-    def weights(self, unit: int, number: np.ndarray, fold: np.ndarray) -> np.ndarray:
-        fit, tree = self.fits[self.trees[unit][0]], self.trees[unit][1]
-        w = draws(number, tree, fit.params.seed) if fit.params.bootstrap else np.ones(len(number), np.int64)
-        return np.where(fold == fit.without, 0, w)
+    def weights(self, draw: tuple, number: np.ndarray) -> np.ndarray:
+        return draws(number, draw[3], draw[2]) if draw[1] else np.ones(len(number), np.int64)
 
     def of(self, unit: int):
         fit = self.fits[self.trees[unit][0]]
@@ -253,45 +265,187 @@ def _chunks(column) -> list:
     return column.chunks if isinstance(column, pa.ChunkedArray) else [column]
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each group, from batches sorted by it."""
+def _held_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to tables of some ``_CHUNK_ROWS`` rows."""
     held: list[pa.RecordBatch] = []
-    now = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        group = batch.column(name).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and group[a] != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = int(group[a])
-            held.append(batch.slice(a, b - a))
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= _CHUNK_ROWS:
+            yield pa.Table.from_batches(held)
+            held = []
     if held:
-        yield now, pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """A stable order; numbers of 16 bits are sorted by radix."""
+    return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+
+
+def _alike(bins: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts rows of the same cell and fold side by side, and where each cell starts in it."""
+    order = np.arange(len(fold))
+    for column in (*bins.T, fold + 3):
+        order = order[_order(column[order])]
+    differs = np.zeros(max(len(order) - 1, 0), bool)
+    for column in (*bins.T, fold):
+        differs |= np.diff(column[order]) != 0
+    return order, np.flatnonzero(np.r_[True, differs]) if len(order) else np.zeros(0, np.int64)
+
+
+@dataclass
+class _Cells:
+    """Rows added up by cell and fold: weight, and per target the weighted sum and the range, in steps; ``n`` counts rows."""
+
+    bins: np.ndarray
+    fold: np.ndarray
+    n: np.ndarray
+    w: np.ndarray
+    s: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.bins, self.fold, self.n, self.w, self.s, self.low, self.high
+
+    def take(self, rows: np.ndarray, target: int | None = None) -> "_Cells":
+        values = (c[rows] if target is None else c[rows, target:target + 1] for c in (self.s, self.low, self.high))
+        return _Cells(self.bins[rows], self.fold[rows], self.n[rows], self.w[rows], *values)
+
+    def merged(self, by_fold: bool = True) -> "_Cells":
+        if not len(self.w):
+            return self
+        order, starts = _alike(self.bins, self.fold if by_fold else np.zeros_like(self.fold))
+        if len(starts) == len(order):
+            return self
+        add = lambda f, c: f.reduceat(c[order], starts, axis=0)
+        first = order[starts]
+        return _Cells(self.bins[first], self.fold[first], add(np.add, self.n), add(np.add, self.w), add(np.add, self.s),
+                      add(np.minimum, self.low), add(np.maximum, self.high))
+
+    def packed(self, group: int) -> pa.RecordBatch:
+        """One row of bytes; ranges and sums go as differences from the lowest target, zeros for a cell of one row."""
+        parts = (self.bins.astype(np.int32), self.fold.astype(np.int32), self.n, self.w, self.low, self.high - self.low,
+                 self.s - self.w[:, None] * self.low)
+        data = b"".join(np.ascontiguousarray(c).tobytes() for c in parts)
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([len(self.w)], pa.int32()),
+                                           pa.array([self.bins.shape[1]], pa.int32()), pa.array([data], pa.binary())],
+                                          names=["group", "cells", "features", "data"])
+
+    @staticmethod
+    def unpacked(m: int, k: int, data: bytes) -> "_Cells":
+        at, found = 0, []
+        targets = (len(data) - m * (4 * k + 4 + 16)) // (24 * m)
+        for width, kind in ((k, np.int32), (1, np.int32), (1, np.int64), (1, np.int64), *[(targets, np.int64)] * 3):
+            found.append(np.frombuffer(data, kind, m * width, at).reshape(m, width))
+            at += found[-1].nbytes
+        bins, fold, n, w, low, spread, off = found
+        w = w[:, 0]
+        return _Cells(bins, fold[:, 0], n[:, 0], w, off + w[:, None] * low, low, low + spread)
+
+    @staticmethod
+    def together(parts: Sequence["_Cells"]) -> "_Cells":
+        return parts[0] if len(parts) == 1 else _Cells(*map(np.concatenate, zip(*(p.columns() for p in parts))))
+
+
+_PARTS = "group int, cells int, features int, data binary"
+
+
+def _drawn_cells(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[tuple[tuple, _Cells]]:
+    """For every draw, the cells of some rows with a weight in it."""
+    for rows in _held_rows(batches):
+        number, bins, y, fold = job.arrays(rows)
+        sorted_by: dict[int, tuple] = {}
+        for draw in job.draws:
+            w = job.weights(draw, number)
+            if job.few:  # rows without a weight stay: a sample without any takes them all
+                yield draw, _Cells(bins[draw[0]], fold, np.ones_like(w), w, w[:, None] * y, y, y)
+                continue
+            if draw[0] not in sorted_by:
+                order, starts = _alike(bins[draw[0]], fold)
+                cell = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+                sorted_by[draw[0]] = order, cell, bins[draw[0]][order], y[order], fold[order]
+            order, cell, b, v, f = sorted_by[draw[0]]
+            w = w[order]
+            used = np.flatnonzero(w)
+            if not len(used):
+                continue
+            w, v, c = w[used], v[used], cell[used]
+            starts = np.flatnonzero(np.r_[True, np.diff(c) != 0])
+            first = used[starts]
+            add = lambda how, values: how.reduceat(values, starts, axis=0)
+            yield draw, _Cells(b[first], f[first], np.diff(np.r_[starts, len(c)]), add(np.add, w), add(np.add, w[:, None] * v),
+                               add(np.minimum, v), add(np.maximum, v))
+
+
+def _cells_of_draws(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[pa.RecordBatch]:
+    place = {draw: i for i, draw in enumerate(job.draws)}
+    for draw, cells in _drawn_cells(batches, job):
+        yield cells.packed(place[draw])
+
+
+def _distinct_cells(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[pa.RecordBatch]:
+    for rows in _held_rows(batches):
+        _, bins, _, fold = job.arrays(rows)
+        for most, b in bins.items():
+            order, starts = _alike(b, fold)
+            first = order[starts]
+            key = np.ascontiguousarray(np.c_[b[first], fold[first]].astype(np.int32))
+            kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * key.shape[1]), len(key), [None, pa.py_buffer(key.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), most, np.int32)), kept.cast(pa.binary())], names=["most", "cell"])
+
+
+def _count_distinct(ready: DataFrame, job: _Job) -> int:
+    """How many cells and folds the rows are in: what a task that grows whole trees holds."""
+    cells = ready.mapInArrow(partial(_distinct_cells, job=job), "most int, cell binary").distinct()
+    return max(r["count"] for r in cells.groupBy("most").count().collect())
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Cells]]:
+    """The cells of each group, from batches sorted by it; they are added up as they come."""
+    held, size, now = [], 0, None
+    most = 2 * LOCAL_ROWS
+    for batch in batches:
+        for i in range(batch.num_rows):
+            group, m, k = (batch.column(c)[i].as_py() for c in range(3))
+            if held and group != now:
+                yield now, _Cells.together(held)
+                held, size, most = [], 0, 2 * LOCAL_ROWS
+            now = group
+            held.append(_Cells.unpacked(m, k, batch.column(3)[i].as_buffer().to_pybytes()))
+            size += m
+            if size > most:
+                held = [_Cells.together(held).merged()]
+                size = len(held[0].w)
+                most = 2 * max(size, LOCAL_ROWS)
+    if held:
+        yield now, _Cells.together(held)
 
 
 def _grow_groups(batches: Iterator[pa.RecordBatch], job: _Job, units: Mapping[int, list]) -> Iterator[pa.RecordBatch]:
     """All trees of a group, several at a time: level by level their nodes are handled as if they were one tree's."""
-    for group, rows in _by_group(batches, "group"):
-        number, bins, y, fold = job.arrays(rows)
-        together = max(1, _ROWS_AT_A_TIME // len(number))
+    for group, cells in _by_group(batches):
+        samples = {}
+        for unit, _ in units[group]:
+            without = job.fits[job.trees[unit][0]].without
+            if without not in samples:
+                kept = cells.take(np.flatnonzero(cells.fold != without))
+                if job.few and not kept.w.any():  # no draw in a handful of rows: the sample is the rows themselves
+                    kept = replace(kept, w=kept.n, s=kept.low)
+                samples[without] = kept.take(np.flatnonzero(kept.w)).merged(by_fold=False)
         alike: dict[TreeParams, list] = {}
         for unit, root in units[group]:
             alike.setdefault(job.of(unit)[0], []).append((unit, root))
+        together = max(1, _ROWS_AT_A_TIME // max(1, max(len(c.w) for c in samples.values())))
         for params, wanted in alike.items():
             for i in range(0, len(wanted), together):
-                part, used, weights, values = wanted[i:i + together], [], [], []
-                for unit, _ in part:
-                    w = job.weights(unit, number, fold)
-                    if not w.any():  # no draw in a handful of rows: the sample is the rows themselves
-                        w = np.where(fold == job.fits[job.trees[unit][0]].without, 0, 1)
-                    used.append(np.flatnonzero(w))
-                    weights.append(w[used[-1]])
-                    values.append(y[used[-1], job.of(unit)[1]])
-                place = np.repeat(np.arange(len(part)), [len(u) for u in used])
-                which, *grown = _subtrees(bins[params.maxBins][np.concatenate(used)], np.concatenate(values), np.concatenate(weights),
+                part = wanted[i:i + together]
+                used = [samples[job.fits[job.trees[unit][0]].without] for unit, _ in part]
+                target = [min(job.of(unit)[1], c.s.shape[1] - 1) for (unit, _), c in zip(part, used)]
+                place = np.repeat(np.arange(len(part)), [len(c.w) for c in used])
+                s, low, high = (np.concatenate([getattr(c, name)[:, t] for c, t in zip(used, target)]) for name in ("s", "low", "high"))
+                which, *grown = _subtrees(np.concatenate([c.bins for c in used]), s, low, high, np.concatenate([c.w for c in used]),
                                           place, np.array([root for _, root in part], np.int64),
                                           np.array([job.of(unit)[2] for unit, _ in part], np.int64), params)
                 for j, (unit, _) in enumerate(part):
@@ -301,9 +455,15 @@ def _grow_groups(batches: Iterator[pa.RecordBatch], job: _Job, units: Mapping[in
 
 def _node_rows(job: _Job, unit: int, node, feature, bin_, s, w, gain) -> pa.RecordBatch:
     fit, tree = job.trees[unit]
-    cuts = job.cuts[job.fits[fit].params.maxBins]
-    threshold = np.array([cuts[f][b] if f >= 0 else np.nan for f, b in zip(feature.tolist(), bin_.tolist())], np.float64)
-    depth = np.array([int(n).bit_length() - 1 for n in node.tolist()], np.int32)
+    threshold = np.full(len(node), np.nan)
+    for f, cut in enumerate(job.cuts[job.fits[fit].params.maxBins]):
+        mine = feature == f
+        threshold[mine] = cut[bin_[mine]]
+    depth, rest = np.zeros(len(node), np.int32), np.asarray(node, np.int64)
+    for bits in (32, 16, 8, 4, 2, 1):
+        long = rest >= 1 << bits
+        depth[long] += bits
+        rest = np.where(long, rest >> bits, rest)
     value = np.divide(s, w * float(STEP), out=np.zeros(len(s)), where=w > 0)
     columns = [np.full(len(node), fit, np.int32), np.full(len(node), tree, np.int32), node, depth, feature.astype(np.int32)]
     return pa.RecordBatch.from_arrays(
@@ -321,15 +481,16 @@ def _allowed(vary: np.ndarray, node: np.ndarray, tree: np.ndarray, params: TreeP
     return vary & (rank < params.tried)
 
 
-def _subtrees(bins: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, roots: np.ndarray, trees: np.ndarray, params: TreeParams):
+def _subtrees(bins: np.ndarray, wy: np.ndarray, lowest: np.ndarray, highest: np.ndarray, w: np.ndarray, at: np.ndarray,
+              roots: np.ndarray, trees: np.ndarray, params: TreeParams):
     """All nodes below ``roots``, level by level: (root's place, node, feature, bin, sum, weight, gain); feature -1 marks a leaf.
 
-    ``at`` is the place of each row's root; a row that several trees use stands there once for each. Roots are of one depth.
+    A row is a cell with its sum, range and weight. ``at`` is the place of its root; a cell that several trees use stands
+    there once for each.
     """
     k = bins.shape[1]
-    wy = w * y
     ids, place = roots, np.arange(len(roots))
-    order = [np.argsort(bins[:, f], kind="stable") for f in range(k)]
+    order = [_order(bins[:, f]) for f in range(k)]
     deepest = DEEPEST if params.maxDepth is None else min(params.maxDepth, DEEPEST)
     out = []
     while len(ids):
@@ -338,19 +499,20 @@ def _subtrees(bins: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, ro
         total_w, total_s = np.bincount(at[rows], w[rows], m), np.bincount(at[rows], wy[rows], m)
         feature, bin_, gain = np.full(m, -1), np.full(m, -1), np.zeros(m)
         out.append((place, ids, feature, bin_, total_s, total_w, gain))
-        if int(ids[0]).bit_length() - 1 >= deepest:
+        going = ids >> deepest == 0  # roots need not be of one depth
+        if not going.any():
             break
         low, high = np.full(m, np.iinfo(np.int64).max), np.full(m, np.iinfo(np.int64).min)
-        np.minimum.at(low, at[rows], y[rows])
-        np.maximum.at(high, at[rows], y[rows])
-        open_ = (total_w >= 2) & (low < high)
+        np.minimum.at(low, at[rows], lowest[rows])
+        np.maximum.at(high, at[rows], highest[rows])
+        open_ = (total_w >= 2) & (low < high) & going
         order = [o[open_[at[o]]] for o in order]
         if not len(order[0]):
             break
         best, where, vary = np.full((m, k), -np.inf), np.zeros((m, k), np.int64), np.zeros((m, k), bool)
         before_w, before_s = (np.r_[0, np.cumsum(np.where(open_, t, 0).astype(np.int64))][:-1] for t in (total_w, total_s))
         for f in range(k):
-            o = order[f] = order[f][np.argsort(at[order[f]], kind="stable")]
+            o = order[f] = order[f][_order(at[order[f]])]
             node, b = at[o], bins[o, f]
             i = np.flatnonzero((node[1:] == node[:-1]) & (b[1:] != b[:-1]))  # the last row of a candidate's left side
             if not len(i):
@@ -361,8 +523,8 @@ def _subtrees(bins: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, ro
             wr, sr = total_w[node] - wl, total_s[node] - sl
             score = sl * sl / wl + sr * sr / wr
             starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            highest = np.maximum.reduceat(score, starts)
-            tops = np.flatnonzero(score == np.repeat(highest, np.diff(np.r_[starts, len(node)])))
+            top = np.maximum.reduceat(score, starts)
+            tops = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[starts, len(node)])))
             first = tops[np.r_[True, node[tops[1:]] != node[tops[:-1]]]]
             best[node[first], f], where[node[first], f], vary[node[first], f] = score[first], b[i[first]], True
         best = np.where(_allowed(vary, ids, trees[place], params), best, -np.inf)
@@ -408,34 +570,37 @@ def _rows_of(at: np.ndarray, nodes: Sequence[int]) -> Iterator[np.ndarray]:
         yield order[lo:hi]
 
 
+def _nodes_by_draw(job: _Job, nodes: Mapping) -> dict[tuple, dict[int, list]]:
+    """draw -> unit -> [(node, number)] of ``nodes``: (unit, node) -> number."""
+    by_unit: dict[int, list] = {}
+    for (unit, node), number in nodes.items():
+        by_unit.setdefault(unit, []).append((node, number))
+    return {draw: {u: sorted(by_unit[u]) for u in alike if u in by_unit} for draw, alike in job.draws.items()}
+
+
 def _count_cells(batches: Iterator[pa.RecordBatch], job: _Job, splits, open_: Mapping[tuple[int, int], int]) -> Iterator[pa.RecordBatch]:
     """Weight, sum, rows and range of the target for every candidate of the open nodes, added up in the task first."""
-    by_tree: dict[int, list[tuple[int, int]]] = {}
-    for (unit, node), number in open_.items():
-        by_tree.setdefault(unit, []).append((node, number))
+    by_draw = _nodes_by_draw(job, open_)
     held: dict[tuple[int, int], list[np.ndarray]] = {}
     top = np.iinfo(np.int64).max
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        number, bins, y, fold = job.arrays(batch)
-        for unit, wanted in by_tree.items():
+    for draw, cells in _drawn_cells(batches, job):
+        for unit, wanted in by_draw[draw].items():
             params, column, _ = job.of(unit)
-            b, w, v = bins[params.maxBins], job.weights(unit, number, fold), y[:, column]
-            at = np.where(w > 0, _walk(b, splits[unit]), 0)
+            at = np.where((cells.fold != job.fits[job.trees[unit][0]].without) & (cells.w > 0), _walk(cells.bins, splits[unit]), 0)
             for (_, place), rows in zip(wanted, _rows_of(at, [node for node, _ in wanted])):
                 if not len(rows):
                     continue
+                mine = cells.take(rows, column)
                 for f, cut in enumerate(job.cuts[params.maxBins]):
                     m = len(cut) + 1
                     if (place, f) not in held:
                         held[place, f] = [np.zeros(m, np.int64) for _ in range(3)] + [np.full(m, top), np.full(m, -top)]
-                    cell = b[rows, f]
+                    cell = mine.bins[:, f]
                     sums = held[place, f]
-                    for total, add in zip(sums, (w[rows], w[rows] * v[rows], np.ones(len(rows)))):
+                    for total, add in zip(sums, (mine.w, mine.s[:, 0], mine.n)):
                         total += np.bincount(cell, add, m).astype(np.int64)
-                    np.minimum.at(sums[3], cell, v[rows])
-                    np.maximum.at(sums[4], cell, v[rows])
+                    np.minimum.at(sums[3], cell, mine.low[:, 0])
+                    np.maximum.at(sums[4], cell, mine.high[:, 0])
             if len(held) > _CELLS_HELD:
                 yield _cell_rows(held)
                 held = {}
@@ -451,7 +616,7 @@ def _cell_rows(held: Mapping[tuple[int, int], list[np.ndarray]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=[c.split()[0] for c in _CELLS.split(", ")])
 
 
-def _split_large(ready: DataFrame, job: _Job, n: int, local_rows: int):
+def _split_large(ready: DataFrame, job: _Job, local_rows: int):
     """(nodes done, units left to a task each, splits of each tree): levels of the nodes with more than ``local_rows`` rows."""
     splits: list[dict[int, tuple[int, int]]] = [{} for _ in job.trees]
     open_ = {(unit, 1): unit for unit in range(len(job.trees))}
@@ -522,20 +687,15 @@ def _choose(cells: pa.Table, job: _Job, where: Mapping[int, tuple[int, int]]) ->
 
 
 def _route_to_units(batches: Iterator[pa.RecordBatch], job: _Job, splits, units: Mapping[int, list]) -> Iterator[pa.RecordBatch]:
-    """Each row once for every subtree that it falls into with a weight."""
-    by_tree: dict[int, list[tuple[int, int]]] = {}
-    for group, [(unit, node)] in units.items():
-        by_tree.setdefault(unit, []).append((node, group))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        number, bins, _, fold = job.arrays(batch)
-        for unit, wanted in by_tree.items():
-            at = _walk(bins[job.of(unit)[0].maxBins], splits[unit])
-            at = np.where(job.weights(unit, number, fold) > 0, at, 0)
+    """The cells of every subtree, with its own target only."""
+    by_draw = _nodes_by_draw(job, {pair: group for group, [pair] in units.items()})
+    for draw, cells in _drawn_cells(batches, job):
+        for unit, wanted in by_draw[draw].items():
+            at = _walk(cells.bins, splits[unit])
+            at = np.where((cells.fold != job.fits[job.trees[unit][0]].without) & (cells.w > 0), at, 0)
             for (_, group), rows in zip(wanted, _rows_of(at, [node for node, _ in wanted])):
                 if len(rows):
-                    yield batch.take(pa.array(rows)).append_column("group", pa.array(np.full(len(rows), group, np.int32)))
+                    yield cells.take(rows, job.of(unit)[1]).packed(group)
 
 
 # --- scoring --------------------------------------------------------------------------
@@ -568,32 +728,46 @@ def _partial_sums(rows: DataFrame, models: Sequence[TreeModel], fold: str | None
                   depths: Sequence[int] = (), sizes: Sequence[int] = ()) -> DataFrame:
     """What ``score`` adds up, by group of trees.
 
-    Trees are dealt to groups and rows read past each group's node table, so no model is held whole and none is broadcast.
+    Trees are dealt to groups by their nodes, model by model, and rows to slices: a task reads a slice past a group's nodes,
+    so no model is held whole and none is broadcast. With folds, a row meets only the groups with trees without its fold.
     """
     spark = rows.sparkSession
     features = models[0].features
     if any(m.features != features for m in models):
         raise ValueError("models of different features cannot be scored together")
-    n_trees = sum(m.params.numTrees for m in models)
-    groups = max(1, min(n_trees, 4 * spark.sparkContext.defaultParallelism))
     tables: dict[int, tuple[DataFrame, list[tuple[int, int]]]] = {}
     for place, m in enumerate(models):
         tables.setdefault(id(m.nodes), (m.nodes, []))[1].append((m.number, place))
+    n_nodes = sum(nodes.where(F.col("fit").isin(*[n for n, _ in used])).count() for nodes, used in tables.values())
+    tasks, n_rows = 4 * spark.sparkContext.defaultParallelism, rows.count()
+    most_slices = 1 + n_rows // _SLICE_ROWS
+    groups = max(-(-n_nodes // _NODES_HELD), -(-tasks // most_slices))
+    dealt_to = max(1, min(-(-groups // len(models)), max(m.params.numTrees for m in models)))  # groups of a model's trees
+    groups = min(groups, len(models)) if dealt_to == 1 else dealt_to * len(models)
+    slices = min(most_slices, max(-(-tasks // groups), -(-n_rows // (16 * _SLICE_ROWS))))
+    group = (F.col("place") * dealt_to + F.pmod("tree", F.lit(dealt_to))) % groups
     parts = None
     for nodes, used in tables.values():
         place = F.coalesce(*[F.when(F.col("fit") == number, F.lit(p)) for number, p in used])
-        part = nodes.where(F.col("fit").isin(*[number for number, _ in used])).select(
-            F.pmod(F.hash("fit", "tree"), F.lit(groups)).alias("group"), F.lit(0).alias("side"),
+        part = nodes.where(F.col("fit").isin(*[number for number, _ in used])).withColumn("place", place).select(
+            group.cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("side"),
             F.lit(None).cast("long").alias("_row"), F.lit(None).cast("array<double>").alias("x"), F.lit(-2).alias("fold"),
-            place.alias("place"), "tree", "node", "feature", "threshold", "value")
+            "place", "tree", "node", "feature", "threshold", "value")
         parts = part if parts is None else parts.union(part)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("place", "int"), ("tree", "int"), ("node", "long"), ("feature", "int"),
                                                        ("threshold", "double"), ("value", "double"))]
+    met = F.sequence(F.lit(0), F.lit(groups - 1))
+    if fold is not None:
+        by_fold: dict[int, set[int]] = {}
+        for place, f in enumerate(without):
+            by_fold.setdefault(f, set()).update((place * dealt_to + t) % groups for t in range(dealt_to))
+        met = F.coalesce(*[F.when(ref(fold) == f, F.array(*[F.lit(g) for g in sorted(found)])) for f, found in by_fold.items()])
     asked = rows.select(
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("side"), "_row",
+        F.explode(met).alias("group"), F.pmod(F.hash("_row"), F.lit(slices)).alias("slice"), F.lit(1).alias("side"), "_row",
         F.array(*[ref(f).cast("double") for f in features]).alias("x"),
         (F.lit(-2) if fold is None else ref(fold)).cast("int").alias("fold"), *none)
-    dealt = parts.union(asked).repartition(groups, "group").sortWithinPartitions("group", "side", "place", "tree", "node")
+    dealt = parts.union(asked).withColumn("group", F.col("group") * slices + F.col("slice")).drop("slice")
+    dealt = dealt.repartition(groups * slices, "group").sortWithinPartitions("group", "side", "place", "tree", "node")
     return dealt.mapInArrow(
         partial(_score_groups, without=None if fold is None else list(without), depths=list(depths), sizes=list(sizes)),
         "_row long, place int, depth int, size int, n long, total double, squares double")
@@ -669,6 +843,20 @@ def numbered(df: DataFrame) -> DataFrame:
     return stage(df.withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
 
 
+def distinct_rows(rows: DataFrame, features: Sequence[str], fold: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with different features or fold, under the ``_row`` of one of them; ``rows`` with that number as ``_key``).
+
+    Trees score equal rows alike, so they read the first table; ``rows`` has a unique ``_row``.
+    """
+    names = [f"_x{i}" for i in range(len(features))]
+    shaped = rows.withColumns({n: F.coalesce(ref(f).cast("double"), F.lit(math.nan)) for n, f in zip(names, features)})
+    shaped = shaped.withColumn("_f", F.lit(-2) if fold is None else F.coalesce(ref(fold).cast("int"), F.lit(-3)))
+    keys = stage(shaped.groupBy(*names, "_f").agg(F.min("_row").alias("_key")), "distinct-rows")
+    one = keys.select(F.col("_key").alias("_row"), *[F.col(n).alias(f) for n, f in zip(names, features)],
+                      *([] if fold is None else [F.col("_f").alias(fold)]))
+    return one, shaped.join(keys, [*names, "_f"]).drop(*names, "_f")
+
+
 def with_params(params: TreeParams, changes: Mapping | None) -> TreeParams:
     unknown = set(changes or {}) - set(asdict(params))
     if unknown:
