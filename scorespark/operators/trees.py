@@ -794,42 +794,59 @@ def _score_groups(batches: Iterator[pa.RecordBatch], without, depths: list[int],
 
 
 def _arrays_of_trees(nodes: pa.Table) -> list[tuple]:
-    """(place, tree, feature, threshold, left child, value) for every tree; children lie next to each other."""
+    """(place, tree, feature, threshold, left child, value) for every tree; children lie next to each other, a leaf leads to itself."""
     place, tree, node, value = (nodes[c].to_numpy() for c in ("place", "tree", "node", "value"))
     feature = nodes["feature"].to_numpy()
     threshold = nodes["threshold"].fill_null(0.0).to_numpy()
+    threshold = np.where(feature < 0, np.inf, threshold)
     cuts = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(tree) != 0)) + 1).tolist(), len(place)]
-    return [(int(place[a]), int(tree[a]), feature[a:b], threshold[a:b], np.searchsorted(node[a:b], 2 * node[a:b]), value[a:b])
+    return [(int(place[a]), int(tree[a]), np.maximum(feature[a:b], 0).astype(np.int64), threshold[a:b],
+             np.where(feature[a:b] < 0, np.arange(b - a), np.searchsorted(node[a:b], 2 * node[a:b])), value[a:b])
             for a, b in zip(cuts, cuts[1:])]
 
 
+def _leaves(x: np.ndarray, first: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The leaf of each row, whose features lie in ``x`` from ``first`` on; rows that are done leave every few levels."""
+    found = np.zeros(len(first), np.int64)
+    going, at = np.arange(len(first)), np.zeros(len(first), np.int64)
+    while len(going):
+        for _ in range(4):
+            at = left.take(at) + (x.take(first + feature.take(at)) > threshold.take(at))
+        open_ = left.take(at) != at
+        found[going[~open_]] = at[~open_]
+        going, at, first = going[open_], at[open_], first[open_]
+    return found
+
+
 def _score_rows(rows: pa.RecordBatch, trees, without, depths: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
     number, fold = rows.column("_row").to_numpy(), rows.column("fold").to_numpy()
-    x = rows.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(number), -1)
+    x = rows.column("x").flatten().to_numpy(zero_copy_only=False)
+    begins = np.arange(len(number)) * (len(x) // len(number))
     sums: dict[tuple[int, int, int], list[np.ndarray]] = {}
     for place, tree, feature, threshold, left, value in trees:
-        used = np.arange(len(number)) if without is None else np.flatnonzero(fold == without[place])
-        if not len(used):
+        used = slice(None) if without is None else np.flatnonzero(fold == without[place])
+        first = begins[used]
+        if not len(first):
+            continue
+
+        def add(depth: int, v: np.ndarray):
+            for size in sizes or [-1]:
+                if size < 0 or tree < size:
+                    n, total, squares = sums.setdefault((place, depth, size), [np.zeros(len(number)) for _ in range(3)])
+                    count, so_far = n[used], total[used]
+                    off = v - so_far / np.maximum(count, 1.0)
+                    squares[used] += off * off * (count / (count + 1))
+                    n[used] = count + 1
+                    total[used] = so_far + v
+
+        if not depths:
+            add(-1, value[_leaves(x, first, feature, threshold, left)])
             continue
-        at = np.zeros(len(used), np.int64)
-        level, marks = 0, sorted(depths)
-        while True:
-            going = np.flatnonzero(feature[at] >= 0)
-            if level in marks or (not depths and not len(going)):
-                for size in sizes or [-1]:
-                    if size < 0 or tree < size:
-                        cell = sums.setdefault((place, level if depths else -1, size), [np.zeros(len(number)) for _ in range(3)])
-                        n, total, squares = cell
-                        v = value[at]
-                        off = v - np.divide(total[used], n[used], out=np.zeros(len(used)), where=n[used] > 0)
-                        squares[used] += off * off * n[used] / (n[used] + 1)
-                        n[used] += 1
-                        total[used] += v
-            if depths and level >= marks[-1] or not depths and not len(going):
-                break
-            node = at[going]
-            at[going] = left[node] + (x[used[going], feature[node]] > threshold[node])
-            level += 1
+        at = np.zeros(len(first), np.int64)
+        for level in range(max(depths) + 1):
+            if level in depths:
+                add(level, value[at])
+            at = left.take(at) + (x.take(first + feature.take(at)) > threshold.take(at))
     for (place, depth, size), (n, total, squares) in sums.items():
         hit = np.flatnonzero(n)
         fixed = [np.full(len(hit), v, np.int32) for v in (place, depth, size)]
