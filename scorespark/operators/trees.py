@@ -861,15 +861,15 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def distinct_rows(rows: DataFrame, features: Sequence[str], fold: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with different features or fold, under the ``_row`` of one of them; ``rows`` with that number as ``_key``).
+    """(rows with different features or fold, under the ``_row`` of one of them; ``rows`` with that number as ``_like``).
 
     Trees score equal rows alike, so they read the first table; ``rows`` has a unique ``_row``.
     """
     names = [f"_x{i}" for i in range(len(features))]
     shaped = rows.withColumns({n: F.coalesce(ref(f).cast("double"), F.lit(math.nan)) for n, f in zip(names, features)})
     shaped = shaped.withColumn("_f", F.lit(-2) if fold is None else F.coalesce(ref(fold).cast("int"), F.lit(-3)))
-    keys = stage(shaped.groupBy(*names, "_f").agg(F.min("_row").alias("_key")), "distinct-rows")
-    one = keys.select(F.col("_key").alias("_row"), *[F.col(n).alias(f) for n, f in zip(names, features)],
+    keys = stage(shaped.groupBy(*names, "_f").agg(F.min("_row").alias("_like")), "distinct-rows")
+    one = keys.select(F.col("_like").alias("_row"), *[F.col(n).alias(f) for n, f in zip(names, features)],
                       *([] if fold is None else [F.col("_f").alias(fold)]))
     return one, shaped.join(keys, [*names, "_f"]).drop(*names, "_f")
 

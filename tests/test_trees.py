@@ -228,3 +228,27 @@ def test_forest_over_all_pairs_of_years(spark):
     ahead = regression.predict_next(wide.where("year = 2023"), fitted, ["Math", "CS"])
     assert ahead.count() == 60 and ahead.where("predicted_mark between 0 and 100").count() == 60
     assert table(fitted["RandomForest", "CS"]) == table(again["RandomForest", "CS"])
+
+
+def test_rows_between_the_same_candidates_are_grown_and_scored_once(spark, data):
+    """Copies under other keys: a draw's cells, sent and added up, are as many as different rows, and so are the rows scored."""
+    copies = spark.createDataFrame([(i + 1000 * c, *rest) for c in range(8) for i, *rest in data[:50]], "id long, a double, b double, c double, y double, z int")
+    fits = [Fit("m", t, t, TreeParams(numTrees=3, bootstrap=True)) for t in ("y", "z")]
+    whole = trees.grow(copies, ["id"], FEATS, fits, None, 60)  # 400 rows in 50 cells: no node is split by counts
+    counted = trees.grow(copies, ["id"], FEATS, fits, None, 20)
+    assert [table(m) for m in whole] == [table(m) for m in counted]
+    keys, linked = trees.distinct_rows(trees.numbered(copies), FEATS)
+    assert keys.count() == 50 and linked.count() == 400
+    assert {(r["_row"], r["_like"]) for r in linked.select("_row", "_like").collect()} >= {(r["_row"],) * 2 for r in keys.collect()}
+    batches = list(trees._cells_of_draws(iter([]), trees._Job([], [], {}, [])))
+    job = trees._Job(fits, ["y", "z"], {256: [np.array([1.0, 2.0])]}, [(f, t) for f in range(2) for t in range(3)])
+    assert batches == [] and len(job.draws) == 3  # both targets share the draws of a tree
+
+
+def test_search_names_its_rows_as_it_likes(spark):
+    from scorespark.operators import classify
+
+    train = spark.createDataFrame([(i, float(i % 7), float(i % 5), int(i % 7 > 3)) for i in range(90)], "id long, u double, v double, label int")
+    risk = classify.train_classifiers(train, ["u", "v"], models=["LogisticRegression"])
+    found = classify.grid_search(train, risk, {"maxDepth": [2, 3], "numTrees": [2, 4]}).collect()
+    assert {(r.maxDepth, r.numTrees) for r in found} == {(2, 2), (2, 4), (3, 2), (3, 4)} and all(r.roc_auc > 0.9 for r in found)
