@@ -213,8 +213,9 @@ def predict_columns(df: DataFrame, fitted: Mapping[tuple[str, str], object],
 
 def add_scores(df: DataFrame, named: Sequence[tuple[str, TreeModel]]) -> DataFrame:
     """``df`` with a column for the mean over the trees of each model."""
-    keys, rows = trees.distinct_rows(trees.numbered(df), named[0][1].features)
-    sums = trees.score(keys, [m for _, m in named]).withColumnRenamed("_row", "_like")
+    models = [m for _, m in named]
+    keys, rows = trees.distinct_rows(trees.numbered(df), models[0].features, None, models)
+    sums = trees.score(keys, models).withColumnRenamed("_row", "_like")
     mean = F.round(F.col("total") / F.col("n"), DIGITS)
     wide = sums.groupBy("_like").agg(*[F.max(F.when(F.col("place") == i, mean)).alias(name) for i, (name, _) in enumerate(named)])
     return rows.join(wide, "_like").drop("_row", "_like")
@@ -298,7 +299,7 @@ def out_of_fold(pairs: DataFrame, fold: Column, folds: int, params: TreeParams,
     """
     fits = [Fit("fold", s, f"{s}_next", params, f) for s in subjects for f in range(folds)]
     models = trees.grow(pairs, key, feature_names(subjects), fits, fold)
-    keys, rows = trees.distinct_rows(trees.numbered(pairs.withColumn("_fold", fold)), models[0].features, "_fold")
+    keys, rows = trees.distinct_rows(trees.numbered(pairs.withColumn("_fold", fold)), models[0].features, "_fold", models)
     sums = trees.score(keys, models, "_fold", [f.without for f in fits], depths, sizes).withColumnRenamed("_row", "_like")
     of_place = F.array(*[F.struct(F.lit(f.target).alias("subject"), F.lit(f.without).alias("fold")) for f in fits])
     known = rows.select("_like", F.create_map(*[x for s in subjects for x in (F.lit(s), ref(f"{s}_next"))]).alias("known"))
@@ -402,7 +403,7 @@ def prediction_intervals(rows: DataFrame, forests: Mapping[str, TreeModel], keys
     """(keys, subject, predicted_mark, low, high): a forest's mean with a 95% band from the spread of its trees."""
     subjects = list(forests)
     models = [forests[s] for s in subjects]
-    one_each, rows = trees.distinct_rows(trees.numbered(rows.withColumn("year_encoded", F.lit(1))), models[0].features)
+    one_each, rows = trees.distinct_rows(trees.numbered(rows.withColumn("year_encoded", F.lit(1))), models[0].features, None, models)
     scored = trees.score_spread(one_each, models).withColumnRenamed("_row", "_like")
     mean, half = F.round("mean", DIGITS), F.lit(z) * F.col("deviation")
     subject = F.element_at(F.array(*[F.lit(s) for s in subjects]), F.col("place") + 1)

@@ -24,7 +24,7 @@ import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ COMPILED = 128
 _ROWS_AT_A_TIME = 1 << 17
 _CHUNK_ROWS = 1 << 17  # rows whose cells a task adds up before it sends them
 _SLICE_ROWS = 1 << 14  # rows that are worth a task of their own when trees score them
-_NODES_HELD = 1 << 20  # by a task that scores
+_NODES_HELD = 1 << 21  # by a task that scores, 28 bytes each
 _FEW_ROWS = 1 << 10  # so few that a sample may be without any
 _CELLS_HELD = 1 << 13  # nodes times features that a task adds up before it sends them
 NODES = ("fit int, tree int, node long, depth int, feature int, threshold double, value double, weight long, gain double")
@@ -203,6 +203,8 @@ def grow(rows: DataFrame, key: Sequence[str], features: Sequence[str], fits: Seq
     job = _Job(fits, columns, cuts, trees, n <= _FEW_ROWS)
     spark = rows.sparkSession
     parallel = spark.sparkContext.defaultParallelism
+    if n > local_rows:
+        ready = _cells_together(ready, job, max(parallel, -(-n // _CHUNK_ROWS)))
     if n <= local_rows or _count_distinct(ready, job) <= local_rows:
         top, parts = None, ready.mapInArrow(partial(_cells_of_draws, job=job), _PARTS)
         units = {d: [(u, 1) for u in alike] for d, alike in enumerate(job.draws.values())}
@@ -211,7 +213,7 @@ def grow(rows: DataFrame, key: Sequence[str], features: Sequence[str], fits: Seq
         parts = ready.mapInArrow(partial(_route_to_units, job=job, splits=splits, units=units), _PARTS)
         top = spark.createDataFrame(done, NODES)  # the nodes with more rows than a task holds
     groups = max(1, len(units))
-    placed = parts.repartition(min(groups, max(8 * parallel, 1)), "group").sortWithinPartitions("group")
+    placed = parts.repartitionById(min(groups, max(8 * parallel, 1)), F.col("group")).sortWithinPartitions("group")
     nodes = placed.mapInArrow(partial(_grow_groups, job=job, units=units), NODES)
     nodes = stage(nodes if top is None else nodes.union(top), "nodes")
     small = {f for f, p in enumerate(fits) if p.params.numTrees == 1}
@@ -396,6 +398,25 @@ def _distinct_cells(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), most, np.int32)), kept.cast(pa.binary())], names=["most", "cell"])
 
 
+def _cells_together(ready: DataFrame, job: _Job, parts: int) -> DataFrame:
+    """The rows staged by cell, so that what tasks add up and send is as much as there are cells, whatever the rows.
+
+    A cell of very many rows is dealt to several parts.
+    """
+    fields = ", ".join(f"{name} {kind}" for name, kind in ready.dtypes)
+    known = ready.mapInArrow(partial(_with_cell, job=job), f"{fields}, cell binary")
+    return stage(known.repartitionByRange(parts, "cell", "number").sortWithinPartitions("cell").drop("cell"), "rows-by-cell")
+
+
+def _with_cell(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        if rows.num_rows:
+            bins = job.arrays(rows)[1]
+            finest = np.ascontiguousarray(bins[max(bins)])
+            cell = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * finest.shape[1]), len(finest), [None, pa.py_buffer(finest.tobytes())])
+            yield pa.RecordBatch.from_arrays([*rows.columns, cell.cast(pa.binary())], names=[*rows.schema.names, "cell"])
+
+
 def _count_distinct(ready: DataFrame, job: _Job) -> int:
     """How many cells and folds the rows are in: what a task that grows whole trees holds."""
     cells = ready.mapInArrow(partial(_distinct_cells, job=job), "most int, cell binary").distinct()
@@ -490,7 +511,8 @@ def _subtrees(bins: np.ndarray, wy: np.ndarray, lowest: np.ndarray, highest: np.
     """
     k = bins.shape[1]
     ids, place = roots, np.arange(len(roots))
-    order = [_order(bins[:, f]) for f in range(k)]
+    live = [f for f in range(k) if len(w) and bins[:, f].min() < bins[:, f].max()] or [0]  # others never split
+    order = [_order(bins[:, f]) for f in live]
     deepest = DEEPEST if params.maxDepth is None else min(params.maxDepth, DEEPEST)
     out = []
     while len(ids):
@@ -511,8 +533,8 @@ def _subtrees(bins: np.ndarray, wy: np.ndarray, lowest: np.ndarray, highest: np.
             break
         best, where, vary = np.full((m, k), -np.inf), np.zeros((m, k), np.int64), np.zeros((m, k), bool)
         before_w, before_s = (np.r_[0, np.cumsum(np.where(open_, t, 0).astype(np.int64))][:-1] for t in (total_w, total_s))
-        for f in range(k):
-            o = order[f] = order[f][_order(at[order[f]])]
+        for place_of, f in enumerate(live):
+            o = order[place_of] = order[place_of][_order(at[order[place_of]])]
             node, b = at[o], bins[o, f]
             i = np.flatnonzero((node[1:] == node[:-1]) & (b[1:] != b[:-1]))  # the last row of a candidate's left side
             if not len(i):
@@ -744,65 +766,101 @@ def _partial_sums(rows: DataFrame, models: Sequence[TreeModel], fold: str | None
     groups = max(-(-n_nodes // _NODES_HELD), -(-tasks // most_slices))
     dealt_to = max(1, min(-(-groups // len(models)), max(m.params.numTrees for m in models)))  # groups of a model's trees
     groups = min(groups, len(models)) if dealt_to == 1 else dealt_to * len(models)
-    slices = min(most_slices, max(-(-tasks // groups), -(-n_rows // (16 * _SLICE_ROWS))))
+    slices = min(most_slices, max(1, tasks // groups, -(-n_rows // (16 * _SLICE_ROWS))))
     group = (F.col("place") * dealt_to + F.pmod("tree", F.lit(dealt_to))) % groups
     parts = None
     for nodes, used in tables.values():
         place = F.coalesce(*[F.when(F.col("fit") == number, F.lit(p)) for number, p in used])
-        part = nodes.where(F.col("fit").isin(*[number for number, _ in used])).withColumn("place", place).select(
-            group.cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("side"),
-            F.lit(None).cast("long").alias("_row"), F.lit(None).cast("array<double>").alias("x"), F.lit(-2).alias("fold"),
-            "place", "tree", "node", "feature", "threshold", "value")
+        part = nodes.where(F.col("fit").isin(*[number for number, _ in used])).select(
+            place.alias("place"), "tree", "node", "feature", "threshold", "value").mapInArrow(_pack_nodes, _PACKED)
         parts = part if parts is None else parts.union(part)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("place", "int"), ("tree", "int"), ("node", "long"), ("feature", "int"),
-                                                       ("threshold", "double"), ("value", "double"))]
+    parts = parts.withColumn("group", group).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     met = F.sequence(F.lit(0), F.lit(groups - 1))
     if fold is not None:
         by_fold: dict[int, set[int]] = {}
         for place, f in enumerate(without):
             by_fold.setdefault(f, set()).update((place * dealt_to + t) % groups for t in range(dealt_to))
-        met = F.coalesce(*[F.when(ref(fold) == f, F.array(*[F.lit(g) for g in sorted(found)])) for f, found in by_fold.items()])
+        met = F.coalesce(*[F.when(F.col("fold") == f, F.array(*[F.lit(g) for g in sorted(found)])) for f, found in by_fold.items()])
     asked = rows.select(
-        F.explode(met).alias("group"), F.pmod(F.hash("_row"), F.lit(slices)).alias("slice"), F.lit(1).alias("side"), "_row",
-        F.array(*[ref(f).cast("double") for f in features]).alias("x"),
-        (F.lit(-2) if fold is None else ref(fold)).cast("int").alias("fold"), *none)
-    dealt = parts.union(asked).withColumn("group", F.col("group") * slices + F.col("slice")).drop("slice")
-    dealt = dealt.repartition(groups * slices, "group").sortWithinPartitions("group", "side", "place", "tree", "node")
+        F.pmod(F.hash("_row"), F.lit(slices)).alias("slice"), (F.lit(-2) if fold is None else F.coalesce(ref(fold).cast("int"), F.lit(-3))).alias("fold"),
+        "_row", F.array(*[ref(f).cast("double") for f in features]).alias("x")).mapInArrow(_pack_rows, _PACKED + ", slice int")
+    asked = asked.withColumn("group", F.explode(met))
+    columns = [(F.col("group") * slices + F.col("slice")).cast("int").alias("group"), *[c.split()[0] for c in _PACKED.split(", ")]]
+    dealt = parts.select(*columns).union(asked.select(*columns))
+    dealt = dealt.repartitionById(groups * slices, F.col("group")).sortWithinPartitions("group", "side")
     return dealt.mapInArrow(
-        partial(_score_groups, without=None if fold is None else list(without), depths=list(depths), sizes=list(sizes)),
+        partial(_score_groups, k=len(features), without=None if fold is None else list(without), depths=list(depths), sizes=list(sizes)),
         "_row long, place int, depth int, size int, n long, total double, squares double")
 
 
-def _score_groups(batches: Iterator[pa.RecordBatch], without, depths: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    now, held, trees = None, [], []
-    for batch in batches:
-        if not batch.num_rows:
+_PACKED = "side int, place int, tree int, fold int, count int, data binary"
+
+
+def _packed(side: int, place: int, tree: int, fold: int, columns: Sequence[np.ndarray], **more: int) -> pa.RecordBatch:
+    """One row of bytes for nodes of a tree (side 0) or rows of a fold (side 1)."""
+    data = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    ints = {"side": side, "place": place, "tree": tree, "fold": fold, "count": len(columns[0])}
+    cells = {c: pa.array([v], pa.int32()) for c, v in ints.items()} | {"data": pa.array([data], pa.binary())}
+    return pa.RecordBatch.from_pydict(cells | {c: pa.array([v], pa.int32()) for c, v in more.items()})
+
+
+def _runs(*keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the rows of each different key."""
+    if not len(keys[0]):
+        return iter(())
+    order = np.arange(len(keys[0])) if all((key == key[0]).all() for key in keys) else np.lexsort(keys)
+    differs = np.zeros(len(order) - 1, bool)
+    for key in keys:
+        differs |= np.diff(key[order]) != 0
+    return iter(np.split(order, np.flatnonzero(differs) + 1))
+
+
+def _pack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nodes in batches:
+        place, tree, node, feature, value = (nodes.column(c).to_numpy() for c in ("place", "tree", "node", "feature", "value"))
+        threshold = nodes.column("threshold").fill_null(0.0).to_numpy()
+        for i in _runs(tree, place):
+            yield _packed(0, int(place[i[0]]), int(tree[i[0]]), -2, [node[i], threshold[i], value[i], feature[i].astype(np.int32)])
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        if not rows.num_rows:
             continue
-        group, side = batch.column("group").to_numpy(), batch.column("side").to_numpy()
-        cuts = [0, *(np.flatnonzero((np.diff(group) != 0) | (np.diff(side) != 0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if group[a] != now:
-                now, held, trees = group[a], [], []
-            rows = batch.slice(a, b - a)
-            if side[a] == 0:
-                held.append(rows)
+        number, fold, slice_ = (rows.column(c).to_numpy() for c in ("_row", "fold", "slice"))
+        x = rows.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(number), -1)
+        for i in _runs(fold, slice_):
+            yield _packed(1, -1, -1, int(fold[i[0]]), [number[i], x[i]], slice=int(slice_[i[0]]))
+
+
+def _score_groups(batches: Iterator[pa.RecordBatch], k: int, without, depths: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    now, held, trees = None, {}, []
+    for batch in batches:
+        ints = batch.select(["group", "side", "place", "tree", "fold", "count"]).to_pydict()
+        for i, (group, side, place, tree, fold, count) in enumerate(zip(*ints.values())):
+            if group != now:
+                now, held, trees = group, {}, []
+            data = batch.column("data")[i].as_buffer()
+            if side == 0:
+                held.setdefault((place, tree), []).append((count, data.to_pybytes()))
                 continue
             if held:
-                trees, held = _arrays_of_trees(pa.Table.from_batches(held)), []
+                trees, held = [(*key, *_arrays_of_tree(held[key])) for key in sorted(held)], {}
             if trees:
-                yield from _score_rows(rows, trees, without, depths, sizes)
+                number = np.frombuffer(data, np.int64, count)
+                yield from _score_rows(number, fold, np.frombuffer(data, np.float64, count * k, 8 * count), trees, without, depths, sizes)
 
 
-def _arrays_of_trees(nodes: pa.Table) -> list[tuple]:
-    """(place, tree, feature, threshold, left child, value) for every tree; children lie next to each other, a leaf leads to itself."""
-    place, tree, node, value = (nodes[c].to_numpy() for c in ("place", "tree", "node", "value"))
-    feature = nodes["feature"].to_numpy()
-    threshold = nodes["threshold"].fill_null(0.0).to_numpy()
-    threshold = np.where(feature < 0, np.inf, threshold)
-    cuts = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(tree) != 0)) + 1).tolist(), len(place)]
-    return [(int(place[a]), int(tree[a]), np.maximum(feature[a:b], 0).astype(np.int64), threshold[a:b],
-             np.where(feature[a:b] < 0, np.arange(b - a), np.searchsorted(node[a:b], 2 * node[a:b])), value[a:b])
-            for a, b in zip(cuts, cuts[1:])]
+def _arrays_of_tree(parts: Sequence[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+    """(feature, threshold, left child, value) of a tree's nodes; children lie next to each other, a leaf leads to itself."""
+    node, threshold, value = (np.concatenate([np.frombuffer(data, kind, n, 8 * n * i) for n, data in parts])
+                              for i, kind in enumerate((np.int64, np.float64, np.float64)))
+    feature = np.concatenate([np.frombuffer(data, np.int32, n, 24 * n) for n, data in parts])
+    order = np.argsort(node)
+    node, threshold, value, feature = node[order], threshold[order], value[order], feature[order]
+    leaf = feature < 0
+    return (np.maximum(feature, 0).astype(np.int64), np.where(leaf, np.inf, threshold),
+            np.where(leaf, np.arange(len(node)), np.searchsorted(node, 2 * node)), value)
 
 
 def _leaves(x: np.ndarray, first: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -818,26 +876,22 @@ def _leaves(x: np.ndarray, first: np.ndarray, feature: np.ndarray, threshold: np
     return found
 
 
-def _score_rows(rows: pa.RecordBatch, trees, without, depths: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    number, fold = rows.column("_row").to_numpy(), rows.column("fold").to_numpy()
-    x = rows.column("x").flatten().to_numpy(zero_copy_only=False)
-    begins = np.arange(len(number)) * (len(x) // len(number))
+def _score_rows(number: np.ndarray, fold: int, x: np.ndarray, trees, without, depths: list[int],
+                sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    first = np.arange(len(number)) * (len(x) // len(number))
     sums: dict[tuple[int, int, int], list[np.ndarray]] = {}
     for place, tree, feature, threshold, left, value in trees:
-        used = slice(None) if without is None else np.flatnonzero(fold == without[place])
-        first = begins[used]
-        if not len(first):
+        if without is not None and fold != without[place]:
             continue
 
         def add(depth: int, v: np.ndarray):
             for size in sizes or [-1]:
                 if size < 0 or tree < size:
                     n, total, squares = sums.setdefault((place, depth, size), [np.zeros(len(number)) for _ in range(3)])
-                    count, so_far = n[used], total[used]
-                    off = v - so_far / np.maximum(count, 1.0)
-                    squares[used] += off * off * (count / (count + 1))
-                    n[used] = count + 1
-                    total[used] = so_far + v
+                    off = v - total / np.maximum(n, 1.0)
+                    squares += off * off * (n / (n + 1))
+                    n += 1
+                    total += v
 
         if not depths:
             add(-1, value[_leaves(x, first, feature, threshold, left)])
@@ -848,10 +902,9 @@ def _score_rows(rows: pa.RecordBatch, trees, without, depths: list[int], sizes:
                 add(level, value[at])
             at = left.take(at) + (x.take(first + feature.take(at)) > threshold.take(at))
     for (place, depth, size), (n, total, squares) in sums.items():
-        hit = np.flatnonzero(n)
-        fixed = [np.full(len(hit), v, np.int32) for v in (place, depth, size)]
+        fixed = [np.full(len(number), v, np.int32) for v in (place, depth, size)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(number[hit]), *map(pa.array, fixed), pa.array(n[hit].astype(np.int64)), pa.array(total[hit]), pa.array(squares[hit])],
+            [pa.array(number), *map(pa.array, fixed), pa.array(n.astype(np.int64)), pa.array(total), pa.array(squares)],
             names=["_row", "place", "depth", "size", "n", "total", "squares"])
 
 
@@ -860,20 +913,51 @@ def numbered(df: DataFrame) -> DataFrame:
     return stage(df.withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
 
 
-def distinct_rows(rows: DataFrame, features: Sequence[str], fold: str | None = None) -> tuple[DataFrame, DataFrame]:
+def distinct_rows(rows: DataFrame, features: Sequence[str], fold: str | None = None,
+                  models: Sequence[TreeModel] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with different features or fold, under the ``_row`` of one of them; ``rows`` with that number as ``_like``).
 
-    Trees score equal rows alike, so they read the first table; ``rows`` has a unique ``_row``.
+    Trees score equal rows alike, so they read the first table; ``rows`` has a unique ``_row``. Given the ``models`` that
+    are to score them, rows between the same thresholds count as equal too: they come as the thresholds above them.
     """
     names = [f"_x{i}" for i in range(len(features))]
-    shaped = rows.withColumns({n: F.coalesce(ref(f).cast("double"), F.lit(math.nan)) for n, f in zip(names, features)})
+    values = [ref(f).cast("double") for f in features]
+    if models:
+        values = [_threshold_above(v, cut) for v, cut in zip(values, _thresholds(models, len(features)))]
+    shaped = rows.withColumns({n: F.coalesce(v, F.lit(math.nan)) for n, v in zip(names, values)})
     shaped = shaped.withColumn("_f", F.lit(-2) if fold is None else F.coalesce(ref(fold).cast("int"), F.lit(-3)))
+    if models:
+        shaped = stage(shaped, "shaped-rows")
     keys = stage(shaped.groupBy(*names, "_f").agg(F.min("_row").alias("_like")), "distinct-rows")
     one = keys.select(F.col("_like").alias("_row"), *[F.col(n).alias(f) for n, f in zip(names, features)],
                       *([] if fold is None else [F.col("_f").alias(fold)]))
     return one, shaped.join(keys, [*names, "_f"]).drop(*names, "_f")
 
 
+def _thresholds(models: Sequence[TreeModel], k: int) -> list[np.ndarray]:
+    """The thresholds of each feature in any of the models, sorted: split candidates, so their number does not grow with the rows."""
+    tables: dict[int, tuple[DataFrame, set[int]]] = {}
+    for m in models:
+        tables.setdefault(id(m.nodes), (m.nodes, set()))[1].add(m.number)
+    parts = [nodes.where(F.col("fit").isin(*used) & (F.col("feature") >= 0)).select("feature", "threshold") for nodes, used in tables.values()]
+    found: list[list[float]] = [[] for _ in range(k)]
+    for r in reduce(DataFrame.union, parts).distinct().collect():
+        found[r["feature"]].append(r["threshold"])
+    return [np.sort(np.array(v, np.float64)) for v in found]
+
+
+def _threshold_above(value: Column, cut: np.ndarray) -> Column:
+    """The smallest threshold that is not below ``value``, infinity above all; a tree sends both the same way."""
+    ends = np.append(cut, np.inf)
+
+    @F.arrow_udf("double")
+    def above(v: pa.Array) -> pa.Array:
+        x = v.to_numpy(zero_copy_only=False)
+        return pa.array(np.where(np.isnan(x), np.nan, ends[np.searchsorted(cut, x)]))
+
+    return above(value)
+
+
 def with_params(params: TreeParams, changes: Mapping | None) -> TreeParams:
     unknown = set(changes or {}) - set(asdict(params))
     if unknown:

@@ -252,3 +252,34 @@ def test_search_names_its_rows_as_it_likes(spark):
     risk = classify.train_classifiers(train, ["u", "v"], models=["LogisticRegression"])
     found = classify.grid_search(train, risk, {"maxDepth": [2, 3], "numTrees": [2, 4]}).collect()
     assert {(r.maxDepth, r.numTrees) for r in found} == {(2, 2), (2, 4), (3, 2), (3, 4)} and all(r.roc_auc > 0.9 for r in found)
+
+
+def test_rows_between_the_same_thresholds_are_scored_once(spark, rows, data):
+    """No two rows are equal, but few differ for the trees; missing features stay apart, and so do folds."""
+    fits = [Fit("m", t, t, TreeParams(numTrees=3, bootstrap=True, maxBins=4)) for t in ("y", "z")]
+    near = rows.withColumn("b", F.col("b") + F.col("id") * 1e-9).withColumn("c", F.when(F.col("id") > 0, F.col("c") + F.col("id") * 1e-9))
+    models = trees.grow(rows, ["id"], FEATS, fits)
+    asked = trees.numbered(near.withColumn("f", F.col("id") % 2))
+    for fold, folds in ((None, 1), ("f", 2)):
+        keys, linked = trees.distinct_rows(asked, FEATS, fold, models)
+        assert keys.count() <= folds * (5 * 5 + 1) and linked.count() == 400
+    keys, linked = trees.distinct_rows(asked, FEATS, None, models)
+    one_each = {(r["_row"], r["place"]): r["total"] for r in trees.score(keys, models).collect()}
+    like = {r["_row"]: r["_like"] for r in linked.collect()}
+    for r in trees.score(asked, models).collect():
+        assert one_each[like[r["_row"]], r["place"]] == pytest.approx(r["total"])
+
+
+def test_tasks_send_a_cell_once(spark, data):
+    """Rows of a cell lie side by side before they are added up, so the cells sent do not grow with the rows."""
+    fits = [Fit("m", "y", "y", TreeParams(numTrees=2, bootstrap=True))]
+    job = trees._Job(fits, ["y"], {256: [np.array([1.0, 2.0]), np.array([0.5])]}, [(0, 0), (0, 1)])
+    sent = []
+    for copies in (40, 400):
+        ready = spark.range(copies * 6).select(F.col("id").alias("number"), F.array(F.col("id") % 3 + 0.5, F.col("id") % 2 + 0.0).alias("x"),
+                                               F.array(F.col("id") % 7).alias("y"), F.lit(-2).alias("fold")).repartition(8)
+        by_cell = trees._cells_together(ready, job, 4)
+        assert sorted(r.number for r in by_cell.collect()) == list(range(copies * 6))
+        packed = by_cell.mapInArrow(trees.partial(trees._cells_of_draws, job=job), trees._PARTS)
+        sent.append(packed.agg(F.sum("cells")).first()[0])
+    assert max(sent) <= 2 * (6 + 3)  # six cells a draw, and one more where a part ends
