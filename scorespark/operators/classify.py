@@ -239,7 +239,7 @@ def grid_search(train: DataFrame, risk: RiskModels, grid: Mapping[str, Sequence[
     models = trees.grow(rows, ["_key"], risk.features, fits, fold)
     keys, asked = trees.distinct_rows(trees.numbered(rows.withColumn("_fold", fold)), risk.features, "_fold", models)
     sums = trees.score(keys, models, "_fold", range(folds), depths, sizes).withColumnRenamed("_row", "_like")
-    scored = sums.join(asked.select("_like", F.col("_label").alias("label")), "_like").select(
+    scored = asked.select("_like", F.col("_label").alias("label")).join(sums.hint("merge"), "_like").select(
         F.col("depth").alias("maxDepth"), F.col("size").alias("numTrees"), F.col("place").alias("fold"), "label",
         F.round(F.col("total") / F.col("n"), DIGITS).alias("score"))
     areas = roc_auc(scored, ("maxDepth", "numTrees", "fold"))

@@ -218,7 +218,7 @@ def add_scores(df: DataFrame, named: Sequence[tuple[str, TreeModel]]) -> DataFra
     sums = trees.score(keys, models).withColumnRenamed("_row", "_like")
     mean = F.round(F.col("total") / F.col("n"), DIGITS)
     wide = sums.groupBy("_like").agg(*[F.max(F.when(F.col("place") == i, mean)).alias(name) for i, (name, _) in enumerate(named)])
-    return rows.join(wide, "_like").drop("_row", "_like")
+    return rows.join(wide.hint("merge"), "_like").drop("_row", "_like")
 
 
 def predict_next(rows: DataFrame, fitted: Mapping[tuple[str, str], object],
@@ -303,7 +303,7 @@ def out_of_fold(pairs: DataFrame, fold: Column, folds: int, params: TreeParams,
     sums = trees.score(keys, models, "_fold", [f.without for f in fits], depths, sizes).withColumnRenamed("_row", "_like")
     of_place = F.array(*[F.struct(F.lit(f.target).alias("subject"), F.lit(f.without).alias("fold")) for f in fits])
     known = rows.select("_like", F.create_map(*[x for s in subjects for x in (F.lit(s), ref(f"{s}_next"))]).alias("known"))
-    return (sums.withColumn("p", F.element_at(of_place, F.col("place") + 1)).join(known, "_like")
+    return (known.join(sums.withColumn("p", F.element_at(of_place, F.col("place") + 1)).hint("merge"), "_like")
             .select("p.subject", "p.fold", "depth", "size", F.element_at("known", F.col("p.subject")).alias("y_true"),
                     F.round(F.col("total") / F.col("n"), DIGITS).alias("y_pred")))
 
@@ -407,6 +407,6 @@ def prediction_intervals(rows: DataFrame, forests: Mapping[str, TreeModel], keys
     scored = trees.score_spread(one_each, models).withColumnRenamed("_row", "_like")
     mean, half = F.round("mean", DIGITS), F.lit(z) * F.col("deviation")
     subject = F.element_at(F.array(*[F.lit(s) for s in subjects]), F.col("place") + 1)
-    return scored.join(rows.select("_like", *[ref(k) for k in keys]), "_like").select(
+    return rows.select("_like", *[ref(k) for k in keys]).join(scored.hint("merge"), "_like").select(
         *[ref(k) for k in keys], subject.alias("subject"), clamp(mean).alias("predicted_mark"),
         clamp(mean - half).alias("low"), clamp(mean + half).alias("high"))

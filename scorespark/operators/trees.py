@@ -919,6 +919,7 @@ def distinct_rows(rows: DataFrame, features: Sequence[str], fold: str | None = N
 
     Trees score equal rows alike, so they read the first table; ``rows`` has a unique ``_row``. Given the ``models`` that
     are to score them, rows between the same thresholds count as equal too: they come as the thresholds above them.
+    Joins with either are merged: what compresses to a small file is no small table to hold in every task.
     """
     names = [f"_x{i}" for i in range(len(features))]
     values = [ref(f).cast("double") for f in features]
@@ -931,7 +932,7 @@ def distinct_rows(rows: DataFrame, features: Sequence[str], fold: str | None = N
     keys = stage(shaped.groupBy(*names, "_f").agg(F.min("_row").alias("_like")), "distinct-rows")
     one = keys.select(F.col("_like").alias("_row"), *[F.col(n).alias(f) for n, f in zip(names, features)],
                       *([] if fold is None else [F.col("_f").alias(fold)]))
-    return one, shaped.join(keys, [*names, "_f"]).drop(*names, "_f")
+    return one, shaped.join(keys.hint("merge"), [*names, "_f"]).drop(*names, "_f")
 
 
 def _thresholds(models: Sequence[TreeModel], k: int) -> list[np.ndarray]:

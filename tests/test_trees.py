@@ -283,3 +283,12 @@ def test_tasks_send_a_cell_once(spark, data):
         packed = by_cell.mapInArrow(trees.partial(trees._cells_of_draws, job=job), trees._PARTS)
         sent.append(packed.agg(F.sum("cells")).first()[0])
     assert max(sent) <= 2 * (6 + 3)  # six cells a draw, and one more where a part ends
+
+
+def test_scores_are_not_held_whole_by_a_task(spark, pairs):
+    """The rows of a search meet their scores in a merge: a table of scores that every task held would grow with the rows."""
+    fold = (F.col("student_id") % 3).cast("int")
+    scored = regression.out_of_fold(pairs, fold, 3, TreeParams(numTrees=2, bootstrap=True, maxDepth=3), ["Math", "CS"], ("student_id",), [1, 3], [1, 2])
+    assert scored.count() == 60 * 2 * 4
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
