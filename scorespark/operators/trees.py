@@ -13,7 +13,7 @@
   the rest of the subtree. Both give the same tree.
 
 A grown model is a table of nodes: (fit, tree, node, depth, feature, threshold,
-value, weight, gain). Node 1 is the root and node n has the children 2n and
+value, weight, gain); it is staged packed, as rows of bytes. Node 1 is the root and node n has the children 2n and
 2n + 1; rows with a feature up to the threshold go to 2n. Every node has a
 value, so a tree cut at a depth is the tree grown to that depth.
 """
@@ -48,6 +48,8 @@ _NODES_HELD = 1 << 21  # by a task that scores, 28 bytes each
 _FEW_ROWS = 1 << 10  # so few that a sample may be without any
 _CELLS_HELD = 1 << 13  # nodes times features that a task adds up before it sends them
 NODES = ("fit int, tree int, node long, depth int, feature int, threshold double, value double, weight long, gain double")
+_TREES = "fit int, tree int, count int, walk binary, grown binary"
+_NODES_PACKED = 1 << 16  # in a row of bytes: 28 that a walk needs, 16 more, each
 _CELLS = "unit int, feature int, bin int, w long, s long, n long, low long, high long"
 # Poisson(1): a draw is the number of these that the hash reaches
 _POISSON = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(j + 1))) for j in range(10)]
@@ -78,7 +80,7 @@ class Fit:
 
 @dataclass
 class TreeModel:
-    """A fitted tree or forest: the rows of ``nodes`` whose fit is ``number``."""
+    """A fitted tree or forest: the rows of ``nodes``, packed trees, whose fit is ``number``."""
 
     nodes: DataFrame
     number: int
@@ -87,7 +89,7 @@ class TreeModel:
     rules: list | None = field(default=None, repr=False)
 
     def table(self) -> DataFrame:
-        return self.nodes.where(F.col("fit") == self.number)
+        return unpacked_nodes(self.nodes.where(F.col("fit") == self.number))
 
     def predict(self) -> Column | None:
         """The prediction as one expression, for a single tree of few nodes; NULL features give NULL."""
@@ -211,17 +213,17 @@ def grow(rows: DataFrame, key: Sequence[str], features: Sequence[str], fits: Seq
     else:
         done, units, splits = _split_large(ready, job, local_rows)
         parts = ready.mapInArrow(partial(_route_to_units, job=job, splits=splits, units=units), _PARTS)
-        top = spark.createDataFrame(done, NODES)  # the nodes with more rows than a task holds
+        top = packed_nodes(spark.createDataFrame(done, NODES))  # the nodes with more rows than a task holds
     groups = max(1, len(units))
     placed = parts.repartitionById(min(groups, max(8 * parallel, 1)), F.col("group")).sortWithinPartitions("group")
-    nodes = placed.mapInArrow(partial(_grow_groups, job=job, units=units), NODES)
+    nodes = placed.mapInArrow(partial(_grow_groups, job=job, units=units), _TREES)
     nodes = stage(nodes if top is None else nodes.union(top), "nodes")
     small = {f for f, p in enumerate(fits) if p.params.numTrees == 1}
-    sizes = nodes.where(F.col("fit").isin(*small)).groupBy("fit").count().where(F.col("count") <= COMPILED) if small else None
+    sizes = nodes.where(F.col("fit").isin(*small)).groupBy("fit").agg(F.sum("count").alias("n")).where(F.col("n") <= COMPILED) if small else None
     few = {r["fit"] for r in sizes.collect()} if small else set()
     rules: dict[int, list] = {f: [] for f in few}
     if few:
-        for r in nodes.where(F.col("fit").isin(*few)).collect():
+        for r in unpacked_nodes(nodes.where(F.col("fit").isin(*few))).collect():
             rules[r["fit"]].append(r)
     return [TreeModel(nodes, i, features, f.params, rules.get(i)) for i, f in enumerate(fits)]
 
@@ -471,25 +473,69 @@ def _grow_groups(batches: Iterator[pa.RecordBatch], job: _Job, units: Mapping[in
                                           np.array([job.of(unit)[2] for unit, _ in part], np.int64), params)
                 for j, (unit, _) in enumerate(part):
                     mine = which == j
-                    yield _node_rows(job, unit, *(c[mine] for c in grown))
+                    yield from _packed_trees(*job.trees[unit], *_node_columns(job, unit, *(c[mine] for c in grown)))
 
 
-def _node_rows(job: _Job, unit: int, node, feature, bin_, s, w, gain) -> pa.RecordBatch:
-    fit, tree = job.trees[unit]
-    threshold = np.full(len(node), np.nan)
-    for f, cut in enumerate(job.cuts[job.fits[fit].params.maxBins]):
+def _node_columns(job: _Job, unit: int, node, feature, bin_, s, w, gain) -> tuple[np.ndarray, ...]:
+    """(node, threshold, value, feature, weight, gain) of some nodes; a leaf's threshold is 0."""
+    threshold = np.zeros(len(node))
+    for f, cut in enumerate(job.cuts[job.fits[job.trees[unit][0]].params.maxBins]):
         mine = feature == f
         threshold[mine] = cut[bin_[mine]]
-    depth, rest = np.zeros(len(node), np.int32), np.asarray(node, np.int64)
-    for bits in (32, 16, 8, 4, 2, 1):
-        long = rest >= 1 << bits
-        depth[long] += bits
-        rest = np.where(long, rest >> bits, rest)
     value = np.divide(s, w * float(STEP), out=np.zeros(len(s)), where=w > 0)
-    columns = [np.full(len(node), fit, np.int32), np.full(len(node), tree, np.int32), node, depth, feature.astype(np.int32)]
-    return pa.RecordBatch.from_arrays(
-        [*map(pa.array, columns), pa.array(threshold, mask=feature < 0), pa.array(value), pa.array(w.astype(np.int64)),
-         pa.array(gain / float(STEP) ** 2)], names=[c.split()[0] for c in NODES.split(", ")])
+    return node, threshold, value, feature.astype(np.int32), w.astype(np.int64), gain / float(STEP) ** 2
+
+
+def _packed_trees(fit: int, tree: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Nodes of a tree as rows of bytes: what a walk reads (node, threshold, value, feature) and the rest (weight, gain)."""
+    for lo in range(0, len(columns[0]), _NODES_PACKED):
+        data = [np.ascontiguousarray(c[lo:lo + _NODES_PACKED]).tobytes() for c in columns]
+        count = min(len(columns[0]) - lo, _NODES_PACKED)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([v], pa.int32()) for v in (fit, tree, count)), *(pa.array([b"".join(d)], pa.binary()) for d in (data[:4], data[4:]))],
+            names=[c.split()[0] for c in _TREES.split(", ")])
+
+
+def packed_nodes(nodes: DataFrame) -> DataFrame:
+    """Rows of nodes as packed trees."""
+    return nodes.select(*[c.split()[0] for c in NODES.split(", ")]).mapInArrow(_pack_nodes, _TREES)
+
+
+def unpacked_nodes(packed: DataFrame) -> DataFrame:
+    """Packed trees as rows, a node each."""
+    return packed.mapInArrow(_unpack_nodes, NODES)
+
+
+def _pack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nodes in batches:
+        fit, tree, node, feature, value, weight, gain = (
+            nodes.column(c).to_numpy() for c in ("fit", "tree", "node", "feature", "value", "weight", "gain"))
+        threshold = nodes.column("threshold").fill_null(0.0).to_numpy()
+        for i in _runs(tree, fit):
+            yield from _packed_trees(int(fit[i[0]]), int(tree[i[0]]),
+                                     *(c[i] for c in (node, threshold, value, feature.astype(np.int32), weight, gain)))
+
+
+def _walk_columns(count: int, data) -> list[np.ndarray]:
+    return [np.frombuffer(data, kind, count, 8 * count * i) for i, kind in enumerate((np.int64, np.float64, np.float64, np.int32))]
+
+
+def _unpack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            fit, tree, count = (batch.column(c)[i].as_py() for c in ("fit", "tree", "count"))
+            node, threshold, value, feature = _walk_columns(count, batch.column("walk")[i].as_buffer())
+            weight, gain = (np.frombuffer(batch.column("grown")[i].as_buffer(), kind, count, 8 * count * j)
+                            for j, kind in enumerate((np.int64, np.float64)))
+            depth, rest = np.zeros(count, np.int32), node
+            for bits in (32, 16, 8, 4, 2, 1):
+                long = rest >= 1 << bits
+                depth[long] += bits
+                rest = np.where(long, rest >> bits, rest)
+            columns = [np.full(count, fit, np.int32), np.full(count, tree, np.int32), node, depth, feature]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array(threshold, mask=feature < 0), *map(pa.array, (value, weight, gain))],
+                names=[c.split()[0] for c in NODES.split(", ")])
 
 
 def _allowed(vary: np.ndarray, node: np.ndarray, tree: np.ndarray, params: TreeParams) -> np.ndarray:
@@ -507,65 +553,136 @@ def _subtrees(bins: np.ndarray, wy: np.ndarray, lowest: np.ndarray, highest: np.
     """All nodes below ``roots``, level by level: (root's place, node, feature, bin, sum, weight, gain); feature -1 marks a leaf.
 
     A row is a cell with its sum, range and weight. ``at`` is the place of its root; a cell that several trees use stands
-    there once for each.
+    there once for each. A level looks at the rows of open nodes only, and by a feature only at those of nodes in which it
+    varies: where it does not, it does not below either. Rows in a feature's most frequent bin (filled scores are many) are
+    not looked at by it: their sums are what the others leave of the node's.
     """
-    k = bins.shape[1]
-    ids, place = roots, np.arange(len(roots))
-    live = [f for f in range(k) if len(w) and bins[:, f].min() < bins[:, f].max()] or [0]  # others never split
-    order = [_order(bins[:, f]) for f in live]
+    k, n = bins.shape[1], len(w)
+    ids, place, at = roots, np.arange(len(roots)), at.astype(np.int32)
+    across = np.ascontiguousarray(bins.T)
+    flat = across.ravel()
+    live = [f for f in range(k) if n and across[f].min() < across[f].max()]
+    usual = {f: int(np.bincount(across[f]).argmax()) for f in live}
+    order = {f: o[across[f][o] != usual[f]] for f in live for o in [_order(across[f])]}
+    n_bins = int(flat.max()) + 1 if n else 1
+    rows = np.arange(n)
     deepest = DEEPEST if params.maxDepth is None else min(params.maxDepth, DEEPEST)
     out = []
     while len(ids):
         m = len(ids)
-        rows = order[0]
-        total_w, total_s = np.bincount(at[rows], w[rows], m), np.bincount(at[rows], wy[rows], m)
+        here = at[rows]
+        sort = _order(here)
+        rows, here = rows[sort], here[sort]
+        starts = _starts(here)
+        with_rows = here[starts]
+
+        def per_node(how, values):
+            found = np.zeros(m, np.int64)
+            if len(starts):
+                found[with_rows] = how.reduceat(values[rows], starts)
+            return found
+
+        all_w, all_s = per_node(np.add, w), per_node(np.add, wy)
+        total_w, total_s = all_w.astype(np.float64), all_s.astype(np.float64)
         feature, bin_, gain = np.full(m, -1), np.full(m, -1), np.zeros(m)
         out.append((place, ids, feature, bin_, total_s, total_w, gain))
         going = ids >> deepest == 0  # roots need not be of one depth
         if not going.any():
             break
-        low, high = np.full(m, np.iinfo(np.int64).max), np.full(m, np.iinfo(np.int64).min)
-        np.minimum.at(low, at[rows], lowest[rows])
-        np.maximum.at(high, at[rows], highest[rows])
-        open_ = (total_w >= 2) & (low < high) & going
-        order = [o[open_[at[o]]] for o in order]
-        if not len(order[0]):
+        several = np.zeros(m, bool)
+        several[with_rows] = np.diff(np.r_[starts, len(rows)]) > 1
+        open_ = (total_w >= 2) & several & going & (per_node(np.minimum, lowest) < per_node(np.maximum, highest))
+        opened = np.flatnonzero(open_)
+        if not len(opened):
             break
-        best, where, vary = np.full((m, k), -np.inf), np.zeros((m, k), np.int64), np.zeros((m, k), bool)
-        before_w, before_s = (np.r_[0, np.cumsum(np.where(open_, t, 0).astype(np.int64))][:-1] for t in (total_w, total_s))
-        for place_of, f in enumerate(live):
-            o = order[place_of] = order[place_of][_order(at[order[place_of]])]
-            node, b = at[o], bins[o, f]
-            i = np.flatnonzero((node[1:] == node[:-1]) & (b[1:] != b[:-1]))  # the last row of a candidate's left side
+        number = np.full(m + 1, -1, np.int32)  # among the open nodes; rows that are done are at -1, the last
+        number[opened] = np.arange(len(opened), dtype=np.int32)
+        stays = open_[here]
+        at[rows[~stays]] = -1
+        rows = rows[stays]
+        w_of, s_of, w_all, s_all = total_w[opened], total_s[opened], all_w[opened], all_s[opened]
+        best, where, vary = np.full((len(opened), k), -np.inf), np.zeros((len(opened), k), np.int64), np.zeros((len(opened), k), bool)
+        for f, o in order.items():
+            node = number.take(at.take(o))
+            stays = np.flatnonzero(node >= 0)
+            if len(stays) < len(o):
+                o, node = o.take(stays), node.take(stays)
+            if len(opened) > 1:
+                sort = _order(node)
+                o, node = o.take(sort), node.take(sort)
+            order[f] = o
+            if not len(o):
+                continue
+            b = across[f].take(o)
+            starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (b[1:] != b[:-1])])
+            run = [node.take(starts), b.take(starts), *(np.add.reduceat(v.take(o), starts) for v in (w, wy))]
+            run, varies = _with_usual(run, usual[f], n_bins, (w_all, s_all)), vary[:, f]
+            i = np.flatnonzero(run[0][1:] == run[0][:-1])  # the last bin of a candidate's left side
+            varies[run[0].take(i)] = True
+            if not varies.all():
+                order[f] = o[varies.take(node)]
             if not len(i):
                 continue
-            node = node[i]
-            wl = (np.cumsum(w[o])[i] - before_w[node]).astype(np.float64)
-            sl = (np.cumsum(wy[o])[i] - before_s[node]).astype(np.float64)
-            wr, sr = total_w[node] - wl, total_s[node] - sl
+            first = _starts(run[0])[1:]
+            at_start, node = run[0].take(first), run[0].take(i)
+            sums = []
+            for values in run[2:]:
+                so_far, before = np.cumsum(values), np.zeros(len(opened), np.int64)
+                before[at_start] = so_far.take(first - 1)
+                sums.append((so_far.take(i) - before.take(node)).astype(np.float64))
+            wl, sl = sums
+            wr, sr = w_of.take(node) - wl, s_of.take(node) - sl
             score = sl * sl / wl + sr * sr / wr
-            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            starts = _starts(node)
             top = np.maximum.reduceat(score, starts)
             tops = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[starts, len(node)])))
-            first = tops[np.r_[True, node[tops[1:]] != node[tops[:-1]]]]
-            best[node[first], f], where[node[first], f], vary[node[first], f] = score[first], b[i[first]], True
-        best = np.where(_allowed(vary, ids, trees[place], params), best, -np.inf)
+            first = tops[_starts(node[tops])]
+            best[node[first], f], where[node[first], f] = score[first], run[1][i[first]]
+        best = np.where(_allowed(vary, ids[opened], trees[place[opened]], params), best, -np.inf)
         choice = best.argmax(axis=1)
-        score = best[np.arange(m), choice]
-        parent = np.divide(total_s * total_s, total_w, out=np.zeros(m), where=total_w > 0)
-        split = np.flatnonzero(open_ & (score > parent))
-        feature[split], bin_[split], gain[split] = choice[split], where[split, choice[split]], (score - parent)[split]
-        child = np.full(m, -1, np.int64)
+        score = best[np.arange(len(opened)), choice]
+        parent = s_of * s_of / w_of
+        split = np.flatnonzero(score > parent)
+        by, cut, parts = choice[split], where[split, choice[split]], opened[split]
+        feature[parts], bin_[parts], gain[parts] = by, cut, (score - parent)[split]
+        child = np.full(len(opened), -1, np.int64)
         child[split] = np.arange(len(split))
-        order = [o[child[at[o]] >= 0] for o in order]
-        rows = order[0]
-        here = at[rows]
-        at[rows] = 2 * child[here] + (bins[rows, feature[here]] > bin_[here])
-        ids = np.stack([2 * ids[split], 2 * ids[split] + 1], axis=1).ravel()
-        place = np.repeat(place[split], 2)
+        below = child[number[at[rows]]]
+        at[rows[below < 0]] = -1
+        rows, below = rows[below >= 0], below[below >= 0]
+        at[rows] = 2 * below + (flat[by[below] * n + rows] > cut[below])
+        ids = np.stack([2 * ids[parts], 2 * ids[parts] + 1], axis=1).ravel()
+        place = np.repeat(place[parts], 2)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _with_usual(run: list[np.ndarray], usual: int, n_bins: int, total: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Runs (node, bin, weight, sum) in order, with one more for the rows of each of their nodes that are in the bin ``usual``."""
+    nodes, left = _starts(run[0]), []
+    held = run[0].take(nodes)
+    for values, whole in zip(run[2:], total):
+        left.append(whole.take(held) - np.add.reduceat(values, nodes))
+    some = np.flatnonzero(left[0] > 0)
+    if not len(some):
+        return run
+    more = held.take(some)
+    places = np.searchsorted(run[0].astype(np.int64) * n_bins + run[1], more.astype(np.int64) * n_bins + usual) + np.arange(len(some))
+    others = np.ones(len(run[0]) + len(some), bool)
+    others[places] = False
+    others = np.flatnonzero(others)
+    out = []
+    for old, new in zip(run, (more, usual, *(x.take(some) for x in left))):
+        both = np.empty(len(others) + len(some), old.dtype)
+        both[others], both[places] = old, new
+        out.append(both)
+    return out
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
 # nodes with more rows than a task holds
 
 def _walk(bins: np.ndarray, splits: Mapping[int, tuple[int, int]]) -> np.ndarray:
@@ -657,8 +774,9 @@ def _split_large(ready: DataFrame, job: _Job, local_rows: int):
             r = found.get((unit, node))
             if r is None:  # no row has a weight here
                 r = {"feature": -1, "bin": -1, "s": 0.0, "w": 0.0, "gain": 0.0}
-            row = _node_rows(job, unit, np.array([node]), *(np.array([r[c]]) for c in ("feature", "bin", "s", "w", "gain")))
-            done += [tuple(x.values()) for x in row.to_pylist()]
+            row = _node_columns(job, unit, np.array([node]), *(np.array([r[c]]) for c in ("feature", "bin", "s", "w", "gain")))
+            _, threshold, value, feature, weight, gain = (c[0].item() for c in row)
+            done.append((*job.trees[unit], node, node.bit_length() - 1, feature, threshold if feature >= 0 else None, value, weight, gain))
             if r["feature"] >= 0:
                 splits[unit][node] = (r["feature"], r["bin"])
                 for child, rows in ((2 * node, r["ln"]), (2 * node + 1, r["rn"])):
@@ -760,7 +878,7 @@ def _partial_sums(rows: DataFrame, models: Sequence[TreeModel], fold: str | None
     tables: dict[int, tuple[DataFrame, list[tuple[int, int]]]] = {}
     for place, m in enumerate(models):
         tables.setdefault(id(m.nodes), (m.nodes, []))[1].append((m.number, place))
-    n_nodes = sum(nodes.where(F.col("fit").isin(*[n for n, _ in used])).count() for nodes, used in tables.values())
+    n_nodes = sum(nodes.where(F.col("fit").isin(*[n for n, _ in used])).agg(F.sum("count")).first()[0] for nodes, used in tables.values())
     tasks, n_rows = 4 * spark.sparkContext.defaultParallelism, rows.count()
     most_slices = 1 + n_rows // _SLICE_ROWS
     groups = max(-(-n_nodes // _NODES_HELD), -(-tasks // most_slices))
@@ -772,7 +890,7 @@ def _partial_sums(rows: DataFrame, models: Sequence[TreeModel], fold: str | None
     for nodes, used in tables.values():
         place = F.coalesce(*[F.when(F.col("fit") == number, F.lit(p)) for number, p in used])
         part = nodes.where(F.col("fit").isin(*[number for number, _ in used])).select(
-            place.alias("place"), "tree", "node", "feature", "threshold", "value").mapInArrow(_pack_nodes, _PACKED)
+            F.lit(0).alias("side"), place.alias("place"), "tree", F.lit(-2).alias("fold"), "count", F.col("walk").alias("data"))
         parts = part if parts is None else parts.union(part)
     parts = parts.withColumn("group", group).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     met = F.sequence(F.lit(0), F.lit(groups - 1))
@@ -815,14 +933,6 @@ def _runs(*keys: np.ndarray) -> Iterator[np.ndarray]:
     return iter(np.split(order, np.flatnonzero(differs) + 1))
 
 
-def _pack_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nodes in batches:
-        place, tree, node, feature, value = (nodes.column(c).to_numpy() for c in ("place", "tree", "node", "feature", "value"))
-        threshold = nodes.column("threshold").fill_null(0.0).to_numpy()
-        for i in _runs(tree, place):
-            yield _packed(0, int(place[i[0]]), int(tree[i[0]]), -2, [node[i], threshold[i], value[i], feature[i].astype(np.int32)])
-
-
 def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         if not rows.num_rows:
@@ -853,9 +963,7 @@ def _score_groups(batches: Iterator[pa.RecordBatch], k: int, without, depths: li
 
 def _arrays_of_tree(parts: Sequence[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
     """(feature, threshold, left child, value) of a tree's nodes; children lie next to each other, a leaf leads to itself."""
-    node, threshold, value = (np.concatenate([np.frombuffer(data, kind, n, 8 * n * i) for n, data in parts])
-                              for i, kind in enumerate((np.int64, np.float64, np.float64)))
-    feature = np.concatenate([np.frombuffer(data, np.int32, n, 24 * n) for n, data in parts])
+    node, threshold, value, feature = (np.concatenate(c) for c in zip(*(_walk_columns(n, data) for n, data in parts)))
     order = np.argsort(node)
     node, threshold, value, feature = node[order], threshold[order], value[order], feature[order]
     leaf = feature < 0
@@ -940,13 +1048,26 @@ def _thresholds(models: Sequence[TreeModel], k: int) -> list[np.ndarray]:
     tables: dict[int, tuple[DataFrame, set[int]]] = {}
     for m in models:
         tables.setdefault(id(m.nodes), (m.nodes, set()))[1].add(m.number)
-    parts = [nodes.where(F.col("fit").isin(*used) & (F.col("feature") >= 0)).select("feature", "threshold") for nodes, used in tables.values()]
+    parts = [nodes.where(F.col("fit").isin(*used)).select("count", "walk").mapInArrow(_used_cuts, "feature int, threshold double")
+             for nodes, used in tables.values()]
     found: list[list[float]] = [[] for _ in range(k)]
     for r in reduce(DataFrame.union, parts).distinct().collect():
         found[r["feature"]].append(r["threshold"])
     return [np.sort(np.array(v, np.float64)) for v in found]
 
 
+def _used_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different thresholds of each feature in some packed trees."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for count, data in zip(batch.column("count").to_pylist(), batch.column("walk")):
+            _, threshold, _, feature = _walk_columns(count, data.as_buffer())
+            for f in np.flatnonzero(np.bincount(feature[feature >= 0])):
+                found[f] = np.unique(np.concatenate([found.get(f, threshold[:0]), threshold[feature == f]]))
+    for f, cuts in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), f, np.int32)), pa.array(cuts)], names=["feature", "threshold"])
+
+
 def _threshold_above(value: Column, cut: np.ndarray) -> Column:
     """The smallest threshold that is not below ``value``, infinity above all; a tree sends both the same way."""
     ends = np.append(cut, np.inf)

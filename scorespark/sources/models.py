@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.classify import CLASSIFIERS, LogisticFit, RiskModels
 from ..operators.regression import REGRESSORS, LinearFit, fit_from_moments, year_moments
 from ..operators.tables import consecutive_pairs
-from ..operators.trees import COMPILED, TreeModel, TreeParams
+from ..operators.trees import COMPILED, TreeModel, TreeParams, packed_nodes
 from ..schema import PERIOD, SUBJECTS
 from ..session import path_exists
 
@@ -39,7 +39,7 @@ def _load_tree(spark: SparkSession, path: str) -> TreeModel:
     nodes = spark.read.parquet(f"{path}/nodes").withColumn("fit", F.lit(0))
     params = TreeParams(**described)
     few = params.numTrees == 1 and nodes.limit(COMPILED + 1).count() <= COMPILED
-    return TreeModel(nodes, 0, features, params, nodes.collect() if few else None)
+    return TreeModel(packed_nodes(nodes), 0, features, params, nodes.collect() if few else None)
 
 
 def save_regressors(spark: SparkSession, fitted: Mapping[tuple[str, str], object], folder: str) -> None:

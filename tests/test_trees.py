@@ -292,3 +292,35 @@ def test_scores_are_not_held_whole_by_a_task(spark, pairs):
     assert scored.count() == 60 * 2 * 4
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_trees_are_staged_packed(spark, rows):
+    """A tree is a row of bytes, not a row a node, and comes back node by node, also from a stored model."""
+    fits = [Fit("m", t, t, TreeParams(numTrees=5, bootstrap=True)) for t in ("y", "z")]
+    models = trees.grow(rows, ["id"], FEATS, fits)
+    assert models[0].nodes.count() == 10 and models[0].nodes.agg(F.sum("count")).first()[0] == sum(m.table().count() for m in models)
+    counted = trees.grow(rows, ["id"], FEATS, fits, None, 60)
+    assert [table(m) for m in models] == [table(m) for m in counted]
+    again = trees.packed_nodes(models[1].table().repartition(3))
+    assert sorted(map(tuple, trees.unpacked_nodes(again).collect())) == sorted(map(tuple, models[1].table().collect()))
+
+
+def test_rows_in_the_most_frequent_bin_are_not_looked_at(spark, monkeypatch):
+    """Filled scores put most rows into one bin: trees are those of a plain builder, from the other rows only."""
+    rng = random.Random(9)
+    data = [(i, *[rng.choice([1.0, 2.0, 4.0, 5.0]) if rng.random() < 0.2 else 3.0 for _ in range(3)], rng.gauss(0, 2)) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, a double, b double, c double, y double")
+    model = trees.grow(df, ["id"], FEATS, [Fit("m", "y", "y", TreeParams(maxDepth=6))])[0]
+    x, y = [d[1:4] for d in data], [d[4] for d in data]
+    cuts = [sorted({r[f] for r in x}) for f in range(3)]
+    got = {r.node: (r.feature, r.threshold or 0.0, r.value, r.weight) for r in model.table().collect()}
+    expected = plain_tree(x, y, [1] * 300, cuts, 6)
+    assert got.keys() == expected.keys()
+    assert all(got[n][:2] == expected[n][:2] and got[n][2] == pytest.approx(expected[n][2]) and got[n][3] == expected[n][3] for n in got)
+    seen = []
+    monkeypatch.setattr(trees, "_with_usual", lambda run, *rest, plain=trees._with_usual: seen.append(rest[0]) or plain(run, *rest))
+    bins = np.array([[sorted(cuts[f]).index(r[f]) for f in range(3)] for r in x], np.int32)
+    steps = np.array([int(v * trees.STEP) for v in y])
+    trees._subtrees(bins, steps, steps, steps, np.ones(300, np.int64), np.zeros(300, np.int64), np.ones(1, np.int64),
+                    np.zeros(1, np.int64), TreeParams(maxDepth=2))
+    assert set(seen) == {2}  # bin 2 is the filled one, of every feature
