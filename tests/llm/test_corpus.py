@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -519,3 +520,36 @@ def test_labels_both_ways_count_as_toxic(spark):
     both = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(i, 0) for i in range(0, 90, 3)], "doc_id long, toxic int")
     once = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
     assert toxicity.fit(docs(spark, rows), both) == toxicity.fit(docs(spark, rows), once)
+
+
+@pytest.mark.parametrize("limit", [40, 100_000])
+def test_words_behind_line_ends_are_whole_words(limit):
+    """A word before a line end and the one behind it are two words, not one that hardly ever comes again."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, lib = token_files._Tokenizer(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    for store in (own.cache.words, own.cache.pieces, own.letters):
+        store.limit = limit
+    texts = [f"Start of it{mark}\nLine{i % 7} goés on,\nÜber {i}\nit's" for i in range(60) for mark in (".", "", "?!")]
+    texts += hard_texts() + ["a b\n\nc d", "a b\r\nc d", "a b\n c", "a b\n", "a \nb", "a b\n<|endoftext|>", "a b c\n d", "", "a b\n.\n'll"]
+    for part in (texts[:100], texts[100:], texts[50:150]):
+        assert [x.tolist() for x in own.encode(part)] == [lib.encode(t, add_special_tokens=False).ids for t in part]
+    few = token_files._Tokenizer(path, public_tokenizers.PATTERN)
+    few.encode(texts[:180])
+    assert len(few.cache.pieces.keys) < 10 and "\nLine3" in few.cache.words.keys.to_pylist()
+
+
+def test_a_store_tells_strings_of_equal_hashes_apart(monkeypatch):
+    asked = []
+
+    def learn(new):
+        asked.append(len(new))
+        return np.array([len(x) for x in new.to_pylist()], np.int64), np.array([ord(c) for x in new.to_pylist() for c in x], "<i4")
+
+    store = pieces.Store(10, learn)
+    monkeypatch.setattr(pieces, "hash", lambda x: len(x) % 2, raising=False)
+    for words_ in (["a", "bc", "def"], ["bc", "gh"], ["def", "a", "xyz", "u", "vw"], ["q" * n for n in range(1, 15)], ["bc", "a"], []):
+        size, flat = store.ids(pa.array(words_, pa.large_string()))
+        assert size.tolist() == [len(w) for w in words_] and flat.tolist() == [ord(c) for w in words_ for c in w]
+    assert len(store.keys) <= 10 + 14 and asked[0] == 3
