@@ -70,7 +70,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no token and the digests of nothing; texts of any length are read whole; a repeated row
     gives a repeated row.
     """
-    return bpe.encode_documents(docs, carry=("doc_id", "source", "lang"), digests=True)
+    # the executors still hold what earlier stages left, so each task works on little and returns its memory
+    return bpe.encode_documents(docs, carry=("doc_id", "source", "lang"), digests=True, lean=True)
 
 
 STAGES = [

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import claim
+from scorespark.llm.common import claim, give_back
 from scorespark.llm.pieces import HELD, PieceEncoder, chunks, text_chunks
 
 _DEPTH = 64  # most steps of one recursive query; it starts again from its last state until the fixpoint
-_KEPT = 1 << 22  # tokens times steps that one query keeps: with more tokens it takes fewer steps
+_KEPT = 32  # tokens times steps that one query keeps, for each of its ``state``: with more tokens it takes fewer steps
 _LONG = 96  # tokens of a word from which on all places of its best pair are contracted at a time
-_CHUNK = 2 << 20  # characters of text, or ids, handled at a time
-_STATE = 1 << 17  # tokens in one recursive query
+_CHUNK = 16  # characters of text, or ids, handled at a time, for each token of ``state``
+_STATE, _LEAN = 1 << 17, 1 << 15  # tokens in one recursive query; where memory is short
 _CUT = 1024  # bytes of a word from which on it is merged in windows
 _SPAN, _OVERLAP = 128, 64  # bytes by which windows are apart, and that a window shares with the next one
 
@@ -80,8 +80,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """The merge table and vocabulary of a rank file in a DuckDB database of this process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = HELD):
-        self.pattern, self.ranks = pattern, ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = HELD, state: int = _STATE):
+        self.pattern, self.ranks, self.state = pattern, ranks, state
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = {i: str(i) for i in ranks.values()}
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -106,7 +106,7 @@ class Bpe:
     def _fixpoint(self, words: dict[int, np.ndarray], query: str) -> Iterator[tuple[int, bytes]]:
         while words:
             size = [len(x) for x in words.values()]
-            depth = max(1, min(_DEPTH, _KEPT // sum(size)))
+            depth = max(1, min(_DEPTH, _KEPT * self.state // sum(size)))
             self._table("state", {
                 "w": np.repeat(np.fromiter(words, np.int32, len(words)), size),
                 "p": np.arange(sum(size), dtype=np.int32), "t": np.concatenate(list(words.values())).astype(np.int32)})
@@ -124,7 +124,7 @@ class Bpe:
     def _windows(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(start, end, ids) of overlapping windows of a word, each merged by itself."""
         starts = list(range(0, max(1, len(x) - _OVERLAP), _SPAN))
-        for part in chunks(starts, lambda s: _SPAN + _OVERLAP, _STATE):
+        for part in chunks(starts, lambda s: _SPAN + _OVERLAP, self.state):
             got = dict(self._fixpoint({s: x[s:s + _SPAN + _OVERLAP] for s in part}, _CONTRACT_LONG))
             for s in part:
                 yield s, min(len(x), s + _SPAN + _OVERLAP), np.frombuffer(got.pop(s), "<i4")
@@ -154,7 +154,7 @@ class Bpe:
                 continue
             at = (0, 0) if end == 0 else self._joint(out[:n], end, ids, start)
             back = _OVERLAP // 2
-            reach = _SPAN if at else min(2 * reach, _STATE // 2)  # what repeats at another phase goes on doing so
+            reach = _SPAN if at else min(2 * reach, self.state // 2)  # what repeats at another phase goes on doing so
             while at is None:
                 start = end - int(self.size[out[max(0, n - back):n]].sum())
                 stop = max(stop, min(len(x), end + reach))
@@ -178,7 +178,7 @@ class Bpe:
             else:
                 (short if len(data) < _LONG else long)[i] = self.byte[np.frombuffer(data, np.uint8)]
         for words, query in ((short, _CONTRACT), (long, _CONTRACT_LONG)):
-            for part in chunks(list(words.items()), lambda x: len(x[1]), _STATE):
+            for part in chunks(list(words.items()), lambda x: len(x[1]), self.state):
                 for i, ids in self._fixpoint(dict(part), query):
                     yield pieces[i], ids
 
@@ -190,8 +190,9 @@ class Bpe:
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id list; an id without a token raises."""
-        if any(len(x) > 4 * _STATE for x in docs):  # a very long list goes in parts
-            return [b"".join(self.decode([x[i:i + 4 * _STATE]])[0] for i in range(0, len(x), 4 * _STATE)) for x in docs]
+        most = 4 * self.state
+        if any(len(x) > most for x in docs):  # a very long list goes in parts
+            return [b"".join(self.decode([x[i:i + most]])[0] for i in range(0, len(x), most)) for x in docs]
         out = [b""] * len(docs)
         size = [len(x) for x in docs]
         flat = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int32)
@@ -209,19 +210,20 @@ class Bpe:
 _OPEN: dict[tuple, Bpe] = {}
 
 
-def _bpe(path: str, pattern: str, held: int = HELD) -> Bpe:
+def _bpe(path: str, pattern: str, held: int = HELD, state: int = _STATE) -> Bpe:
     """This worker's database, opened once."""
     claim(__name__, _OPEN.clear)
-    key = path, pattern, held
+    key = path, pattern, held, state
     if key not in _OPEN:
-        _OPEN[key] = Bpe(read_ranks(path), pattern, held)
+        _OPEN[key] = Bpe(read_ranks(path), pattern, held, state)
     return _OPEN[key]
 
 
-def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, what: str, held: int) -> Iterator[pa.RecordBatch]:
-    bpe = _bpe(path, pattern, held)
+def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, what: str, held: int, lean: bool) -> Iterator[pa.RecordBatch]:
+    state = _LEAN if lean else _STATE
+    bpe = _bpe(path, pattern, held, state)
     for batch in batches:
-        for first, texts in text_chunks(batch.column(0), _CHUNK):
+        for first, texts in text_chunks(batch.column(0), _CHUNK * state):
             ids = bpe.encode(texts)
             carried = batch.slice(first, len(texts)).columns[1:]
             counts = pa.array([len(x) for x in ids], pa.int64())
@@ -233,16 +235,20 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, wha
             else:
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
-                decoded = [b for some in chunks(ids, len, 4 * _STATE) for b in bpe.decode(some)]
+                decoded = [b for some in chunks(ids, len, 4 * state) for b in bpe.decode(some)]
                 made = [counts, sha(map(bpe.decimals, ids)), sha(decoded)]
             yield pa.RecordBatch.from_arrays([*carried, *made], names=[*batch.schema.names[1:], *names])
+    if lean:  # Spark's next task may go to another idle worker, which opens its own
+        del bpe
+        _OPEN.clear()
+        give_back()
 
 
 def _decode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = _bpe(path, pattern)
     for batch in batches:
         rows = list(enumerate(np.array(x.as_py() or [], np.int32) for x in batch.column(0)))
-        for part in chunks(rows, lambda r: len(r[1]), _CHUNK):
+        for part in chunks(rows, lambda r: len(r[1]), _CHUNK * _STATE):
             data = pa.array(bpe.decode([x for _, x in part]), pa.binary())
             carried = batch.slice(part[0][0], len(part)).columns[1:]
             yield pa.RecordBatch.from_arrays([*carried, data], names=[*batch.schema.names[1:], "decoded"])
@@ -255,7 +261,7 @@ def _schema(df: DataFrame, names: list[str], more: str) -> str:
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
                      text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), digests: bool = False,
-                     held: int = HELD) -> DataFrame:
+                     held: int = HELD, lean: bool = False) -> DataFrame:
     """The columns in ``carry``, ids (array of int) and n_tokens, a row for every row of ``docs``.
 
     The ids are those of the byte-level BPE whose rank file is at ``path``
@@ -263,7 +269,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     itself, without special tokens. With ``digests`` the ids are decoded again
     on the spot and only the SHA-256 of the ids in decimals and of the decoded
     bytes come back (ids_sha256, decoded_sha256) instead of the ids. ``held``
-    bounds the words a worker remembers (see ``PieceEncoder``).
+    bounds the words a worker remembers (see ``PieceEncoder``). ``lean`` works
+    on smaller parts at a time and lets a worker return its memory after each
+    task: for jobs that leave an executor little.
 
     Null and empty texts have no ids. Very long texts are handled by
     themselves. Repeated rows give repeated rows, an empty table none. Columns
@@ -273,7 +281,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     source = docs.select(F.col(text_col).alias("_text"), *carry)
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, n_tokens long"
-    return source.mapInArrow(partial(_encode_rows, path=path, pattern=pattern, what="digests" if digests else "ids", held=held),
+    return source.mapInArrow(partial(_encode_rows, path=path, pattern=pattern, what="digests" if digests else "ids", held=held, lean=lean),
                              _schema(docs, list(carry), more))
 
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorespark.llm.common import Staged, claim, mix64, shuffle_partitions
+from scorespark.llm.common import Staged, claim, give_back, mix64, shuffle_partitions
 
 #: a difference cover modulo 50: every residue is a difference of two members
 PERIOD, COVER = 50, np.array([0, 1, 3, 8, 17, 28, 32, 38])
@@ -387,6 +387,13 @@ def _cut(batches: Iterator[pd.DataFrame], par: _Params, whole_chars: bool = Fals
         yield frame.astype({"id": "Int64"})
 
 
+def _cut_last(batches: Iterator[pd.DataFrame], par: _Params, whole_chars: bool) -> Iterator[pd.DataFrame]:
+    """``_cut``; its worker returns what it held, as Spark keeps idle workers beside the tasks of what comes next."""
+    yield from _cut(batches, par, whole_chars)
+    _CACHE.clear()
+    give_back()
+
+
 def _joined(batches: Iterator[pd.DataFrame], n: int = 1):
     """Each block's row with the answers it got in ``n`` rounds, as frames."""
     for batch in batches:
@@ -451,7 +458,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = answered(ranks, ties).mapInPandas(partial(_send_open, par=par), "block long, bucket int, ranks binary, ids binary")
     opens = keep(by_bucket(sent, _sort_open), "open")
     out = answered(ranks, ties, opens, last=True).mapInPandas(
-        partial(_cut, par=par, whole_chars=whole_chars), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried string")
+        partial(_cut_last, par=par, whole_chars=whole_chars), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried string")
     kinds = dict(docs.dtypes)
     fields = F.from_json("carried", ", ".join(f"`{c}` {kinds[c]}" for c in carry)) if carry else F.lit(None)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept",

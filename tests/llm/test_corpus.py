@@ -553,3 +553,22 @@ def test_a_store_tells_strings_of_equal_hashes_apart(monkeypatch):
         size, flat = store.ids(pa.array(words_, pa.large_string()))
         assert size.tolist() == [len(w) for w in words_] and flat.tolist() == [ord(c) for w in words_ for c in w]
     assert len(store.keys) <= 10 + 14 and asked[0] == 3
+
+
+def test_lean_workers_return_their_database(texts):
+    """The same rows from small parts, and no database is left behind a task: idle workers would add up."""
+    batch = pa.RecordBatch.from_pydict({"_text": pa.array([t for _, t in texts][:300] + ["ab" * 40_000, None], pa.string())})
+    rows = {}
+    for lean in (True, False):
+        how = dict(path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, what="digests", held=500)
+        rows[lean] = [r for b in bpe._encode_rows(iter([batch]), lean=lean, **how) for r in b.to_pylist()]
+        assert bool(bpe._OPEN) != lean
+    bpe._OPEN.clear()
+    assert len(rows[True]) == batch.num_rows and rows[True] == rows[False]
+
+
+def test_the_last_pass_over_repeats_returns_its_memory(monkeypatch):
+    given = []
+    monkeypatch.setattr(repeats, "give_back", lambda: given.append(dict(repeats._CACHE)))
+    repeats._CACHE["p"] = (np.zeros(1), np.zeros(1))
+    assert list(repeats._cut_last(iter([]), None, False)) == [] and given == [{}]
