@@ -19,11 +19,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorespark.llm.common import claim, give_back
-from scorespark.llm.pieces import HELD, PieceEncoder, chunks, text_chunks
+from scorespark.llm.pieces import HELD, PieceEncoder, chunks, spread, text_chunks
 
 _DEPTH = 64  # most steps of one recursive query; it starts again from its last state until the fixpoint
 _KEPT = 32  # tokens times steps that one query keeps, for each of its ``state``: with more tokens it takes fewer steps
@@ -33,19 +34,22 @@ _STATE, _LEAN = 1 << 17, 1 << 15  # tokens in one recursive query; where memory
 _CUT = 1024  # bytes of a word from which on it is merged in windows
 _SPAN, _OVERLAP = 128, 64  # bytes by which windows are apart, and that a window shares with the next one
 
-# every step of a word is a row set with its number n; positions have no gaps, so the neighbour is at p + 1
+# every step of a word is a row set with its number n; positions have no gaps, so the neighbour is at p + 1;
+# a word without a pair left comes once more, with the number -1
 _CONTRACT = """
 WITH RECURSIVE s(n, w, p, t) AS (
   SELECT 0, w, p::BIGINT, t FROM state
   UNION ALL
-  SELECT n + 1, s.w, CASE WHEN p > place THEN p - 1 ELSE p END, CASE WHEN p = place THEN k ELSE t END
-  FROM s JOIN (
+  SELECT CASE WHEN k IS NULL THEN -1 ELSE n + 1 END, s.w, CASE WHEN p > place THEN p - 1 ELSE p END,
+         CASE WHEN p = place THEN k ELSE t END
+  FROM s LEFT JOIN (
     SELECT w, (best >> 32)::INT AS k, best & 4294967295 AS place FROM (
       SELECT a.w, min((m.k::BIGINT << 32) | a.p) AS best
       FROM s a JOIN s b ON a.w = b.w AND b.p = a.p + 1 JOIN merges m ON m.l = a.t AND m.r = b.t
-      WHERE a.n < {depth} GROUP BY a.w)
-  ) USING (w) WHERE p <> place + 1
+      WHERE a.n BETWEEN 0 AND {depth} - 1 GROUP BY a.w)
+  ) USING (w) WHERE n BETWEEN 0 AND {depth} - 1 AND p IS DISTINCT FROM place + 1
 )
+SELECT w, n, list(t ORDER BY p) AS ids FROM s WHERE n = -1 OR n = {depth} GROUP BY w, n
 """
 # the same with every non-overlapping place of the best pair, from the left, where merging one cannot make a lower rank
 _CONTRACT_LONG = """
@@ -68,8 +72,8 @@ WITH RECURSIVE s(n, w, p, t) AS (
     )
   ) WHERE eaten IS DISTINCT FROM true
 )
+SELECT w, n, list(t ORDER BY p) AS ids FROM (SELECT *, max(n) OVER (PARTITION BY w) AS top FROM s) WHERE n = top GROUP BY w, n
 """
-_LAST = "SELECT w, n, list(t ORDER BY p) AS ids FROM (SELECT *, max(n) OVER (PARTITION BY w) AS top FROM s) WHERE n = top GROUP BY w, n"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,7 +87,7 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = HELD, state: int = _STATE):
         self.pattern, self.ranks, self.state = pattern, ranks, state
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.names = {i: str(i) for i in ranks.values()}
+        self.names = pa.array(map(str, range(max(ranks.values()) + 1)), pa.large_string())
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.cache = PieceEncoder(pattern, self._learn, held)
@@ -103,29 +107,28 @@ class Bpe:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS FROM incoming")
         self.con.unregister("incoming")
 
-    def _fixpoint(self, words: dict[int, np.ndarray], query: str) -> Iterator[tuple[int, bytes]]:
-        while words:
-            size = [len(x) for x in words.values()]
-            depth = max(1, min(_DEPTH, _KEPT * self.state // sum(size)))
-            self._table("state", {
-                "w": np.repeat(np.fromiter(words, np.int32, len(words)), size),
-                "p": np.arange(sum(size), dtype=np.int32), "t": np.concatenate(list(words.values())).astype(np.int32)})
-            got = self.con.sql(query.format(depth=depth) + _LAST).to_arrow_table().combine_chunks()
-            words = {}
+    def _fixpoint(self, words: list[int], size: list[int], flat: np.ndarray, query: str) -> Iterator[tuple[int, bytes]]:
+        """(word, ids) of words, whose tokens stand in ``flat`` one word after another, when no pair is left."""
+        while len(words):
+            depth = max(1, min(_DEPTH, _KEPT * self.state // len(flat)))
+            self._table("state", {"w": np.repeat(np.array(words, np.int32), size), "p": np.arange(len(flat), dtype=np.int32),
+                                  "t": flat.astype(np.int32, copy=False)})
+            got = self.con.sql(query.format(depth=depth)).to_arrow_table().combine_chunks()
             ids = got.column("ids").combine_chunks()
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-            data = flat.astype("<i4").tobytes()
-            for w, n, a, b in zip(got.column("w").to_pylist(), got.column("n").to_pylist(), ends[:-1], ends[1:]):
-                if n < depth:
-                    yield w, data[4 * a:4 * b]
-                else:
-                    words[w] = flat[a:b]
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            w, done = got.column("w").to_numpy(), got.column("n").to_numpy() < depth
+            data = flat.astype("<i4", copy=False).tobytes()
+            for i, a, b in zip(w[done].tolist(), (4 * ends[:-1][done]).tolist(), (4 * ends[1:][done]).tolist()):
+                yield i, data[a:b]
+            words, size = w[~done], np.diff(ends)[~done]
+            flat = flat[spread(ends[:-1][~done].astype(np.int64), size.astype(np.int64))]
 
     def _windows(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(start, end, ids) of overlapping windows of a word, each merged by itself."""
         starts = list(range(0, max(1, len(x) - _OVERLAP), _SPAN))
         for part in chunks(starts, lambda s: _SPAN + _OVERLAP, self.state):
-            got = dict(self._fixpoint({s: x[s:s + _SPAN + _OVERLAP] for s in part}, _CONTRACT_LONG))
+            cut = [x[s:s + _SPAN + _OVERLAP] for s in part]
+            got = dict(self._fixpoint(part, list(map(len, cut)), np.concatenate(cut), _CONTRACT_LONG))
             for s in part:
                 yield s, min(len(x), s + _SPAN + _OVERLAP), np.frombuffer(got.pop(s), "<i4")
 
@@ -158,7 +161,7 @@ class Bpe:
             while at is None:
                 start = end - int(self.size[out[max(0, n - back):n]].sum())
                 stop = max(stop, min(len(x), end + reach))
-                ids = np.frombuffer(dict(self._fixpoint({0: x[start:stop]}, _CONTRACT_LONG))[0], "<i4")
+                ids = np.frombuffer(dict(self._fixpoint([0], [stop - start], x[start:stop], _CONTRACT_LONG))[0], "<i4")
                 at = (0, 0) if start == 0 else self._joint(out[:n], end, ids, start)
                 back *= 2
             n = at[0] + len(ids) - at[1]
@@ -167,8 +170,8 @@ class Bpe:
 
     def _learn(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """The encodings of pieces that are not in the cache."""
-        short, long = {}, {}
-        for i, piece in enumerate(pieces):
+        short, long = [], []
+        for piece in pieces:
             data = piece.encode()
             whole = self.ranks.get(data)
             if whole is not None:  # a piece that is a token is that token
@@ -176,17 +179,24 @@ class Bpe:
             elif len(data) > _CUT:
                 yield piece, self._merge_long(self.byte[np.frombuffer(data, np.uint8)])
             else:
-                (short if len(data) < _LONG else long)[i] = self.byte[np.frombuffer(data, np.uint8)]
+                (short if len(data) < _LONG else long).append((piece, data))
         for words, query in ((short, _CONTRACT), (long, _CONTRACT_LONG)):
-            for part in chunks(list(words.items()), lambda x: len(x[1]), self.state):
-                for i, ids in self._fixpoint(dict(part), query):
-                    yield pieces[i], ids
+            for part in chunks(words, lambda x: len(x[1]), self.state):
+                data = [x for _, x in part]
+                flat = self.byte[np.frombuffer(b"".join(data), np.uint8)]
+                for i, ids in self._fixpoint(range(len(part)), list(map(len, data)), flat, query):
+                    yield part[i][0], ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.cache.encode(texts)
 
-    def decimals(self, ids: np.ndarray) -> bytes:
-        return " ".join(map(self.names.__getitem__, ids.tolist())).encode()
+    def decimals(self, docs: list[np.ndarray]) -> Iterator[bytes]:
+        """The ids of each list in decimals, joined by a space."""
+        for some in chunks(docs, len, 4 * self.state):
+            ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
+            names = self.names.take(pa.array(np.concatenate(some)))
+            for line in pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names), pa.scalar(" ", pa.large_string())):
+                yield line.as_buffer().to_pybytes()
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id list; an id without a token raises."""
@@ -236,7 +246,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str, wha
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
                 decoded = [b for some in chunks(ids, len, 4 * state) for b in bpe.decode(some)]
-                made = [counts, sha(map(bpe.decimals, ids)), sha(decoded)]
+                made = [counts, sha(bpe.decimals(ids)), sha(decoded)]
             yield pa.RecordBatch.from_arrays([*carried, *made], names=[*batch.schema.names[1:], *names])
     if lean:  # Spark's next task may go to another idle worker, which opens its own
         del bpe

@@ -151,6 +151,22 @@ def test_bpe_equals_the_library_and_decodes(library):
         own.decode([np.array([1, 50256], np.int32)])
 
 
+def test_short_words_end_at_different_steps_and_ids_are_joined_in_parts(library, monkeypatch):
+    ranks, enc = library
+    texts = [" ".join(["zq", "qxz", "antidisestablishmentarianism", "x" * 90, "ÿÿ"][:n]) for n in range(6)]
+    own = bpe.Bpe(ranks, public_tokenizers.PATTERN, state=4)
+    for depth in (1, 2, 3, 64):
+        monkeypatch.setattr(bpe, "_DEPTH", depth)
+        monkeypatch.setattr(bpe, "_KEPT", 1 << 10)
+        words = [w.encode() for w in texts[-1].split()]
+        flat = np.concatenate([own.byte[list(w)] for w in words])
+        got = dict(own._fixpoint(range(len(words)), list(map(len, words)), flat, bpe._CONTRACT))
+        assert [np.frombuffer(got[i], "<i4").tolist() for i in range(len(words))] == [heap_merge(ranks, w) for w in words]
+    ids = [np.array(enc.encode_ordinary(t), np.int32) for t in texts]
+    assert list(own.decimals(ids)) == [" ".join(map(str, x.tolist())).encode() for x in ids]
+    assert list(own.decimals([])) == []
+
+
 @pytest.mark.parametrize("kind", ["digits", "letters", "cjk", "letters of a long text", "period", "one letter", "two letters"])
 def test_words_of_any_length_equal_the_library(library, kind):
     ranks, enc = library
