@@ -1,5 +1,6 @@
 """Corpus operators against brute force, libraries and round trips, with nulls, empties, ties and clashing names."""
 
+import gc
 import gzip
 import hashlib
 import math
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scorespark.llm import (bpe, embeddings, files, minhash, mixing, pieces, quality, repeats, sharding, token_files, toxicity,
+from scorespark.llm import (bpe, common, embeddings, files, minhash, mixing, pieces, quality, repeats, sharding, token_files, toxicity,
                             warc)
 from scorespark.llm.common import components, scratch_path
 
@@ -167,6 +168,17 @@ def test_short_words_end_at_different_steps_and_ids_are_joined_in_parts(library,
     assert list(own.decimals([])) == []
 
 
+def test_staging_lets_a_filled_driver_collect(spark, monkeypatch):
+    monkeypatch.setattr(common, "_HEAP_SHARE", 0)
+    held = spark._jvm.java.lang.Object()
+    ref = spark._jvm.java.lang.ref.WeakReference(held)
+    del held
+    gc.collect()
+    keep = common.Staged(spark, "relieved")
+    assert keep(spark.range(3), "rows").count() == 3
+    assert ref.get() is None
+
+
 @pytest.mark.parametrize("kind", ["digits", "letters", "cjk", "letters of a long text", "period", "one letter", "two letters"])
 def test_words_of_any_length_equal_the_library(library, kind):
     ranks, enc = library
