@@ -46,6 +46,9 @@ _CHUNK_ROWS = 1 << 17  # rows whose cells a task adds up before it sends them
 _SLICE_ROWS = 1 << 14  # rows that are worth a task of their own when trees score them
 _NODES_HELD = 1 << 21  # by a task that scores, 28 bytes each
 _FEW_ROWS = 1 << 10  # so few that a sample may be without any
+_LARGE_NODE = 1 << 9  # rows from which a node is split by counts per bin
+_FIRST_ROWS = 1 << 5  # fewer than those of a node that is split by counts
+_NODES_AT_A_TIME = 64
 _CELLS_HELD = 1 << 13  # nodes times features that a task adds up before it sends them
 NODES = ("fit int, tree int, node long, depth int, feature int, threshold double, value double, weight long, gain double")
 _TREES = "fit int, tree int, count int, walk binary, grown binary"
@@ -472,7 +475,8 @@ def _grow_groups(batches: Iterator[pa.RecordBatch], job: _Job, units: Mapping[in
                                           place, np.array([root for _, root in part], np.int64),
                                           np.array([job.of(unit)[2] for unit, _ in part], np.int64), params)
                 for j, (unit, _) in enumerate(part):
-                    mine = which == j
+                    mine = np.flatnonzero(which == j)
+                    mine = mine[np.argsort(grown[0][mine], kind="stable")]
                     yield from _packed_trees(*job.trees[unit], *_node_columns(job, unit, *(c[mine] for c in grown)))
 
 
@@ -553,129 +557,269 @@ def _subtrees(bins: np.ndarray, wy: np.ndarray, lowest: np.ndarray, highest: np.
     """All nodes below ``roots``, level by level: (root's place, node, feature, bin, sum, weight, gain); feature -1 marks a leaf.
 
     A row is a cell with its sum, range and weight. ``at`` is the place of its root; a cell that several trees use stands
-    there once for each. A level looks at the rows of open nodes only, and by a feature only at those of nodes in which it
-    varies: where it does not, it does not below either. Rows in a feature's most frequent bin (filled scores are many) are
-    not looked at by it: their sums are what the others leave of the node's.
+    there once for each. Nodes of many rows are split first, by ``_large_nodes``. A level looks at the rows of open nodes
+    only, and by a feature only at those of nodes in which it varies: where it does not, it does not below either. Rows in a
+    feature's most frequent bin (filled scores are many) are not looked at by it: their sums are what the others leave of the
+    node's.
     """
     k, n = bins.shape[1], len(w)
-    ids, place, at = roots, np.arange(len(roots)), at.astype(np.int32)
     across = np.ascontiguousarray(bins.T)
-    flat = across.ravel()
     live = [f for f in range(k) if n and across[f].min() < across[f].max()]
-    usual = {f: int(np.bincount(across[f]).argmax()) for f in live}
-    order = {f: o[across[f][o] != usual[f]] for f in live for o in [_order(across[f])]}
-    n_bins = int(flat.max()) + 1 if n else 1
-    rows = np.arange(n)
-    deepest = DEEPEST if params.maxDepth is None else min(params.maxDepth, DEEPEST)
-    out = []
-    while len(ids):
+    n_bins = int(across.max()) + 1 if n else 1
+    of, out = np.arange(len(roots)), []  # of: the place in ``roots`` of what the levels start from
+    most = max(_LARGE_NODE, len(live) * n_bins // 4)
+    if live and n > most:
+        out, of, roots, at = _large_nodes(across, live, n_bins, most, wy, lowest, highest, w, at, roots, trees, params)
+        trees = trees[of]
+    flat, deepest, code = across.ravel(), _deepest(params), np.empty(n, np.uint8)
+    ids, place = roots, np.arange(len(roots))
+    rows = np.flatnonzero(at >= 0)
+    rows = rows.take(_order(at.take(rows)))
+    sizes = np.bincount(at.take(rows), minlength=len(ids))
+    all_w, all_s = (_sums_of_runs(v.take(rows), sizes) for v in (w, wy))
+    usual, held = np.zeros(k, np.int64), None
+    while True:
         m = len(ids)
-        here = at[rows]
-        sort = _order(here)
-        rows, here = rows[sort], here[sort]
-        starts = _starts(here)
-        with_rows = here[starts]
-
-        def per_node(how, values):
-            found = np.zeros(m, np.int64)
-            if len(starts):
-                found[with_rows] = how.reduceat(values[rows], starts)
-            return found
-
-        all_w, all_s = per_node(np.add, w), per_node(np.add, wy)
         total_w, total_s = all_w.astype(np.float64), all_s.astype(np.float64)
         feature, bin_, gain = np.full(m, -1), np.full(m, -1), np.zeros(m)
-        out.append((place, ids, feature, bin_, total_s, total_w, gain))
-        going = ids >> deepest == 0  # roots need not be of one depth
-        if not going.any():
-            break
-        several = np.zeros(m, bool)
-        several[with_rows] = np.diff(np.r_[starts, len(rows)]) > 1
-        open_ = (total_w >= 2) & several & going & (per_node(np.minimum, lowest) < per_node(np.maximum, highest))
+        out.append((of[place], ids, feature, bin_, total_s, total_w, gain))
+        # roots need not be of one depth
+        open_ = (total_w >= 2) & (sizes > 1) & (ids >> deepest == 0)
+        some = np.repeat(open_, sizes)
+        if some.any():
+            starts, few = np.cumsum(sizes[open_]) - sizes[open_], rows[some]
+            open_[open_] = np.minimum.reduceat(lowest.take(few), starts) < np.maximum.reduceat(highest.take(few), starts)
         opened = np.flatnonzero(open_)
-        if not len(opened):
+        if not (len(opened) and live):
             break
-        number = np.full(m + 1, -1, np.int32)  # among the open nodes; rows that are done are at -1, the last
-        number[opened] = np.arange(len(opened), dtype=np.int32)
-        stays = open_[here]
-        at[rows[~stays]] = -1
-        rows = rows[stays]
+        if len(opened) < m:
+            rows = rows[np.repeat(open_, sizes)]
+        sizes = sizes[opened]
+        # what is held of rows by feature: row, bin, weight, sum and group; a group is the rows of a node by one feature
+        if held is None:
+            node = np.repeat(np.arange(len(opened)), sizes)
+            for f in live:
+                usual[f] = np.bincount(across[f].take(rows)).argmax()
+            parts = [_with_usual(rows, int(usual[f]), across[f], node, w, wy) for f in live]
+            held = [np.concatenate(c) for c in zip(*parts)]
+            new = np.concatenate([np.diff(p[4], prepend=-1) != 0 for p in parts])
+            group_f, group_n = np.repeat(live, [len(p[4]) for p in parts])[new], held[4][new]
+            held[4] = np.cumsum(new) - 1
+        else:
+            code[rows] = np.repeat((opened >= m // 2).astype(np.uint8), sizes)
+            side = code.take(held[0])
+            if not vary.all():
+                side[~vary.take(held[4])] = 2
+            left = np.flatnonzero(side == 0)
+            held = [c.take(np.concatenate([left, np.flatnonzero(side == 1)])) for c in held]
+            new = np.empty(len(held[4]), bool)
+            new[:1], new[1:] = True, held[4][1:] != held[4][:-1]
+            new[len(left):len(left) + 1] = True
+            first = np.flatnonzero(new)
+            was = held[4].take(first)
+            number = np.full(m, -1)
+            number[opened] = np.arange(len(opened))
+            group_f, group_n = group_f.take(was), number.take(group_n.take(was) + np.where(first < len(left), 0, m // 2))
+            held[4] = np.cumsum(new) - 1
         w_of, s_of, w_all, s_all = total_w[opened], total_s[opened], all_w[opened], all_s[opened]
-        best, where, vary = np.full((len(opened), k), -np.inf), np.zeros((len(opened), k), np.int64), np.zeros((len(opened), k), bool)
-        for f, o in order.items():
-            node = number.take(at.take(o))
-            stays = np.flatnonzero(node >= 0)
-            if len(stays) < len(o):
-                o, node = o.take(stays), node.take(stays)
-            if len(opened) > 1:
-                sort = _order(node)
-                o, node = o.take(sort), node.take(sort)
-            order[f] = o
-            if not len(o):
-                continue
-            b = across[f].take(o)
-            starts = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (b[1:] != b[:-1])])
-            run = [node.take(starts), b.take(starts), *(np.add.reduceat(v.take(o), starts) for v in (w, wy))]
-            run, varies = _with_usual(run, usual[f], n_bins, (w_all, s_all)), vary[:, f]
-            i = np.flatnonzero(run[0][1:] == run[0][:-1])  # the last bin of a candidate's left side
-            varies[run[0].take(i)] = True
-            if not varies.all():
-                order[f] = o[varies.take(node)]
-            if not len(i):
-                continue
-            first = _starts(run[0])[1:]
-            at_start, node = run[0].take(first), run[0].take(i)
-            sums = []
-            for values in run[2:]:
-                so_far, before = np.cumsum(values), np.zeros(len(opened), np.int64)
-                before[at_start] = so_far.take(first - 1)
-                sums.append((so_far.take(i) - before.take(node)).astype(np.float64))
-            wl, sl = sums
-            wr, sr = w_of.take(node) - wl, s_of.take(node) - sl
-            score = sl * sl / wl + sr * sr / wr
-            starts = _starts(node)
-            top = np.maximum.reduceat(score, starts)
-            tops = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[starts, len(node)])))
-            first = tops[_starts(node[tops])]
-            best[node[first], f], where[node[first], f] = score[first], run[1][i[first]]
-        best = np.where(_allowed(vary, ids[opened], trees[place[opened]], params), best, -np.inf)
+        best, where = np.full((len(opened), k), -np.inf), np.zeros((len(opened), k), np.int64)
+        left_w, left_s = np.zeros((len(opened), k), np.int64), np.zeros((len(opened), k), np.int64)
+        at_best = group_n, group_f
+        best[at_best], where[at_best], left_w[at_best], left_s[at_best] = found = _best_of_groups(
+            held, usual.take(group_f), w_all.take(group_n), s_all.take(group_n))
+        vary = np.isfinite(found[0])
+        best = np.where(_allowed(np.isfinite(best), ids[opened], trees[place[opened]], params), best, -np.inf)
         choice = best.argmax(axis=1)
         score = best[np.arange(len(opened)), choice]
-        parent = s_of * s_of / w_of
-        split = np.flatnonzero(score > parent)
+        before = s_of * s_of / w_of
+        split = np.flatnonzero(score > before)
         by, cut, parts = choice[split], where[split, choice[split]], opened[split]
-        feature[parts], bin_[parts], gain[parts] = by, cut, (score - parent)[split]
-        child = np.full(len(opened), -1, np.int64)
-        child[split] = np.arange(len(split))
-        below = child[number[at[rows]]]
-        at[rows[below < 0]] = -1
-        rows, below = rows[below >= 0], below[below >= 0]
-        at[rows] = 2 * below + (flat[by[below] * n + rows] > cut[below])
-        ids = np.stack([2 * ids[parts], 2 * ids[parts] + 1], axis=1).ravel()
-        place = np.repeat(place[parts], 2)
+        feature[parts], bin_[parts], gain[parts] = by, cut, (score - before)[split]
+        lw, ls = left_w[split, by], left_s[split, by]
+        code[rows] = 2
+        if len(split) < len(opened):
+            going = np.zeros(len(opened), bool)
+            going[split] = True
+            rows, sizes = rows[np.repeat(going, sizes)], sizes[split]
+        right = flat.take(np.repeat(by * n, sizes) + rows) > np.repeat(cut.astype(across.dtype), sizes)
+        on_right = _sums_of_runs(right, sizes)
+        rows = np.concatenate([rows[~right], rows[right]])
+        sizes, place = np.r_[sizes - on_right, on_right], np.r_[place[parts], place[parts]]
+        ids = np.r_[2 * ids[parts], 2 * ids[parts] + 1]
+        all_w, all_s = np.r_[lw, w_all[split] - lw], np.r_[ls, s_all[split] - ls]
+        number = np.full(len(opened), -1)
+        number[split] = np.arange(len(split))
+        group_n = number.take(group_n)
+        if not len(ids):
+            break
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _with_usual(run: list[np.ndarray], usual: int, n_bins: int, total: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """Runs (node, bin, weight, sum) in order, with one more for the rows of each of their nodes that are in the bin ``usual``."""
-    nodes, left = _starts(run[0]), []
-    held = run[0].take(nodes)
-    for values, whole in zip(run[2:], total):
-        left.append(whole.take(held) - np.add.reduceat(values, nodes))
-    some = np.flatnonzero(left[0] > 0)
-    if not len(some):
-        return run
-    more = held.take(some)
-    places = np.searchsorted(run[0].astype(np.int64) * n_bins + run[1], more.astype(np.int64) * n_bins + usual) + np.arange(len(some))
-    others = np.ones(len(run[0]) + len(some), bool)
-    others[places] = False
-    others = np.flatnonzero(others)
+def _sums_of_runs(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of values that lie side by side, so many each."""
+    found, some = np.zeros(len(sizes), np.int64), sizes > 0
+    if some.any():
+        found[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some], dtype=np.int64)
+    return found
+
+
+def _with_usual(rows: np.ndarray, usual: int, across: np.ndarray, node: np.ndarray, w: np.ndarray, wy: np.ndarray) -> list[np.ndarray]:
+    """[row, bin, weight, sum, node] by node and bin, with the rows in a feature's bin ``usual`` left out."""
+    b = across.take(rows)
+    some = np.flatnonzero(b != usual)
+    some = some.take(_order(b.take(some)))
+    some = some.take(_order(node.take(some)))
+    held = rows.take(some)
+    return [held, b.take(some), w.take(held), wy.take(held), node.take(some)]
+
+
+def _best_of_groups(held: Sequence[np.ndarray], usual: np.ndarray, all_w: np.ndarray, all_s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(score, bin, weight, sum) of the left side of each group's best split; -inf where the feature does not vary in the node.
+
+    Rows of the group's node that are not in the group are in the bin ``usual``.
+    """
+    _, b, w, s, group = held
+    m = len(usual)
+    if not m:
+        return np.zeros(0), *(np.zeros(0, np.int64) for _ in range(3))
+    ends = np.flatnonzero(np.r_[(b[1:] != b[:-1]) | (group[1:] != group[:-1]), True])
+    of, b = group.take(ends), b.take(ends)
+    last = np.flatnonzero(np.r_[of[1:] != of[:-1], True])
+    first = np.r_[0, last[:-1] + 1]
+    above = b > usual.take(of)
+    rest_w, rest_s = all_w.copy(), all_s.copy()
+    n_below = last + 1 - first - np.add.reduceat(above, first, dtype=np.int64)
+    lowest, sums = n_below == 0, []
+    for whole, rest, values in ((all_w, rest_w, w), (all_s, rest_s, s)):
+        so_far = np.cumsum(values).take(ends)
+        before = np.r_[0, so_far.take(last[:-1])]
+        rest -= so_far.take(last) - before
+        left = so_far - np.concatenate([before, before - rest]).take(of + m * above)
+        # of the split after the usual bin: what is below it and the rows in it
+        middle = np.where(lowest, 0, left.take(first + np.maximum(n_below, 1) - 1)) + rest
+        sums.append((left, middle, whole))
+    (lw, mw, _), (ls, ms, _) = sums
+
+    def scores(wl, sl, whole_w, whole_s):
+        wl, sl = wl.astype(np.float64), sl.astype(np.float64)
+        wr, sr = whole_w - wl, whole_s - sl
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = sl * sl / wl + sr * sr / wr
+        found[wr == 0] = -np.inf
+        return found
+
+    whole_w, whole_s = all_w.astype(np.float64), all_s.astype(np.float64)
+    score = scores(lw, ls, whole_w.take(of), whole_s.take(of))
+    top = np.maximum.reduceat(score, first)
+    tops = np.flatnonzero(score == top.take(of))
+    tops = tops[_starts(of.take(tops))]  # the smallest bin
+    where, lw, ls = b.take(tops).astype(np.int64), lw.take(tops), ls.take(tops)
+    between = scores(mw, ms, whole_w, whole_s)
+    between[rest_w == 0] = -np.inf
+    better = (between > top) | ((between == top) & (usual < where))
+    return tuple(np.where(better, new, old) for new, old in ((between, top), (usual, where), (mw, lw), (ms, ls)))
+
+
+def _deepest(params: TreeParams) -> int:
+    return DEEPEST if params.maxDepth is None else min(params.maxDepth, DEEPEST)
+
+
+def _large_nodes(across: np.ndarray, live: Sequence[int], n_bins: int, most: int, wy: np.ndarray, lowest: np.ndarray,
+                 highest: np.ndarray, w: np.ndarray, at: np.ndarray, roots: np.ndarray, trees: np.ndarray, params: TreeParams):
+    """The nodes with more than ``most`` rows, and where the rest starts: (nodes, place in ``roots`` and number of each of its
+    roots, the place among these of each row, -1 where it is done).
+
+    Weights and sums of a node are held by feature and bin. Of two children only the one with fewer rows is counted: the
+    other has what is left of their parent's, so a node that loses few rows at a time (many trees do) costs few.
+    """
+    k, n = across.shape
+    flat, deepest = across.ravel(), _deepest(params)
+    counted = [across[f].astype(np.int64) for f in live]
+    exact = np.abs(wy).sum(dtype=np.float64) < 1 << 52  # sums of doubles are; else upper and lower bits are added apart
+    parts_of = [[v.astype(np.float64)] if exact else [v >> 26, v & (1 << 26) - 1] for v in (w, wy)]
+
+    def counts(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Weights and sums of nodes whose rows lie one after the other: (2, node, live feature, bin)."""
+        m = len(sizes)
+        found = np.empty((2, m, len(live), n_bins), np.int64)
+        first, values = np.repeat(np.arange(m) * n_bins, sizes), [[v.take(rows) for v in p] for p in parts_of]
+        for j, b in enumerate(counted):
+            cell = b.take(rows) + first
+            for total, p in zip(found, values):
+                added = [np.bincount(cell, v, m * n_bins).astype(np.int64).reshape(m, n_bins) for v in p]
+                total[:, j] = added[0] if exact else (added[0] << 26) + added[1]
+        return found
+
+    rest, of, numbers, given = np.full(n, -1, np.int64), [], [], 0
+    place, ids, sizes, rows = np.arange(len(roots)), roots, np.bincount(at, minlength=len(roots)), _order(at)
+    parent = fewer = None
     out = []
-    for old, new in zip(run, (more, usual, *(x.take(some) for x in left))):
-        both = np.empty(len(others) + len(some), old.dtype)
-        both[others], both[places] = old, new
-        out.append(both)
-    return out
+    while True:
+        large = sizes > most
+        small, in_large = np.flatnonzero(~large), np.repeat(large, sizes)
+        rest[rows[~in_large]] = np.repeat(given + np.arange(len(small)), sizes[small])
+        given += len(small)
+        of.append(place[small])
+        numbers.append(ids[small])
+        if not large.any():
+            return out, np.concatenate(of), np.concatenate(numbers), rest
+        if parent is None:
+            held = counts(rows[in_large], sizes[large])
+        else:  # the first half are left children, the second the right ones of the same parents
+            half = len(sizes) // 2
+            wanted = large[:half] | large[half:]
+            is_fewer = np.r_[fewer, ~fewer] & np.r_[wanted, wanted]
+            slot = np.cumsum(wanted) - 1
+            by_side = np.flatnonzero(is_fewer)  # left ones first: put back in the parents' order
+            lesser = counts(rows[np.repeat(is_fewer, sizes)], sizes[by_side])
+            lesser = lesser[:, np.argsort(by_side % half)]
+            kept = np.flatnonzero(large)
+            held = lesser[:, slot[kept % half]]
+            more = ~is_fewer[kept]
+            held[:, more] = parent[:, kept[more] % half] - held[:, more]
+        rows, place, ids, sizes = rows[in_large], place[large], ids[large], sizes[large]
+        m, starts = len(ids), np.cumsum(sizes) - sizes
+        all_w, all_s = held[:, :, 0].sum(axis=2)
+        total_w, total_s = all_w.astype(np.float64), all_s.astype(np.float64)
+        feature, bin_, gain = np.full(m, -1), np.full(m, -1), np.zeros(m)
+        out.append((place, ids, feature, bin_, total_s, total_w, gain))
+        some = rows.take(starts[:, None] + np.arange(_FIRST_ROWS))  # most nodes differ in their first rows already
+        differs = lowest.take(some).min(axis=1) < highest.take(some).max(axis=1)
+        for i in np.flatnonzero(~differs):
+            mine = rows[starts[i]:starts[i] + sizes[i]]
+            differs[i] = lowest.take(mine).min() < highest.take(mine).max()
+        opened = np.flatnonzero((total_w >= 2) & (ids >> deepest == 0) & differs)
+        best, where = np.full((len(opened), k), -np.inf), np.zeros((len(opened), k), np.int64)
+        for lo in range(0, len(opened), _NODES_AT_A_TIME):
+            part = opened[lo:lo + _NODES_AT_A_TIME]
+            best[lo:lo + len(part), live], where[lo:lo + len(part), live] = _best_bins(held[:, part], total_w[part], total_s[part])
+        best = np.where(_allowed(np.isfinite(best), ids[opened], trees[place[opened]], params), best, -np.inf)
+        choice = best.argmax(axis=1)
+        score = best[np.arange(len(opened)), choice]
+        before = total_s[opened] * total_s[opened] / total_w[opened]
+        split = np.flatnonzero(score > before)
+        by, cut, parts = choice[split], where[split, choice[split]], opened[split]
+        feature[parts], bin_[parts], gain[parts] = by, cut, (score - before)[split]
+        stays = np.zeros(m, bool)
+        stays[parts] = True
+        if len(parts) < m:
+            rows = rows[np.repeat(stays, sizes)]
+        parent, sizes, place, ids = held[:, parts], sizes[parts], place[parts], ids[parts]
+        right = flat.take(np.repeat(by * n, sizes) + rows) > np.repeat(cut.astype(across.dtype), sizes)
+        on_right = _sums_of_runs(right, sizes)
+        fewer = sizes - on_right <= on_right  # the left child
+        rows = np.concatenate([rows[~right], rows[right]])
+        sizes, place, ids = np.r_[sizes - on_right, on_right], np.r_[place, place], np.r_[2 * ids, 2 * ids + 1]
+
+
+def _best_bins(held: np.ndarray, total_w: np.ndarray, total_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best score of each node by each feature, -inf where it does not vary, and the last bin of its left side."""
+    wl, sl = held.cumsum(axis=3).astype(np.float64)
+    wr, sr = total_w[:, None, None] - wl, total_s[:, None, None] - sl
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = sl * sl / wl + sr * sr / wr
+    score[(held[0] == 0) | (wr == 0)] = -np.inf
+    return score.max(axis=2), score.argmax(axis=2)
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:

@@ -324,3 +324,45 @@ def test_rows_in_the_most_frequent_bin_are_not_looked_at(spark, monkeypatch):
     trees._subtrees(bins, steps, steps, steps, np.ones(300, np.int64), np.zeros(300, np.int64), np.ones(1, np.int64),
                     np.zeros(1, np.int64), TreeParams(maxDepth=2))
     assert set(seen) == {2}  # bin 2 is the filled one, of every feature
+
+
+def _nodes(bins, steps, at, roots, params):
+    spread = steps % 5  # a cell's range
+    place, *grown = trees._subtrees(bins, steps, steps - spread, steps + spread, 1 + np.abs(steps) % 3, at, roots,
+                                    np.arange(len(roots)), params)
+    return sorted(zip(place.tolist(), *(c.tolist() for c in grown)))
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 44])
+def test_large_nodes_are_split_by_counts_like_small_ones(monkeypatch, scale):
+    """Nodes split by counts per bin are those split row by row: several roots of any depth, limits, features tried, equal targets."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    bins = np.where(rng.random((n, 4)) < 0.5, 7, rng.integers(0, 40, (n, 4))).astype(np.int32)
+    bins[:, 2] = 0
+    steps = np.where(bins[:, 0] > 20, 3, rng.integers(-30, 30, n) + bins[:, 1]) * scale
+    at, roots = rng.integers(0, 3, n), np.array([1, 6, 9])
+    for params in (TreeParams(), TreeParams(maxDepth=4), TreeParams(tried=2, maxDepth=30)):
+        found = []
+        for large in (1 << 20, 64, 200):
+            monkeypatch.setattr(trees, "_LARGE_NODE", large)
+            found.append(_nodes(bins, steps, at, roots, params))
+        assert found[0] == found[1] == found[2] and len(found[0]) > 30
+
+
+def test_a_node_that_loses_few_rows_at_a_time_costs_few(monkeypatch):
+    """Of two children the one with fewer rows is counted, so a chain of splits does not look at all rows level after level."""
+    n, seen = 20000, []
+    bins = np.minimum(np.arange(n) // 10, 60)[:, None].astype(np.int32)
+    steps = (4 ** np.maximum(0, 15 - bins[:, 0])).astype(np.int64)  # ten rows leave at each level, the lowest bin
+    count = np.bincount
+
+    def counted(x, weights=None, minlength=0):
+        seen.append(len(x) if weights is not None else 0)
+        return count(x, weights, minlength)
+
+    monkeypatch.setattr(trees.np, "bincount", counted)
+    grown = trees._subtrees(bins, steps, steps, steps, np.ones(n, np.int64), np.zeros(n, np.int64), np.ones(1, np.int64),
+                            np.zeros(1, np.int64), TreeParams())
+    assert max(int(i).bit_length() for i in grown[1]) > 10
+    assert 2 * n <= sum(seen) < 3 * n  # weights and sums of the root and little more
