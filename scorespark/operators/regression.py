@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -167,6 +168,26 @@ REGRESSORS: dict[str, TreeParams | None] = {
 }
 
 
+@dataclass
+class FoldTrees:
+    """The models of ``fits``, each grown without a fold of ``pairs`` that ``starts`` cut."""
+
+    pairs: DataFrame
+    key: tuple[str, ...]
+    starts: list
+    fits: list[Fit]
+    models: list[TreeModel]
+
+    def serves(self, pairs: DataFrame, key: tuple[str, ...], folds: int, fits: Sequence[Fit]) -> bool:
+        return self.key == key and len(self.starts) + 1 == folds and self.fits == list(fits) and self.pairs.sameSemantics(pairs)
+
+
+class Fitted(dict):
+    """{(model, subject): fitted}, and the trees of their cross-validation if they were grown in the same run."""
+
+    without_folds: FoldTrees | None = None
+
+
 def feature_names(subjects: Sequence[str] = SUBJECTS) -> list[str]:
     return ["year_encoded", *subjects]
 
@@ -174,27 +195,41 @@ def feature_names(subjects: Sequence[str] = SUBJECTS) -> list[str]:
 def train_regressors(pairs: DataFrame, subjects: Sequence[str] = SUBJECTS,
                      models: Sequence[str] = tuple(REGRESSORS),
                      params: Mapping[str, Mapping] | None = None,
-                     key: Sequence[str] = (ENTITY,)) -> dict[tuple[str, str], object]:
+                     key: Sequence[str] = (ENTITY,), folds: int | None = None) -> Fitted:
     """{(model, subject): fitted}; every model for every subject, all trees grown together.
 
-    ``key`` identifies a row: the draws of a forest depend on it and on nothing else.
+    ``key`` identifies a row: the draws of a forest depend on it and on nothing else. With ``folds``, the trees that
+    ``evaluate_all_models`` asks for are grown in the same run, from the same cells; pass it the same staged ``pairs``.
     """
     unknown = [m for m in models if m not in REGRESSORS]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
     params = params or {}
-    fitted: dict[tuple[str, str], object] = {}
+    fitted = Fitted()
     for m in models:
         if not REGRESSORS[m]:
             fit = fit_linear(pairs, subjects)
             fitted.update({(m, s): fit for s in subjects})
     fits = [Fit(m, s, f"{s}_next", with_params(REGRESSORS[m], params.get(m))) for m in models if REGRESSORS[m] for s in subjects]
     if fits:
-        grown = trees.grow(pairs, key, feature_names(subjects), fits)
+        starts = fold_starts(pairs, ENTITY, folds) if folds else []
+        left_out = _all_fold_fits({m: params.get(m) for m in models}, subjects, len(starts) + 1) if folds else []
+        grown = trees.grow(pairs, key, feature_names(subjects), [*fits, *left_out], fold_number(ref(ENTITY), starts) if folds else None)
         fitted.update({(f.model, f.target): model for f, model in zip(fits, grown)})
+        if folds:
+            fitted.without_folds = FoldTrees(pairs, tuple(key), starts, left_out, grown[len(fits):])
     return fitted
 
 
+def _all_fold_fits(models: Mapping[str, Mapping | None], subjects: Sequence[str], folds: int) -> list[Fit]:
+    return [f for m, p in models.items() if REGRESSORS[m] for f in _fold_fits(m, p, subjects, folds)]
+
+
+def _fold_fits(model: str, params: Mapping | None, subjects: Sequence[str], folds: int) -> list[Fit]:
+    shape = with_params(REGRESSORS[model], params)
+    return [Fit(model, s, f"{s}_next", shape, f) for s in subjects for f in range(folds)]
+
+
 def predict_columns(df: DataFrame, fitted: Mapping[tuple[str, str], object],
                     subjects: Sequence[str] = SUBJECTS) -> DataFrame:
     """Add the unclipped prediction ``{model}|{subject}`` of every fitted model.
@@ -299,28 +334,47 @@ def out_of_fold(pairs: DataFrame, fold: Column, folds: int, params: TreeParams,
     """
     fits = [Fit("fold", s, f"{s}_next", params, f) for s in subjects for f in range(folds)]
     models = trees.grow(pairs, key, feature_names(subjects), fits, fold)
+    return _scored_without(pairs, fold, fits, models, subjects, depths, sizes).drop("model")
+
+
+def _scored_without(pairs: DataFrame, fold: Column, fits: Sequence[Fit], models: Sequence[TreeModel], subjects: Sequence[str],
+                    depths: Sequence[int] = (), sizes: Sequence[int] = ()) -> DataFrame:
+    """(model, subject, fold, depth, size, y_true, y_pred): each row scored by the models of ``fits`` without its fold."""
     keys, rows = trees.distinct_rows(trees.numbered(pairs.withColumn("_fold", fold)), models[0].features, "_fold", models)
     sums = trees.score(keys, models, "_fold", [f.without for f in fits], depths, sizes).withColumnRenamed("_row", "_like")
-    of_place = F.array(*[F.struct(F.lit(f.target).alias("subject"), F.lit(f.without).alias("fold")) for f in fits])
+    of_place = F.array(*[F.struct(F.lit(f.model).alias("model"), F.lit(f.target).alias("subject"), F.lit(f.without).alias("fold")) for f in fits])
     known = rows.select("_like", F.create_map(*[x for s in subjects for x in (F.lit(s), ref(f"{s}_next"))]).alias("known"))
     return (known.join(sums.withColumn("p", F.element_at(of_place, F.col("place") + 1)).hint("merge"), "_like")
-            .select("p.subject", "p.fold", "depth", "size", F.element_at("known", F.col("p.subject")).alias("y_true"),
+            .select("p.model", "p.subject", "p.fold", "depth", "size", F.element_at("known", F.col("p.subject")).alias("y_true"),
                     F.round(F.col("total") / F.col("n"), DIGITS).alias("y_pred")))
 
 
 def cross_validate(pairs: DataFrame, starts: Sequence, model: str, subjects: Sequence[str] = SUBJECTS,
                    params: Mapping | None = None, key: str = ENTITY) -> DataFrame:
     """Mean and population deviation of the per-fold RMSE: (model, subject, mean, std)."""
-    fold = fold_number(ref(key), starts)
-    if REGRESSORS[model] is None:
-        _, fits = fit_linear_folds(pairs, fold, subjects)
-        errors = linear_fold_errors(pairs, fold, fits, subjects)
-    else:
-        scored = out_of_fold(pairs, fold, len(starts) + 1, with_params(REGRESSORS[model], params), subjects, (key,))
-        errors = regression_metrics(scored, ("subject", "fold"))
-    return errors.groupBy("subject").agg(
-        F.avg("RMSE").alias("mean"), F.stddev_pop("RMSE").alias("std")
-    ).withColumn("model", F.lit(model)).select("model", "subject", "mean", "std")
+    return cross_validate_models(pairs, starts, {model: params}, subjects, key)
+
+
+def cross_validate_models(pairs: DataFrame, starts: Sequence, models: Mapping[str, Mapping | None], subjects: Sequence[str] = SUBJECTS,
+                          key: str = ENTITY, grown: FoldTrees | None = None) -> DataFrame:
+    """``cross_validate`` for several models, named with their parameters: all trees are grown in one run, unless they are
+    ``grown`` already, and scored in one.
+    """
+    fold, parts = fold_number(ref(key), starts), []
+    for model in models:
+        if REGRESSORS[model] is None:
+            _, fits = fit_linear_folds(pairs, fold, subjects)
+            parts.append(linear_fold_errors(pairs, fold, fits, subjects).select(F.lit(model).alias("model"), "subject", "RMSE"))
+    fits = _all_fold_fits(models, subjects, len(starts) + 1)
+    if fits:
+        if grown is None or not grown.serves(pairs, (key,), len(starts) + 1, fits):
+            found = trees.grow(pairs, (key,), feature_names(subjects), fits, fold)
+        else:
+            found = grown.models
+        scored = _scored_without(pairs, fold, fits, found, subjects)
+        parts.append(regression_metrics(scored, ("model", "subject", "fold")).select("model", "subject", "RMSE"))
+    return reduce(DataFrame.unionByName, parts).groupBy("model", "subject").agg(
+        F.avg("RMSE").alias("mean"), F.stddev_pop("RMSE").alias("std"))
 
 
 def search_regressor(pairs: DataFrame, grid: Mapping[str, Sequence[int]], model: str = "RandomForest",
@@ -366,18 +420,19 @@ def evaluate_all_models(pairs: DataFrame, fitted: Mapping[tuple[str, str], objec
                         params: Mapping[str, Mapping] | None = None) -> DataFrame:
     """(model, subject, RMSE, MAE, mean, std): in-sample errors beside k-fold RMSE.
 
-    Pass a staged ``pairs`` frame: the fold boundaries, the fits and the scoring read it.
+    Pass a staged ``pairs`` frame: the fold boundaries, the fits and the scoring read it. Trees that ``train_regressors``
+    grew without the same folds of the same frame are not grown again.
     """
     params = params or {}
     in_sample = regression_metrics(
         actual_vs_predicted(pairs, fitted, subjects), ("model", "subject")
     )
-    starts = fold_starts(pairs, ENTITY, folds)
-    parts = None
-    for model in dict.fromkeys(m for m, _ in fitted):
-        part = cross_validate(pairs, starts, model, subjects, params.get(model))
-        parts = part if parts is None else parts.unionByName(part)
-    return in_sample.join(parts, ["model", "subject"])
+    models = {m: params.get(m) for m in dict.fromkeys(m for m, _ in fitted)}
+    grown = getattr(fitted, "without_folds", None)
+    if grown and not grown.serves(pairs, (ENTITY,), folds, _all_fold_fits(models, subjects, folds)):
+        grown = None
+    starts = grown.starts if grown else fold_starts(pairs, ENTITY, folds)
+    return in_sample.join(cross_validate_models(pairs, starts, models, subjects, ENTITY, grown), ["model", "subject"])
 
 
 def student_report(clean: DataFrame, fitted: Mapping[tuple[str, str], object], errors: DataFrame,

@@ -394,11 +394,10 @@ def _cells_of_draws(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[pa
 
 def _distinct_cells(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[pa.RecordBatch]:
     for rows in _held_rows(batches):
-        _, bins, _, fold = job.arrays(rows)
+        bins = job.arrays(rows)[1]
         for most, b in bins.items():
-            order, starts = _alike(b, fold)
-            first = order[starts]
-            key = np.ascontiguousarray(np.c_[b[first], fold[first]].astype(np.int32))
+            order, starts = _alike(b, np.zeros(len(b), np.int32))
+            key = np.ascontiguousarray(b[order[starts]].astype(np.int32))
             kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * key.shape[1]), len(key), [None, pa.py_buffer(key.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), most, np.int32)), kept.cast(pa.binary())], names=["most", "cell"])
 
@@ -423,7 +422,9 @@ def _with_cell(batches: Iterator[pa.RecordBatch], job: _Job) -> Iterator[pa.Reco
 
 
 def _count_distinct(ready: DataFrame, job: _Job) -> int:
-    """How many cells and folds the rows are in: what a task that grows whole trees holds."""
+    """How many cells the rows are in: what a tree is grown on by a task that grows it whole. Folds do not count: what a task
+    is sent stands there once for each fold, but a tree's cells are added up over its folds before it is grown.
+    """
     cells = ready.mapInArrow(partial(_distinct_cells, job=job), "most int, cell binary").distinct()
     return max(r["count"] for r in cells.groupBy("most").count().collect())
 
@@ -450,34 +451,46 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Cells]]
 
 
 def _grow_groups(batches: Iterator[pa.RecordBatch], job: _Job, units: Mapping[int, list]) -> Iterator[pa.RecordBatch]:
-    """All trees of a group, several at a time: level by level their nodes are handled as if they were one tree's."""
+    """All trees of a group, several at a time: level by level their nodes are handled as if they were one tree's.
+
+    The cells without a fold are held while its trees are grown, not those without every fold at once.
+    """
     for group, cells in _by_group(batches):
-        samples = {}
-        for unit, _ in units[group]:
-            without = job.fits[job.trees[unit][0]].without
-            if without not in samples:
-                kept = cells.take(np.flatnonzero(cells.fold != without))
-                if job.few and not kept.w.any():  # no draw in a handful of rows: the sample is the rows themselves
-                    kept = replace(kept, w=kept.n, s=kept.low)
-                samples[without] = kept.take(np.flatnonzero(kept.w)).merged(by_fold=False)
-        alike: dict[TreeParams, list] = {}
-        for unit, root in units[group]:
-            alike.setdefault(job.of(unit)[0], []).append((unit, root))
-        together = max(1, _ROWS_AT_A_TIME // max(1, max(len(c.w) for c in samples.values())))
-        for params, wanted in alike.items():
-            for i in range(0, len(wanted), together):
-                part = wanted[i:i + together]
-                used = [samples[job.fits[job.trees[unit][0]].without] for unit, _ in part]
-                target = [min(job.of(unit)[1], c.s.shape[1] - 1) for (unit, _), c in zip(part, used)]
-                place = np.repeat(np.arange(len(part)), [len(c.w) for c in used])
-                s, low, high = (np.concatenate([getattr(c, name)[:, t] for c, t in zip(used, target)]) for name in ("s", "low", "high"))
-                which, *grown = _subtrees(np.concatenate([c.bins for c in used]), s, low, high, np.concatenate([c.w for c in used]),
-                                          place, np.array([root for _, root in part], np.int64),
-                                          np.array([job.of(unit)[2] for unit, _ in part], np.int64), params)
-                for j, (unit, _) in enumerate(part):
-                    mine = np.flatnonzero(which == j)
-                    mine = mine[np.argsort(grown[0][mine], kind="stable")]
-                    yield from _packed_trees(*job.trees[unit], *_node_columns(job, unit, *(c[mine] for c in grown)))
+        shapes = list(dict.fromkeys(job.of(unit)[0] for unit, _ in units[group]))
+        kinds = {unit: (job.fits[job.trees[unit][0]].without, shapes.index(job.of(unit)[0])) for unit, _ in units[group]}
+        part, size, now, sample = [], 0, None, None
+        for unit, root in sorted(units[group], key=lambda u: kinds[u[0]]):
+            if now is None or kinds[unit][0] != now:
+                now = kinds[unit][0]
+                sample = _sample(cells, now, job.few)
+            if part and (size + len(sample.w) > _ROWS_AT_A_TIME or kinds[unit][1] != kinds[part[-1][0]][1]):
+                yield from _grow_together(part, job)
+                part, size = [], 0
+            part.append((unit, root, sample))
+            size += len(sample.w)
+        yield from _grow_together(part, job)
+
+
+def _sample(cells: _Cells, without: int, few: bool) -> _Cells:
+    """The cells with a weight, the fold ``without`` left out and the others added up."""
+    kept = cells.take(np.flatnonzero(cells.fold != without))
+    if few and not kept.w.any():  # no draw in a handful of rows: the sample is the rows themselves
+        kept = replace(kept, w=kept.n, s=kept.low)
+    return kept.take(np.flatnonzero(kept.w)).merged(by_fold=False)
+
+
+def _grow_together(part: Sequence[tuple[int, int, _Cells]], job: _Job) -> Iterator[pa.RecordBatch]:
+    """Trees of one shape, (unit, root, cells) each."""
+    used = [c for _, _, c in part]
+    target = [min(job.of(unit)[1], c.s.shape[1] - 1) for unit, _, c in part]
+    s, low, high = (np.concatenate([getattr(c, name)[:, t] for c, t in zip(used, target)]) for name in ("s", "low", "high"))
+    which, *grown = _subtrees(np.concatenate([c.bins for c in used]), s, low, high, np.concatenate([c.w for c in used]),
+                              np.repeat(np.arange(len(part)), [len(c.w) for c in used]), np.array([root for _, root, _ in part], np.int64),
+                              np.array([job.of(unit)[2] for unit, _, _ in part], np.int64), job.of(part[0][0])[0])
+    for j, (unit, _, _) in enumerate(part):
+        mine = np.flatnonzero(which == j)
+        mine = mine[np.argsort(grown[0][mine], kind="stable")]
+        yield from _packed_trees(*job.trees[unit], *_node_columns(job, unit, *(c[mine] for c in grown)))
 
 
 def _node_columns(job: _Job, unit: int, node, feature, bin_, s, w, gain) -> tuple[np.ndarray, ...]:

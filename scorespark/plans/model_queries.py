@@ -134,7 +134,7 @@ def prediction_intervals(spark: SparkSession, sf: str) -> DataFrame:
 def regression_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Every model and subject: in-sample RMSE and MAE, 5-fold RMSE mean and deviation."""
     p = staged_pairs(spark, sf)
-    fitted = regression.train_regressors(p, SUBJECTS)
+    fitted = regression.train_regressors(p, SUBJECTS, folds=FOLDS)
     return rounded(regression.evaluate_all_models(p, fitted, SUBJECTS, FOLDS))
 
 

@@ -366,3 +366,29 @@ def test_a_node_that_loses_few_rows_at_a_time_costs_few(monkeypatch):
                             np.zeros(1, np.int64), TreeParams())
     assert max(int(i).bit_length() for i in grown[1]) > 10
     assert 2 * n <= sum(seen) < 3 * n  # weights and sums of the root and little more
+
+
+def test_trees_of_the_folds_are_grown_with_the_others(pairs, monkeypatch):
+    """An evaluation grows its trees in one run and finds what trees grown on their own find; other folds or rows are grown anew."""
+    subjects, params = ["Math", "CS"], {"RandomForest": {"numTrees": 3}}
+    runs, grow = [], trees.grow
+    monkeypatch.setattr(trees, "grow", lambda *a, **k: runs.append(len(a[3])) or grow(*a, **k))
+    rows = lambda *a: sorted(map(tuple, regression.evaluate_all_models(*a, params=params).collect()))
+    together = regression.train_regressors(pairs, subjects, params=params, folds=3)
+    found = rows(pairs, together, subjects, 3)
+    assert runs == [2 * 2 * (1 + 3)] and len(found) == 6
+    apart = regression.train_regressors(pairs, subjects, params=params)
+    assert found == rows(pairs, apart, subjects, 3)
+    del runs[:]
+    assert rows(pairs, together, subjects, 4) == rows(pairs, apart, subjects, 4) and runs == [2 * 2 * 4] * 2
+    fewer = pairs.where("student_id < 50")
+    assert rows(fewer, together, subjects, 3) == rows(fewer, apart, subjects, 3) and runs == [2 * 2 * 4] * 2 + [2 * 2 * 3] * 2
+
+
+def test_cells_of_several_folds_count_once(spark):
+    """Trees are grown on cells added up over their folds, so rows in few cells are not split by counts for being in many folds."""
+    job = trees._Job([Fit("m", "y", "y", TreeParams(), f) for f in range(5)], ["y"], {256: [np.array([1.0, 2.0]), np.array([0.5])]},
+                     [(f, 0) for f in range(5)])
+    ready = spark.range(600).select(F.col("id").alias("number"), F.array(F.col("id") % 3 + 0.5, F.col("id") % 2 + 0.0).alias("x"),
+                                    F.array(F.col("id") % 7).alias("y"), (F.col("id") % 5).cast("int").alias("fold")).repartition(4)
+    assert trees._count_distinct(ready, job) == 6
