@@ -15,9 +15,9 @@ def pivot_scores(long: DataFrame, keys: Sequence[str] = (ENTITY, NAME, PERIOD),
     """One row per key, one column per subject, the mean of repeated scores.
 
     Conditional means need one shuffle on the keys, with map-side combining; a
-    key without any score gets no row.
+    key without any score gets no row, so rows without one are left out before it.
     """
-    wide = long.groupBy(*[ref(k) for k in keys]).agg(*[
+    wide = long.where(F.col(SCORE).isNotNull()).groupBy(*[ref(k) for k in keys]).agg(*[
         F.avg(F.when(F.col(CATEGORY) == s, F.col(SCORE))).alias(s) for s in subjects
     ])
     return wide.where(F.coalesce(*[ref(s) for s in subjects]).isNotNull())

@@ -49,6 +49,7 @@ _FEW_ROWS = 1 << 10  # so few that a sample may be without any
 _LARGE_NODE = 1 << 9  # rows from which a node is split by counts per bin
 _FIRST_ROWS = 1 << 5  # fewer than those of a node that is split by counts
 _NODES_AT_A_TIME = 64
+_NODES_A_CUT = 1 << 5  # up to so many, nodes are read for the thresholds they use
 _CELLS_HELD = 1 << 13  # nodes times features that a task adds up before it sends them
 NODES = ("fit int, tree int, node long, depth int, feature int, threshold double, value double, weight long, gain double")
 _TREES = "fit int, tree int, count int, walk binary, grown binary"
@@ -83,13 +84,17 @@ class Fit:
 
 @dataclass
 class TreeModel:
-    """A fitted tree or forest: the rows of ``nodes``, packed trees, whose fit is ``number``."""
+    """A fitted tree or forest: the rows of ``nodes``, packed trees, whose fit is ``number``.
+
+    ``cuts`` are the split candidates of each feature it was grown on; a stored model does not know them.
+    """
 
     nodes: DataFrame
     number: int
     features: list[str]
     params: TreeParams
     rules: list | None = field(default=None, repr=False)
+    cuts: list[np.ndarray] | None = field(default=None, repr=False, compare=False)
 
     def table(self) -> DataFrame:
         return unpacked_nodes(self.nodes.where(F.col("fit") == self.number))
@@ -228,7 +233,7 @@ def grow(rows: DataFrame, key: Sequence[str], features: Sequence[str], fits: Seq
     if few:
         for r in unpacked_nodes(nodes.where(F.col("fit").isin(*few))).collect():
             rules[r["fit"]].append(r)
-    return [TreeModel(nodes, i, features, f.params, rules.get(i)) for i, f in enumerate(fits)]
+    return [TreeModel(nodes, i, features, f.params, rules.get(i), cuts[f.params.maxBins]) for i, f in enumerate(fits)]
 
 
 @dataclass
@@ -1201,7 +1206,15 @@ def distinct_rows(rows: DataFrame, features: Sequence[str], fold: str | None = N
 
 
 def _thresholds(models: Sequence[TreeModel], k: int) -> list[np.ndarray]:
-    """The thresholds of each feature in any of the models, sorted: split candidates, so their number does not grow with the rows."""
+    """The thresholds of each feature in any of the models, sorted: split candidates, so their number does not grow with the rows.
+
+    The candidates themselves stand for them where the models may have many more nodes, which are not read for this then.
+    """
+    known = list({id(m.cuts): m.cuts for m in models}.values())
+    if all(known):
+        cuts = [np.unique(np.concatenate(c)) for c in zip(*known)]
+        if sum(m.params.numTrees << min(_deepest(m.params), 30) for m in models) > _NODES_A_CUT * sum(map(len, cuts)):
+            return cuts
     tables: dict[int, tuple[DataFrame, set[int]]] = {}
     for m in models:
         tables.setdefault(id(m.nodes), (m.nodes, set()))[1].add(m.number)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.cleaning import clean_marks
 from ..operators.tables import build_regression_dataset, get_all_marks_wide
-from ..schema import FEATURES, LABEL, SPLIT
+from ..schema import FEATURES, LABEL, NAME, SPLIT
 from ..session import stage
 
 SUBJECTS = ["urgent", "high", "medium", "not_specified", "low"]
@@ -70,7 +70,8 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return build_regression_dataset(clean(spark, sf), SUBJECTS, BASE, NEXT)
+    unnamed = stage(wide(spark, sf).drop(NAME), "wide")  # pairs have no names: they are neither joined nor written
+    return build_regression_dataset(clean_marks(unnamed, SUBJECTS, BASE), SUBJECTS, BASE, NEXT)
 
 
 def staged_pairs(spark: SparkSession, sf: str) -> DataFrame:

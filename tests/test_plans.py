@@ -80,3 +80,14 @@ def test_skewed_student_joins_by_shuffle(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) == len(expected)
     assert [g.split("urgent")[0] for g in got] == [e.split("urgent")[0] for e in expected]
+
+
+def test_what_pairs_do_not_need_is_left_early(spark, sf, monkeypatch):
+    """Rows without a score do not enter the mean of a key, and pairs are staged without names."""
+    wide = plan(reshape.pivot_scores(given.marks(spark, sf), ("student_id", "year"), given.SUBJECTS))
+    below = wide[wide.rindex("HashAggregate"):]
+    assert "Filter" in below and "isnotnull" in below.lower()
+    staged, plain = [], given.stage
+    monkeypatch.setattr(given, "stage", lambda df, name: staged.append(df.columns) or plain(df, name))
+    given.staged_pairs(spark, sf)
+    assert staged and not any("name" in columns for columns in staged)

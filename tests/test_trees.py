@@ -392,3 +392,14 @@ def test_cells_of_several_folds_count_once(spark):
     ready = spark.range(600).select(F.col("id").alias("number"), F.array(F.col("id") % 3 + 0.5, F.col("id") % 2 + 0.0).alias("x"),
                                     F.array(F.col("id") % 7).alias("y"), (F.col("id") % 5).cast("int").alias("fold")).repartition(4)
     assert trees._count_distinct(ready, job) == 6
+
+
+def test_thresholds_of_many_nodes_are_the_candidates(spark, rows):
+    """Nodes of deep forests are not read to see where rows are parted: the candidates tell; shallow models use few of theirs."""
+    cuts = [np.array([1.0, 2.0]), np.array([0.5]), np.array([])]
+    forest = [trees.TreeModel(None, i, FEATS, TreeParams(numTrees=50), None, c) for i, c in
+              enumerate((cuts, [np.array([2.0, 7.0]), *cuts[1:]]))]  # there are no nodes to read
+    assert [c.tolist() for c in trees._thresholds(forest, 3)] == [[1.0, 2.0, 7.0], [0.5], []]
+    stump = trees.grow(rows, ["id"], FEATS, [Fit("m", "y", "y", TreeParams(maxDepth=1))])
+    assert [len(c) for c in stump[0].cuts] == [40, 256, 1]
+    assert sorted(len(c) for c in trees._thresholds(stump, 3)) == [0, 0, 1]
