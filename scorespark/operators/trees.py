@@ -325,12 +325,14 @@ class _Cells:
         values = (c[rows] if target is None else c[rows, target:target + 1] for c in (self.s, self.low, self.high))
         return _Cells(self.bins[rows], self.fold[rows], self.n[rows], self.w[rows], *values)
 
-    def merged(self, by_fold: bool = True) -> "_Cells":
+    def merged(self) -> "_Cells":
         if not len(self.w):
             return self
-        order, starts = _alike(self.bins, self.fold if by_fold else np.zeros_like(self.fold))
-        if len(starts) == len(order):
-            return self
+        order, starts = _alike(self.bins, self.fold)
+        return self if len(starts) == len(order) else self.added(order, starts)
+
+    def added(self, order: np.ndarray, starts: np.ndarray) -> "_Cells":
+        """The rows in ``order``, those from one start to the next added up."""
         add = lambda f, c: f.reduceat(c[order], starts, axis=0)
         first = order[starts]
         return _Cells(self.bins[first], self.fold[first], add(np.add, self.n), add(np.add, self.w), add(np.add, self.s),
@@ -458,16 +460,19 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Cells]]
 def _grow_groups(batches: Iterator[pa.RecordBatch], job: _Job, units: Mapping[int, list]) -> Iterator[pa.RecordBatch]:
     """All trees of a group, several at a time: level by level their nodes are handled as if they were one tree's.
 
-    The cells without a fold are held while its trees are grown, not those without every fold at once.
+    The cells without a fold are held while its trees are grown, not those without every fold at once. All are taken from
+    the same order, in which a cell's folds lie side by side.
     """
     for group, cells in _by_group(batches):
+        order, starts = _alike(cells.bins, np.zeros_like(cells.fold))
+        cells, cell = cells.take(order), np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
         shapes = list(dict.fromkeys(job.of(unit)[0] for unit, _ in units[group]))
         kinds = {unit: (job.fits[job.trees[unit][0]].without, shapes.index(job.of(unit)[0])) for unit, _ in units[group]}
         part, size, now, sample = [], 0, None, None
         for unit, root in sorted(units[group], key=lambda u: kinds[u[0]]):
             if now is None or kinds[unit][0] != now:
                 now = kinds[unit][0]
-                sample = _sample(cells, now, job.few)
+                sample = _sample(cells, cell, now, job.few)
             if part and (size + len(sample.w) > _ROWS_AT_A_TIME or kinds[unit][1] != kinds[part[-1][0]][1]):
                 yield from _grow_together(part, job)
                 part, size = [], 0
@@ -476,12 +481,14 @@ def _grow_groups(batches: Iterator[pa.RecordBatch], job: _Job, units: Mapping[in
         yield from _grow_together(part, job)
 
 
-def _sample(cells: _Cells, without: int, few: bool) -> _Cells:
-    """The cells with a weight, the fold ``without`` left out and the others added up."""
-    kept = cells.take(np.flatnonzero(cells.fold != without))
-    if few and not kept.w.any():  # no draw in a handful of rows: the sample is the rows themselves
-        kept = replace(kept, w=kept.n, s=kept.low)
-    return kept.take(np.flatnonzero(kept.w)).merged(by_fold=False)
+def _sample(cells: _Cells, cell: np.ndarray, without: int, few: bool) -> _Cells:
+    """The cells with a weight, the fold ``without`` left out and the others added up; ``cell`` numbers them in order."""
+    kept = cells.fold != without
+    if few and not cells.w[kept].any():  # no draw in a handful of rows: the sample is the rows themselves
+        cells = replace(cells, w=cells.n, s=cells.low)
+    rows = np.flatnonzero(kept & (cells.w > 0))
+    starts = _starts(cell.take(rows))
+    return cells.take(rows) if len(starts) == len(rows) else cells.added(rows, starts)
 
 
 def _grow_together(part: Sequence[tuple[int, int, _Cells]], job: _Job) -> Iterator[pa.RecordBatch]:
@@ -622,14 +629,15 @@ def _subtrees(bins: np.ndarray, wy: np.ndarray, lowest: np.ndarray, highest: np.
             held = [np.concatenate(c) for c in zip(*parts)]
             new = np.concatenate([np.diff(p[4], prepend=-1) != 0 for p in parts])
             group_f, group_n = np.repeat(live, [len(p[4]) for p in parts])[new], held[4][new]
-            held[4] = np.cumsum(new) - 1
+            held[4] = np.cumsum(new, dtype=np.int32) - 1
         else:
             code[rows] = np.repeat((opened >= m // 2).astype(np.uint8), sizes)
             side = code.take(held[0])
             if not vary.all():
                 side[~vary.take(held[4])] = 2
             left = np.flatnonzero(side == 0)
-            held = [c.take(np.concatenate([left, np.flatnonzero(side == 1)])) for c in held]
+            parted = np.concatenate([left, np.flatnonzero(side == 1)])
+            held = [c.take(parted) for c in held]
             new = np.empty(len(held[4]), bool)
             new[:1], new[1:] = True, held[4][1:] != held[4][:-1]
             new[len(left):len(left) + 1] = True
@@ -638,7 +646,7 @@ def _subtrees(bins: np.ndarray, wy: np.ndarray, lowest: np.ndarray, highest: np.
             number = np.full(m, -1)
             number[opened] = np.arange(len(opened))
             group_f, group_n = group_f.take(was), number.take(group_n.take(was) + np.where(first < len(left), 0, m // 2))
-            held[4] = np.cumsum(new) - 1
+            held[4] = np.cumsum(new, dtype=np.int32) - 1
         w_of, s_of, w_all, s_all = total_w[opened], total_s[opened], all_w[opened], all_s[opened]
         best, where = np.full((len(opened), k), -np.inf), np.zeros((len(opened), k), np.int64)
         left_w, left_s = np.zeros((len(opened), k), np.int64), np.zeros((len(opened), k), np.int64)
@@ -1106,11 +1114,19 @@ def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score_groups(batches: Iterator[pa.RecordBatch], k: int, without, depths: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    now, held, trees = None, {}, []
+    """The sums of every group's rows over its trees; rows of a fold come in many small parts and walk together."""
+    now, held, trees, waiting = None, {}, [], {}
+
+    def scored(fold: int) -> Iterator[pa.RecordBatch]:
+        number, x = (np.concatenate(c) for c in zip(*waiting.pop(fold)))
+        return _score_rows(number, fold, x, trees, without, depths, sizes)
+
     for batch in batches:
         ints = batch.select(["group", "side", "place", "tree", "fold", "count"]).to_pydict()
         for i, (group, side, place, tree, fold, count) in enumerate(zip(*ints.values())):
             if group != now:
+                for f in list(waiting):
+                    yield from scored(f)
                 now, held, trees = group, {}, []
             data = batch.column("data")[i].as_buffer()
             if side == 0:
@@ -1119,18 +1135,26 @@ def _score_groups(batches: Iterator[pa.RecordBatch], k: int, without, depths: li
             if held:
                 trees, held = [(*key, *_arrays_of_tree(held[key])) for key in sorted(held)], {}
             if trees:
-                number = np.frombuffer(data, np.int64, count)
-                yield from _score_rows(number, fold, np.frombuffer(data, np.float64, count * k, 8 * count), trees, without, depths, sizes)
+                part = np.frombuffer(data, np.int64, count), np.frombuffer(data, np.float64, count * k, 8 * count)
+                waiting.setdefault(fold, []).append(part)
+                if sum(len(number) for number, _ in waiting[fold]) >= _SLICE_ROWS:
+                    yield from scored(fold)
+    for f in list(waiting):
+        yield from scored(f)
 
 
 def _arrays_of_tree(parts: Sequence[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-    """(feature, threshold, left child, value) of a tree's nodes; children lie next to each other, a leaf leads to itself."""
+    """(feature, threshold, left child, value) of a tree's nodes; children lie next to each other, a leaf leads to itself.
+
+    Sorted by number, all nodes but the root are the children of the others, pair by pair in their parents' order.
+    """
     node, threshold, value, feature = (np.concatenate(c) for c in zip(*(_walk_columns(n, data) for n, data in parts)))
-    order = np.argsort(node)
-    node, threshold, value, feature = node[order], threshold[order], value[order], feature[order]
+    if (node[1:] < node[:-1]).any():
+        order = np.argsort(node)
+        threshold, value, feature = threshold[order], value[order], feature[order]
     leaf = feature < 0
     return (np.maximum(feature, 0).astype(np.int64), np.where(leaf, np.inf, threshold),
-            np.where(leaf, np.arange(len(node)), np.searchsorted(node, 2 * node)), value)
+            np.where(leaf, np.arange(len(node)), 2 * np.cumsum(~leaf) - 1), value)
 
 
 def _leaves(x: np.ndarray, first: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray) -> np.ndarray:

@@ -403,3 +403,33 @@ def test_thresholds_of_many_nodes_are_the_candidates(spark, rows):
     stump = trees.grow(rows, ["id"], FEATS, [Fit("m", "y", "y", TreeParams(maxDepth=1))])
     assert [len(c) for c in stump[0].cuts] == [40, 256, 1]
     assert sorted(len(c) for c in trees._thresholds(stump, 3)) == [0, 0, 1]
+
+
+def test_small_parts_of_rows_walk_together(monkeypatch):
+    """Rows come in as many parts as batches, folds and slices; a tree is walked by the rows of a fold at once, not part by part."""
+    nodes = [np.array(c, t) for c, t in (([1, 2, 3], np.int64), ([0.5, 0, 0], float), ([0, 1.0, 2.0], float), ([0, -1, -1], np.int32))]
+    parts, n = [], 0
+    for group in (0, 1):
+        parts += [trees._packed(0, place, 0, -2, nodes, group=group) for place in (0, 1)]
+        for i in range(30):
+            x = np.array([i % 2, 5.0, 1 - i % 2, 5.0])
+            parts.append(trees._packed(1, -1, -1, i % 3, [np.array([n, n + 1]), x], group=group))
+            n += 2
+    batches = [b.select(["group", *[c.split()[0] for c in trees._PACKED.split(", ")]]) for b in parts]
+    calls, plain = [], trees._score_rows
+    monkeypatch.setattr(trees, "_score_rows", lambda number, *rest: calls.append(len(number)) or plain(number, *rest))
+    found = [r for b in trees._score_groups(iter(batches), 2, [0, 1], [], []) for r in b.to_pylist()]
+    assert calls == [20] * 6
+    assert sorted((r["_row"], r["place"], r["n"], r["total"]) for r in found) == sorted(
+        (r, f, 1, 1.0 + (i % 2 if r % 2 == 0 else 1 - i % 2)) for r in range(120) for i in [r // 2 % 30] for f in [i % 3] if f < 2)
+
+
+def test_children_are_found_in_any_order_of_nodes():
+    node = np.array([1, 2, 3, 6, 7, 12, 13], np.int64)
+    feature, threshold, value = np.array([0, -1, 1, 0, -1, -1, -1], np.int32), node / 2, node * 1.0
+    for order in (np.arange(7), np.array([4, 0, 6, 2, 5, 1, 3])):
+        parts = [(len(i), trees._packed(0, 0, 0, -2, [c[i] for c in (node, threshold, value, feature)])["data"][0].as_py())
+                 for i in (order[:3], order[3:])]
+        got = trees._arrays_of_tree(parts)
+        assert got[2].tolist() == [1, 1, 3, 5, 4, 5, 6] and got[3].tolist() == value.tolist()
+        assert got[0].tolist() == [0, 0, 1, 0, 0, 0, 0] and got[1].tolist() == [0.5, np.inf, 1.5, 3.0, np.inf, np.inf, np.inf]
